@@ -22,11 +22,13 @@ SYMBOLS = "#*$%&|<>"
 
 #: name -> (column that falls when the text is good, good at or below, bad at or above); between the two a rule abstains.
 RULES = {
-    "symbols": ("symbol_rate", 0.02, 0.15),
+    "symbol_chars": ("symbol_rate", 0.01, 0.03),
+    "symbol_words": ("symbols_a_word", 0.03, 0.1),
+    "symbol_lines": ("symbol_line_rate", 0.2, 0.6),
     "long_words": ("mean_word", 8.5, 12.0),
     "short_words": ("short_mean", -3.0, -2.2),
-    "dup_lines": ("dup_line_rate", 0.1, 0.3),
-    "repeats": ("repeat_rate", 0.15, 0.35),
+    "dup_lines": ("dup_line_rate", 0.3, 0.6),
+    "repeats": ("repeat_rate", 0.3, 0.5),
     "digits": ("digit_rate", 0.05, 0.2),
     "vocabulary": ("same_word_rate", 0.75, 0.9),
 }
@@ -59,6 +61,7 @@ def measures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
+        F.size(F.filter("_l", lambda x: F.length(F.translate(x, SYMBOLS, "")) < F.length(x))).cast("long").alias("n_symbol_lines"),
         (F.length("_t") - F.length(F.translate("_t", "0123456789", ""))).cast("long").alias("n_digits"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
     )
@@ -69,6 +72,8 @@ def votes(df: DataFrame, rules: dict = RULES) -> DataFrame:
     words = F.greatest("n_words", F.lit(1))
     rates = {
         "symbol_rate": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
+        "symbols_a_word": F.col("n_symbols") / words,
+        "symbol_line_rate": F.col("n_symbol_lines") / F.greatest("n_lines", F.lit(1)),
         "mean_word": F.col("word_chars") / words,
         "short_mean": -F.col("word_chars") / words,
         "dup_line_rate": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
@@ -99,17 +104,21 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, rules: dict = RULES, steps: int = 60, prior: float = 0.8, accuracy: float = 0.85) -> LabelModel:
+#: Where expectation-maximisation starts: a bad document still passes most rules, a good one seldom fails any.
+START = {1: {1: 0.78, 0: 0.2, -1: 0.02}, 0: {1: 0.65, 0: 0.15, -1: 0.2}}
+
+
+def fit(voted: DataFrame, rules: dict = RULES, steps: int = 60, prior: float = 0.8) -> LabelModel:
     """Expectation-maximisation over the counted vote combinations of all documents.
 
-    Votes start from ``accuracy`` and stay on the side of 1/2 on which they start: a good vote never counts for bad.
-    Smoothing by one pseudo-document for each vote keeps every probability off 0 and 1.
+    A rule's votes keep the side on which they start: a good vote never counts for bad. Smoothing by one
+    pseudo-document for each vote keeps every probability off 0 and 1.
     """
     names = list(rules)
     cells = voted.groupBy(*[f"vote_{n}" for n in names]).count().collect()  # at most 3 ** len(rules) rows
-    data = [([r[i] for i in range(len(names))], r["count"]) for r in cells]
+    data = sorted(([r[i] for i in range(len(names))], r["count"]) for r in cells)
     total = sum(n for _, n in data) or 1
-    chance = {n: {1: {1: accuracy * 0.8, 0: 0.2, -1: (1 - accuracy) * 0.8}, 0: {1: (1 - accuracy) * 0.8, 0: 0.2, -1: accuracy * 0.8}} for n in names}
+    chance = {n: {c: dict(START[c]) for c in START} for n in names}
     for _ in range(steps if data else 0):
         sums = {n: {c: {v: 1.0 for v in (-1, 0, 1)} for c in (0, 1)} for n in names}
         good = 0.0
@@ -139,8 +148,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", rules: dict =
     """
     scratch = Scratch(df.sparkSession, "quality")
     voted = scratch.save(votes(measures(df, key, text), rules), "votes")
-    model = fit(voted, rules)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model = fit(voted.where(~base), rules)  # what the base rules reject needs no verdict and would shape the bad class
     out = voted.withColumn("p_good", model.posterior()).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
