@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, url_filter
+from . import bpe, mixing, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op3_bpe": bpe.op3_bpe,
+        "op5_mixing": mixing.op5_mixing,
         "op7_quality": quality.op7_quality,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
