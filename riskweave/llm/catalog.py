@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, toxicity, url_filter
+from . import ann, bpe, line_dedup, mixing, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op3_bpe": bpe.op3_bpe,
         "op5_mixing": mixing.op5_mixing,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
+        "op9_nearest": ann.op9_nearest,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
