@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, mixing, quality, toxicity, url_filter
+from . import ann, bpe, line_dedup, mixing, near_dedup, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
