@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, quality, toxicity, url_filter
+from . import ann, bpe, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_toxicity": toxicity.op10_toxicity,
     }
