@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import ann, bpe, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_bpe": bpe.op3_bpe,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
