@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, mix64, row_keys, signed, sliding_min
@@ -80,7 +80,9 @@ def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callabl
     whole = whole.withColumn("first", F.col("id").eqNullSafe(F.col("p.id")))
     whole = scratch.save(whole.drop("p"), "placed")
     heads = first.join(cand, "t1").select("p.k1", "p.k2", "ord", "shared")
-    texts = rows.select(*k, "text").join(heads, ["k1", "k2"]).dropDuplicates(["ord"])
+    # repeated rows stand side by side after the join: the first of them is enough
+    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
+    texts = rows.select(*k, "text").join(heads, ["k1", "k2"]).withColumn("copy", once).where("copy = 1")
     texts = scratch.save(texts.select("ord", "text", "shared"), "texts")
     scratch.drop("cand")
     scratch.tidy()

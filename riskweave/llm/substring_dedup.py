@@ -1,7 +1,7 @@
 """Substring dedup: a de Bruijn graph of token k-mers, compacted.
 
 A window of ``K`` consecutive words is an edge from its first K - 1 words to its last K - 1. Repeated edges carry the
-coordinates of their occurrences; a join with each edge's earliest occurrence gives every later one its source. Along a
+coordinates of their occurrences; each edge's occurrences, brought together, give every later one a source. Along a
 document, edges whose sources follow each other are one nonbranching path: they compact to a span with one source
 span, whose words are then compared with the source's coordinates. Words of spans that also start earlier (smaller
 doc_id, or the same document further up) go.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, U64, WORD_GAP, ByteHasher, Scratch, as_bytes, mix64, signed, table, window_hashes, word_bounds
@@ -25,7 +25,9 @@ from .mixing import n_words
 from .repeats import minimisers, shared_places
 
 K = 20
-GRAM = 6  # words of a minimiser
+GRAM = 10  # words of a minimiser
+#: Edges whose minimiser occurs more often than this are dealt out by document as well.
+HOT = 10_000
 SPAN = "array<struct<start:int,length:int,source:bigint,source_start:int>>"
 
 
@@ -41,7 +43,7 @@ def _grams():
 
 
 def edges(texts: DataFrame, k: int = K) -> DataFrame:
-    """(h1, h2, ord, pos): the k-mers of (ord, text, shared) whose minimiser is shared; a 96-bit hash names an edge."""
+    """(h1, h2, salt, ord, pos): the k-mers of (ord, text, shared) whose minimiser is shared; a 96-bit hash names an edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteHasher(), ByteHasher(99)
@@ -53,26 +55,38 @@ def edges(texts: DataFrame, k: int = K) -> DataFrame:
                     continue
                 h = one.ranges(one.prefix(data), start, end)
                 low = minimisers(window_hashes(h, GRAM), k - GRAM + 1)
-                known = np.sort(shared.values.field("m").to_numpy().view(U64))
+                known, times = shared.values.field("m").to_numpy().view(U64), shared.values.field("n").to_numpy()
+                o = np.argsort(known)
+                known, times = known[o], times[o]
                 at = np.minimum(np.searchsorted(known, low), len(known) - 1)
                 pos = np.flatnonzero(known[at] == low)
                 if not len(pos):
                     continue
                 h1 = window_hashes(h, k)[pos]
                 h2 = window_hashes(two.ranges(two.prefix(data), start, end), k)[pos]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h1)), pa.array((mix64(h2) >> U64(33)).astype(np.int32)), pa.array(np.full(len(pos), batch.column(0)[i].as_py(), np.int64)), pa.array(pos.astype(np.int32))],
-                    names=["h1", "h2", "ord", "pos"],
-                )
+                place = batch.column(0)[i].as_py()
+                salts = times[at[pos]].astype(np.int64) // HOT  # 0: not salted
+                salt = np.where(salts > 0, 1 + int(mix64(np.array([place], U64))[0]) % np.maximum(salts, 1).astype(U64), U64(0))
+                out = [signed(h1), (mix64(h2) >> U64(33)).astype(np.int32), salt.astype(np.int32), np.full(len(pos), place, np.int64), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h1", "h2", "salt", "ord", "pos"])
 
-    return texts.select("ord", "text", "shared").mapInArrow(run, "h1 long, h2 int, ord long, pos int")
+    return texts.select("ord", "text", "shared").mapInArrow(run, "h1 long, h2 int, salt int, ord long, pos int")
 
 
 def compact(found: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
-    """(ord, spans): maximal runs of later occurrences whose sources run along with them, in words."""
-    at = F.struct("ord", "pos")
-    sources = found.groupBy("h1", "h2").agg(F.min(at).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(sources, ["h1", "h2"]).where(F.col("source") < at).select("ord", F.struct("pos", F.col("source.ord").alias("s"), F.col("source.pos").alias("sp")).alias("e"))
+    """(ord, spans): maximal runs of later occurrences whose sources run along with them, in words.
+
+    Each occurrence is joined with the first of its edge. Frequent edges are salted by document: there the first of
+    each salt is the source, and these firsts, at most one for each salt and edge, meet in a second round.
+    """
+    order = Window.partitionBy("h1", "h2", "salt").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = found.withColumns({"s": F.first("ord").over(order), "sp": F.first("pos").over(order)})
+    met = scratch.save(met.where("ord <> s OR pos <> sp OR salt > 0").select("ord", "pos", "s", "sp", F.when(F.col("salt") > 0, F.struct("h1", "h2")).alias("h")), "met")
+    own = (F.col("ord") == F.col("s")) & (F.col("pos") == F.col("sp"))
+    heads = met.where(own).groupBy("h").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    heads = met.where(own).select("h", "ord", "pos").join(heads, "h").where(F.struct("ord", "pos") > F.col("first"))
+    later = met.where(~own).select("ord", "pos", "s", "sp").unionByName(heads.select("ord", "pos", F.col("first.ord").alias("s"), F.col("first.pos").alias("sp")))
+    later = later.select("ord", F.struct("pos", "s", "sp").alias("e"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +126,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     first text that loses words; later copies of a text (``places.rows`` without ``first``) lose all words if they have ``k``."""
     extra = {"n_words": n_words(F.col("text")), "whole": F.sha2(F.regexp_replace(F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE)), WORD_GAP, " "), 256)}
     places = shared_places(docs, scratch, _grams, k - GRAM + 1, key, text, extra)
-    found = scratch.save(edges(places.texts, k), "edges")
-    spans = compact(found, scratch, k)
-    scratch.drop("edges")
+    spans = compact(edges(places.texts, k), scratch, k)
+    scratch.drop("met")
     scratch.tidy()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
