@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+#: Rows in a batch for Python workers, at most.
+BATCH = 1000
+
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,11 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of few rows: a worker's memory then follows the longest texts, not the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 class Scratch:
     """Tables written to the shared folder, so that later jobs neither recompute them nor depend on one executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
