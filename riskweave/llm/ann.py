@@ -4,8 +4,9 @@ Vectors are brought to equal length by one more coordinate, so that the largest
 Centroids come from balanced k-means over a bounded sample. Every vector goes to the list of its nearest centroid and,
 when it lies near a boundary, to further lists whose centroids are hardly farther and not close to a list it is in.
 Centroids are searched by an in-memory graph; of the centroids found, a query visits those within a ratio of its
-nearest one. Lists longer than a bound are cut into chunks, so that no task holds an unbounded list; a query visits
-all chunks of a list. Candidates are scored exactly, in double precision, component after component.
+nearest one. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
+bounded number of vectors, so that no task holds more; a query visits all shards that have chunks of its lists. Each shard
+gives a query its best candidates, scored exactly, in double precision, component after component.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part.
 Rows with equal ids count as one candidate, with the better score. Ties go to the smaller id. Fewer candidates than asked for give
@@ -33,10 +34,11 @@ class Settings:
     max_lists: int = 4096
     replicas: int = 4  # lists a vector is in, at most
     boundary: float = 1.08  # a further list's distance against the nearest
-    ratio: float = 1.35  # a visited list's distance against a query's nearest
+    ratio: float = 1.25  # a visited list's distance against a query's nearest
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96
-    chunk: int = 4096  # vectors of a list that one task scores at once
+    chunk: int = 4096  # vectors of a list in one shard, about
+    shard: int = 8192  # vectors that one task scores at once, about
     seed: int = 5
 
 
@@ -117,15 +119,30 @@ def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """``lists``: id, v, list, chunk for every vector and list it is in; ``chunks``: list -> number of chunks."""
+    """``lists``: id, v, list, shard for every vector and list it is in; ``shards``: list -> the shards of its chunks."""
 
     graph: CentroidGraph
     length: float  # the largest squared length
     lists: DataFrame
-    chunks: dict[int, int]
+    shards: dict[int, list[int]]
     settings: Settings
 
 
+def pack(sizes: dict[int, int], centroids: np.ndarray, settings: Settings) -> dict[int, list[int]]:
+    """list -> shards of its chunks: chunks in the order of the centroids' main direction fill one shard after the other."""
+    main = np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][0]
+    out: dict[int, list[int]] = {}
+    shard, filled = 0, 0
+    for j in sorted(sizes, key=lambda j: (centroids[j] @ main, j)):
+        n = -(-sizes[j] // settings.chunk)
+        for _ in range(n):
+            if filled and filled + sizes[j] / n > settings.shard:
+                shard, filled = shard + 1, 0
+            out.setdefault(j, []).append(shard)
+            filled += sizes[j] / n
+    return out
+
+
 def build(rows: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> Index | None:
     """Index every row of (id, v). The centroids, of a bounded number, are fitted by the driver on a bounded sample."""
     total = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
@@ -162,11 +179,12 @@ def build(rows: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
 
     lists = scratch.save(rows.mapInArrow(assign, "id long, v array<double>, list int"), "lists")
     sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}  # at most max_lists rows
-    chunks = {j: -(-n // settings.chunk) for j, n in sizes.items()}
+    shards = pack(sizes, graph.c, settings)
     spark = rows.sparkSession
-    table_ = spark.createDataFrame(sorted(chunks.items()), "list int, n int")
-    lists = lists.join(F.broadcast(table_), "list").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), "n").cast("int")).drop("n")
-    return Index(graph, length, lists, chunks, settings)
+    table_ = spark.createDataFrame(sorted(shards.items()), "list int, shards array<int>")
+    chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.size("shards")).cast("int")
+    lists = lists.join(F.broadcast(table_), "list").withColumn("shard", F.get("shards", chunk)).drop("shards")
+    return Index(graph, length, lists, shards, settings)
 
 
 def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -175,50 +193,63 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((index.graph, index.chunks, index.settings, k))
+    held = spark.sparkContext.broadcast((index.graph, index.shards, index.settings))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, chunks, s, k = held.value
+        graph, shards, s = held.value
         for batch in batches:
             x = _matrix(batch, 1)
             # a query's own length does not change the order: it is compared at the length that the lists have
             scale = np.sqrt((graph.c * graph.c).sum(1)).mean() / np.sqrt((x * x).sum(1))
-            take, lists, parts = [], [], []
+            take, where, lists = [], [], []
             for i, row in enumerate(np.column_stack([x * scale[:, None], np.zeros(len(x))])):
                 found, far = graph.search(row)
+                mine: dict[int, list[int]] = {}
                 for j in found[np.sqrt(far) <= s.ratio * np.sqrt(far[0])].tolist():
-                    for p in range(chunks.get(j, 0)):
-                        take.append(i)
-                        lists.append(j)
-                        parts.append(p)
+                    for p in set(shards.get(j, ())):
+                        mine.setdefault(p, []).append(j)
+                take += [i] * len(mine)
+                where += list(mine)
+                lists += list(mine.values())
             out = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists, pa.int32()), pa.array(parts, pa.int32())], names=["id", "v", "list", "chunk"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "shard", "lists"])
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
-        ids = right["id"].to_numpy()
+        ids, of_list = right["id"].to_numpy(), right["list"].to_numpy()
         x = np.stack(right["v"].to_numpy()).astype(float)
-        out = []
-        for low in range(0, len(left), 256):
-            part = left.iloc[low : low + 256]
-            q = np.stack(part["v"].to_numpy()).astype(float)
-            score = np.zeros((len(q), len(x)))
-            for d in range(q.shape[1]):  # one order of addition for every pair: equal vectors get equal scores
-                score += q[:, d, None] * x[None, :, d]
-            for qid, s in zip(part["id"].to_numpy(), score, strict=True):
-                own = ids != qid
-                i, s = ids[own], s[own]
-                if len(s) > k:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    i, s = i[keep], s[keep]
-                best = np.lexsort((i, -s))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": i[best], "score": s[best]}))
-        return pd.concat(out) if out else empty
-
-    visits = queries.mapInArrow(visit, "id long, v array<double>, list int, chunk int")
-    found = visits.groupBy("list", "chunk").cogroup(index.lists.groupBy("list", "chunk")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        q, qids = np.stack(left["v"].to_numpy()).astype(float), left["id"].to_numpy()
+        visits: dict[int, list[int]] = {}
+        for i, lists in enumerate(left["lists"]):
+            for j in lists:
+                visits.setdefault(int(j), []).append(i)
+        slack = 1e-9 * np.sqrt((q * q).sum(1).max() * (x * x).sum(1).max())  # far above the rounding of a product
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for j, who in visits.items():
+            rows = np.flatnonzero(of_list == j)
+            for low in range(0, len(who), 512):
+                part = np.array(who[low : low + 512])
+                near = q[part] @ x[rows].T
+                near[qids[part][:, None] == ids[rows][None, :]] = -np.inf
+                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(part), -np.finfo(float).max)
+                a, b = np.nonzero(near >= np.maximum(least - slack, -np.finfo(float).max)[:, None])
+                pairs.append((part[a], rows[b]))
+        a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        score = np.zeros(len(a))
+        for d in range(q.shape[1]):  # one order of addition for every pair: equal vectors get equal scores
+            score += q[a, d] * x[b, d]
+        order = np.lexsort((ids[b], -score, a))
+        a, i, score = a[order], ids[b][order], score[order]
+        once = np.concatenate(([True], (a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (score[1:] != score[:-1])))[: len(a)]
+        a, i, score = a[once], i[once], score[once]
+        first = np.searchsorted(a, a)
+        best = np.arange(len(a)) - first < k
+        return pd.DataFrame({"query_id": qids[a[best]], "vec_id": i[best], "score": score[best]})
+
+    visits = queries.mapInArrow(visit, "id long, v array<double>, shard int, lists array<int>")
+    found = visits.groupBy("shard").cogroup(index.lists.groupBy("shard")).applyInPandas(scan, "query_id long, vec_id long, score double")
     # a vector in several lists is found more than once; rows that share an id keep the better score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
