@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .queries import QUERIES, SQL, formulas, models, scalars  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
