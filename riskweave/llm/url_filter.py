@@ -24,7 +24,7 @@ from .common import U64, mix64, table
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 WORDS = 8  # 32-bit words in a block; every key sets one bit in each
-_SALT = (np.arange(1, WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+_SALT = mix64(np.arange(1, WORDS + 1, dtype=U64)) | U64(1)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
