@@ -183,6 +183,20 @@ def _prefix_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[0])), pa.array(signed(h[1])), pa.array(np.full(c, i, np.int64)), pa.array(np.arange(c, dtype=np.int32))], names=["h1", "h2", "piece_id", "at"])
 
 
+def _join_positions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece_id, at) to the runs of consecutive positions; a piece has few."""
+    for batch in rows:
+        ids, low, high = [], [], []
+        for i, at in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            at = np.sort(at.values.to_numpy())
+            cut = np.flatnonzero(np.diff(at) > 1)
+            low.append(at[np.concatenate(([0], cut + 1))])
+            high.append(at[np.concatenate((cut, [len(at) - 1]))] + 1)
+            ids.append(np.full(len(cut) + 1, i, np.int64))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, low, high)], names=["piece_id", "low", "high"])
+
+
 def repeated_runs(cut: DataFrame, scratch: Scratch) -> DataFrame:
     """(ord, start, stop): runs of positions at which a repeated prefix starts.
 
@@ -199,7 +213,7 @@ def repeated_runs(cut: DataFrame, scratch: Scratch) -> DataFrame:
     usual = sized.where(F.col("n") <= BUCKET).repartition("m").sortWithinPartitions("m").select("m", "piece_id", "count", "piece").mapInArrow(_sort_buckets, found)
     hot = sized.where(F.col("n") > BUCKET).select("m", "piece_id", "count", "piece").mapInArrow(_prefix_rows, "h1 long, h2 long, piece_id long, at int")
     again = hot.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    hot = hot.join(again, ["h1", "h2"]).select("piece_id", F.col("at").alias("low"), (F.col("at") + 1).alias("high"))
+    hot = hot.join(again, ["h1", "h2"]).groupBy("piece_id").agg(F.collect_list("at").alias("at")).mapInArrow(_join_positions, found)
     copied = distinct.where("copies > 1").select("piece_id", F.lit(0).alias("low"), F.col("count").alias("high"))
     ranges = usual.unionByName(hot).unionByName(copied).groupBy("piece_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     named = distinct.select("piece_id", *name).join(ranges, "piece_id").select(*name, F.explode("ranges").alias("r"))
