@@ -96,7 +96,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate(row)
             cols = [np.concatenate([o[j] for o in out]) for j in range(5)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(at) + 1, 4), pa.int32()), pa.array(cols[4]))
-            doc = batch.take(pa.array(at))
+            doc = pa.RecordBatch.from_arrays(batch.columns[:3], names=names[:3]).take(pa.array(at))  # not the texts
             values = [doc.column(0), doc.column(1), doc.column(2), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), lists]
             yield pa.RecordBatch.from_arrays(values, names=names)
 
