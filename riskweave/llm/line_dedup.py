@@ -146,15 +146,18 @@ def find(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "line")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     distinct = scratch.save(distinct, "distinct")
+    scratch.tidy()
 
     halves = distinct.where(F.col("n") >= NEAR_WORDS).select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     maybe = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
     maybe = scratch.save(distinct.select("h1", "h2", "first").join(maybe, ["h1", "h2"], "left_semi"), "maybe")
+    scratch.tidy()
 
     asked = maybe.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("asked"))
     texts = rows.select("k1", "k2", "text").join(asked, ["k1", "k2"])  # a repeated row emits its lines again, to the same end
     texts = scratch.save(texts.select("asked", F.expr("filter(transform(split(text, '\n'), (x, i) -> struct(i AS line, x AS words)), x -> exists(asked, y -> y.line = x.line))").alias("bodies"), "text"), "texts")
+    scratch.tidy()
     variants = texts.select("text", "asked").mapInArrow(_variants, "h1 long, h2 long, key long, kind int").distinct()
     variants = variants.join(maybe, ["h1", "h2"])
     whole, cut, same = (F.when(F.col("kind") == k, F.struct("first", "h1", "h2")) for k in (1, 2, 3))
@@ -166,7 +169,12 @@ def find(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     body = texts.select(F.explode("asked").alias("a"), "bodies").select("a.h1", "a.h2", F.expr("filter(bodies, x -> x.line = a.line)[0].words").alias("words")).dropDuplicates(["h1", "h2"])
     other = body.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
     verify = F.udf(lambda a, b: within_one(a.encode().split(), b.encode().split()), "boolean")
+    pairs = scratch.save(pairs, "pairs")
+    scratch.tidy()
     near = pairs.join(body, ["h1", "h2"]).join(other, ["e1", "e2"]).where(verify("words", "other")).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    near = scratch.save(near, "near")
+    scratch.drop("texts")
+    scratch.tidy()
     decided = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
     gone = lines.join(decided, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") < place))
     return scratch.save(gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
