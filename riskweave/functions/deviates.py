@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keyed_uniform(seed: int | Column, *key: Column, stream: str = "") -> Column:
@@ -69,21 +70,29 @@ def mean(op: str, *args: float) -> float:
     raise ValueError(op)
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_quantile(level):
+    """Quantile of the standard normal distribution; null outside (0, 1)."""
+    import pandas as pd
+
+    return pd.Series([NormalDist().inv_cdf(x) if x is not None and 0 < x < 1 else None for x in level], dtype=float)
+
+
 def _philox(seed: int, trial: int, node: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=(seed << 32 ^ node) & (1 << 64) - 1, counter=trial))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma(seed, trial, node, k, theta):
     """Gamma draws keyed by (seed, trial, node); no closed form as a column."""
     import pandas as pd
 
-    return pd.Series([_philox(int(s), int(t), int(n)).gamma(a, b) for s, t, n, a, b in zip(seed, trial, node, k, theta, strict=True)], dtype=float)
+    return pd.Series([_philox(int(s), int(t), int(n)).gamma(a, b) if a > 0 and b > 0 else None for s, t, n, a, b in zip(seed, trial, node, k, theta, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta(seed, trial, node, a, b):
     """Beta draws keyed by (seed, trial, node)."""
     import pandas as pd
 
-    return pd.Series([_philox(int(s), int(t), int(n)).beta(x, y) for s, t, n, x, y in zip(seed, trial, node, a, b, strict=True)], dtype=float)
+    return pd.Series([_philox(int(s), int(t), int(n)).beta(x, y) if x > 0 and y > 0 else None for s, t, n, x, y in zip(seed, trial, node, a, b, strict=True)], dtype=float)

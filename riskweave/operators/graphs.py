@@ -60,9 +60,14 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 def cycle_paths(edges: DataFrame, max_length: int = 100) -> DataFrame:
     """(path) like ``a->b->a`` of every simple cycle of at most ``max_length`` nodes, from its least node."""
-    core = on_cycles(edges)
     rounds = Rounds(edges.sparkSession)
+    edges = rounds.save(edges.select("a", "b"))
+    if edges.isEmpty():
+        return edges.select(F.col("a").cast("string").alias("path"))
+    core = on_cycles(edges)
     core = rounds.save(core)
+    if core.isEmpty():
+        return core.select(F.col("a").cast("string").alias("path"))
     walks = core.select(F.col("a").alias("start"), F.col("b").alias("end"), F.array("a").alias("path"))
     found = None
     for _ in range(max_length):
