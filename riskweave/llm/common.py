@@ -47,10 +47,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.tables: list[str] = []
         small_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
+        self.tables.append(table)
         path = f"{self.root}/{table}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -60,6 +62,12 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *tables: str) -> None:
+        """Delete all tables but these."""
+        for table in [t for t in self.tables if t not in tables]:
+            self.drop(table)
+        self.tables = [t for t in self.tables if t in tables]
+
     def tidy(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now, rather than at some later garbage collection."""
         gc.collect()

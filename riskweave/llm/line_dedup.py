@@ -177,7 +177,10 @@ def find(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     scratch.tidy()
     decided = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
     gone = lines.join(decided, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") < place))
-    return scratch.save(gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    removed = scratch.save(gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    scratch.keep("removed")
+    scratch.tidy()
+    return removed
 
 
 def without_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
