@@ -123,10 +123,8 @@ def _included(spark: SparkSession, files: list[str]) -> dict[str, bytes]:
     return have
 
 
-def read_nodes(spark: SparkSession, files: list[str]) -> DataFrame:
-    """The node table of some files, one task each."""
-    held = spark.sparkContext.broadcast(_included(spark, files))  # bounded by MAX_INCLUDED
-    source = spark.read.format("binaryFile").load(files).select("path", "content")
+def _emit(held):
+    """From (path, content) batches to node batches; ``held`` broadcasts the included files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
@@ -137,7 +135,21 @@ def read_nodes(spark: SparkSession, files: list[str]) -> DataFrame:
                     part = rows[low : low + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return source.mapInArrow(run, SCHEMA)
+    return run
+
+
+def read_nodes(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The node table of some files, one task each."""
+    held = spark.sparkContext.broadcast(_included(spark, files))  # bounded by MAX_INCLUDED
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(_emit(held), SCHEMA)
+
+
+def stream_nodes(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
+    """The node table of a folder as a stream: files that arrive are parsed once each. Inclusions are not expanded."""
+    held = spark.sparkContext.broadcast({})
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+    return source.select("path", "content").mapInArrow(_emit(held), SCHEMA)
 
 
 def children(nodes: DataFrame, parents: DataFrame, tag: str | None = None) -> DataFrame:
