@@ -37,8 +37,8 @@ class Settings:
     ratio: float = 1.25  # a visited list's distance against a query's nearest
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96
-    chunk: int = 4096  # vectors of a list in one shard, about
-    shard: int = 8192  # vectors that one task scores at once, about
+    chunk: int = 16_384  # vectors of a list in one shard, about
+    shard: int = 32_768  # vectors that one task scores at once, about
     seed: int = 5
 
 
