@@ -95,6 +95,6 @@ def duplicate_args(args: DataFrame, gate: str = "gate_id", arg: str = "arg_id")
     return args.groupBy(gate, arg).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def swap_arg(args: DataFrame, old: str, new: str) -> DataFrame:
-    """Another event in the place of ``old``; ordinal and complement stay."""
-    return args.withColumn("arg_id", F.when(F.col("arg_id") == old, new).otherwise(F.col("arg_id")))
+def swap_args(args: DataFrame, new: Column) -> DataFrame:
+    """Another event in the place of each argument (``new``, in terms of arg_id); ordinal and complement stay."""
+    return args.withColumn("arg_id", new)

@@ -111,12 +111,12 @@ def formula_nesting(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("gate"), F.col("l_linenumber").alias("line"), problem.alias("problem")).where("problem IS NOT NULL")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey AS gate, l_partkey AS arg, (l_partkey + 1) AS moved FROM lineitem)
-SELECT gate, CASE WHEN arg = 7 THEN 8 ELSE arg END AS arg_id, count(*)::BIGINT AS n FROM a GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS gate, l_partkey AS arg FROM lineitem)
+SELECT gate, arg - arg % 2 AS arg_id, count(*)::BIGINT AS n FROM a GROUP BY 1, 2 HAVING count(*) > 1""")
 def swap_duplicates(spark, sf_dir):
-    """Event 7 replaced by event 8 everywhere: gates that then have it twice."""
+    """Every odd event replaced by the even one before it: gates that then have one twice."""
     args = gate_args(spark, sf_dir).withColumnRenamed("arg", "arg_id")
-    return formulas.duplicate_args(formulas.swap_arg(args, 7, 8), "gate")
+    return formulas.duplicate_args(formulas.swap_args(args, F.col("arg_id") - F.col("arg_id") % 2), "gate")
 
 
 @query(ARGS + """, d AS (SELECT gate, n FROM g) SELECT d.gate, d.n::BIGINT AS n,
