@@ -3,10 +3,13 @@
 A document is its weighted set of five-word shingles: weight = occurrences x idf, the idf from counts over all documents
 in a fixed number of hash buckets (so the table of counts has one size for any corpus). ICWS draws samples that agree
 between two sets with a chance of their weighted Jaccard similarity. Bands of samples are keys; texts with equal keys
-are candidates, linearly many: in every bucket each text meets the bucket's first one and its neighbours in a hashed
-order, another order in each band and round. Candidates are verified by the exact weighted Jaccard similarity, at
-first the best ones, further ones only between texts not yet in one class; rounds go on in a bucket while they bring
-links to its texts.
+are candidates. Rounds of linearly many candidates come first: in every bucket each text meets the bucket's first one and
+its neighbours, by node in the first round and in a hashed order, another one in each band and round, in the later ones;
+rounds go on in a bucket while they bring links to its texts. Buckets that are then still of several classes get an exact
+remainder: of two texts as similar as the threshold, the first shingle in common, the rarest ones counted first, lies in
+the early part of both, so texts are joined on the shingles of their early parts, and all pairs left by the bounds on
+weights and positions are compared. Candidates are verified by the exact weighted Jaccard similarity, at first the best
+ones, then all between texts not yet in one class.
 
 Equal texts are one text from the start. Classes are the connected components of links; the earliest document of a class
 (smallest doc_id, null last) stays. Texts of fewer than five words are one shingle, their words; texts without words
@@ -167,6 +170,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 NODE = "struct<t1:bigint,t2:bigint>"
+EPS = 1e-9  # of sums of weights
 
 
 def _candidates(members: DataFrame, sigs: DataFrame, s: Settings, turn: int) -> DataFrame:
@@ -175,7 +179,11 @@ def _candidates(members: DataFrame, sigs: DataFrame, s: Settings, turn: int) ->
     members = members.withColumn("o", F.xxhash64("node", "key", F.lit(turn))) if turn else members.withColumn("o", F.lit(0).cast("long"))
     near = members.select("node", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.collect_list("node").over(order.rowsBetween(-s.neighbours, -1)).alias("near"))
     pairs = near.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.concat("near", F.array("head")))).alias("y")).where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _estimated(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sigs, s)
+
+
+def _estimated(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, est) of the pairs whose samples do not tell that they are far below the threshold."""
     sig = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig{c}"))
     both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "siga", "sigb")
     # five standard deviations below the threshold
@@ -183,6 +191,59 @@ def _candidates(members: DataFrame, sigs: DataFrame, s: Settings, turn: int) ->
     return both.mapInArrow(_agreement, f"a {NODE}, b {NODE}, est double").where(F.col("est") >= least)
 
 
+def early(h: np.ndarray, w: np.ndarray, idf_of: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of (ascending hashes, weights): the hashes with at most ``share`` of the weight before them, by falling idf, and the weight from each one on."""
+    order = np.lexsort((h, -idf_of))
+    rest = np.cumsum(w[order][::-1])[::-1]
+    n = int(np.count_nonzero(rest >= (1 - share - EPS) * rest[0]))
+    return h[order[:n]], rest[:n]
+
+
+def _prefixes(texts: DataFrame, weights, s: Settings) -> DataFrame:
+    """(node, h, whole, rest) of (node, text): the shingles that can be the first in common with a similar text, in one order for all texts.
+
+    With similarity t the common weight is t / (1 + t) of both weights' sum at least, and none of it lies before the
+    first common shingle: before it is at most 1 - t of the heavier text and (1 - t) / (1 + t) of the lighter one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, idf_of = ByteHasher(), weights.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                hs, rests, n = [], [], []
+                for text in part.column(1).to_pylist():
+                    h, tf = shingles(hasher, text, s.words)
+                    each = idf_of[(h & U64(s.buckets - 1)).astype(np.int64)]
+                    h, rest = early(h, tf * each, each, 1 - s.similarity)
+                    hs.append(h)
+                    rests.append(rest)
+                    n.append(len(h))
+                at, rest = np.repeat(np.arange(len(n)), n), np.concatenate(rests)
+                whole = np.repeat([r[0] for r in rests], n)
+                nodes = part.column(0).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(signed(np.concatenate(hs))), pa.array(whole), pa.array(rest)], names=["node", "h", "whole", "rest"])
+
+    return texts.mapInArrow(run, f"node {NODE}, h long, whole double, rest double")
+
+
+def _remainder(open_: DataFrame, roots: DataFrame, texts: DataFrame, weights, s: Settings, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of the nodes of ``open_``, of different classes, that can reach the threshold."""
+    rows = _prefixes(texts.join(open_, "node", "left_semi"), weights, s).join(roots, "node")
+    rows = scratch.save(rows, "prefixes")
+    mixed = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    rows = scratch.save(rows.join(mixed, "h", "left_semi"), "prefixes-mixed")
+    scratch.drop("prefixes")
+    t = s.similarity
+    side = lambda c: rows.select("h", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "root", "whole", "rest")])
+    light = side("y").where(F.col("rest_y") >= (2 * t / (1 + t) - EPS) * F.col("whole_y"))
+    least = (t / (1 + t) - EPS) * (F.col("whole_x") + F.col("whole_y"))
+    fits = F.expr("whole_y < whole_x OR (whole_y = whole_x AND node_y < node_x)") & (F.least("rest_x", "rest_y") >= least)
+    fits &= (F.col("whole_y") >= (t - EPS) * F.col("whole_x")) & (F.col("root_x") != F.col("root_y"))
+    found = side("x").join(light, "h").where(fits)
+    return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFrame:
     """The (a, b) whose exact similarity reaches the threshold."""
 
@@ -232,16 +293,24 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     def root(c: str) -> DataFrame:
         return roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
 
-    for turn in range(s.rounds):
+    linked, fresh = True, None
+    for turn in range(s.rounds + 1):
+        last = turn == s.rounds
+        if not (linked or last):
+            continue
         open_ = members
         if turn:  # only buckets that are still of several classes, and larger than what one order compares
             mixed = members.join(roots, "node").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
             mixed = mixed.where(f"lo <> hi AND n > {s.neighbours + 1}").select("key")
-            # a bucket stays open while rounds bring links to its texts
-            alive = members.join(fresh, "node", "left_semi").select("key").distinct()
-            open_ = members.join(mixed.join(alive, "key", "left_semi"), "key", "left_semi")
-        pairs = _candidates(open_, sigs, s, turn)
-        if tried is not None:
+            if not last:  # a bucket stays open while rounds bring links to its texts
+                alive = members.join(fresh, "node", "left_semi").select("key").distinct()
+                mixed = mixed.join(alive, "key", "left_semi")
+            open_ = members.join(mixed, "key", "left_semi")
+        if last:
+            pairs = _estimated(_remainder(open_.select("node").distinct(), roots, texts, weights, s, scratch), sigs, s)
+        else:
+            pairs = _candidates(open_, sigs, s, turn)
+        if tried is not None and not last:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
@@ -263,8 +332,6 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
             ends = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             merged = components(ends, scratch, f"merge-{step}").select(F.col("node").alias("root"), F.col("root").alias("upper"))
             roots = scratch.save(roots.join(merged, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), f"roots-{step}")
-        if not linked:
-            break
     of_root = firsts.select(F.struct("t1", "t2").alias("node"), "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("class_first"))
     near = roots.join(of_root, "root").select("node.t1", "node.t2", "class_first")
     found = scratch.save(firsts.join(near, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("class_first", "first").alias("first")), "classes")

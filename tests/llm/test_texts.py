@@ -217,6 +217,33 @@ def test_near_copies(spark):
     assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == Counter(min(v) for v in want.values())
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Many texts on one template, near but below the threshold, with true near copies among them."""
+    rng = random.Random(9)
+    prose = lambda k: [f"w{rng.randint(0, 10**9)}" for _ in range(k)]
+    template, texts = prose(300), []
+    for _ in range(300):
+        texts.append(template + prose(rng.randint(7, 8)))
+    for i in range(0, 300, 10):
+        texts.append(texts[i][:-3] + prose(3))
+    rows = [(i, " ".join(t), *([None] * 6)) for i, t in enumerate(texts)]
+    s, hasher = near_dedup.Settings(), ByteHasher()
+    bags = [near_dedup.shingles(hasher, r[1], s.words) for r in rows]
+    at = lambda h: (h & np.uint64(s.buckets - 1)).astype(int)
+    counts = np.bincount(np.concatenate([at(h) for h, _ in bags]), minlength=s.buckets)
+    idf = near_dedup.idf(counts, len(rows))
+    weighted = [(h, c * idf[at(h)]) for h, c in bags]
+    first = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if first[i] != first[j] and near_dedup.weighted_jaccard(weighted[i], weighted[j]) >= s.similarity:
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    sizes = Counter(first)
+    assert len(sizes) > 200 and sum(n > 1 for n in sizes.values()) >= 20
+    assert {r.doc_id for r in near_dedup.one_of_each(frame(spark, rows)).collect()} == set(sizes)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = [f"{a}{b}um" for a in "bdfgk" for b in "aeiou"]
