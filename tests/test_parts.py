@@ -157,3 +157,24 @@ def test_stream(spark, tmp_path):
     q = streaming.name_violations(spark, f"file://{tmp_path}/in").writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.code for r in spark.table("found").collect()} == {"XmlError", "ValidityError"}
+
+
+def test_common_causes_of_large_groups(spark, tmp_path):
+    import duckdb
+
+    from riskweave import catalog
+
+    queries, sql = catalog.queries(), catalog.oracle_sql()
+
+    rows = [(i, 1) for i in range(60)] + [(100 + i, 2) for i in range(13)] + [(200, 3), (201, 3), (300, 4)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = {}
+    for name in ("ccf_all_levels", "ccf_all_combinations", "ccf_all_proxy_gates"):
+        got[name] = sorted(map(tuple, queries[name](spark, str(tmp_path)).collect()))
+        want = sorted(db.execute(sql[name]).fetchall())
+        assert [r[:-1] for r in got[name]] == [r[:-1] for r in want]
+        assert all(a[-1] == b[-1] or abs(a[-1] - b[-1]) < 1e-11 for a, b in zip(got[name], want, strict=True))
+    assert len(got["ccf_all_levels"]) == 3 * 2 + 3 * (60 + 13 + 2)
+    assert {int(r[0]) for r in got["ccf_all_proxy_gates"]} == {i for i, n in rows if n != 4}
