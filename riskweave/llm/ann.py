@@ -3,8 +3,8 @@
 Vectors are brought to equal length by one more coordinate, so that the largest inner product is the smallest distance.
 Centroids come from balanced k-means over a bounded sample. Every vector goes to the list of its nearest centroid and,
 when it lies near a boundary, to further lists whose centroids are hardly farther and not close to a list it is in.
-Centroids are searched by an in-memory graph; of the centroids found, a query visits those within a ratio of its
-nearest one. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
+Centroids are searched by an in-memory graph; a query visits all centroids found within a ratio of its
+nearest one, however many lists there are. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
 bounded number of vectors, so that no task holds more; a query visits all shards that have chunks of its lists. Each shard
 gives a query its best candidates, scored exactly, in double precision, component after component.
 
@@ -36,7 +36,7 @@ class Settings:
     boundary: float = 1.08  # a further list's distance against the nearest
     ratio: float = 1.25  # a visited list's distance against a query's nearest
     degree: int = 24  # neighbours of a centroid in the graph
-    beam: int = 96
+    beam: int = 96  # centroids kept in a search, at least; a query keeps all within the ratio
     chunk: int = 16_384  # vectors of a list in one shard, about
     shard: int = 32_768  # vectors that one task scores at once, about
     seed: int = 5
@@ -83,8 +83,8 @@ class CentroidGraph:
         c = self.c[which]
         return np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T)
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near one vector and their squared distances, nearest first."""
+    def search(self, x: np.ndarray, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids near one vector and their squared distances, nearest first: the beam's, and all found within ``ratio`` of the nearest."""
         seen = np.zeros(len(self.c), bool)
         seen[self.entries] = True
         found, far = self.entries, self._far(x[None], self.entries)[0]
@@ -97,7 +97,8 @@ class CentroidGraph:
             d = self._far(x[None], ring)[0] if len(ring) else far[:0]
             found, far = np.concatenate((found, ring)), np.concatenate((far, d))
             open_ = np.concatenate((np.zeros(len(open_), bool), np.ones(len(ring), bool)))
-            best = np.argsort(far, kind="stable")[: self.beam]
+            best = np.argsort(far, kind="stable")
+            best = best[: max(self.beam, np.searchsorted(far[best], ratio * ratio * far[best[0]], "right"))]
             found, far, open_ = found[best], far[best], open_[best]
         return found, far
 
@@ -203,7 +204,7 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
             scale = np.sqrt((graph.c * graph.c).sum(1)).mean() / np.sqrt((x * x).sum(1))
             take, where, lists = [], [], []
             for i, row in enumerate(np.column_stack([x * scale[:, None], np.zeros(len(x))])):
-                found, far = graph.search(row)
+                found, far = graph.search(row, s.ratio)
                 mine: dict[int, list[int]] = {}
                 for j in found[np.sqrt(far) <= s.ratio * np.sqrt(far[0])].tolist():
                     for p in set(shards.get(j, ())):

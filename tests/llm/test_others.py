@@ -103,6 +103,21 @@ def test_nearest(spark, n):
     assert ann.search(ann.build(empty, Scratch(spark, "t")), empty).count() == 0
 
 
+def test_nearest_visits_all_lists_in_the_ratio():
+    """Centroids without structure, many more within the ratio than the beam holds."""
+    s, rng, sizes = ann.Settings(), np.random.default_rng(4), []
+    c = rng.normal(size=(2000, 64))
+    graph = ann.CentroidGraph(c, s.degree, s.beam)
+    for x in rng.normal(size=(20, 64)):
+        d = np.sqrt(((c - x) ** 2).sum(1))
+        want = set(np.flatnonzero(d <= s.ratio * d.min()).tolist())
+        found, far = graph.search(x, s.ratio)
+        got = set(found[np.sqrt(far) <= s.ratio * np.sqrt(far[0])].tolist())
+        sizes.append(len(want))
+        assert len(got & want) >= 0.99 * len(want)
+    assert np.median(sizes) > s.beam
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)]
