@@ -9,8 +9,8 @@ Only lines that can have a partner emit their deletions: two lines within one wo
 (N - 1) / 2 words, N being the longer one's length, so lines whose both halves are unique are left out without loss.
 
 A line goes if any earlier line is within the bound, removed itself or not. Earlier: smaller doc_id (null last), then
-line number; rows with one doc_id go by their content. Lines of fewer than ``min_words`` words always stay, lines of fewer than
-``near_words`` go only as exact copies. Null texts have no lines. Rows that are equal in id and text share one fate:
+line number; rows with one doc_id go by their content. Lines without words always stay, lines of fewer than ``NEAR_WORDS``
+words, of which one edit changes more than a quarter, go only as exact copies. Null texts have no lines. Rows that are equal in id and text share one fate:
 among themselves they are one document. Empty tables give empty tables.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import U64, ByteHasher, Scratch, as_bytes, mix64, row_keys, signed, table, word_bounds
 
 EDITS = 1
-MIN_WORDS, NEAR_WORDS = 4, 8
+MIN_WORDS, NEAR_WORDS = 1, 4
 _BASE = 0xD1342543DE82EF95 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -68,7 +68,7 @@ def _line_words(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of enough words: hash, length and the four hashed halves by which a partner can be found."""
+    """Lines with words: hash, length and the four hashed halves by which a partner can be found."""
     one, two = LineHasher(11), LineHasher(12)
     names = ["k1", "k2", "doc_id", "line", "n", "h1", "h2", "halves"]
     for batch in batches:

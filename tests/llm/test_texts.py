@@ -131,6 +131,13 @@ def test_lines(spark):
     assert sum((r.text or "").count("\n") for r in kept.collect()) < sum((r[1] or "").count("\n") for r in rows)
 
 
+def test_short_lines(spark):
+    """Exact copies of lines of any length go; near copies from four words on, also of a shorter earlier line."""
+    texts = ["日本語\none two\na b c d e\na b c d e f g", "日本語\none two\n \na b x d e\na b c d e f g h\none three"]
+    docs = frame(spark, [(i, t, *([None] * 6)) for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text for r in line_dedup.without_lines(docs).collect()} == {0: texts[0], 1: " \none three"}
+
+
 @pytest.mark.parametrize("hot", [10_000, 2])
 def test_substrings(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
