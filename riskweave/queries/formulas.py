@@ -188,3 +188,16 @@ def cutset_expand(spark, sf_dir):
     ors = rows.select(F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("k") == 0, "a").otherwise("b")).alias("gate"), F.lit("or").alias("connective"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), F.lit(False).alias("is_gate"))
     cuts = quantify.cut_sets(top.select(F.col("root").alias("gate")), ands.unionByName(ors), limit_order=20, absorb=False)
     return cuts.select(F.col("root").cast("long").alias("root"), F.element_at("cut", 1).cast("long").alias("first"), F.element_at("cut", -1).cast("long").alias("second"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 2 AS k FROM lineitem), n AS (SELECT o, count(DISTINCT k) AS ks FROM s GROUP BY o),
+c AS (SELECT DISTINCT a.o, least(a.p, b.p) AS first, greatest(a.p, b.p) AS second FROM s a JOIN s b ON a.o = b.o AND a.k = 0 AND b.k = 1 UNION SELECT s.o, p, p FROM s JOIN n USING (o) WHERE ks = 1)
+SELECT o AS root, first, second FROM c WHERE first = second OR NOT EXISTS (SELECT 1 FROM c d WHERE d.o = c.o AND d.first = d.second AND (d.first = c.first OR d.first = c.second))""")
+def cutset_minimal(spark, sf_dir):
+    """Each order is an AND of an OR for each class of suppliers that it has, over its parts: all line items, the minimal cut sets."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("root"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), (F.col("l_suppkey") % 2).cast("string").alias("k")).distinct()
+    side = F.concat_ws("-", "root", "k")
+    ands = rows.select(F.col("root").alias("gate"), F.lit("and").alias("connective"), side.alias("arg"), F.lit(True).alias("is_gate")).distinct()
+    ors = rows.select(side.alias("gate"), F.lit("or").alias("connective"), "arg", F.lit(False).alias("is_gate"))
+    cuts = quantify.cut_sets(rows.select(F.col("root").alias("gate")).distinct(), ands.unionByName(ors), limit_order=20)
+    return cuts.select(F.col("root").cast("long").alias("root"), F.element_at("cut", 1).cast("long").alias("first"), F.element_at("cut", -1).cast("long").alias("second"))

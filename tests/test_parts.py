@@ -178,3 +178,12 @@ def test_common_causes_of_large_groups(spark, tmp_path):
         assert all(a[-1] == b[-1] or abs(a[-1] - b[-1]) < 1e-11 for a, b in zip(got[name], want, strict=True))
     assert len(got["ccf_all_levels"]) == 3 * 2 + 3 * (60 + 13 + 2)
     assert {int(r[0]) for r in got["ccf_all_proxy_gates"]} == {i for i, n in rows if n != 4}
+
+
+def test_minimal_cut_sets_of_orders(spark, tmp_path):
+    from riskweave import catalog
+
+    rows = [(1, 10, 2), (1, 11, 3), (1, 10, 5), (1, 12, 4), (2, 7, 3), (2, 8, 5), (3, 1, 2), (3, 2, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = set(map(tuple, catalog.queries()["cutset_minimal"](spark, str(tmp_path)).collect()))
+    assert got == {(1, 10, 10), (1, 11, 12), (2, 7, 7), (2, 8, 8), (3, 1, 2)}
