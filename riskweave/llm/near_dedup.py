@@ -3,9 +3,9 @@
 A document is its weighted set of five-word shingles: weight = occurrences x idf, the idf from counts over all documents
 in a fixed number of hash buckets (so the table of counts has one size for any corpus). ICWS draws samples that agree
 between two sets with a chance of their weighted Jaccard similarity. Bands of samples are keys; texts with equal keys
-are candidates. Rounds of linearly many candidates come first: in every bucket each text meets the bucket's first one and
-its neighbours, by node in the first round and in a hashed order, another one in each band and round, in the later ones;
-rounds go on in a bucket while they bring links to its texts. Buckets that are then still of several classes get an exact
+are candidates. Rounds of linearly many candidates come first: in every bucket that holds several classes each text of
+another class than the bucket's head meets that head, the first text in an order of the round. Buckets that are then still of several
+classes get an exact
 remainder: of two texts as similar as the threshold, the first shingle in common, the rarest ones counted first, lies in
 the early part of both, so texts are joined on the shingles of their early parts, and all pairs left by the bounds on
 weights and positions are compared. Candidates are verified by the exact weighted Jaccard similarity, at first the best
@@ -39,8 +39,7 @@ class Settings:
     bands: int = 16
     rows: int = 3
     buckets: int = 1 << 18  # of the idf table
-    neighbours: int = 3  # in a bucket's order, another one in each round
-    rounds: int = 4
+    rounds: int = 2  # of heads, before the exact remainder
     seed: int = 3
 
     @property
@@ -173,13 +172,16 @@ NODE = "struct<t1:bigint,t2:bigint>"
 EPS = 1e-9  # of sums of weights
 
 
-def _candidates(members: DataFrame, sigs: DataFrame, s: Settings, turn: int) -> DataFrame:
-    """(a, b, est) from (key, node): a bucket's first text and the neighbours before it, in an order of this round."""
-    order = Window.partitionBy("key").orderBy("o", "node")
-    members = members.withColumn("o", F.xxhash64("node", "key", F.lit(turn))) if turn else members.withColumn("o", F.lit(0).cast("long"))
-    near = members.select("node", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.collect_list("node").over(order.rowsBetween(-s.neighbours, -1)).alias("near"))
-    pairs = near.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.concat("near", F.array("head")))).alias("y")).where("x <> y")
-    return _estimated(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sigs, s)
+def _candidates(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(a, b) from (key, node): in every bucket of several classes, each text of another class than the bucket's head and that head.
+
+    The head is the first one in an order of this round that is the same for all buckets, so buckets that hold the same
+    texts have one head. Heads come from a partial aggregation, and the join with them can be split: no bucket is one task.
+    """
+    rows = members.join(roots, "node").withColumn("o", F.xxhash64("node", F.lit(turn)))
+    heads = rows.groupBy("key").agg(F.min(F.struct("o", "node", "root")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    apart = rows.join(heads.select("key", "head"), "key").where("root <> head.root").select("node", F.col("head.node").alias("other"))
+    return apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
@@ -293,28 +295,22 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     def root(c: str) -> DataFrame:
         return roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
 
-    linked, fresh = True, None
+    linked = True
     for turn in range(s.rounds + 1):
         last = turn == s.rounds
-        if not (linked or last):
+        if not (linked or last):  # further heads are of no use: the rest is for the exact remainder
             continue
-        open_ = members
-        if turn:  # only buckets that are still of several classes, and larger than what one order compares
-            mixed = members.join(roots, "node").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-            mixed = mixed.where(f"lo <> hi AND n > {s.neighbours + 1}").select("key")
-            if not last:  # a bucket stays open while rounds bring links to its texts
-                alive = members.join(fresh, "node", "left_semi").select("key").distinct()
-                mixed = mixed.join(alive, "key", "left_semi")
-            open_ = members.join(mixed, "key", "left_semi")
         if last:
-            pairs = _estimated(_remainder(open_.select("node").distinct(), roots, texts, weights, s, scratch), sigs, s)
+            mixed = members.join(roots, "node").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            open_ = members.join(mixed, "key", "left_semi").select("node").distinct()
+            pairs = _remainder(open_, roots, texts, weights, s, scratch)
         else:
-            pairs = _candidates(open_, sigs, s, turn)
-        if tried is not None and not last:
+            pairs = _candidates(members, roots, turn)
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
+        pairs = scratch.save(_estimated(pairs, sigs, s), f"pairs-{turn}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        linked, found, fresh = False, None, None
+        linked, found = False, None
         for wide in (False, True):  # each text's best candidate in another class first, then all that still join two classes
             step += 1
             apart = pairs.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select("a", "b", "est")
@@ -327,8 +323,6 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
             if found.isEmpty():
                 continue
             linked = True
-            ends_of = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            fresh = ends_of if fresh is None else fresh.unionByName(ends_of)
             ends = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             merged = components(ends, scratch, f"merge-{step}").select(F.col("node").alias("root"), F.col("root").alias("upper"))
             roots = scratch.save(roots.join(merged, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), f"roots-{step}")
@@ -336,7 +330,6 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     near = roots.join(of_root, "root").select("node.t1", "node.t2", "class_first")
     found = scratch.save(firsts.join(near, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("class_first", "first").alias("first")), "classes")
     scratch.keep("classes")
-    scratch.tidy()
     return found
 
 
