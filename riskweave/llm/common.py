@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +24,14 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a folder of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one of our own, if driver and executors are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jfolder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jfolder.get() if jfolder.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         folder = f"file://{tempfile.mkdtemp(prefix='riskweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -42,6 +44,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """A query run in here has its shuffle files deleted when it ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Scratch:
     """Tables written to the shared folder, so that later jobs neither recompute them nor depend on one executor."""
 
@@ -54,7 +68,8 @@ class Scratch:
     def save(self, df: DataFrame, table: str) -> DataFrame:
         self.tables.append(table)
         path = f"{self.root}/{table}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with _shuffles_deleted(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: str) -> None:
@@ -68,11 +83,6 @@ class Scratch:
             self.drop(table)
         self.tables = [t for t in self.tables if t in tables]
 
-    def tidy(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs now, rather than at some later garbage collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,17 +1,20 @@
 """Line dedup: lines equal to, or within one word edit of, an earlier line are removed.
 
 Equal lines are found by a 128-bit hash. Near ones by a deletion neighbourhood: a line emits a hashed key for itself and
-for every deletion of ``EDITS`` = 1 word. Lines of one length that agree without their i-th word differ in one word; a
-line that equals another without some word lacks one. The earliest line of each key meets the others in a join, the
-edit distance of each such pair is verified on the words, and the earlier line stays.
+for every deletion of a word. Lines of one length that agree without their i-th word differ in one word; a line that
+equals another without some word lacks one. The earliest line of each key meets the others in a join, the edit distance
+of each such pair is verified on the words, and the earlier line stays.
+
+The edit bound is one word in ``WORDS_AN_EDIT`` of the shorter line, one at most: a line of fewer words has a bound of 0 and goes as an
+exact copy only (with a bound of 1, any line of one word would be near any other).
 
 Only lines that can have a partner emit their deletions: two lines within one word edit share their first or their last
 (N - 1) / 2 words, N being the longer one's length, so lines whose both halves are unique are left out without loss.
 
-A line goes if any earlier line is within the bound, removed itself or not. Earlier: smaller doc_id (null last), then
-line number; rows with one doc_id go by their content. Lines without words always stay, lines of fewer than ``NEAR_WORDS``
-words, of which one edit changes more than a quarter, go only as exact copies. Null texts have no lines. Rows that are equal in id and text share one fate:
-among themselves they are one document. Empty tables give empty tables.
+Every line has a number that follows the order of the corpus: smaller doc_id (null last), then line number; rows with
+one doc_id go by their content. A line goes if any earlier line is within the bound, removed itself or not. Lines
+without words always stay. Null texts have no lines. Rows that are equal in id and text share one fate: among
+themselves they are one document. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, ByteHasher, Scratch, as_bytes, mix64, row_keys, signed, table, word_bounds
 
-EDITS = 1
-MIN_WORDS, NEAR_WORDS = 1, 4
+WORDS_AN_EDIT = 4
+#: Lines in one sorted partition, at most: numbers of lines rise from partition to partition by this step.
+STEP = 1 << 43
 _BASE = 0xD1342543DE82EF95 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -68,64 +73,68 @@ def _line_words(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with words: hash, length and the four hashed halves by which a partner can be found."""
-    one, two = LineHasher(11), LineHasher(12)
-    names = ["k1", "k2", "doc_id", "line", "n", "h1", "h2", "halves"]
+    """For each text, its lines with words: number, hash and the four hashed halves by which a partner can be found (0: none)."""
+    hasher = LineHasher(11)
+    names = ["k1", "k2", "doc_id", "n_lines", "lines"]
+    parts = ["line", "h1", "h2", "a", "b", "c", "d"]
     for batch in batches:
-        out: list[list[np.ndarray]] = []
-        row: list[np.ndarray] = []
-        for i, text in enumerate(batch.column(3).to_pylist()):
+        cols: list[list[np.ndarray]] = [[] for _ in parts]
+        ends, n_lines = [0], []
+        for text in batch.column(3).to_pylist():
             data = np.frombuffer(as_bytes(text), np.uint8)
             start, end = word_bounds(data)
             first, last = _line_words(data, start)
-            keep = np.flatnonzero(last - first >= MIN_WORDS)
-            if not len(keep):
-                continue
+            keep = np.flatnonzero(last > first)
             a, b = first[keep], last[keep]
             n = b - a
-            s1 = one.prefix(one.words(data, start, end))
-            s2 = two.prefix(two.words(data, start, end))
-            halves = []
+            words = hasher.words(data, start, end)
+            s1, s2 = hasher.prefix(words), hasher.prefix(mix64(words + U64(12)))
+            found = [keep.astype(np.int32), signed(mix64(hasher.range(s1, a, b) + n.astype(U64))), signed(mix64(hasher.range(s2, a, b) + n.astype(U64)))]
             for longer in (n, n + 1):  # a partner is as long or shorter; or it is the longer one
                 part = longer // 2  # ceil((longer - 1) / 2)
                 tag = longer.astype(U64) << U64(2)
-                halves += [mix64(mix64(one.range(s1, a, a + part)) + tag), mix64(mix64(one.range(s1, b - part, b)) + tag + U64(1))]
-            out.append([keep, n, signed(mix64(one.range(s1, a, b) + n.astype(U64))), signed(mix64(two.range(s2, a, b) + n.astype(U64))), signed(np.stack(halves, 1)).reshape(-1)])
-            row.append(np.full(len(keep), i))
-        if out:
-            at = np.concatenate(row)
-            cols = [np.concatenate([o[j] for o in out]) for j in range(5)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(at) + 1, 4), pa.int32()), pa.array(cols[4]))
-            doc = pa.RecordBatch.from_arrays(batch.columns[:3], names=names[:3]).take(pa.array(at))  # not the texts
-            values = [doc.column(0), doc.column(1), doc.column(2), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), lists]
-            yield pa.RecordBatch.from_arrays(values, names=names)
+                for half in (mix64(mix64(hasher.range(s1, a, a + part)) + tag), mix64(mix64(hasher.range(s1, b - part, b)) + tag + U64(1))):
+                    found.append(signed(np.where(n >= WORDS_AN_EDIT, np.maximum(half, U64(1)), U64(0))))
+            for col, x in zip(cols, found, strict=True):
+                col.append(x)
+            ends.append(ends[-1] + len(keep))
+            n_lines.append(len(first))
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], parts)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_lines, pa.int64()), lists], names=names)
+
+
+def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, base) of a sorted partition's (k1, k2, n_lines): the number of a document's first line."""
+    base = TaskContext.get().partitionId() * STEP
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        ends = base + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ends - n)], names=["k1", "k2", "base"])
+        base = int(ends[-1]) if len(n) else base
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, key, whole): the keys of the asked lines of each text: itself (whole) and every deletion of one word.
+    """(key, kind, gid) of lines (gid, body): the keys of a line itself (1) and of every deletion of one word (2, 3).
 
-    The same-length key of a deletion holds its place and the line's length; the shorter-line key does not.
+    The same-length key of a deletion (3) holds its place and the line's length; the shorter-line key (2) does not.
     """
     hasher = LineHasher(13)
     for batch in batches:
-        for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = np.frombuffer(as_bytes(text), np.uint8)
-            start, end = word_bounds(data)
-            first, last = _line_words(data, start)
-            s = hasher.prefix(hasher.words(data, start, end))
-            for line in asked:
-                a, b = int(first[line["line"]]), int(last[line["line"]])
-                n, at = b - a, np.arange(a, b)
-                head = s[at] - s[a]
-                tail = (s[b] - s[at + 1]) * U64(_INVERSE)
-                cut = mix64((head + tail) * hasher.down[a] + U64(n - 1))
-                whole = mix64((s[b : b + 1] - s[a : a + 1]) * hasher.down[a] + U64(n))
-                place = mix64(cut + (U64(n) << U64(32)) + (at - a + 1).astype(U64))
-                cut = np.unique(cut)  # the same word twice in a row
-                keys = np.concatenate((whole, cut, place))
-                kind = np.concatenate(([1], np.full(len(cut), 2), np.full(n, 3))).astype(np.int32)
-                ids = [pa.array(np.full(len(keys), line[c], np.int64)) for c in ("h1", "h2")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(signed(keys)), pa.array(kind)], names=["h1", "h2", "key", "kind"])
+        gids, keys, kinds = [], [], []
+        for gid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = np.frombuffer(as_bytes(body), np.uint8)
+            s = hasher.prefix(hasher.words(data, *word_bounds(data)))
+            n = len(s) - 1
+            at = np.arange(n)
+            cut = mix64(s[:-1] + (s[n] - s[1:]) * U64(_INVERSE) + U64(n - 1))
+            place = mix64(cut + (U64(n) << U64(32)) + (at + 1).astype(U64))
+            cut = np.unique(cut)  # the same word twice in a row
+            keys += [mix64(s[n:] + U64(n)), cut, place]
+            kinds.append(np.repeat(np.array([1, 2, 3], np.int8), (1, len(cut), n)))
+            gids.append(np.full(1 + len(cut) + n, gid, np.int64))
+        if gids:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(gids))], names=["key", "kind", "gid"])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -138,48 +147,54 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, e) of (gid, e, body, other) within the bound."""
+    for batch in batches:
+        keep = [within_one(as_bytes(x).split(), as_bytes(y).split()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["gid", "e"]).filter(pa.array(keep, pa.bool_()))
+
+
 def find(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, removed): for every document with lines to remove, by its row key, their numbers (from 0)."""
     rows = docs.select(*row_keys(F.col(key), F.col(text)), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = rows.mapInArrow(_lines, "k1 long, k2 long, doc_id long, line int, n int, h1 long, h2 long, halves array<long>")
-    lines = scratch.save(lines, "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    distinct = scratch.save(distinct, "distinct")
-    scratch.tidy()
-
-    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    maybe = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    maybe = scratch.save(distinct.select("h1", "h2", "first").join(maybe, ["h1", "h2"], "left_semi"), "maybe")
-    scratch.tidy()
-
-    asked = maybe.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("asked"))
-    texts = rows.select("k1", "k2", "text").join(asked, ["k1", "k2"])  # a repeated row emits its lines again, to the same end
-    texts = scratch.save(texts.select("asked", F.expr("filter(transform(split(text, '\n'), (x, i) -> struct(i AS line, x AS words)), x -> exists(asked, y -> y.line = x.line))").alias("bodies"), "text"), "texts")
-    scratch.tidy()
-    variants = texts.select("text", "asked").mapInArrow(_variants, "h1 long, h2 long, key long, kind int").distinct()
-    variants = variants.join(maybe, ["h1", "h2"])
-    whole, cut, same = (F.when(F.col("kind") == k, F.struct("first", "h1", "h2")) for k in (1, 2, 3))
-    least = variants.groupBy("key").agg(F.min(whole).alias("whole"), F.min(cut).alias("cut"), F.min(same).alias("same"), F.count("*").alias("n")).where("n > 1")
-    met = variants.select("h1", "h2", "first", "key", "kind").join(least, "key")
+    kinds = ", ".join(f"{c}: bigint" for c in ("h1", "h2", "a", "b", "c", "d"))
+    scanned = rows.mapInArrow(_lines, f"k1 long, k2 long, doc_id long, n_lines long, lines array<struct<line: int, {kinds}>>")
+    scanned = scratch.save(scanned.where(F.size("lines") > 0), "scanned")
+    order = scanned.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("n_lines").alias("n_lines"))
+    order = order.orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2").select("k1", "k2", "n_lines")
+    order = scratch.save(order.mapInArrow(_bases, "k1 long, k2 long, base long"), "order")
+    lines = scanned.join(order, ["k1", "k2"]).select("base", F.explode("lines").alias("l")).select("base", "l.*")
+    lines = scratch.save(lines.withColumn("gid", F.col("base") + F.col("line")).drop("line"), "lines")
+    scratch.drop("scanned")
+    firsts = lines.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("gid", "base", "a", "b", "c", "d")], F.max("gid").alias("last"))
+    firsts = scratch.save(firsts, "firsts")
+
+    halves = firsts.select("gid", "base", F.explode(F.array("a", "b", "c", "d")).alias("half")).where("half <> 0")
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    maybe = scratch.save(halves.join(shared, "half", "left_semi").select("gid", "base").distinct(), "maybe")
+
+    asked = maybe.groupBy("base").agg(F.collect_list("gid").alias("gids")).join(order, "base")  # of one document
+    texts = rows.select("k1", "k2", F.split("text", "\n").alias("parts")).join(asked, ["k1", "k2"])  # a repeated row gives its lines again, to the same end
+    bodies = texts.select("parts", "base", F.explode("gids").alias("gid")).select("gid", F.expr("parts[int(gid - base)]").alias("body"))
+    bodies = scratch.save(bodies.dropDuplicates(["gid"]), "bodies")
+    scratch.drop("maybe")
+    variants = scratch.save(bodies.mapInArrow(_variants, "key long, kind byte, gid long"), "variants")
+    whole, cut, same = (F.min(F.when(F.col("kind") == k, F.col("gid"))).alias(c) for k, c in ((1, "whole"), (2, "cut"), (3, "same")))
+    least = variants.groupBy("key").agg(whole, cut, same, F.count("*").alias("n")).where("n > 1").drop("n")
     earliest = F.when(F.col("kind") == 1, F.col("cut")).when(F.col("kind") == 2, F.col("whole")).otherwise(F.col("same"))
-    pairs = met.select("h1", "h2", "first", earliest.alias("e")).where("e.first < first").select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
-
-    body = texts.select(F.explode("asked").alias("a"), "bodies").select("a.h1", "a.h2", F.expr("filter(bodies, x -> x.line = a.line)[0].words").alias("words")).dropDuplicates(["h1", "h2"])
-    other = body.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
-    verify = F.udf(lambda a, b: within_one(a.encode().split(), b.encode().split()), "boolean")
+    pairs = variants.join(least, "key").select("gid", earliest.alias("e")).where("e < gid").distinct()
     pairs = scratch.save(pairs, "pairs")
-    scratch.tidy()
-    near = pairs.join(body, ["h1", "h2"]).join(other, ["e1", "e2"]).where(verify("words", "other")).select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    near = scratch.save(near, "near")
-    scratch.drop("texts")
-    scratch.tidy()
-    decided = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    gone = lines.join(decided, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("first") < place))
-    removed = scratch.save(gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    scratch.drop("variants")
+
+    other = bodies.select(F.col("gid").alias("e"), F.col("body").alias("other"))
+    near = pairs.join(bodies, "gid").join(other, "e").select("gid", "e", "body", "other").mapInArrow(_verified, "gid long, e long")
+    near = scratch.save(near.select("gid").distinct().withColumn("near", F.lit(True)), "near")
+    scratch.drop("bodies")
+    decided = firsts.select("h1", "h2", "gid", "last").join(near, "gid", "left").where("near OR gid < last").select("h1", "h2", F.when(~F.coalesce("near", F.lit(False)), F.col("gid")).alias("stays"))
+    gone = lines.select("h1", "h2", "base", "gid").join(decided, ["h1", "h2"]).where("stays IS NULL OR stays < gid")
+    gone = gone.groupBy("base").agg(F.sort_array(F.collect_set((F.col("gid") - F.col("base")).cast("int"))).alias("removed"))
+    removed = scratch.save(gone.join(order, "base").select("k1", "k2", "removed"), "removed")
     scratch.keep("removed")
-    scratch.tidy()
     return removed
 
 

@@ -69,7 +69,6 @@ def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callabl
     cand = each.join(again, "m").groupBy("t1").agg(F.collect_set(F.struct("m", "n")).alias("shared"))
     cand = scratch.save(cand, "cand")
     scratch.drop("mins")
-    scratch.tidy()
 
     whole = scratch.save(rows.select(*k, *t, "id", *[c.alias(n) for n, c in extra.items()]), "rows")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")
@@ -85,5 +84,4 @@ def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callabl
     texts = rows.select(*k, "text").join(heads, ["k1", "k2"]).withColumn("copy", once).where("copy = 1")
     texts = scratch.save(texts.select("ord", "text", "shared"), "texts")
     scratch.drop("cand")
-    scratch.tidy()
     return Places(whole, texts)

@@ -128,7 +128,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     places = shared_places(docs, scratch, _grams, k - GRAM + 1, key, text, extra)
     spans = compact(edges(places.texts, k), scratch, k)
     scratch.drop("met")
-    scratch.tidy()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -245,7 +245,6 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     hits = scratch.save(hits, "hits")
     scratch.drop("pieces")
     scratch.drop("distinct")
-    scratch.tidy()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))

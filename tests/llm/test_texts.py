@@ -97,8 +97,8 @@ def brute_lines(rows):
     for last, i, text in order:
         for j, line in enumerate(text.split("\n")):
             w = line.encode().split()
-            if len(w) >= line_dedup.MIN_WORDS:
-                if any(w == x or (min(len(w), len(x)) >= line_dedup.NEAR_WORDS and line_dedup.within_one(w, x)) for x in earlier):
+            if w:
+                if any(w == x or (min(len(w), len(x)) >= line_dedup.WORDS_AN_EDIT and line_dedup.within_one(w, x)) for x in earlier):
                     gone.add((None if last else i, text, j))
                 earlier.append(w)
     return gone
