@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,29 @@ def row_keys(*cols: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2")]
 
 
+#: Numbers in one sorted partition, at most: they rise from partition to partition by this step.
+STEP = 1 << 43
+
+
+def numbered(df: DataFrame, order: list[Column], size: Column, *keep: str) -> DataFrame:
+    """Columns ``keep`` and ``base``: in the order of the rows, the number of each row's first part if it has ``size`` parts.
+
+    Numbers rise in that order, with gaps between partitions of the sort. The result must be written before it is used twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() * STEP
+        for batch in batches:
+            ends = base + np.cumsum(batch.column(len(keep)).to_numpy())
+            firsts = np.concatenate(([base], ends[:-1])) if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(firsts.astype(np.int64))], names=[*keep, "base"])
+            base = int(ends[-1]) if len(ends) else base
+
+    rows = df.orderBy(*order).select(*keep, size.cast("long").alias("size"))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", base long")
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> U64(32))

@@ -23,15 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, ByteHasher, Scratch, as_bytes, mix64, row_keys, signed, table, word_bounds
+from .common import U64, ByteHasher, Scratch, as_bytes, mix64, numbered, row_keys, signed, table, word_bounds
 
 WORDS_AN_EDIT = 4
-#: Lines in one sorted partition, at most: numbers of lines rise from partition to partition by this step.
-STEP = 1 << 43
 _BASE = 0xD1342543DE82EF95 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -104,16 +101,6 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_lines, pa.int64()), lists], names=names)
 
 
-def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, base) of a sorted partition's (k1, k2, n_lines): the number of a document's first line."""
-    base = TaskContext.get().partitionId() * STEP
-    for batch in batches:
-        n = batch.column(2).to_numpy()
-        ends = base + np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ends - n)], names=["k1", "k2", "base"])
-        base = int(ends[-1]) if len(n) else base
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, kind, gid) of lines (gid, body): the keys of a line itself (1) and of every deletion of one word (2, 3).
 
@@ -161,8 +148,7 @@ def find(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     scanned = rows.mapInArrow(_lines, f"k1 long, k2 long, doc_id long, n_lines long, lines array<struct<line: int, {kinds}>>")
     scanned = scratch.save(scanned.where(F.size("lines") > 0), "scanned")
     order = scanned.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("n_lines").alias("n_lines"))
-    order = order.orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2").select("k1", "k2", "n_lines")
-    order = scratch.save(order.mapInArrow(_bases, "k1 long, k2 long, base long"), "order")
+    order = scratch.save(numbered(order, [F.col("doc_id").asc_nulls_last(), "k1", "k2"], F.col("n_lines"), "k1", "k2"), "order")
     lines = scanned.join(order, ["k1", "k2"]).select("base", F.explode("lines").alias("l")).select("base", "l.*")
     lines = scratch.save(lines.withColumn("gid", F.col("base") + F.col("line")).drop("line"), "lines")
     scratch.drop("scanned")

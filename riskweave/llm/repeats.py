@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, row_keys, signed, sliding_min
+from .common import U64, Scratch, mix64, numbered, row_keys, signed, sliding_min
 
 
 def minimisers(grams: np.ndarray, w: int) -> np.ndarray:
@@ -40,15 +40,16 @@ def listed(grams: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Places:
-    """``rows``: k1, k2, id, t1, t2, ord for every input row, ord being the place of its text's first row in the order of
-    ids; ``first``: whether the row is that first one; ``texts``: ord, text, shared (minimiser, count) of first rows that have any."""
+    """``rows``: k1, k2, id, t1, t2, ord for every input row, ord being the number of its text's first word or byte in the
+    order of ids; ``first``: whether the row is that first one; ``texts``: ord, text, shared (minimiser, count) of first rows that have any."""
 
     rows: DataFrame
     texts: DataFrame
 
 
-def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callable], w: int, key: str, text: str, extra: dict) -> Places:
-    """``grams()`` makes, in a worker, the function from a text to its gram hashes; ``extra``: further columns of rows, by name."""
+def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callable], w: int, key: str, text: str, extra: dict, size: str) -> Places:
+    """``grams()`` makes, in a worker, the function from a text to its gram hashes; ``extra``: further columns of rows, by
+    name; ``size``: the one that has the number of words or bytes."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     k, t = row_keys(F.col("id"), F.col("text")), [c.alias(n) for c, n in zip(row_keys(F.col("text")), ("t1", "t2"), strict=True)]
 
@@ -72,9 +73,9 @@ def shared_places(docs: DataFrame, scratch: Scratch, grams: Callable[[], Callabl
 
     whole = scratch.save(rows.select(*k, *t, "id", *[c.alias(n) for n, c in extra.items()]), "rows")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")
-    first = whole.groupBy("t1", "t2").agg(F.min(place).alias("p"))
-    # ids rise through the sorted partitions; written at once, so that they are drawn once
-    first = scratch.save(first.orderBy("p").select("t1", "t2", "p", F.monotonically_increasing_id().alias("ord")), "first")
+    first = whole.groupBy("t1", "t2").agg(F.min(place).alias("p"), F.max(size).alias("size"))
+    # one number more than parts, so that no two texts begin at the same one
+    first = scratch.save(numbered(first, ["p"], F.col("size") + 1, "t1", "t2", "p").withColumnRenamed("base", "ord"), "first")
     whole = whole.join(first, ["t1", "t2"])
     whole = whole.withColumn("first", F.col("id").eqNullSafe(F.col("p.id")))
     whole = scratch.save(whole.drop("p"), "placed")

@@ -240,7 +240,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     text of several rows that is long enough goes whole.
     """
     extra = {"n_bytes": F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long"), "whole": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
-    places = shared_places(docs, scratch, _grams, LENGTH - GRAM + 1, key, text, extra)
+    places = shared_places(docs, scratch, _grams, LENGTH - GRAM + 1, key, text, extra, "n_bytes")
     hits = repeated_runs(pieces(places.texts), scratch).groupBy("ord").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     hits = scratch.save(hits, "hits")
     scratch.drop("pieces")

@@ -138,9 +138,7 @@ def test_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_lines(docs).collect()} == {0: texts[0], 1: " \none three"}
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-def test_substrings(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+def test_substrings(spark):
     rows = [r for r in corpus(6) if r[0] is not None]
     places, changed = substring_dedup.repeated_spans(frame(spark, rows), Scratch(spark, "t"))
     got = {}
@@ -160,6 +158,22 @@ def test_substrings(spark, monkeypatch, hot):
     assert got == want
 
 
+def test_substring_paths(spark):
+    """Spans run along their source, on paths that go on across documents; a collision of all hashes removes nothing wrong."""
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:40]), " ".join(words[21:]), " ".join(words), "other " * 30, " ".join(words) + " end"]
+    docs = frame(spark, [(i, t, *([None] * 6)) for i, t in enumerate(texts)] + [(None, texts[0] + " x", *([None] * 6))])
+    _, changed = substring_dedup.repeated_spans(docs, Scratch(spark, "t"))
+    got = {r.kept: (r.n_removed, r.spans) for r in changed.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"": 90, "other": 29, "end": 90, "x": 40}
+    spans = got["end"][1]
+    assert len({s.path for s in spans}) == 1 and [s.path_start for s in spans] == [s.start for s in spans] and len({s.source for s in spans}) == 2
+    places, changed = substring_dedup.repeated_spans(docs, Scratch(spark, "t"), bits=0)
+    true = {0: 0, 1: 0, 2: 90, 3: 29, 4: 90, None: 40}
+    for r in places.rows.join(changed, "ord").collect():
+        assert r.n_removed <= true[r.id]
+
+
 @pytest.mark.parametrize("bucket", [500, 1])
 def test_suffixes(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
