@@ -89,16 +89,18 @@ def edges(texts: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
 def chains(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(head, path, off) of (head, before, n): for every head that follows another one, the first head of its path and how far on it is.
 
-    Pointers double until none moves. A path that closes on itself has no first head: its heads stay on their own.
+    Pointers double; on a path with a first head fewer of them move in every round. A path that closes on itself has no
+    first head, its pointers move for ever: once as many move as in the round before, its heads are left on their own.
     """
     held = scratch.save(links.select("head", F.col("before").alias("path"), F.col("n").alias("off")), "chains-0")
-    for turn in range(1, held.count().bit_length() + 1):
+    turn, before, moving = 0, -1, held.count()
+    while moving not in (0, before):
+        turn += 1
         up = held.select(F.col("head").alias("path"), F.col("path").alias("upper"), F.col("off").alias("more"))
         joined = held.join(up, "path", "left").select("head", F.coalesce("upper", "path").alias("path"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("upper").isNotNull().alias("moved"))
         held = scratch.save(joined, f"chains-{turn}")
         scratch.drop(f"chains-{turn - 1}")
-        if held.where("moved").isEmpty():
-            break
+        before, moving = moving, held.where("moved").count()
     closed = held.select(F.col("head").alias("path"), F.lit(True).alias("closed"))
     held = held.join(closed, "path", "left")
     own = F.coalesce("closed", F.lit(False))
