@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODELS = ("beta-factor", "MGL", "alpha-factor", "phi-factor")
-#: Members of a group whose combinations are enumerated; 2 ** n rows.
-MAX_MEMBERS = 20
 
 
 def binomial(n: Column, k: Column) -> Column:
@@ -59,16 +57,24 @@ def level_probabilities(levels: DataFrame) -> DataFrame:
     return beta.unionByName(mgl).unionByName(alpha).unionByName(phi)
 
 
-def combinations(members: DataFrame) -> DataFrame:
-    """(group_id, level, members) for every combination of a group's members, in their order: bit masks, no join.
+def combinations(members: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """(group_id, level, members) for every combination of a group's members, in their order.
 
-    Groups of more than ``MAX_MEMBERS`` members are an error: their expansion doubles with every member.
+    ``levels`` (group_id, level): the sizes to make; all from 1 to the number of members, if not given. Combinations of
+    a size grow index by index, each from the ones before it; of more than half the members, what they leave out does.
     """
     groups = members.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "event_id"))), lambda x: x["event_id"]).alias("all"))
     n = F.size("all")
-    groups = groups.withColumn("mask", F.explode(F.sequence(F.lit(1), F.when(n <= MAX_MEMBERS, F.expr("shiftleft(1, size(all)) - 1")).otherwise(F.raise_error(F.lit("a group has too many members"))))))
-    taken = F.expr("filter(all, (x, i) -> (shiftright(mask, i) & 1) = 1)")
-    return groups.select("group_id", F.bit_count("mask").cast("int").alias("level"), taken.alias("members"))
+    rows = groups.join(levels, "group_id") if levels is not None else groups.withColumn("level", F.explode(F.sequence(F.lit(1), n)))
+    rows = rows.withColumn("level", F.col("level").cast("int")).withColumn("size", F.least(F.col("level"), n - F.col("level"))).where("size >= 0")
+    rows = rows.withColumn("at", F.array().cast("array<int>"))
+    for step in range(rows.agg(F.max("size")).first()[0] or 0):
+        after = F.when(F.size("at") > 0, F.element_at("at", -1) + 1).otherwise(F.lit(0)) if step else F.lit(0)
+        more = F.sequence(after, n - F.col("size") + step)
+        longer = F.when(F.col("size") > step, F.transform(more, lambda i: F.concat("at", F.array(i)))).otherwise(F.array("at"))
+        rows = rows.select("group_id", "all", "level", "size", F.explode(longer).alias("at"))
+    taken = F.filter("all", lambda _, i: F.array_contains("at", i) == (F.col("size") == F.col("level")))
+    return rows.select("group_id", "level", taken.alias("members"))
 
 
 def event_name(members: Column) -> Column:
@@ -77,7 +83,7 @@ def event_name(members: Column) -> Column:
 
 def expand(members: DataFrame, probabilities: DataFrame) -> DataFrame:
     """(group_id, level, event_id, members, q): the events of all levels that the model has."""
-    found = combinations(members).join(probabilities, ["group_id", "level"])
+    found = combinations(members, probabilities.select("group_id", "level").distinct()).join(probabilities, ["group_id", "level"])
     return found.select("group_id", "level", event_name(F.col("members")).alias("event_id"), "members", "q")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import CycleError
 from .graphs import Rounds
 
 
@@ -30,27 +31,29 @@ def mixed_collections(instructions: DataFrame) -> DataFrame:
     return kinds.groupBy("tree").agg(F.countDistinct("kind").alias("kinds")).where("kinds > 1").select("tree")
 
 
-def walk(starts: DataFrame, branches: DataFrame, max_depth: int = 1000) -> DataFrame:
+def walk(starts: DataFrame, branches: DataFrame) -> DataFrame:
     """Every way from an initiating event to a sequence: (ie, sequence, context, p).
 
     ``starts``: ie, tree, branch. ``branches``: tree, branch, event (null in the first), state, target (``fork``,
     ``branch`` or ``sequence``), next (branch, or sequence), p (collected there). All ways of one depth advance in one
-    join; each carries its own context of functional events and states.
+    join; each carries its own context of functional events and states. Branches that lead back to themselves are an error.
     """
     rounds = Rounds(starts.sparkSession)
     none = F.create_map().cast("map<string,string>")
     open_ = starts.select("ie", "tree", "branch", none.alias("context"), F.lit(1.0).alias("p"))
-    ended = None
-    for _ in range(max_depth):
+    ended, depth, most = None, 0, None
+    while True:
         here = open_.withColumnRenamed("p", "so_far").join(branches, ["tree", "branch"])
-        known = F.when(F.col("event").isNull(), F.col("context")).otherwise(F.map_concat("context", F.create_map("event", "state")))
+        known = F.when(F.col("event").isNull(), F.col("context")).otherwise(F.map_concat(F.map_filter("context", lambda k, _: k != F.col("event")), F.create_map("event", "state")))
         here = rounds.save(here.select("ie", "tree", known.alias("context"), (F.col("so_far") * F.coalesce("p", F.lit(1.0))).alias("p"), "target", "next"))
         done = here.where("target = 'sequence'").select("ie", F.col("next").alias("sequence"), "context", "p")
         ended = done if ended is None else ended.unionByName(done)
         open_ = here.where("target <> 'sequence'").select("ie", "tree", F.col("next").alias("branch"), "context", "p")
         if open_.isEmpty():
-            break
-    return ended
+            return ended
+        depth += 1
+        if depth >= 100 and depth > (most := most or branches.select("tree", "branch").distinct().count()):
+            raise CycleError("branches lead back to themselves")
 
 
 def collected_product(instructions: DataFrame, *key: str) -> DataFrame:

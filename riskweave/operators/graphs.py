@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import CycleError
+
 
 def _store(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,6 +17,8 @@ def _store(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         folder = f"file://{tempfile.mkdtemp(prefix='riskweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -32,8 +36,14 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *numbers: int) -> None:
+        """Delete tables, by the numbers of their saving, that nothing reads any more."""
+        for n in numbers:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-def levels(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level) by longest path from the leaves, and the edges (a, b: a refers to b) that lie on or above a cycle.
 
     Every round takes the nodes all of whose references are placed. What is never placed refers into a cycle.
@@ -42,12 +52,14 @@ def levels(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataF
     left = rounds.save(edges.select("a", "b").distinct())
     placed = rounds.save(edges.select(F.col("b").alias("node")).join(edges.select(F.col("a").alias("node")), "node", "left_anti").distinct().withColumn("level", F.lit(0)))
     front, level = placed, 0
-    while level < max_rounds and not front.isEmpty():
+    held = 1
+    while not front.isEmpty():
         level += 1
         rest = rounds.save(left.join(front.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
         touched = left.join(front.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
         front = rounds.save(touched.join(rest.select(F.col("a").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        placed, left = placed.unionByName(front), rest
+        rounds.drop(held)
+        placed, left, held = placed.unionByName(front), rest, rounds.n - 1
     return placed, left
 
 
@@ -58,8 +70,61 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return down.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
+def some_cycles(edges: DataFrame) -> DataFrame:
+    """(path) like ``a->b->a``, from its least node: a cycle for every part of the graph that has any, at least one.
+
+    On what refers into cycles and is referred to from them every node keeps one reference. Pointers along these double
+    until all are on cycles; a cycle is named by the least of its nodes, which doubles along.
+    """
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.save(edges.select("a", "b").distinct())
+    none = edges.sparkSession.createDataFrame([], "path string")
+    if edges.isEmpty():
+        return none
+    core = on_cycles(edges).groupBy("a").agg(F.min("b").alias("b"))
+    jump = one = rounds.save(core.select("a", "b", F.least("a", "b").alias("least")))
+    n = one.count()
+    if not n:
+        return none
+    for _ in range(n.bit_length()):
+        far = jump.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("least").alias("further"))
+        jump = rounds.save(jump.join(far, "b").select("a", F.col("c").alias("b"), F.least("least", "further").alias("least")))
+    ends = jump.select("b").distinct().withColumnRenamed("b", "a")  # all on cycles
+    steps = one.select("a", "b").join(ends, "a").join(jump.select("a", "least"), "a")
+    nexts = steps.groupBy("least").agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("next"))
+    way = F.aggregate(F.sequence(F.lit(1), F.size("next")), F.array("least"), lambda path, _: F.concat(path, F.array(F.element_at(F.col("next"), F.element_at(path, -1)))))
+    return nexts.select(F.concat_ws("->", way).alias("path"))
+
+
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node): from every (start) what its references lead to, itself included; one join for each step of the longest way."""
+    rounds = Rounds(starts.sparkSession)
+    front = rounds.save(starts.select("start", F.col("start").alias("node")).distinct())
+    have = front
+    while not front.isEmpty():
+        step = front.join(edges.select(F.col("a").alias("node"), F.col("b").alias("next")), "node").select("start", F.col("next").alias("node")).distinct()
+        front = rounds.save(step.join(have, ["start", "node"], "left_anti"))
+        have = have.unionByName(front)
+    return have
+
+
+def reaching(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): the marked nodes (node) and all that refer to them, directly or not."""
+    rounds = Rounds(marked.sparkSession)
+    front = rounds.save(marked.select("node").distinct())
+    have = front
+    while not front.isEmpty():
+        step = front.join(edges.select(F.col("b").alias("node"), "a"), "node").select(F.col("a").alias("node")).distinct()
+        front = rounds.save(step.join(have, "node", "left_anti"))
+        have = have.unionByName(front)
+    return have
+
+
 def cycle_paths(edges: DataFrame, max_length: int = 100) -> DataFrame:
-    """(path) like ``a->b->a`` of every simple cycle of at most ``max_length`` nodes, from its least node."""
+    """(path) like ``a->b->a`` of every simple cycle, from its least node; an error if one has more than ``max_length`` nodes.
+
+    Cycles can be more than edges by any factor; whether there are any, and which, ``some_cycles`` tells.
+    """
     rounds = Rounds(edges.sparkSession)
     edges = rounds.save(edges.select("a", "b"))
     if edges.isEmpty():
@@ -78,6 +143,8 @@ def cycle_paths(edges: DataFrame, max_length: int = 100) -> DataFrame:
         if walks.isEmpty():
             break
         walks = walks.join(core.select(F.col("a").alias("end"), F.col("b").alias("next")), "end").select("start", F.col("next").alias("end"), F.concat("path", F.array("end")).alias("path"))
+    else:
+        raise CycleError(f"cycles of more than {max_length} nodes")
     return found
 
 

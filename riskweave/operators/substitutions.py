@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .elements import same_set
-
 
 def declarative(source: Column) -> Column:
     return F.coalesce(F.size(source), F.lit(0)) == 0
@@ -15,27 +13,27 @@ def declarative(source: Column) -> Column:
 def kind() -> Column:
     """delete-terms, recovery-rule, exchange-event or null, from connective, min_num, hypothesis, source, target_event, target_const."""
     hypothesis, source, connective = F.col("hypothesis"), F.col("source"), F.col("connective")
-    no_source = declarative(source)
-    pair = F.size(hypothesis) == 2
-    to_false = F.coalesce(~F.col("target_const"), F.lit(False))
-    exclusive = (connective == "and") | ((connective == "atleast") & (F.col("min_num") == 2))
-    same, single_source = same_set(hypothesis, source), F.size(source) == 1
-    inside = (F.size(F.array_except(source, hypothesis)) == 0) & single_source
-    event = F.col("target_event").isNotNull()
+    no_source, event = declarative(source), F.col("target_event").isNotNull()
+    exclusive = ((connective == "atleast") & (F.col("min_num") == 2)) | ((connective == "and") & (F.size(hypothesis) == 2))
+    inside = F.size(F.array_except(source, hypothesis)) == 0
+    as_many = F.size(source) == F.size(hypothesis)
+    replaced = ~no_source & event & connective.isin("and", "null") & inside
     return (
-        F.when(no_source & to_false & exclusive & ((connective == "and") | pair | (connective == "atleast")), "delete-terms")
+        F.when(no_source & F.col("target_const").isNotNull() & exclusive, "delete-terms")
         .when(no_source & event & (connective == "and"), "recovery-rule")
-        .when(~no_source & event & (connective == "and") & same, "recovery-rule")
-        .when(~no_source & event & connective.isin("and", "or", "null") & (inside | single_source), "exchange-event")
+        .when(replaced & as_many, "recovery-rule")
+        .when(replaced & (F.size(source) == 1), "exchange-event")
     )
 
 
 def problem() -> Column:
-    """Why a substitution is not valid; null if it is. ``complemented`` tells whether its hypothesis has complements."""
+    """Why a substitution is not valid; null if it is. ``other_kinds`` and ``complemented`` tell whether its hypothesis has
+    arguments that are no basic events, or complements."""
     connective, no_source = F.col("connective"), declarative(F.col("source"))
     to = F.col("target_const")
     return (
-        F.when(F.col("complemented"), "hypothesis with complements")
+        F.when(F.col("other_kinds"), "hypothesis over other than basic events")
+        .when(F.col("complemented"), "hypothesis with complements")
         .when(no_source & ~connective.isin("null", "and", "atleast", "or"), "connective of a declarative hypothesis")
         .when(no_source & F.coalesce(to, F.lit(False)), "declarative with target true")
         .when(~no_source & ~connective.isin("null", "and", "or"), "connective of a non-declarative hypothesis")

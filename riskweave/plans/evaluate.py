@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import deviates, intervals, lifetime, numeric
-from ..operators import formulas, graphs
+from ..operators import ccf, elements, formulas, graphs
 from .model import Model
 
 FOLDS = ("add", "sub", "mul", "div", "min", "max", "and", "or")
@@ -32,8 +32,8 @@ def _domain_step(name: str):
     return step
 
 
-def _value(op: Column, args: Column) -> Column:
-    """The value of a node from the array of its arguments' values, by its operator."""
+def _value(op: Column, args: Column, ref: Column | None = None, registry=None) -> Column:
+    """The value of a node from the array of its arguments' values, by its operator; ``ref`` names an external function of the registry."""
     rest = F.slice(args, F.lit(2), F.greatest(F.size(args) - 1, F.lit(0)))
     out = F.when(op == "mean", F.aggregate(args, F.lit(0.0), lambda a, x: a + x) / F.size(args))
     for name in FOLDS:
@@ -51,7 +51,37 @@ def _value(op: Column, args: Column) -> Column:
     out = out.when(op == "uniform-deviate", (a + b) / 2).when(op == "normal-deviate", a)
     out = out.when((op == "lognormal-deviate") & (n == 3), a).when(op == "lognormal-deviate", F.exp(a + b * b / 2))
     out = out.when(op == "gamma-deviate", a * b).when(op == "beta-deviate", a / (a + b))
-    return out.when(op == "histogram", _histogram_mean(args))
+    out = out.when(op == "histogram", _histogram_mean(args))
+    for name, (_, signature) in registry.known.items() if registry else ():
+        out = out.when((op == "extern-function") & (ref == name), registry.call(name, *[_arg(args, i) for i in range(len(signature.parameters))]))
+    return out
+
+
+def _problem(op: Column, args: Column, lo: Column, hi: Column) -> Column:
+    """What is wrong with the values and domains of a node's arguments; null if nothing."""
+    n = F.size(args)
+    pick = lambda i: intervals.Interval(F.get(lo, F.lit(i)), F.get(hi, F.lit(i)))
+    below = lambda i: (_arg(args, i) < 0) | ~pick(i).is_non_negative()
+    not_above = lambda i: (_arg(args, i) <= 0) | ~pick(i).is_positive()
+    no_chance = lambda i: (_arg(args, i) < 0) | (_arg(args, i) > 1) | ~pick(i).is_probability()
+    ranges = F.slice(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), F.lit(2), F.greatest(n - 1, F.lit(0)))
+    out = F.when((op == "div") & F.exists(ranges, lambda r: (r["lo"] <= 0) & (r["hi"] >= 0)), "division by zero")
+    for name, (least, _, _) in numeric.OPERATORS.items():
+        if name != "div" and (bad := intervals.domain_problem(name, *[pick(i) for i in range(least)])) is not None:
+            out = out.when((op == name) & bad, "argument outside the operator's domain")
+    rates = {"exponential": below(0) | below(1), "GLM": no_chance(0) | not_above(1) | below(2) | below(3), "Weibull": not_above(0) | not_above(1) | below(2) | below(3)}
+    for name, bad in rates.items():
+        out = out.when((op == name) & bad, "argument outside the law's domain")
+    out = out.when((op == "periodic-test") & (n == 4) & (not_above(0) | not_above(1) | below(2) | below(3)), "argument outside the law's domain")
+    out = out.when((op == "periodic-test") & (n == 5) & (not_above(0) | below(1) | not_above(2) | below(3) | below(4)), "argument outside the law's domain")
+    out = out.when((op == "uniform-deviate") & (_arg(args, 0) >= _arg(args, 1)), "minimum not below maximum").when((op == "normal-deviate") & (_arg(args, 1) <= 0), "deviation not positive")
+    level = _arg(args, 2)
+    out = out.when((op == "lognormal-deviate") & (n == 3) & ((_arg(args, 0) <= 0) | (_arg(args, 1) <= 0) | (level <= 0) | (level >= 1)), "mean, error factor or level outside its range")
+    out = out.when((op == "lognormal-deviate") & (n == 2) & (_arg(args, 1) <= 0), "deviation not positive")
+    out = out.when(op.isin("gamma-deviate", "beta-deviate") & ((_arg(args, 0) <= 0) | (_arg(args, 1) <= 0)), "shape or scale not positive")
+    bounds, weights = _histogram(args)
+    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(bounds) - 1, F.lit(1))), lambda i: F.get(bounds, i) > F.get(bounds, i - 1))
+    return out.when((op == "histogram") & (~rising | F.exists(weights, lambda w: w < 0)), "bounds not rising or weights negative")
 
 
 def _histogram(args: Column) -> tuple[Column, Column]:
@@ -130,7 +160,7 @@ def _links(model: Model) -> tuple[DataFrame, DataFrame]:
 
 
 def expressions(model: Model, trials: int = 0, seed: int | None = None, context: dict | None = None) -> DataFrame:
-    """(key, value, lo, hi, deviate) of all expression nodes; with ``trials``, (key, trial, value): one keyed draw of each
+    """(key, value, lo, hi, deviate, tag, problem) of all expression nodes; with ``trials``, (key, trial, value): one keyed draw of each
     deviate a trial, shared by all that refer to it.
 
     ``context``: ``{"ie": name, "fe": {functional event: state}}`` for the test expressions; sampled, these are 0.
@@ -149,6 +179,9 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
         .when(F.col("tag") == "test-functional-event", F.lit(0.0) if trials else numeric.number(F.coalesce(fe[F.col("ref")] == F.col("state"), F.lit(False))))
         .otherwise(F.col("literal"))
     )
+    for name, (_, signature) in model.functions.known.items():
+        if not signature.parameters:
+            leaf = F.when((F.col("tag") == "extern-function") & (F.col("ref") == name), model.functions.call(name)).otherwise(leaf)
     seed = model.settings.seed if seed is None else seed
     own = [F.col("trial")] if trials else []
     base = leveled.where("level = 0").select("key", leaf.alias("value"), "tag")
@@ -158,18 +191,18 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
     else:
         lo = F.when(F.col("tag") == "system-mission-time", 0.0).when(F.col("tag").startswith("test-"), 0.0).otherwise(F.col("value"))
         hi = F.when(F.col("tag").startswith("test-"), 1.0).otherwise(F.col("value"))
-        done = rounds.save(base.select("key", "value", lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("deviate")))
+        done = rounds.save(base.select("key", "value", lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("deviate"), "tag", F.lit(None).cast("string").alias("problem")))
     top = leveled.agg(F.max("level")).first()[0] or 0
     for level in range(1, top + 1):
-        here = leveled.where(F.col("level") == level).select(F.col("key").alias("a"), "tag")
-        got = here.join(edges, "a").join(done.withColumnRenamed("key", "b"), "b")
+        here = leveled.where(F.col("level") == level).select(F.col("key").alias("a"), "tag", "ref")
         columns = ["value"] if trials else ["value", "lo", "hi", "deviate"]
+        got = here.join(edges, "a").join(done.select(F.col("key").alias("b"), *own, *columns), "b")
         order = F.sort_array(F.collect_list(F.struct("o1", "o2", *columns)))
-        got = got.groupBy("a", "tag", *own).agg(order.alias("args"))
+        got = got.groupBy("a", "tag", "ref", *own).agg(order.alias("args"))
         take = lambda c: F.transform("args", lambda x: x[c])
         op, args = F.col("tag"), F.col("v")
         got = got.withColumn("v", take("value"))
-        value = F.when(op == "parameter", _arg(args, 0)).otherwise(_value(op, args))
+        value = F.when(op == "parameter", _arg(args, 0)).otherwise(_value(op, args, F.col("ref"), model.functions))
         if trials:
             got = got.withColumn("drawn", _sample(op, args, seed, F.col("trial"), F.col("a")))
             found = got.select(F.col("a").alias("key"), "trial", F.coalesce("drawn", value).alias("value"))
@@ -177,65 +210,126 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
             got = got.withColumns({"los": take("lo"), "his": take("hi")})
             domain = F.when(op == "parameter", F.struct(_arg(F.col("los"), 0).alias("lo"), _arg(F.col("his"), 0).alias("hi"))).otherwise(_domain(op, F.col("los"), F.col("his"), args))
             deviate = op.endswith("-deviate") | (op == "histogram") | F.exists("args", lambda x: x["deviate"])
-            found = got.select(F.col("a").alias("key"), value.alias("value"), domain.alias("d"), deviate.alias("deviate")).select("key", "value", "d.lo", "d.hi", "deviate")
+            domain = F.when(op == "extern-function", F.struct(value.alias("lo"), value.alias("hi"))).otherwise(domain)
+            problem = _problem(op, args, F.col("los"), F.col("his"))
+            found = got.select(F.col("a").alias("key"), value.alias("value"), domain.alias("d"), deviate.alias("deviate"), "tag", problem.alias("problem")).select("key", "value", "d.lo", "d.hi", "deviate", "tag", "problem")
         done = done.unionByName(rounds.save(found))
     return done
 
 
-def event_probabilities(model: Model, **how) -> DataFrame:
-    """(id, p, lo, hi, deviate) of basic events with an expression, or (id, trial, p) with ``trials``."""
-    values = expressions(model, **how)
+def _of_events(model: Model, values: DataFrame) -> DataFrame:
     roots = model.expression_roots.where("id LIKE 'event:%'").select(F.substring("id", 7, 1 << 20).alias("id"), F.concat_ws("#", "file", "root").alias("key"))
     return roots.join(values, "key").drop("key").withColumnRenamed("value", "p")
 
 
-def domain_violations(model: Model) -> DataFrame:
-    """Basic events whose value or domain is not a probability."""
-    from ..operators.elements import violation
+def event_probabilities(model: Model, **how) -> DataFrame:
+    """(id, p, lo, hi, deviate) of basic events with an expression, or (id, trial, p) with ``trials``."""
+    return _of_events(model, expressions(model, **how).drop("tag", "problem"))
 
-    p = event_probabilities(model).where((F.col("p") < 0) | (F.col("p") > 1) | F.isnan("p") | (F.col("deviate") & (F.col("hi") < 0)) | (~F.col("deviate") & ((F.col("lo") < 0) | (F.col("hi") > 1))))
-    return violation(p, "4 evaluate", "DomainError", F.col("id"), "not a probability")
 
+def _groups(model: Model, values: DataFrame) -> DataFrame:
+    """(group_id, model, n, q_total, level, factor) with the values of the distribution and the factor."""
+    values = values.select("key", "value")
+    roots = model.expression_roots.where("id LIKE 'group:%'").select(F.substring("id", 7, 1 << 20).alias("group_id"), F.concat_ws("#", "file", "root").alias("key"))
+    totals = roots.join(values, "key").select("group_id", F.col("value").alias("q_total"))
+    return model.ccf_levels.join(values.withColumnRenamed("value", "factor"), "key").join(totals, "group_id").drop("key", "min_level")
 
-def _by_level(model: Model):
-    """Gates with their levels, lowest first, and how many levels there are."""
-    placed, _ = graphs.levels(model.gate_edges.distinct())
-    gates = model.gates.join(placed.select(F.col("node").alias("id"), "level"), "id", "left").fillna(0, ["level"])
-    gates = graphs.Rounds(model.nodes.sparkSession).save(gates)
+
+def ccf_probabilities(model: Model, values: DataFrame) -> DataFrame:
+    """(id, p) of the events of common-cause groups."""
+    q = ccf.level_probabilities(_groups(model, values))
+    return model.ccf_events.join(q, ["group_id", "level"]).select("id", F.col("q").alias("p"))
+
+
+def domain_violations(model: Model) -> DataFrame:
+    """Expressions outside their operators' domains, events and factors that are no probabilities, phi factors that do not sum to 1."""
+    v, stage = elements.violation, "4 evaluate"
+    values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model))
+    bad = (F.col("p") < 0) | (F.col("p") > 1) | F.isnan("p") | (F.col("deviate") & (F.col("hi") < 0)) | (~F.col("deviate") & ((F.col("lo") < 0) | (F.col("hi") > 1)))
+    p = _of_events(model, values).where(bad)
+    keyed = model.expressions.select(F.concat_ws("#", "file", "node").alias("key"), "file", "line")
+    broken = values.where("problem IS NOT NULL").join(keyed, "key")
+    roots = model.expression_roots.where("id LIKE 'factor:%' OR id LIKE 'group:%'").select("id", F.concat_ws("#", "file", "root").alias("key"))
+    parts = roots.join(values, "key").where("value < 0 OR value > 1 OR lo < 0 OR hi > 1")
+    phi = model.ccf_levels.where("model = 'phi-factor'").join(values, "key").groupBy("group_id").agg(*[F.sum(c).alias(c) for c in ("value", "lo", "hi")])
+    off = [~elements.close(F.lit(1.0), F.col(c), 1e-4) for c in ("value", "lo", "hi")]
+    return elements.union([
+        v(broken, stage, "DomainError", F.col("tag"), F.col("problem"), F.col("file"), F.col("line")).withColumn("code", F.when(F.col("entity").isin("uniform-deviate", "histogram"), "ValidityError").otherwise("DomainError")),
+        v(parts, stage, "DomainError", F.col("id"), "distribution or factor is not a probability"),
+        v(phi.where(off[0] | off[1] | off[2]), stage, "ValidityError", F.col("group_id"), "factors of a phi model must sum to 1"),
+        v(p, stage, "DomainError", F.col("id"), "not a probability"),
+    ])
+
+
+def _applied(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gates, args, edges) with every member of a common-cause group as an OR over the events that it is in."""
+    proxy = model.ccf_events.select(F.explode("members").alias("gate_id"), F.col("id").alias("arg_id"))
+    number = F.lit(None).cast("int")
+    gates = model.gates.unionByName(proxy.select(F.col("gate_id").alias("id"), F.lit("or").alias("connective"), number.alias("min_num"), number.alias("max_num")).distinct())
+    plain = model.gate_args.select("gate_id", "ordinal", "arg_id", "complement")
+    args = plain.unionByName(proxy.select("gate_id", F.lit(0).alias("ordinal"), "arg_id", F.lit(False).alias("complement")))
+    through = plain.select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b")).join(proxy.select(F.col("gate_id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    return gates, args, model.gate_edges.unionByName(through).distinct()
+
+
+def _base(model: Model) -> DataFrame:
+    """(id, p) of basic events, members of common-cause groups replaced by the groups' events."""
+    values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model))
+    events = _of_events(model, values).select("id", "p").join(model.ccf_members.select(F.col("event_id").alias("id")), "id", "left_anti")
+    return events.unionByName(ccf_probabilities(model, values))
+
+
+def _by_level(gates: DataFrame, edges: DataFrame):
+    """Gates with their levels, lowest first, and the highest level."""
+    placed, _ = graphs.levels(edges)
+    gates = gates.join(placed.select(F.col("node").alias("id"), "level"), "id", "left").fillna(0, ["level"])
+    gates = graphs.Rounds(gates.sparkSession).save(gates)
     return gates, gates.agg(F.max("level")).first()[0]
 
 
 def gate_probabilities(model: Model, events: DataFrame | None = None) -> DataFrame:
-    """(id, p) of gates and events, arguments taken as independent: exact for models where no event is shared."""
+    """(id, p) of gates and events, arguments taken as independent: exact for models where no event is shared.
+
+    A gate over an argument without a probability has none either (null).
+    """
     rounds = graphs.Rounds(model.nodes.sparkSession)
     houses = model.house_events.select("id", F.col("state").cast("double").alias("p"))
     fixed = model.nodes.sparkSession.createDataFrame([("__true__", 1.0), ("__false__", 0.0)], "id string, p double")
-    done = rounds.save((events if events is not None else event_probabilities(model)).select("id", "p").unionByName(houses).unionByName(fixed))
-    gates, top = _by_level(model)
+    done = rounds.save((events if events is not None else _base(model)).select("id", "p").unionByName(houses).unionByName(fixed))
+    gates, all_args, edges = _applied(model)
+    gates, top = _by_level(gates, edges)
     for level in range((top if top is not None else -1) + 1):
         here = gates.where(F.col("level") == level)
-        args = model.gate_args.join(here.withColumnRenamed("id", "gate_id"), "gate_id").join(done.withColumnRenamed("id", "arg_id"), "arg_id")
+        args = all_args.join(here.withColumnRenamed("id", "gate_id"), "gate_id").join(done.withColumnRenamed("id", "arg_id"), "arg_id", "left")
         p = F.when(F.col("complement"), 1 - F.col("p")).otherwise(F.col("p"))
         got = args.groupBy("gate_id", "connective", "min_num", "max_num").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", p.alias("p")))), lambda x: x["p"]).alias("ps"))
-        got = got.select(F.col("gate_id").alias("id"), formulas.probability(F.col("connective"), F.col("ps"), F.col("min_num"), F.col("max_num")).alias("p"))
+        value = F.when(~F.exists("ps", lambda x: x.isNull()), formulas.probability(F.col("connective"), F.col("ps"), F.col("min_num"), F.col("max_num")))
+        got = got.select(F.col("gate_id").alias("id"), value.alias("p"))
         done = done.unionByName(rounds.save(got))
     return done
 
 
 def simulate(model: Model, trials: int | None = None, seed: int | None = None, events: DataFrame | None = None) -> DataFrame:
-    """(id, p, trials): the share of trials in which each gate occurs; shared events are drawn once a trial."""
+    """(id, p, trials): the share of trials in which each gate occurs; shared events are drawn once a trial.
+
+    A gate over an argument that is never drawn, for want of a probability, has none either (null).
+    """
     trials, seed = trials or model.settings.num_trials, model.settings.seed if seed is None else seed
     rounds = graphs.Rounds(model.nodes.sparkSession)
-    drawn = (events if events is not None else event_probabilities(model)).select("id", "p").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    drawn = (events if events is not None else _base(model)).select("id", "p").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     drawn = drawn.select("id", "trial", (deviates.keyed_uniform(seed, F.col("trial"), F.col("id")) < F.col("p")).alias("x"))
     fixed = model.nodes.sparkSession.createDataFrame([("__true__", True), ("__false__", False)], "id string, x boolean").unionByName(model.house_events.select("id", F.col("state").alias("x")))
     fixed = fixed.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).select("id", "trial", "x")
     done = rounds.save(drawn.unionByName(fixed))
-    gates, top = _by_level(model)
+    gates, all_args, edges = _applied(model)
+    gates, top = _by_level(gates, edges)
     for level in range((top if top is not None else -1) + 1):
         here = gates.where(F.col("level") == level)
-        args = model.gate_args.join(here.select(F.col("id").alias("gate_id")), "gate_id").join(done.withColumnRenamed("id", "arg_id"), "arg_id")
+        args = all_args.join(here.select(F.col("id").alias("gate_id")), "gate_id").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+        args = args.join(done.withColumnRenamed("id", "arg_id"), ["arg_id", "trial"], "left")
+        unknown = args.where("x IS NULL").select(F.col("gate_id").alias("id"), "trial", F.lit(True).alias("unknown")).distinct()
         got = formulas.evaluate(args, ["gate_id", "trial"]).withColumnRenamed("gate_id", "id").join(here, "id")
         x = formulas.truth(F.col("connective"), F.col("true_args"), F.col("n"), F.col("first"), F.col("second"), F.col("min_num"), F.col("max_num"))
-        done = done.unionByName(rounds.save(got.select("id", "trial", x.alias("x"))))
-    return done.join(gates.select("id"), "id", "left_semi").groupBy("id").agg((F.count_if("x") / F.count("*")).alias("p"), F.count("*").alias("trials"))
+        got = got.join(unknown, ["id", "trial"], "left").select("id", "trial", F.when(F.col("unknown").isNull(), x).alias("x"))
+        done = done.unionByName(rounds.save(got))
+    return done.join(gates.select("id"), "id", "left_semi").groupBy("id").agg(F.try_divide(F.count_if("x"), F.count("x")).alias("p"), F.count("x").alias("trials"))

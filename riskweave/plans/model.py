@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..errors import BY_CODE, IllegalOperation, RiskError
 from ..functions.numeric import OPERATORS
-from ..operators import elements, eventtrees, formulas, graphs, references, substitutions
+from ..operators import ccf, elements, externs, formulas, graphs, references, substitutions
 from ..settings import Settings
 from ..sources import casts, paths, xml_nodes
+from ..sources.xml_nodes import attr
+from . import trees
 
 EVENTS = {"define-gate": "gate", "define-basic-event": "basic-event", "define-house-event": "house-event"}
 ARGUMENTS = ("event", "gate", "basic-event", "house-event")
@@ -19,7 +22,13 @@ LEAVES = ("int", "float", "bool", "pi", "parameter", "system-mission-time", "tes
 LAWS = ("exponential", "GLM", "Weibull", "periodic-test")
 DEVIATES = ("uniform-deviate", "normal-deviate", "lognormal-deviate", "gamma-deviate", "beta-deviate", "histogram")
 KNOWN_OPERATORS = (*LEAVES, *OPERATORS, *LAWS, *DEVIATES)
-CCF_LEAST = {"beta-factor": 0, "MGL": 2, "alpha-factor": 1, "phi-factor": 1}
+CCF_LEAST = {"beta-factor": 0, "MGL": 2, "alpha-factor": 1, "phi-factor": 1}  # 0: the number of members
+#: Least and most arguments of the operators that are no numeric ones.
+ARITY = {"exponential": (2, 2), "GLM": (4, 4), "Weibull": (4, 4), "periodic-test": (4, 5), "uniform-deviate": (2, 2), "normal-deviate": (2, 2), "lognormal-deviate": (2, 3), "gamma-deviate": (2, 2), "beta-deviate": (2, 2), "histogram": (2, None)}
+
+CCF_LEVELS = "group_id string, model string, n int, min_level int, level int, key string"
+CCF_EVENTS = "group_id string, level int, id string, members array<string>"
+SUBSTITUTIONS = "file string, line int, name string, type string, connective string, min_num int, hypothesis array<string>, source array<string>, target_event string, target_const boolean, complemented boolean, other_kinds boolean"
 
 
 @dataclass
@@ -30,17 +39,22 @@ class Model:
     tables: dict[str, DataFrame]
     settings: Settings
     violations: DataFrame
-    functions: dict = field(default_factory=dict)
+    functions: externs.Registry = field(default_factory=externs.Registry)
+    #: Makes the event-tree tables of a model without any: planned on first use only.
+    absent: Callable[[], dict[str, DataFrame]] = dict
 
     def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("tables", {})
+        if name not in tables and name in trees.TABLES:
+            tables |= self.absent()
         try:
-            return self.__dict__["tables"][name]
+            return tables[name]
         except KeyError:
             raise AttributeError(name) from None
 
 
-def attr(name: str) -> Column:
-    return F.coalesce(F.col("attrs")[name], F.lit(""))
+def factor_id() -> Column:
+    return F.concat(F.lit("factor:"), "file", F.lit("#"), "node")
 
 
 class Loader:
@@ -80,9 +94,9 @@ class Loader:
         rows = rows.select("file", "line", F.col("of_of_id").alias("group_id"), F.col("place").alias("ordinal"), "name", F.col("of_of_role").alias("role"), F.col("of_of_base_path").alias("base_path"))
         return rows.withColumn("event_id", elements.element_id(F.col("role"), F.col("base_path"), F.col("name")))
 
-    def gates(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(gates, gate_args, nested): formulas are flat; anything deeper goes to ``nested``."""
-        defined = self.named("define-gate")
+    def formulas(self, defined: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(gates, gate_args, nested) of the formulas that are the first children of rows (file, node, id, base_path):
+        formulas are flat; anything deeper goes to ``nested``."""
         top = self.kids(defined, "id", "base_path").where("place = 0")
         single = F.col("tag").isin(*ARGUMENTS, "constant")
         gates = top.select("file", "line", F.col("of_id").alias("id"), F.when(single, "null").otherwise(F.col("tag")).alias("connective"),
@@ -103,13 +117,28 @@ class Loader:
         })
         return gates, args.drop("tag", "attrs"), nested
 
+    def factors(self, groups: DataFrame) -> DataFrame:
+        """Factors of common-cause groups (file, line, node, group_id, ordinal, level), in a list or not."""
+        direct = self.kids(groups, "id")
+        listed = self.kids(direct.where("tag = 'factors'"), "of_id").withColumnRenamed("of_of_id", "group_id")
+        rows = direct.withColumnRenamed("of_id", "group_id").select("file", "line", "node", "group_id", "tag", "attrs").unionByName(listed.select("file", "line", "node", "group_id", "tag", "attrs"))
+        return rows.where("tag = 'factor'").select("file", "line", "node", "group_id", F.col("node").alias("ordinal"), casts.to_int(F.nullif(attr("level"), F.lit(""))).alias("level"))
+
+    def described(self) -> tuple[DataFrame, DataFrame]:
+        """(labels, attributes) of elements: file, node, label; file, line, node, name, value, type."""
+        labels = self.all.where("tag = 'label'").select("file", F.col("parent").alias("node"), F.col("text").alias("label"))
+        lists = self.all.where("tag = 'attributes'").select("file", F.col("node").alias("parent"), F.col("parent").alias("of"))
+        each = self.all.where("tag = 'attribute'").join(lists, ["file", "parent"])
+        return labels, each.select("file", "line", F.col("of").alias("node"), attr("name").alias("name"), attr("value").alias("value"), attr("type").alias("type"))
+
     def expressions(self, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(roots, nodes): the expression under each owner (file, node, id), and all nodes of expressions.
 
         Bins of histograms and cases of switches are pairs: their children stand in the place of the pair.
         """
         roots = self.kids(owners, "id").where("place = 0").select("file", F.col("node").alias("root"), F.col("of_id").alias("id"))
-        inside = self.nodes.where(F.col("definition").isNotNull() & F.col("tag").isin(*KNOWN_OPERATORS, "bin", "case"))
+        formulas = self.tagged("define-gate", "define-substitution").select("file", F.col("node").alias("definition"))
+        inside = self.nodes.where(F.col("definition").isNotNull() & F.col("tag").isin(*KNOWN_OPERATORS, "bin", "case")).join(formulas, ["file", "definition"], "left_anti")
         value = F.when(F.col("tag") == "int", casts.to_int(attr("value")).cast("double")).when(F.col("tag") == "float", casts.to_double(attr("value")))
         value = value.when(F.col("tag") == "bool", casts.to_bool(attr("value")).cast("double")).when(F.col("tag") == "pi", F.pi())
         return roots, inside.select("file", "line", "node", "parent", "ordinal", "tag", value.alias("literal"), casts.trim(attr("name")).alias("ref"), attr("unit").alias("unit"), attr("state").alias("state"), "base_path", "definition")
@@ -131,11 +160,12 @@ def resolved_args(args: DataFrame, entities: DataFrame) -> DataFrame:
     return elements.union(parts)
 
 
-def load(spark: SparkSession, patterns: list[str], settings: Settings | None = None, strict: bool = False, allow_extern: bool = False, functions: dict | None = None, validator=None) -> Model:
+def load(spark: SparkSession, patterns: list[str], settings: Settings | None = None, strict: bool = False, allow_extern: bool = False, functions: dict | None = None, validator=None, check_values: bool = False) -> Model:
     """A model from files. With ``strict`` the first violation (by stage) is raised as its error.
 
-    ``functions``: Python callables for external functions, by name, allowed only with ``allow_extern``. ``validator``
-    is called with the node table before anything else and may raise.
+    ``functions``: Python callables for external functions, by symbol, allowed only with ``allow_extern``. ``validator``
+    is called with the node table before anything else and may raise. ``check_values`` (with ``strict`` always) also
+    evaluates all expressions and adds the violations of their domains.
     """
     settings = settings or Settings()
     files = paths.expand(spark, patterns)
@@ -143,7 +173,8 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     nodes = rounds.save(xml_nodes.read_nodes(spark, files))
     if validator:
         validator(nodes)
-    if not allow_extern and not nodes.where("tag IN ('define-extern-library', 'define-extern-function')").isEmpty():
+    present = {r[0] for r in nodes.where("tag LIKE 'define-%' OR tag = 'attributes'").select("tag").distinct().collect()}  # a few kinds
+    if not allow_extern and present & {"define-extern-library", "define-extern-function"}:
         raise IllegalOperation("external libraries are not allowed")
     of, v = Loader(nodes), elements.violation
     problems = [v(nodes.where("tag = '#error'"), "1 parse", "XmlError", F.col("file"), F.col("text"), F.col("file"))]
@@ -160,6 +191,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     states = of.kids(houses, "id").where("tag = 'constant'").select(F.col("of_id").alias("id"), casts.to_bool(attr("value")).alias("state"))
     houses = houses.select("id").join(states, "id", "left").select("id", F.coalesce("state", F.lit(False)).alias("state"))
     containers = of.named("define-fault-tree", "define-component")
+    labels, attributes = of.described()
     path = F.when(F.coalesce("base_path", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws(".", "base_path", "name"))
     components = containers.select(path.alias("path"), F.nullif("base_path", F.lit("")).alias("parent_path"), "name", "role", (F.col("tag") == "define-fault-tree").alias("is_fault_tree"))
 
@@ -171,10 +203,18 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         v(elements.duplicates(entities, "id"), "2 define", "DuplicateElementError", F.col("id"), "event defined more than once"),
         v(elements.duplicates(entities.where("base_path <> ''"), "base_path", "name"), "2 define", "DuplicateElementError", F.concat_ws(".", "base_path", "name"), "name used more than once in a component"),
         v(elements.duplicates(parameters, "id"), "2 define", "DuplicateElementError", F.col("id"), "parameter defined more than once"),
+        v(elements.duplicates(groups, "id"), "2 define", "DuplicateElementError", F.col("id"), "group defined more than once"),
+        v(elements.duplicates(components, "path"), "2 define", "DuplicateElementError", F.col("path"), "component defined more than once"),
     ]
+    if "attributes" in present:
+        problems.append(v(elements.duplicates(attributes, "file", "node", "name"), "2 define", "DuplicateElementError", F.col("name"), "attribute given twice", F.col("file")))
+
+    registry = externs.Registry(allow_extern)
+    if present & {"define-extern-library", "define-extern-function"}:
+        problems += _externs(of, registry, functions or {})
 
     # formulas
-    gates, raw_args, nested = of.gates()
+    gates, raw_args, nested = of.formulas(of.named("define-gate"))
     args = rounds.save(resolved_args(raw_args, entities))
     counts = args.groupBy("gate_id").agg(F.count("*").alias("n"))
     shaped = gates.join(counts, gates["id"] == counts["gate_id"], "left").fillna(0, ["n"])
@@ -190,9 +230,15 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     ]
 
     # expressions and their references
-    owners = elements.union([t.select("file", "node", "id") for t in (of.named("define-basic-event").withColumn("id", F.concat(F.lit("event:"), "id")), parameters.withColumn("id", F.concat(F.lit("parameter:"), "id")))])
-    roots, expressions = of.expressions(owners)
-    factors = of.kids(groups, "id", "model").where(F.col("tag").isin("distribution", "factor", "factors"))
+    distributions, factors = of.kids(groups, "id").where("tag = 'distribution'"), of.factors(groups)
+    owned = [
+        of.named("define-basic-event").withColumn("id", F.concat(F.lit("event:"), "id")), parameters.withColumn("id", F.concat(F.lit("parameter:"), "id")),
+        distributions.withColumn("id", F.concat(F.lit("group:"), "of_id")), factors.withColumn("id", factor_id()),
+    ]
+    roots, expressions = of.expressions(elements.union([t.select("file", "node", "id") for t in owned]))
+    # every member of a group has the group's distribution as its expression
+    shared = roots.where("id LIKE 'group:%'").select("file", "root", F.substring("id", 7, 1 << 20).alias("group_id")).join(members.select("group_id", "event_id"), "group_id")
+    roots = rounds.save(roots.unionByName(shared.select("file", "root", F.concat(F.lit("event:"), "event_id").alias("id"))))
     refs = references.resolve(expressions.where("tag = 'parameter'"), parameters.select("id", "role", "full_path", F.lit("gate").alias("kind"))).drop("kind").withColumnRenamed("id", "parameter_id")
     expressions = rounds.save(expressions.join(refs.select("file", "node", "parameter_id"), ["file", "node"], "left"))
     odd = of.nodes.where(F.col("definition").isNotNull()).join(roots.select("file", F.col("root").alias("node")), ["file", "node"], "left_semi").where(~F.col("tag").isin(*KNOWN_OPERATORS))
@@ -201,6 +247,8 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         v(expressions.where("tag IN ('int', 'float', 'bool') AND literal IS NULL"), "2 define", "ValidityError", F.col("tag"), "not a number of this kind", F.col("file"), F.col("line")),
         v(references.unit_mismatch(expressions.where("tag = 'parameter'").select("file", "line", F.col("parameter_id").alias("ref"), "unit"), parameters.select("id", "unit")), "2 define", "ValidityError", F.col("ref"), "unit differs from the parameter's", F.col("file"), F.col("line")),
         v(odd, "2 define", "ValidityError", F.col("tag"), "unknown expression", F.col("file"), F.col("line")),
+        v(_arity_problems(expressions, registry), "2 define", "ValidityError", F.coalesce(F.nullif("ref", F.lit("")), "tag"), "wrong number of arguments", F.col("file"), F.col("line")),
+        v(expressions.where(F.col("tag") == "extern-function").where(~F.col("ref").isin(*registry.known)) if registry.known else expressions.where("tag = 'extern-function'"), "2 define", "UndefinedElement", F.col("ref"), "external function is not defined", F.col("file"), F.col("line")),
     ]
     have = roots.select(F.col("id"))
     if settings.probability_analysis:
@@ -211,33 +259,34 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     gate_edges = args.where("arg_kind = 'gate'").select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b"))
     in_parameter = parameters.select("file", F.col("node").alias("definition"), F.col("id").alias("a"))
     parameter_edges = expressions.where("parameter_id IS NOT NULL").join(in_parameter, ["file", "definition"]).select("a", F.col("parameter_id").alias("b"))
-    problems += [v(graphs.cycle_paths(e), "3 validate", "CycleError", F.col("path"), f"cycle among {what}") for what, e in (("gates", gate_edges), ("parameters", parameter_edges))]
+    problems += [v(graphs.some_cycles(e), "3 validate", "CycleError", F.col("path"), f"cycle among {what}") for what, e in (("gates", gate_edges), ("parameters", parameter_edges))]
 
     # event trees
-    trees = of.tagged("define-event-tree").select("file", "node", attr("name").alias("tree"))
-    functional = of.kids(trees, "tree").where("tag = 'define-functional-event'").select("file", "line", F.col("of_tree").alias("tree"), attr("name").alias("name"), "ordinal")
-    functional = eventtrees.functional_order(functional)
+    tree_tables: dict[str, DataFrame] = {}
     initiating = of.tagged("define-initiating-event").select("file", "line", attr("name").alias("name"), F.nullif(attr("event-tree"), F.lit("")).alias("tree"))
-    forks = of.tagged("fork").select("file", "line", "node", attr("functional-event").alias("event"))
-    fork_paths = of.kids(forks, "event").where("tag = 'path'").select("file", "line", F.concat_ws("#", "file", "of").alias("fork_id"), attr("state").alias("state"))
-    phases = of.kids(of.tagged("define-alignment").select("file", "node", attr("name").alias("name")), "name").where("tag = 'define-phase'")
-    phases = phases.select("file", "line", F.col("of_name").alias("alignment"), attr("name").alias("phase"), casts.to_double(attr("time-fraction")).alias("fraction"))
-    problems += [
-        v(elements.undefined(initiating.where("tree IS NOT NULL"), trees, "tree", "tree"), "2 define", "UndefinedElement", F.col("tree"), F.concat(F.lit("event tree of "), F.col("name")), F.col("file"), F.col("line")),
-        v(elements.undefined(forks, functional, "event", "name"), "2 define", "UndefinedElement", F.col("event"), "functional event of a fork", F.col("file"), F.col("line")),
-        v(eventtrees.duplicate_states(fork_paths), "2 define", "ValidityError", F.col("state"), "state twice in a fork"),
-        v(fork_paths.where("state = ''"), "2 define", "LogicError", F.col("fork_id"), "path without a state", F.col("file"), F.col("line")),
+    if present & {"define-event-tree", "define-initiating-event", "define-sequence", "define-rule"}:
+        tree_tables = {k: rounds.save(t) for k, t in trees.tables(of).items()}
+        problems += trees.problems(tree_tables, initiating, houses.select("id"))
+    alignments = of.tagged("define-alignment").select("file", "node", attr("name").alias("name"))
+    phases = of.kids(alignments, "name").where("tag = 'define-phase'")
+    phases = phases.select("file", "line", "node", F.col("of_name").alias("alignment"), attr("name").alias("phase"), casts.to_double(attr("time-fraction")).alias("fraction"))
+    set_in_phase = of.kids(phases, "alignment", "phase").where("tag = 'set-house-event'").select("file", "line", "node", F.col("of_alignment").alias("alignment"), F.col("of_phase").alias("phase"), attr("name").alias("house_event"))
+    set_to = of.kids(set_in_phase.select("file", "node")).where("tag = 'constant'").select("file", F.col("of").alias("node"), casts.to_bool(attr("value")).alias("state"))
+    phase_houses = set_in_phase.join(set_to, ["file", "node"], "left")
+    problems += [] if "define-alignment" not in present else [
+        v(elements.duplicates(alignments, "name"), "2 define", "DuplicateElementError", F.col("name"), "alignment defined more than once"),
+        v(elements.duplicates(phases, "alignment", "phase"), "2 define", "DuplicateElementError", F.concat_ws(".", "alignment", "phase"), "phase defined more than once"),
+        v(elements.undefined(set_in_phase, houses, "house_event", "id"), "2 define", "UndefinedElement", F.col("house_event"), "house event of a phase", F.col("file"), F.col("line")),
         v(substitutions.phase_problems(phases).where("problem IS NOT NULL"), "3 validate", "ValidityError", F.col("alignment"), F.col("problem")),
     ]
 
-    # common-cause groups
-    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
-    small = groups.select("id", "file", "line").join(sizes.select(F.col("group_id").alias("id"), "n"), "id", "left").where("coalesce(n, 0) < 2")
-    problems += [
-        v(small, "2 define", "ValidityError", F.col("id"), "a group needs 2 or more members", F.col("file"), F.col("line")),
-        v(elements.duplicates(members, "group_id", "name"), "2 define", "DuplicateElementError", F.col("group_id"), "member given twice"),
-        v(groups.where(~F.col("model").isin(*CCF_LEAST)), "2 define", "ValidityError", F.col("model"), "unknown common-cause model", F.col("file"), F.col("line")),
-    ]
+    levels, ccf_events = spark.createDataFrame([], CCF_LEVELS), spark.createDataFrame([], CCF_EVENTS)
+    if "define-CCF-group" in present:
+        levels, ccf_events = _groups(groups, members, distributions, factors, roots, rounds, problems)
+    subs = spark.createDataFrame([], SUBSTITUTIONS)
+    if "define-substitution" in present:
+        subs = rounds.save(_substitutions(of, entities, problems))
+        problems += _substitution_problems(subs, members, settings)
 
     known = {"gate": gate_edges}
     tree_gates = of.named("define-gate").select(F.split("base_path", "\\.")[0].alias("tree"), F.col("id").alias("gate_id"))
@@ -248,10 +297,15 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     tables = {
         "nodes": nodes, "entities": entities, "gates": gates.select("id", "connective", "min_num", "max_num"), "gate_args": args.select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
         "basic_events": entities.where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
-        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_factors": factors,
-        "top_events": tops, "initiating_events": initiating, "functional_events": functional, "phases": phases, "gate_edges": known["gate"],
+        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels, "ccf_events": ccf_events,
+        "top_events": tops, "initiating_events": initiating, "phases": phases.drop("node"), "phase_house_events": phase_houses.drop("node"), "gate_edges": known["gate"], "substitutions": subs,
+        "labels": labels, "attributes": attributes, **tree_tables,
     }
-    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, violations, functions or {})
+    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, violations, registry, lambda: trees.tables(of))
+    if strict or check_values:
+        from . import evaluate
+
+        model.violations = violations = rounds.save(violations.unionByName(evaluate.domain_violations(model)))
     if strict:
         first = violations.orderBy("stage", "file", "line").first()
         if first:
@@ -263,3 +317,117 @@ def _first(nodes: DataFrame, files: list[str]) -> str:
     """The first file as the node table spells it."""
     tail = files[0].split("://")[-1].lstrip("/")
     return next((r[0] for r in nodes.select("file").distinct().collect() if r[0].endswith(tail)), files[0])
+
+
+def _arity_problems(expressions: DataFrame, registry: externs.Registry) -> DataFrame:
+    """Expressions whose number of arguments is none that their operator takes."""
+    bounds = {**{k: (least, most) for k, (least, most, _) in OPERATORS.items()}, **ARITY, **{f"extern-function {k}": (len(x.parameters),) * 2 for k, (_, x) in registry.known.items()}}
+    bound = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in bounds.items() for x in (k, -1 if v[i] is None else v[i])]), F.when(F.col("tag") == "extern-function", F.concat_ws(" ", "tag", "ref")).otherwise(F.col("tag")))
+    counts = expressions.groupBy("file", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    counted = expressions.where(~F.col("tag").isin("parameter", "and", "or", "not"))  # also connectives of collected formulas
+    counted = counted.join(counts, ["file", "node"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "least": bound(0), "most": bound(1)})
+    return counted.where("n < least OR (most >= 0 AND n > most)")
+
+
+def _externs(of: Loader, registry: externs.Registry, functions: dict) -> list[DataFrame]:
+    """External functions go to the registry, as many as models declare; violations of their declarations."""
+    v, at = elements.violation, (F.col("file"), F.col("line"))
+    declared = of.tagged("define-extern-function").select("file", "line", "node", attr("name").alias("name"), attr("symbol").alias("symbol"), attr("library").alias("library"))
+    kinds = of.kids(declared.select("file", "node")).groupBy("file", F.col("of").alias("node")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "tag"))), lambda x: x["tag"]).alias("kinds"))
+    wrong = []
+    for r in declared.join(kinds, ["file", "node"]).collect():
+        try:
+            registry.add(r["name"], functions.get(r["symbol"]), *r["kinds"])
+        except RiskError as e:
+            wrong.append(("2 define", e.code, r["name"], str(e), r["file"], r["line"]))
+    libraries = of.tagged("define-extern-library").select(attr("name").alias("library"))
+    return [
+        of.nodes.sparkSession.createDataFrame(wrong, elements.VIOLATION),
+        v(elements.undefined(declared, libraries, "library", "library"), "2 define", "UndefinedElement", F.col("library"), F.concat(F.lit("library of "), F.col("name")), *at),
+        v(elements.duplicates(libraries, "library"), "2 define", "DuplicateElementError", F.col("library"), "library defined more than once"),
+    ]
+
+
+def _groups(groups: DataFrame, members: DataFrame, distributions: DataFrame, factors: DataFrame, roots: DataFrame, rounds: graphs.Rounds, problems: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(levels, events) of common-cause groups, their models applied; adds what is wrong with them to ``problems``."""
+    v, at = elements.violation, (F.col("file"), F.col("line"))
+    sizes = members.groupBy("group_id").agg(F.count("*").cast("int").alias("n"))
+    plain = groups.select("id", "file", "line")
+    small = plain.join(sizes.select(F.col("group_id").alias("id"), "n"), "id", "left").where("coalesce(n, 0) < 2")
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in CCF_LEAST.items() for x in kv]), F.col("model"))
+    of_group = groups.select(F.col("id").alias("group_id"), "model", "role", "base_path").join(sizes, "group_id")
+    levels = factors.join(of_group.select("group_id", "model", "n", F.when(least == 0, F.col("n")).otherwise(least).cast("int").alias("min_level")), "group_id")
+    keyed = roots.select(F.col("id").alias("owner"), F.concat_ws("#", F.col("file").alias("f"), "root").alias("key"))
+    levels = ccf.factor_levels(levels).withColumn("owner", factor_id()).join(keyed, "owner", "left").select("group_id", "model", "n", "min_level", "level", "key")
+    levels = rounds.save(levels)
+    without = plain.join(distributions.select(F.col("of_id").alias("id")), "id", "left_anti").unionByName(plain.join(factors.select(F.col("group_id").alias("id")), "id", "left_anti")).distinct()
+    problems += [
+        v(small, "2 define", "ValidityError", F.col("id"), "a group needs 2 or more members", *at),
+        v(elements.duplicates(members, "group_id", "name"), "2 define", "DuplicateElementError", F.col("group_id"), "member given twice"),
+        v(groups.where(~F.col("model").isin(*CCF_LEAST)), "2 define", "ValidityError", F.col("model"), "unknown common-cause model", *at),
+        v(elements.duplicates(distributions, "of_id"), "2 define", "LogicError", F.col("of_id"), "distribution given twice"),
+        v(without, "3 validate", "LogicError", F.col("id"), "a group needs a distribution and factors", *at),
+        v(ccf.level_problems(levels), "2 define", "ValidityError", F.col("group_id"), F.col("problem")),
+    ]
+    return levels, rounds.save(_ccf_events(levels, members, of_group))
+
+
+def _substitution_problems(subs: DataFrame, members: DataFrame, settings: Settings) -> list[DataFrame]:
+    v, at = elements.violation, (F.col("file"), F.col("line"))
+    active = subs.where(~substitutions.declarative(F.col("source")))
+    touched = active.select("name", F.explode(F.array_compact(F.concat("hypothesis", "source", F.array("target_event")))).alias("event_id"))
+    other = subs.where(substitutions.problem().isNull()).where((F.col("type") != "") & ~F.col("type").eqNullSafe(substitutions.kind()))
+    found = [
+        v(elements.duplicates(subs, "name"), "2 define", "DuplicateElementError", F.col("name"), "substitution defined more than once"),
+        v(subs.withColumn("problem", substitutions.problem()).where("problem IS NOT NULL"), "2 define", "ValidityError", F.col("name"), F.col("problem"), *at),
+        v(other, "2 define", "ValidityError", F.col("name"), "declared type is not the deduced one", *at),
+        v(substitutions.conflicts(subs), "3 validate", "ValidityError", F.col("name"), F.concat("why", F.lit(": "), "event")),
+        v(touched.join(members.select("event_id"), "event_id", "left_semi").select("name").distinct(), "3 validate", "ValidityError", F.col("name"), "events of a non-declarative substitution in a common-cause group"),
+    ]
+    if settings.approximation == "none":
+        found.append(v(active, "3 validate", "ValidityError", F.col("name"), "non-declarative substitutions need an approximation", *at))
+    return found
+
+
+def _ccf_events(levels: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, level, id, members): the events of all combinations that the groups' models have."""
+    ones = levels.select("group_id", F.lit(1).alias("level")).distinct()
+    wanted = levels.select("group_id", "level").unionByName(ones).distinct()
+    rows = members.select("group_id", "ordinal", F.struct("name", F.col("event_id").alias("id")).alias("event_id"))
+    found = ccf.combinations(rows, wanted.where("level >= 1")).join(groups.select("group_id", "role", "base_path"), "group_id")
+    name = ccf.event_name(F.transform("members", lambda m: m["name"]))
+    return found.select("group_id", "level", elements.element_id(F.col("role"), F.col("base_path"), name).alias("id"), F.transform("members", lambda m: m["id"]).alias("members"))
+
+
+def _substitutions(of: Loader, entities: DataFrame, problems: list[DataFrame]) -> DataFrame:
+    """The substitutions, as ``operators.substitutions`` takes them; adds what is wrong with their parts to ``problems``."""
+    v, at = elements.violation, (F.col("file"), F.col("line"))
+    defined = of.tagged("define-substitution").select("file", "line", "node", attr("name").alias("name"), attr("type").alias("type"))
+    parts = of.kids(defined, "name")
+    forms, raw, nested = of.formulas(parts.where("tag = 'hypothesis'").select("file", "node", F.col("of_name").alias("id"), F.lit("").alias("base_path")))
+    args = resolved_args(raw, entities)
+    basic = entities.where("kind = 'basic-event'")
+
+    def events(tag: str) -> DataFrame:
+        rows = of.kids(parts.where(F.col("tag") == tag), "of_name").withColumnRenamed("of_of_name", "name")
+        found = rows.where("tag = 'basic-event'").select("file", "line", "name", "ordinal", casts.trim(attr("name")).alias("ref"), F.lit("").alias("base_path"))
+        return references.resolve(found, basic).withColumnRenamed("id", "event")
+
+    sources, targets = events("source"), events("target")
+    constants = of.kids(parts.where("tag = 'target'"), "of_name").where("tag = 'constant'").select(F.col("of_of_name").alias("name"), casts.to_bool(attr("value")).alias("target_const"))
+    counts = args.groupBy("gate_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("arg_id")).alias("hypothesis"), F.bool_or("complement").alias("complemented"), F.bool_or(F.col("arg_kind") != "basic-event").alias("other_kinds"))
+    shaped = forms.join(counts, forms["id"] == counts["gate_id"], "left").fillna(0, ["n"])
+    shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))
+    missing = [t.where(f"{c} IS NULL").select("ref", *("file", "line"), F.col(n).alias("of")) for t, c, n in ((args, "arg_id", "gate_id"), (sources, "event", "name"), (targets, "event", "name"))]
+    problems += [
+        v(elements.union(missing), "2 define", "UndefinedElement", F.col("ref"), F.concat(F.lit("event of substitution "), "of"), *at),
+        v(shaped.where("problem IS NOT NULL"), "2 define", "ValidityError", F.col("id"), F.col("problem"), *at),
+        v(nested, "2 define", "ValidityError", F.col("gate_id"), F.concat(F.lit("nested formula: "), F.col("tag")), *at),
+        v(elements.duplicates(sources.where("event IS NOT NULL"), "name", "event"), "2 define", "DuplicateElementError", F.col("name"), F.concat(F.lit("source given twice: "), "event")),
+        v(formulas.duplicate_args(args.where("arg_id IS NOT NULL")), "2 define", "DuplicateElementError", F.col("gate_id"), F.concat(F.lit("argument given twice: "), "arg_id")),
+    ]
+    rows = defined.join(shaped.select(F.col("id").alias("name"), "connective", "min_num", "hypothesis", "complemented", "other_kinds"), "name", "left")
+    rows = rows.join(sources.groupBy("name").agg(F.sort_array(F.collect_set("event")).alias("source")), "name", "left")
+    rows = rows.join(targets.groupBy("name").agg(F.first("event", ignorenulls=True).alias("target_event")), "name", "left").join(constants, "name", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("file", "line", "name", "type", "connective", "min_num", F.coalesce("hypothesis", none).alias("hypothesis"), F.coalesce("source", none).alias("source"), "target_event", "target_const", F.coalesce("complemented", F.lit(False)).alias("complemented"), F.coalesce("other_kinds", F.lit(False)).alias("other_kinds"))

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import CycleError
 from ..functions import deviates
+from ..operators import graphs
 from ..operators.graphs import Rounds
 
 
@@ -31,12 +33,12 @@ def birnbaum(p_true: Column, p_false: Column) -> Column:
     return p_true - p_false
 
 
-def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: float = 0.0, probabilities: DataFrame | None = None, absorb: bool = True, max_rounds: int = 1000) -> DataFrame:
+def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: float = 0.0, probabilities: DataFrame | None = None, absorb: bool = True) -> DataFrame:
     """(root, cut): minimal cut sets of every top gate by top-down expansion.
 
     ``args``: gate, connective (and, or), arg, is_gate. All open gates of a round expand in one join: AND replaces a
     gate by all its arguments, OR gives a set for each. Sets beyond ``limit_order`` events, or by ``probabilities``
-    (arg, p) below ``cut_off``, are cut off as these settings mean.
+    (arg, p) below ``cut_off``, are cut off as these settings mean. Gates that refer to themselves are an error.
     """
     rounds = Rounds(tops.sparkSession)
     ands = args.where("connective = 'and'").groupBy("gate").agg(F.collect_set(F.struct("is_gate", "arg")).alias("all"))
@@ -44,8 +46,13 @@ def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: f
     step = rounds.save(ands.unionByName(ors))
     empty = F.array().cast("array<string>")
     state = tops.select(F.col("gate").alias("root"), F.array("gate").alias("open"), empty.alias("cut"))
-    done = None
-    for _ in range(max_rounds):
+    done, turn = None, 0
+    while True:
+        turn += 1
+        if turn % 100 == 0:  # deep, or without an end
+            _, open_edges = graphs.levels(args.where("is_gate").select(F.col("gate").alias("a"), F.col("arg").alias("b")))
+            if not open_edges.isEmpty():
+                raise CycleError("gates refer to themselves")
         state = rounds.save(state.distinct())
         ended = state.where(F.size("open") == 0).select("root", "cut")
         done = ended if done is None else done.unionByName(ended)

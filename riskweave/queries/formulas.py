@@ -129,9 +129,10 @@ def vote_probability(spark, sf_dir):
     return g.select("gate", "n", F.round(value("or"), 9).alias("p_or"), F.round(value("and"), 12).alias("p_and"), F.round(value("cardinality", 1, 1), 9).alias("p_one"), F.abs(F.round(value("atleast", 2), 9)).alias("p_two"))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM e)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def unused_events(spark, sf_dir):
-    refs = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """Parts that no line of the largest quantities refers to."""
+    refs = read(spark, sf_dir, "lineitem").where("l_quantity > 48")
     return elements.unused(read(spark, sf_dir, "part").select("p_partkey", "p_name"), refs, "p_partkey", "l_partkey")
 
 

@@ -69,7 +69,7 @@ def resolve_local_then_public(spark, sf_dir):
     entities = nation.select(elements.element_id(F.col("role"), F.col("base"), F.col("name")).alias("id"), "role", path.alias("full_path"), F.lit("gate").alias("kind"))
     refs = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("r"), F.col("c_custkey") % 7).alias("base_path"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("ref"))
     found = references.resolve(refs, entities)
-    return found.join(F.broadcast(entities.select("id", F.col("full_path").alias("path"))), "id", "left").select("c_custkey", "path")  # 25 nations
+    return found.join(entities.select("id", F.col("full_path").alias("path")), "id", "left").select("c_custkey", "path")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
@@ -295,27 +295,35 @@ def fork_states(spark, sf_dir):
 
 
 SUBS = """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), h AS (SELECT o, list_sort(list(p)) AS hyp FROM l GROUP BY o),
-s AS (SELECT o, hyp, CASE o % 4 WHEN 0 THEN []::BIGINT[] WHEN 1 THEN []::BIGINT[] WHEN 2 THEN hyp ELSE hyp[1:1] END AS src, CASE WHEN o % 4 = 0 THEN NULL ELSE o % 2000 END AS target, CASE WHEN o % 4 = 0 THEN o % 8 = 4 END AS const FROM h)"""
+s AS (SELECT o, hyp, CASE (o // 4) % 5 WHEN 0 THEN 'and' WHEN 1 THEN 'or' WHEN 2 THEN 'atleast' WHEN 3 THEN 'and' ELSE 'null' END AS connective, CASE WHEN (o // 4) % 5 = 2 THEN 2 + o % 2 END AS min_num,
+CASE WHEN o % 4 < 2 THEN []::BIGINT[] WHEN (o // 20) % 4 = 0 THEN list_append(hyp[1:1], -1) WHEN (o // 20) % 4 = 1 THEN [-1::BIGINT] WHEN o % 4 = 2 THEN hyp ELSE hyp[1:1] END AS src,
+CASE WHEN o % 4 <> 0 OR (o // 4) % 7 = 0 THEN o % 2000 END AS target, CASE WHEN o % 4 = 0 AND (o // 4) % 7 <> 0 THEN o % 8 = 4 WHEN o % 20 = 3 THEN false END AS const FROM h)"""
 
 
 def subs(spark, sf_dir):
-    """A substitution per order: hypothesis its parts, source and target by order key."""
+    """A substitution per order: hypothesis its parts, under five connectives; sources all of them, one, one more or another one."""
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("name")).agg(F.array_sort(F.collect_set("l_partkey")).alias("hypothesis"))
-    kind, none = F.col("name") % 4, F.array().cast("array<bigint>")
+    name, none = F.col("name"), F.array().cast("array<bigint>")
+    form, variant, part = F.floor(name / 4) % 5, F.floor(name / 20) % 4, name % 4
+    one, other = F.slice("hypothesis", 1, 1), F.array(F.lit(-1).cast("long"))
+    constant = (part == 0) & (F.floor(name / 4) % 7 != 0)
+    source = F.when(part < 2, none).when(variant == 0, F.concat(one, other)).when(variant == 1, other).when(part == 2, F.col("hypothesis")).otherwise(one)
     return rows.select(
-        "name", F.lit("and").alias("connective"), F.lit(None).cast("int").alias("min_num"), "hypothesis",
-        F.when(kind < 2, none).when(kind == 2, F.col("hypothesis")).otherwise(F.slice("hypothesis", 1, 1)).alias("source"),
-        F.when(kind != 0, F.col("name") % 2000).alias("target_event"), F.when(kind == 0, F.col("name") % 8 == 4).alias("target_const"), (F.size("hypothesis") > 6).alias("complemented"),
+        "name", F.element_at(F.array(*map(F.lit, ("and", "or", "atleast", "and", "null"))), (form + 1).cast("int")).alias("connective"), F.when(form == 2, 2 + name % 2).alias("min_num"), "hypothesis",
+        source.alias("source"), F.when(~constant, name % 2000).alias("target_event"), F.when(constant, name % 8 == 4).when(name % 20 == 3, False).alias("target_const"),
+        (F.size("hypothesis") > 6).alias("complemented"), (F.size("hypothesis") == 1).alias("other_kinds"),
     )
 
 
-@query(SUBS + """ SELECT o AS name, CASE WHEN len(src) = 0 AND const = false THEN 'delete-terms' WHEN len(src) = 0 AND target IS NOT NULL THEN 'recovery-rule'
-WHEN len(src) > 0 AND src = hyp THEN 'recovery-rule' WHEN len(src) = 1 THEN 'exchange-event' END AS kind FROM s""")
+@query(SUBS + """ SELECT o AS name, CASE WHEN len(src) = 0 THEN CASE WHEN const IS NOT NULL THEN CASE WHEN (connective = 'atleast' AND min_num = 2) OR (connective = 'and' AND len(hyp) = 2) THEN 'delete-terms' END WHEN connective = 'and' AND target IS NOT NULL THEN 'recovery-rule' END
+WHEN target IS NULL OR connective NOT IN ('and', 'null') THEN NULL WHEN len(src) = len(hyp) THEN CASE WHEN list_has_all(hyp, src) THEN 'recovery-rule' END
+WHEN len(src) = 1 THEN CASE WHEN list_contains(hyp, src[1]) THEN 'exchange-event' END END AS kind FROM s""")
 def subst_classify(spark, sf_dir):
     return subs(spark, sf_dir).select("name", substitutions.kind().alias("kind"))
 
 
-@query(SUBS + """ SELECT o AS name, CASE WHEN len(hyp) > 6 THEN 'hypothesis with complements' WHEN len(src) = 0 AND const THEN 'declarative with target true' END AS problem FROM s WHERE len(hyp) > 6 OR (len(src) = 0 AND coalesce(const, false))""")
+@query(SUBS + """ SELECT * FROM (SELECT o AS name, CASE WHEN len(hyp) = 1 THEN 'hypothesis over other than basic events' WHEN len(hyp) > 6 THEN 'hypothesis with complements' WHEN len(src) = 0 AND const THEN 'declarative with target true'
+WHEN len(src) > 0 AND connective = 'atleast' THEN 'connective of a non-declarative hypothesis' WHEN len(src) > 0 AND const = false THEN 'non-declarative with target false' END AS problem FROM s) WHERE problem IS NOT NULL""")
 def subst_problems(spark, sf_dir):
     return subs(spark, sf_dir).select("name", substitutions.problem().alias("problem")).where("problem IS NOT NULL")
 

@@ -201,15 +201,27 @@ def phase_fractions(spark, sf_dir):
     return substitutions.phase_problems(phases).select(F.col("alignment").alias("l_returnflag"), n9(F.col("total"), "total"), "problem")
 
 
-@query("SELECT n_regionkey, list_sort(list(n_name)) = list_sort(list(n_name)) AS same, len(list(n_name))::BIGINT AS n FROM nation GROUP BY 1")
+@query("""WITH s AS (SELECT l_orderkey AS o, array_agg(DISTINCT l_suppkey) AS a, array_agg(DISTINCT l_suppkey) FILTER (l_returnflag <> 'R') AS b FROM lineitem GROUP BY 1)
+SELECT o AS l_orderkey, len(a) = len(coalesce(b, [])) AS same FROM s""")
 def set_equality(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("a"))
-    return rows.select("n_regionkey", elements.same_set(F.col("a"), F.reverse("a")).alias("same"), F.size("a").cast("long").alias("n"))
+    """Whether the suppliers of an order are also those of its lines that were not returned, in whatever order."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("a"), F.reverse(F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")))).alias("b"))
+    return rows.select("l_orderkey", elements.same_set(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("""SELECT p_partkey, TRY_CAST(CASE WHEN regexp_full_match(p_type, '[+-]?[0-9]+') THEN p_type END AS BIGINT) AS as_int, CASE lower(p_brand) WHEN 'true' THEN true WHEN 'false' THEN false END AS as_bool, trim(p_name, ' ') AS name FROM part""")
-def strict_casts(spark, sf_dir):
-    """Texts as the loader reads them: whole tokens only, no leniency."""
-    from ..sources.casts import to_bool, to_int, trim
+TOKENS = """WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || 'x' WHEN 3 THEN ' ' || p_size WHEN 4 THEN '99999999999' WHEN 5 THEN p_size || '.5' WHEN 6 THEN '' ELSE '+' || p_size END AS i,
+CASE p_partkey % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' WHEN 4 THEN 'True' ELSE 'yes' END AS b, CASE p_partkey % 3 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN p_name ELSE chr(9) || p_name END AS n FROM part)"""
+
 
-    return read(spark, sf_dir, "part").select("p_partkey", to_int(F.col("p_type")).cast("long").alias("as_int"), to_bool(F.col("p_brand")).alias("as_bool"), trim(F.col("p_name")).alias("name"))
+@query(TOKENS + """ SELECT p_partkey, CASE WHEN regexp_full_match(i, '[+-]?[0-9]+') THEN TRY_CAST(i AS INTEGER) END AS as_int, CASE WHEN regexp_full_match(i, '[+-]?[0-9]+(\\.[0-9]*)?') THEN TRY_CAST(i AS DOUBLE) END AS as_double,
+CASE WHEN b IN ('true', '1') THEN true WHEN b IN ('false', '0') THEN false END AS as_bool, trim(n, ' ') AS name FROM t""")
+def strict_casts(spark, sf_dir):
+    """Texts as the loader reads them: whole tokens only, no leniency. Numbers with signs, points, spaces, letters, too large or empty."""
+    from ..sources.casts import to_bool, to_double, to_int, trim
+
+    key, size, name = F.col("p_partkey"), F.col("p_size").cast("string"), F.col("p_name")
+    pick = lambda n, *values: F.element_at(F.array(*values), (key % n + 1).cast("int"))
+    i = pick(8, size, F.concat(F.lit("-"), size), F.concat(size, F.lit("x")), F.concat(F.lit(" "), size), F.lit("99999999999"), F.concat(size, F.lit(".5")), F.lit(""), F.concat(F.lit("+"), size))
+    b = pick(6, *map(F.lit, ("true", "false", "1", "0", "True", "yes")))
+    n = pick(3, F.concat(F.lit("  "), name, F.lit(" ")), name, F.concat(F.lit("\t"), name))
+    return read(spark, sf_dir, "part").select("p_partkey", to_int(i).alias("as_int"), to_double(i).alias("as_double"), to_bool(b).alias("as_bool"), trim(n).alias("name"))

@@ -46,8 +46,10 @@ class Settings:
 
     def __setattr__(self, name: str, value) -> None:
         """Set one value. mocus and zbdd approximate by rare events unless told otherwise; importance and uncertainty
-        analyses turn the probability analysis on, which then stays on; integrity levels need a time step."""
+        analyses and integrity levels turn the probability analysis on, which then stays on; integrity levels need a time step."""
         if self.__dict__.get("_ready"):
+            if name == "probability_analysis" and not value and (self.importance_analysis or self.uncertainty_analysis or self.safety_integrity_levels):
+                return  # stays on
             self._check(name, value)
         object.__setattr__(self, name, value)
         if not self.__dict__.get("_ready"):
@@ -86,5 +88,3 @@ class Settings:
             need(value > 0 or not self.safety_integrity_levels, "positive while integrity levels are asked for")
         elif name == "safety_integrity_levels" and value:
             need(self.time_step > 0, "a time step first")
-        elif name == "probability_analysis" and not value:
-            need(not (self.importance_analysis or self.uncertainty_analysis), "on while importance or uncertainty is analysed")

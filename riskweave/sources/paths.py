@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import SparkSession
 
 from ..errors import IOError_
 
 
 def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """Files of the patterns (``*`` and ``?`` in the last part of the path), sorted within a pattern.
+    """Files of the patterns (``*`` and ``?`` in any part of the path), sorted within a pattern.
 
     A pattern without any match, a missing file, and a file given twice are errors.
     """
@@ -16,8 +18,7 @@ def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
     for pattern in patterns:
         path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        name = path.getName()
-        if "*" in name or "?" in name:
+        if "*" in pattern or "?" in pattern:
             hits = sorted(s.getPath().toString() for s in fs.globStatus(path) or [] if s.isFile())
             if not hits:
                 raise IOError_(f"no file matches {pattern}")
@@ -26,7 +27,7 @@ def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
             raise IOError_(f"file does not exist: {pattern}")
         else:
             found.append(fs.resolvePath(path).toString())
-    twice = sorted({p for p in found if found.count(p) > 1})
+    twice = sorted(p for p, n in Counter(found).items() if n > 1)
     if twice:
         raise IOError_(f"file given twice: {', '.join(twice)}")
     return found

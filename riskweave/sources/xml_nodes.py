@@ -13,16 +13,18 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import XmlError
 
-SCHEMA = "file string, node int, parent int, ordinal int, tag string, attrs map<string,string>, text string, line int, base_path string, base_role string, definition int"
+SCHEMA = "file string, node int, parent int, ordinal int, tag string, attrs map<string,string>, text string, line int, base_path string, base_role string, definition int, owner int"
 #: Bytes of included files, together, that are handed to every worker.
 MAX_INCLUDED = 64 << 20
 _HREF = re.compile(rb"<[\w.-]*:?include\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']")
 _CONTAINERS = ("define-fault-tree", "define-component")
+#: Elements whose children are instructions.
+_OWNERS = ("initial-state", "define-branch", "path", "define-sequence", "define-rule", "define-phase")
 
 
 def _resolve(file: str, href: str) -> str:
@@ -30,12 +32,12 @@ def _resolve(file: str, href: str) -> str:
 
 
 class _Tree:
-    """Element nodes of one file, each with the path and role of its containers and its definition."""
+    """Element nodes of one file, each with the path and role of its containers, its definition and the owner of its instructions."""
 
     def __init__(self, file: str, included: dict[str, bytes]):
         self.file, self.included = file, included
         self.rows: list[list] = []
-        self.stack: list[tuple] = []  # node, children so far, base_path, base_role, definition
+        self.stack: list[tuple] = []  # node, children so far, base_path, base_role, definition, owner
         self.open_files: list[str] = []
 
     def parse(self, body: bytes, file: str) -> None:
@@ -57,8 +59,8 @@ class _Tree:
                 return
             top = next((s for s in reversed(self.stack) if s), None)
             node = len(self.rows)
-            base, role, definition = (top[2], top[3], top[4]) if top else ("", "", None)
-            self.rows.append([self.file, node, top[0] if top else None, top[1][0] if top else 0, tag, list(attrs.items()), "", parser.CurrentLineNumber, base, role, definition])
+            base, role, definition, owner = top[2:] if top else ("", "", None, None)
+            self.rows.append([self.file, node, top[0] if top else None, top[1][0] if top else 0, tag, list(attrs.items()), "", parser.CurrentLineNumber, base, role, definition, owner])
             if top:
                 top[1][0] += 1
             if tag in _CONTAINERS:
@@ -66,7 +68,9 @@ class _Tree:
                 base, role = f"{base}.{name}" if base else name, attrs.get("role") or role or "public"
             if tag.startswith("define-") and tag not in _CONTAINERS:
                 definition = node
-            self.stack.append((node, [0], base, role, definition))
+            if tag in _OWNERS:
+                owner = node
+            self.stack.append((node, [0], base, role, definition, owner))
 
         def end(_: str) -> None:
             depth[0] -= 1
@@ -90,7 +94,7 @@ def parse(file: str, body: bytes, included: dict[str, bytes]) -> list[list]:
     try:
         tree.parse(body, file)
     except XmlError as e:
-        return [[file, 0, None, 0, "#error", [("kind", e.kind)], str(e), None, "", "", None]]
+        return [[file, 0, None, 0, "#error", [("kind", e.kind)], str(e), None, "", "", None, None]]
     for row in tree.rows:
         row[6] = row[6].strip()
     return tree.rows
@@ -127,7 +131,7 @@ def _emit(held):
     """From (path, content) batches to node batches; ``held`` broadcasts the included files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for b in batches:
             for file, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = parse(file, body, held.value)
@@ -152,6 +156,11 @@ def stream_nodes(spark: SparkSession, folder: str, pattern: str = "*.xml") -> Da
     return source.select("path", "content").mapInArrow(_emit(held), SCHEMA)
 
 
+def attr(name: str) -> Column:
+    """An attribute of a node; empty if it is not there."""
+    return F.coalesce(F.col("attrs")[name], F.lit(""))
+
+
 def children(nodes: DataFrame, parents: DataFrame, tag: str | None = None) -> DataFrame:
     """Child elements of (file, node) rows, in order, with the parent's node as ``of``; only of one tag if given."""
     kids = nodes if tag is None else nodes.where(F.col("tag") == tag)
