@@ -2,8 +2,8 @@
 
 The lexicon holds whole words and stems. Some common English insults are given; the rest is learned from labelled
 documents: prefixes and words that stand nearly only in toxic ones. Words of texts run through one automaton, the
-intersection of the lexicon trie with the Levenshtein automata of its words, determinised as needed; it accepts a word
-within one edit of a term. Each hit is looked at in its window: quotation marks or reporting verbs speak for a
+intersection of the lexicon trie with the Levenshtein automata of its words and longer stems, determinised as needed; it accepts a word
+within one edit of a term, or with a beginning within one edit of a stem. Each hit is looked at in its window: quotation marks or reporting verbs speak for a
 quotation, second-person words for abuse. A logistic regression turns the sums into a score.
 
 Lexicon and regression are fitted on at most ``max_labelled`` labelled documents (a documented bound); every document
@@ -32,6 +32,7 @@ REPORTS = frozenset("said says wrote writes quoted quote called reported replied
 QUOTES = frozenset("\"“”„«»‘’‹›")
 EDGE = ".,;:!?|()[]{}<>*#$%&\"'“”„«»‘’‹›…-_/\\"
 STEMS = range(4, 9)  # lengths of learned stems
+NEAR_STEM = 6  # letters of a stem that also counts within one edit, at least
 WINDOW = 8
 #: A worker forgets its memo of words beyond this number; results do not depend on it.
 MEMO = 300_000
@@ -39,27 +40,32 @@ FEATURES = 6
 
 
 class Automaton:
-    """The lexicon trie intersected with Levenshtein automata of ``edits`` edits, determinised state by state."""
+    """The lexicon trie intersected with Levenshtein automata of ``edits`` edits, determinised state by state.
 
-    def __init__(self, words: list[str], edits: int = 1):
+    Of ``stems`` any continuation is accepted: a word matches once a prefix of it is within the edits of a stem.
+    """
+
+    def __init__(self, words: list[str], edits: int = 1, stems: list[str] = ()):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: set[int] = set()
-        for word in words:
-            node = 0
-            for c in word:
-                if c not in self.children[node]:
-                    self.children[node][c] = len(self.children)
-                    self.children.append({})
-                node = self.children[node][c]
-            self.ends.add(node)
+        self.ends, self.stem_ends = {self._add(w) for w in words}, {self._add(w) for w in stems}
         self.edits = edits
         self.longest = max(map(len, words), default=0) + edits
         self.known: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.accepts: list[bool] = []
         self.sets: list[frozenset] = []
+        self.stops: list[bool] = []  # nothing that follows matters
         self.start = self._state({(0, 0)})
 
+    def _add(self, word: str) -> int:
+        node = 0
+        for c in word:
+            if c not in self.children[node]:
+                self.children[node][c] = len(self.children)
+                self.children.append({})
+            node = self.children[node][c]
+        return node
+
     def _state(self, items: set[tuple[int, int]]) -> int:
         todo, closed = list(items), set(items)
         while todo:  # a letter of the term that the word leaves out
@@ -74,7 +80,8 @@ class Automaton:
             self.known[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.accepts.append(any(node in self.ends for node, _ in key))
+            self.stops.append(any(node in self.stem_ends for node, _ in key))
+            self.accepts.append(self.stops[-1] or any(node in self.ends for node, _ in key))
         return self.known[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -90,10 +97,12 @@ class Automaton:
         return target
 
     def match(self, word: str) -> bool:
-        if len(word) > self.longest:
+        if len(word) > self.longest and not self.stem_ends:
             return False
         state = self.start
         for c in word:
+            if self.stops[state]:
+                return True
             target = self.moves[state].get(c)
             if target is None:
                 target = self._move(state, c)
@@ -111,8 +120,8 @@ class Lexicon:
     memo: dict = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        # a short word has too many neighbours within one edit
-        self.automaton = Automaton(sorted(w for w in self.words if len(w) >= 5))
+        # a short word has too many neighbours within one edit, a short stem many more
+        self.automaton = Automaton(sorted(w for w in self.words if len(w) >= 5), 1, sorted(w for w in self.stems if len(w) >= NEAR_STEM))
 
     def kind(self, token: str) -> float:
         """The log-odds of a term or of a word with a learned stem; -1 within an edit of a term; 0 for any other."""
