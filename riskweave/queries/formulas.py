@@ -177,28 +177,28 @@ def importance(spark, sf_dir):
     return quantify.fussell_vesely(cuts, p).withColumn("fussell_vesely", F.round("fussell_vesely", 9))
 
 
-@query("""WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 3 AS k FROM lineitem),
-c0 AS (SELECT o, p FROM s WHERE k = 0), c1 AS (SELECT o, p FROM s WHERE k = 1)
-SELECT DISTINCT c0.o AS root, least(c0.p, c1.p) AS first, greatest(c0.p, c1.p) AS second FROM c0 JOIN c1 ON c0.o = c1.o""")
+def class_gates(spark, sf_dir, n):
+    """(tops, args): each order is an AND of an OR for each of the ``n`` classes of suppliers that it has, over its parts."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("root"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), (F.col("l_suppkey") % n).cast("string").alias("k")).distinct()
+    side = F.concat_ws("-", "root", "k")
+    ands = rows.select(F.col("root").alias("gate"), F.lit("and").alias("connective"), side.alias("arg"), F.lit(True).alias("is_gate")).distinct()
+    ors = rows.select(side.alias("gate"), F.lit("or").alias("connective"), "arg", F.lit(False).alias("is_gate"))
+    return rows.select(F.col("root").alias("gate")).distinct(), ands.unionByName(ors)
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 3 AS k FROM lineitem),
+c AS (SELECT DISTINCT o, list_sort(list_distinct([a.p, b.p, c.p])) AS cut FROM (SELECT DISTINCT o FROM s) LEFT JOIN (FROM s WHERE k = 0) a USING (o) LEFT JOIN (FROM s WHERE k = 1) b USING (o) LEFT JOIN (FROM s WHERE k = 2) c USING (o))
+SELECT o AS root, array_to_string(cut, ' ') AS cut FROM c""")
 def cutset_expand(spark, sf_dir):
-    """Each order is an AND of two ORs over its parts (by supplier): the cut sets by expanding gates."""
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_suppkey") % 3).alias("k")).where("k < 2").distinct()
-    top = rows.groupBy("l_orderkey").agg(F.countDistinct("k").alias("ks")).where("ks = 2").select(F.col("l_orderkey").cast("string").alias("root"))
-    ands = top.select("root", F.col("root").alias("gate"), F.lit("and").alias("connective"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"))
-    ands = ands.select("gate", "connective", F.concat("gate", "side").alias("arg"), F.lit(True).alias("is_gate"))
-    ors = rows.select(F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("k") == 0, "a").otherwise("b")).alias("gate"), F.lit("or").alias("connective"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), F.lit(False).alias("is_gate"))
-    cuts = quantify.cut_sets(top.select(F.col("root").alias("gate")), ands.unionByName(ors), limit_order=20, absorb=False)
-    return cuts.select(F.col("root").cast("long").alias("root"), F.element_at("cut", 1).cast("long").alias("first"), F.element_at("cut", -1).cast("long").alias("second"))
+    """Orders over three classes of suppliers: all sets that expanding gates gives, before absorption."""
+    cuts = quantify.cut_sets(*class_gates(spark, sf_dir, 3), limit_order=20, absorb=False)
+    return cuts.select(F.col("root").cast("long").alias("root"), F.array_join(F.transform("cut", lambda x: x.cast("long").cast("string")), " ").alias("cut"))
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 2 AS k FROM lineitem), n AS (SELECT o, count(DISTINCT k) AS ks FROM s GROUP BY o),
 c AS (SELECT DISTINCT a.o, least(a.p, b.p) AS first, greatest(a.p, b.p) AS second FROM s a JOIN s b ON a.o = b.o AND a.k = 0 AND b.k = 1 UNION SELECT s.o, p, p FROM s JOIN n USING (o) WHERE ks = 1)
 SELECT o AS root, first, second FROM c WHERE first = second OR NOT EXISTS (SELECT 1 FROM c d WHERE d.o = c.o AND d.first = d.second AND (d.first = c.first OR d.first = c.second))""")
 def cutset_minimal(spark, sf_dir):
-    """Each order is an AND of an OR for each class of suppliers that it has, over its parts: all line items, the minimal cut sets."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("root"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), (F.col("l_suppkey") % 2).cast("string").alias("k")).distinct()
-    side = F.concat_ws("-", "root", "k")
-    ands = rows.select(F.col("root").alias("gate"), F.lit("and").alias("connective"), side.alias("arg"), F.lit(True).alias("is_gate")).distinct()
-    ors = rows.select(side.alias("gate"), F.lit("or").alias("connective"), "arg", F.lit(False).alias("is_gate"))
-    cuts = quantify.cut_sets(rows.select(F.col("root").alias("gate")).distinct(), ands.unionByName(ors), limit_order=20)
+    """Orders over two classes of suppliers: the minimal cut sets."""
+    cuts = quantify.cut_sets(*class_gates(spark, sf_dir, 2), limit_order=20)
     return cuts.select(F.col("root").cast("long").alias("root"), F.element_at("cut", 1).cast("long").alias("first"), F.element_at("cut", -1).cast("long").alias("second"))

@@ -114,30 +114,31 @@ def cycle_paths(spark, sf_dir):
     return graphs.cycle_paths(edges)
 
 
-MEMBERS = "m AS (SELECT s_nationkey AS g, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS o, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), k AS (SELECT g, max(n) AS n FROM m WHERE n BETWEEN 2 AND 12 GROUP BY g)"
-CHOOSE = "(factorial((n - 1)::INT) / factorial((k - 1)::INT) / factorial((n - k)::INT))::DOUBLE"
+MEMBERS = "m AS (SELECT s_nationkey AS g, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS o, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), k AS (SELECT g, max(n) AS n FROM m WHERE n >= 2 GROUP BY g)"
+CHOOSE = "round(exp(lgamma(n) - lgamma(k) - lgamma(n - k + 1)))"
 
 
-def members(spark, sf_dir):
-    """Suppliers of a nation as a group of 2 to 12 members."""
-    group = Window.partitionBy("s_nationkey")
-    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group_id"), (F.row_number().over(group.orderBy("s_suppkey")) - 1).alias("ordinal"), F.col("s_suppkey").cast("string").alias("event_id"), F.count("*").over(group).alias("n"))
-    return rows.where("n BETWEEN 2 AND 12")
+def members(spark, sf_dir, at_most=None):
+    """Suppliers of a nation as a group of 2 members or more; with ``at_most``, dealt to groups of that many members at most."""
+    nation = Window.partitionBy("s_nationkey")
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("g"), (F.row_number().over(nation.orderBy("s_suppkey")) - 1).alias("o"), F.col("s_suppkey").cast("string").alias("event_id"), F.count("*").over(nation).alias("n")).where("n >= 2")
+    part = F.pmod("o", F.ceil(F.col("n") / at_most)).cast("int") if at_most else F.lit(0)
+    return rows.select(F.struct("g", part.alias("part")).alias("group_id"), F.col("o").alias("ordinal"), "event_id", F.col("n").cast("int").alias("n"))
 
 
 def factors(spark, sf_dir, model, least, expr):
     """Levels from ``least`` to n with a factor each."""
-    groups = members(spark, sf_dir).select("group_id", F.col("n").cast("int").alias("n")).distinct()
+    groups = members(spark, sf_dir).select("group_id", "n").distinct()
     levels = F.sequence(F.lit(least), F.col("n")) if least else F.array("n")
     rows = groups.select("group_id", "n", F.explode(levels).alias("level"))
     return rows.select("group_id", F.lit(model).alias("model"), "n", F.lit(0.1).alias("q_total"), "level", expr.alias("factor"))
 
 
 def probabilities(found):
-    return ccf.level_probabilities(found).select(F.col("group_id").alias("g"), F.col("level").cast("int").alias("k"), F.round("q", 12).alias("q"))
+    return ccf.level_probabilities(found).select("group_id.g", F.col("level").cast("int").alias("k"), F.round("q", 12).alias("q"))
 
 
-@query(f"WITH {MEMBERS} SELECT g, 1 AS k, round(0.9 * 0.1, 12) AS q FROM k UNION ALL SELECT g, n::INT, round(0.1 * 0.1, 12) FROM k")
+@query(f"WITH {MEMBERS} SELECT g, 1 AS k, round(0.9 * 0.1::DOUBLE, 12) AS q FROM k UNION ALL SELECT g, n::INT, round(0.1 * 0.1::DOUBLE, 12) FROM k")
 def ccf_beta(spark, sf_dir):
     return probabilities(factors(spark, sf_dir, "beta-factor", 0, F.lit(0.1)))
 
@@ -160,69 +161,20 @@ def ccf_phi(spark, sf_dir):
     return probabilities(factors(spark, sf_dir, "phi-factor", 1, 1 / F.col("n")))
 
 
-COMBOS = f"WITH {MEMBERS}, c AS (SELECT k.g, k.n, unnest(range(1, (1 << k.n::INT)::BIGINT)) AS mask FROM k), e AS (SELECT c.g, c.mask, '[' || string_agg(s::VARCHAR, ' ' ORDER BY o) || ']' AS event, count(*) AS level FROM c JOIN m ON m.g = c.g AND (c.mask >> m.o::INT) & 1 = 1 GROUP BY c.g, c.mask)"
+COMBOS = f"WITH {MEMBERS}, d AS (SELECT g, (o % ceil(n / 8.0)::BIGINT)::INT AS part, s, o FROM m WHERE n >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY g, part ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY g, part) AS size FROM d), c AS (SELECT g, part, unnest(range(1, (1 << max(size)::INT)::BIGINT)) AS mask FROM r GROUP BY g, part), e AS (SELECT c.g, c.part, c.mask, '[' || string_agg(s::VARCHAR, ' ' ORDER BY o) || ']' AS event, count(*) AS level FROM c JOIN r ON r.g = c.g AND r.part = c.part AND (c.mask >> r.i::INT) & 1 = 1 GROUP BY c.g, c.part, c.mask)"
 
 
-@query(COMBOS + " SELECT g, level::INT AS level, event FROM e")
+@query(COMBOS + " SELECT g, part, level::INT AS level, event FROM e")
 def ccf_combinations(spark, sf_dir):
-    """Every combination of members, named in member order."""
-    found = ccf.combinations(members(spark, sf_dir))
-    return found.select(F.col("group_id").alias("g"), "level", ccf.event_name(F.col("members")).alias("event"))
-
-
-@query(COMBOS + " SELECT m.s::VARCHAR AS member, count(*)::BIGINT AS events, min(e.event) AS first FROM e JOIN c ON c.g = e.g AND c.mask = e.mask JOIN m ON m.g = c.g AND (c.mask >> m.o::INT) & 1 = 1 WHERE e.level <= 2 GROUP BY 1")
-def ccf_proxy_gates(spark, sf_dir):
-    """The OR gate that stands for each member, over events of levels 1 and 2."""
-    found = ccf.combinations(members(spark, sf_dir)).where("level <= 2").withColumn("event_id", ccf.event_name(F.col("members")))
-    return ccf.proxy_args(found).groupBy(F.col("gate_id").alias("member")).agg(F.count("*").alias("events"), F.min("arg_id").alias("first"))
-
-
-def whole_groups(spark, sf_dir, at_most=None):
-    """Suppliers of a nation as a group of 2 members or more; with ``at_most``, dealt to groups of that many members at most."""
-    nation = Window.partitionBy("s_nationkey")
-    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("g"), (F.row_number().over(nation.orderBy("s_suppkey")) - 1).alias("o"), F.col("s_suppkey").cast("string").alias("event_id"), F.count("*").over(nation).alias("n")).where("n >= 2")
-    parts = F.ceil(F.col("n") / at_most) if at_most else F.lit(1)
-    return rows.select(F.struct("g", F.pmod("o", parts).cast("int").alias("part")).alias("group_id"), F.col("o").alias("ordinal"), "event_id", F.col("n").cast("int").alias("n"))
-
-
-ALL = "WITH m AS (SELECT s_nationkey::BIGINT AS g, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS o, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
-
-
-@query(ALL + """, k AS (SELECT DISTINCT g, n FROM m WHERE n >= 2), l AS (SELECT g, n, unnest(range(1, n + 1)) AS k FROM k),
-c AS (SELECT *, round(exp(lgamma(n) - lgamma(k) - lgamma(n - k + 1))) AS ways FROM l), a AS (SELECT g, sum(k * pow(0.5, k)) AS s FROM l GROUP BY g),
-f AS (SELECT c.*, pow(0.1, k - 1) / exp(lgamma(k + 1)) AS f, CASE WHEN k < n THEN 0.1 / (k + 1) ELSE 0 END AS nf FROM c)
-SELECT 'beta-factor' AS model, g, 1 AS k, round(0.9 * 0.1, 12) AS q FROM k UNION ALL SELECT 'beta-factor', g, n::INT, round(0.1 * 0.1, 12) FROM k
-UNION ALL SELECT 'MGL', g, k::INT, round(f * (1 - nf) * 0.1 / ways, 12) FROM f
-UNION ALL SELECT 'alpha-factor', g, k::INT, round(k * pow(0.5, k) / s / ways * 0.1, 12) FROM c JOIN a USING (g)
-UNION ALL SELECT 'phi-factor', g, k::INT, round(0.1 / n, 12) FROM l""")
-def ccf_all_levels(spark, sf_dir):
-    """The four models over the suppliers of every nation with two or more, however many."""
-    groups = whole_groups(spark, sf_dir).select("group_id", "n").distinct()
-    least = {"beta-factor": F.array("n"), "MGL": F.sequence(F.lit(2), "n"), "alpha-factor": F.sequence(F.lit(1), "n"), "phi-factor": F.sequence(F.lit(1), "n")}
-    level = F.col("level")
-    factor = {"beta-factor": F.lit(0.1), "MGL": F.lit(0.1) / level, "alpha-factor": F.pow(F.lit(0.5), level), "phi-factor": 1 / F.col("n")}
-    found = None
-    for model, levels in least.items():
-        rows = groups.select("group_id", F.lit(model).alias("model"), "n", F.lit(0.1).alias("q_total"), F.explode(levels).alias("level")).withColumn("factor", factor[model])
-        q = ccf.level_probabilities(rows).select(F.lit(model).alias("model"), "group_id.g", F.col("level").cast("int").alias("k"), F.round("q", 12).alias("q"))
-        found = q if found is None else found.unionByName(q)
-    return found
-
-
-PARTS = ALL + ", d AS (SELECT g, (o % ceil(n / 8.0)::BIGINT)::INT AS part, s, o FROM m WHERE n >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY g, part ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY g, part) AS size FROM d), c AS (SELECT g, part, unnest(range(1, (1 << max(size)::INT)::BIGINT)) AS mask FROM r GROUP BY g, part), e AS (SELECT c.g, c.part, c.mask, '[' || string_agg(s::VARCHAR, ' ' ORDER BY o) || ']' AS event, count(*) AS level FROM c JOIN r ON r.g = c.g AND r.part = c.part AND (c.mask >> r.i::INT) & 1 = 1 GROUP BY c.g, c.part, c.mask)"
-
-
-@query(PARTS + " SELECT g, part, level::INT AS level, event FROM e")
-def ccf_all_combinations(spark, sf_dir):
     """Every combination of members of groups of 8 at most, to which all suppliers of a nation with two or more are dealt."""
-    found = ccf.combinations(whole_groups(spark, sf_dir, 8))
+    found = ccf.combinations(members(spark, sf_dir, 8))
     return found.select("group_id.g", "group_id.part", "level", ccf.event_name(F.col("members")).alias("event"))
 
 
-@query(PARTS + " SELECT r.s::VARCHAR AS member, count(*)::BIGINT AS events, min(e.event) AS first FROM e JOIN r ON r.g = e.g AND r.part = e.part AND (e.mask >> r.i::INT) & 1 = 1 WHERE e.level <= 2 GROUP BY 1")
-def ccf_all_proxy_gates(spark, sf_dir):
+@query(COMBOS + " SELECT r.s::VARCHAR AS member, count(*)::BIGINT AS events, min(e.event) AS first FROM e JOIN r ON r.g = e.g AND r.part = e.part AND (e.mask >> r.i::INT) & 1 = 1 WHERE e.level <= 2 GROUP BY 1")
+def ccf_proxy_gates(spark, sf_dir):
     """The OR gate that stands for each member of those groups, over events of levels 1 and 2."""
-    found = ccf.combinations(whole_groups(spark, sf_dir, 8)).where("level <= 2").withColumn("event_id", ccf.event_name(F.col("members")))
+    found = ccf.combinations(members(spark, sf_dir, 8)).where("level <= 2").withColumn("event_id", ccf.event_name(F.col("members")))
     return ccf.proxy_args(found).groupBy(F.col("gate_id").alias("member")).agg(F.count("*").alias("events"), F.min("arg_id").alias("first"))
 
 

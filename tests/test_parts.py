@@ -116,14 +116,25 @@ def test_deviates(spark):
 
 
 def test_substitutions(spark):
-    schema = "name string, connective string, min_num int, hypothesis array<string>, source array<string>, target_event string, target_const boolean, complemented boolean"
-    rows = [("d", "and", None, ["a", "b"], [], None, False, False), ("r", "and", None, ["a", "b"], ["a", "b"], "c", None, False), ("e", "and", None, ["a", "b"], ["b"], "c", None, False), ("x", "or", None, ["c"], ["z"], None, False, False)]
+    schema = "name string, connective string, min_num int, hypothesis array<string>, source array<string>, target_event string, target_const boolean, complemented boolean, other_kinds boolean"
+    rows = [("d", "and", None, ["a", "b"], [], None, False, False, False), ("r", "and", None, ["a", "b"], ["a", "b"], "c", None, False, False), ("e", "and", None, ["a", "b"], ["b"], "c", None, False, False), ("x", "or", None, ["c"], ["z"], None, False, False, False)]
     subs = spark.createDataFrame(rows, schema)
     assert {r.name: r.kind for r in subs.select("name", substitutions.kind().alias("kind")).collect()} == {"d": "delete-terms", "r": "recovery-rule", "e": "exchange-event", "x": None}
     assert {r.name for r in subs.where(substitutions.problem().isNotNull()).collect()} == {"x"}
     assert ("e", "c", "target in another hypothesis") in {tuple(r) for r in substitutions.conflicts(subs).collect()}
 
 
+def test_substitution_kinds(spark):
+    schema = "name string, connective string, min_num int, hypothesis array<string>, source array<string>, target_event string, target_const boolean"
+    rows = [
+        ("and of three, false", "and", None, ["a", "b", "c"], [], None, False), ("two of three, false", "atleast", 2, ["a", "b", "c"], [], None, False),
+        ("three of three, false", "atleast", 3, ["a", "b", "c"], [], None, False), ("all of the hypothesis", "null", None, ["a"], ["a"], "z", None),
+        ("or with a source", "or", None, ["a", "b"], ["a"], "z", None), ("source from elsewhere", "and", None, ["a", "b"], ["q"], "z", None), ("one of two", "and", None, ["a", "b"], ["a"], "z", None),
+    ]
+    kinds = {r.name: r.kind for r in spark.createDataFrame(rows, schema).select("name", substitutions.kind().alias("kind")).collect()}
+    assert kinds == dict(zip((r[0] for r in rows), (None, "delete-terms", None, "recovery-rule", None, None, "exchange-event"), strict=True))
+
+
 def test_cut_sets(spark):
     args = [("T", "and", "G", True), ("T", "and", "H", True), ("G", "or", "a", False), ("G", "or", "b", False), ("H", "or", "a", False), ("H", "or", "c", False)]
     cuts = quantify.cut_sets(spark.createDataFrame([("T",)], "gate string"), spark.createDataFrame(args, "gate string, connective string, arg string, is_gate boolean"))
