@@ -307,3 +307,25 @@ def test_automaton():
             w[at : at + rng.randint(0, 1)] = rng.choices("abimort", k=rng.randint(0, 1))
         word = "".join(w)
         assert a.match(word) == any(near(word, t) for t in terms), word
+
+
+def test_automaton_of_stems():
+    terms, stems, rng = ["idiot"], ["worthl", "despic"], random.Random(2)
+    a = toxicity.Automaton(terms, 1, stems)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            left, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (c != d)))
+        return row[-1]
+
+    for _ in range(600):
+        w = list(rng.choice(terms + stems) + rng.choice(["", "ess", "able", "s"]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choices("cdeilostw", k=rng.randint(0, 1))
+        word = "".join(w)
+        near = any(distance(word[:k], s) <= 1 for s in stems for k in range(len(word) + 1))
+        assert a.match(word) == (near or any(distance(word, t) <= 1 for t in terms)), word
