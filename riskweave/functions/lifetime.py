@@ -52,5 +52,58 @@ def periodic_test_repair(rate: Column, mu: Column, tau: Column, theta: Column, t
     return F.when(t <= theta, first["f"]).otherwise(ended)
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _repaired(repair: Column, mu: Column, rate: Column, dt: Column) -> Column:
+    """Of the share in repair, what is repaired within dt and has not failed since at the given rate."""
+    close = F.abs(mu - rate) < 1e-12 * F.greatest(F.abs(mu), F.abs(rate))
+    e_rate, e_mu = F.exp(-rate * dt), F.exp(-mu * dt)
+    return repair * mu * F.when(close, dt * e_rate).otherwise((e_rate - e_mu) / F.when(close, F.lit(1.0)).otherwise(mu - rate))
+
+
+def periodic_test_full(
+    rate: Column, test_rate: Column, mu: Column, tau: Column, theta: Column, gamma: Column, duration: Column, available: Column, sigma: Column, omega: Column, t: Column
+) -> Column:
+    """Tests every tau from theta on that take a while, can break the component and can overlook a failure: unavailability at t.
+
+    A multi-phase Markov graph of the states working, failed, in repair, and under test while working or failed. At the
+    start of a test a working component fails with probability gamma; under test it fails at ``test_rate``. At its end a
+    working component fails to restart with probability omega, a failure is found, and its repair begun, with
+    probability sigma. A repair takes a time of rate mu and, too, fails to restart with omega. What is in repair when
+    a test starts is left out of it. A working component under test counts only where ``available`` is not 0.
+    """
+
+    def state(w: Column, f: Column, r: Column, tw: Column, tf: Column) -> Column:
+        return F.struct(w.alias("w"), f.alias("f"), r.alias("r"), tw.alias("tw"), tf.alias("tf"))
+
+    def between(s: Column, dt: Column) -> Column:
+        """The shares dt later; all failures outside a test are hidden until the next."""
+        still = s["r"] * F.exp(-mu * dt)
+        working = s["w"] * F.exp(-rate * dt) + (1 - omega) * _repaired(s["r"], mu, rate, dt)
+        tested = s["tw"] * F.exp(-test_rate * dt)
+        return state(working, s["f"] + s["w"] + s["r"] - working - still, still, tested, s["tf"] + s["tw"] - tested)
+
+    zero = F.lit(0.0)
+
+    def since_test(s: Column, dt: Column) -> Column:
+        """The shares dt after the start of a test, from those just before it."""
+        begun = state(zero, zero, s["r"], (1 - gamma) * s["w"], s["f"] + gamma * s["w"])
+        under = between(begun, F.least(dt, duration))
+        ended = lambda x: state(x["w"] + (1 - omega) * x["tw"], x["f"] + omega * x["tw"] + (1 - sigma) * x["tf"], x["r"] + sigma * x["tf"], zero, zero)
+        later = lambda x: F.when(dt < duration, x).otherwise(_bound(ended(x), lambda y: between(y, dt - duration)))
+        return _bound(under, later)
+
+    cycles = F.when(t > theta, F.floor((t - theta) / tau).cast("int")).otherwise(F.lit(0))
+    start = between(state(F.lit(1.0), zero, zero, zero, zero), F.least(t, theta))
+    whole = F.when(cycles > 0, F.sequence(F.lit(1), cycles)).otherwise(F.array().cast("array<int>"))
+    before = F.aggregate(whole, start, lambda s, _: since_test(s, tau))
+    at = lambda s: since_test(s, (t - theta) - tau * cycles)
+    out = lambda s: s["f"] + s["r"] + s["tf"] + F.when(available != 0, zero).otherwise(s["tw"])
+    return F.when(t <= theta, exponential(rate, t)).otherwise(_bound(_bound(before, at), out))
+
+
 #: name -> (number of arguments, column)
-LAWS = {"exponential": (2, exponential), "GLM": (4, glm), "Weibull": (4, weibull), "periodic-test/4": (4, periodic_test_instant), "periodic-test/5": (5, periodic_test_repair)}
+LAWS = {"exponential": (2, exponential), "GLM": (4, glm), "Weibull": (4, weibull), "periodic-test/4": (4, periodic_test_instant), "periodic-test/5": (5, periodic_test_repair), "periodic-test/11": (11, periodic_test_full)}

@@ -74,6 +74,8 @@ def _problem(op: Column, args: Column, lo: Column, hi: Column) -> Column:
         out = out.when((op == name) & bad, "argument outside the law's domain")
     out = out.when((op == "periodic-test") & (n == 4) & (not_above(0) | not_above(1) | below(2) | below(3)), "argument outside the law's domain")
     out = out.when((op == "periodic-test") & (n == 5) & (not_above(0) | below(1) | not_above(2) | below(3) | below(4)), "argument outside the law's domain")
+    full = not_above(0) | below(1) | below(2) | not_above(3) | below(4) | no_chance(5) | not_above(6) | (_arg(args, 6) > _arg(args, 3)) | no_chance(8) | no_chance(9) | below(10)
+    out = out.when((op == "periodic-test") & (n == 11) & full, "argument outside the law's domain")
     out = out.when((op == "uniform-deviate") & (_arg(args, 0) >= _arg(args, 1)), "minimum not below maximum").when((op == "normal-deviate") & (_arg(args, 1) <= 0), "deviation not positive")
     level = _arg(args, 2)
     out = out.when((op == "lognormal-deviate") & (n == 3) & ((_arg(args, 0) <= 0) | (_arg(args, 1) <= 0) | (level <= 0) | (level >= 1)), "mean, error factor or level outside its range")

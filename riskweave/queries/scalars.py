@@ -135,12 +135,38 @@ def periodic_test4(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", n9(lifetime.periodic_test_instant(F.lit(1e-4), F.lit(720.0), F.lit(100.0), price() * 9), "p"))
 
 
-@query()
+def reached(dt: str) -> str:
+    """Of a share in repair, by SQL: working after dt, for the rates l and mu."""
+    return f"mu * (exp(-l * {dt}) - exp(-mu * {dt})) / (mu - l)"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT p_partkey, p_retailprice::DOUBLE AS t, 1e-4 AS l, 0.02 AS mu, 72.0 AS tau, 10.0 AS theta FROM part),
+s AS (
+  SELECT *, 0 AS k, exp(-l * least(t, theta)) AS w FROM c
+  UNION ALL
+  SELECT p_partkey, t, l, mu, tau, theta, k + 1, w * exp(-l * tau) + (1 - w) * {reached("tau")} FROM s WHERE k < floor((t - theta) / tau)
+), e AS (SELECT *, t - theta - tau * k AS dt FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC) = 1)
+SELECT p_partkey, round(CASE WHEN t <= theta THEN 1 - w ELSE 1 - w * exp(-l * dt) - (1 - w) * {reached("dt")} END, 9) AS p FROM e""")
 def periodic_test5(spark, sf_dir):
-    """Tests that reveal failures with repair times: a recurrence over the tests, checked against a loop in tests."""
+    """Tests that reveal failures with repair times: a recurrence over the tests."""
     return read(spark, sf_dir, "part").select("p_partkey", n9(lifetime.periodic_test_repair(F.lit(1e-4), F.lit(0.02), F.lit(72.0), F.lit(10.0), price()), "p"))
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT p_partkey, p_retailprice::DOUBLE AS t, 2e-4 AS l, 1e-3 AS lt, 0.02 AS mu, 100.0 AS tau, 30.0 AS theta, 0.01 AS g, 8.0 AS d, 0.95 AS sg, 0.02 AS o FROM part),
+s AS (
+  SELECT *, 0 AS k, exp(-l * least(t, theta)) AS w, 0.0::DOUBLE AS r FROM c
+  UNION ALL
+  SELECT p_partkey, t, l, lt, mu, tau, theta, g, d, sg, o, k + 1, w2 * exp(-l * (tau - d)) + (1 - o) * r2 * {reached("(tau - d)")}, r2 * exp(-mu * (tau - d))
+  FROM (SELECT *, (1 - o) * r * {reached("d")} + (1 - o) * tw AS w2, r * exp(-mu * d) + sg * (1 - r - tw) AS r2 FROM (SELECT *, (1 - g) * w * exp(-lt * d) AS tw FROM s WHERE k < floor((t - theta) / tau)))
+), e AS (SELECT *, t - theta - tau * k AS dt FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC) = 1),
+x AS (SELECT *, (1 - o) * r * {reached("d")} + (1 - o) * tw AS w2, r * exp(-mu * d) + sg * (1 - r - tw) AS r2 FROM (SELECT *, (1 - g) * w * exp(-lt * d) AS tw FROM e))
+SELECT p_partkey, round(CASE WHEN t <= theta THEN 1 - w WHEN dt < d THEN 1 - (1 - o) * r * {reached("dt")} ELSE 1 - w2 * exp(-l * (dt - d)) - (1 - o) * r2 * {reached("(dt - d)")} END, 9) AS p FROM x""")
+def periodic_test11(spark, sf_dir):
+    """Tests that take time, can break the component and overlook failures; not available under test."""
+    values = (2e-4, 1e-3, 0.02, 100.0, 30.0, 0.01, 8.0, 0.0, 0.95, 0.02)
+    return read(spark, sf_dir, "part").select("p_partkey", n9(lifetime.periodic_test_full(*map(F.lit, values), price()), "p"))
+
+
 UNIFORM = "(('0x' || substr(md5('42|' || t || '|' || p_partkey), 1, 8))::BIGINT / 4294967296.0)"
 TRIALS = f"WITH v AS (SELECT p_partkey, t, p_size, p_retailprice, {UNIFORM} AS u FROM part, range(20) r(t))"
 

@@ -56,6 +56,35 @@ def test_lifetime(spark):
     assert r[5] == pytest.approx(1 - math.exp(-0.02))
 
 
+def full_test(lam, lam_test, mu, tau, theta, gamma, duration, available, sigma, omega, t, dt=0.002):
+    """The five states of a tested component in small steps."""
+    w, f, r, tw, tf, clock, start, end = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, theta, None
+    while clock < t - dt / 2:
+        if clock >= start - dt / 2:
+            tw, tf, w, f = (1 - gamma) * w, f + gamma * w, 0.0, 0.0
+            end, start = start + duration, start + tau
+        if end is not None and clock >= end - dt / 2:
+            w, f, r, tw, tf, end = w + (1 - omega) * tw, f + omega * tw + (1 - sigma) * tf, r + sigma * tf, 0.0, 0.0, None
+        w, f, r, tw, tf = w + dt * ((1 - omega) * mu * r - lam * w), f + dt * (lam * w + omega * mu * r), r - dt * mu * r, tw - dt * lam_test * tw, tf + dt * lam_test * tw
+        clock += dt
+    return f + r + tf + (0 if available else tw)
+
+
+def test_full_periodic_test(spark):
+    c = lambda x: F.lit(float(x))
+    base = (2e-3, 5e-3, 0.05, 100, 50, 0.02, 10, 1, 0.9, 0.03)
+    away = (*base[:7], 0, *base[8:])
+    same = (0.05, 5e-3, 0.05, *base[3:])  # repair as fast as failure
+    cases = [(*x, t) for x in (base, away, same) for t in (20, 55, 75, 254, 295)]
+    got = one(spark, *[lifetime.periodic_test_full(*map(c, x)) for x in cases])
+    for v, x in zip(got, cases, strict=True):
+        assert v == pytest.approx(full_test(*x), rel=2e-3), x
+    # tests that take no time, find everything and break nothing are the law of five arguments
+    plain = one(spark, lifetime.periodic_test_full(*map(c, (1e-3, 0, 0.05, 100, 50, 0, 1e-9, 1, 1, 0, 495))), lifetime.periodic_test_repair(*map(c, (1e-3, 0.05, 100, 50, 495))))
+    assert plain[0] == pytest.approx(plain[1], rel=1e-6)
+    assert one(spark, lifetime.periodic_test_full(*map(c, base), F.lit(None).cast("double")))[0] is None
+
+
 GOLDEN = {
     "beta-factor": ([(3, 0.1)], [0.09, None, 0.01]), "MGL": ([(2, 0.1), (3, 0.2)], [0.09, 0.004, 0.002]),
     "alpha-factor": ([(1, 0.9), (2, 0.08), (3, 0.02)], [0.0803571428571, 0.00714285714286, 0.00535714285714]), "phi-factor": ([(1, 0.9), (2, 0.08), (3, 0.02)], [0.09, 0.008, 0.002]),
