@@ -69,6 +69,8 @@ WRONG = """<opsa-mef>
   <define-event-tree name="L"><initial-state><rule name="jump"/><collect-expression><float value="1"/></collect-expression><collect-formula><basic-event name="E"/></collect-formula><set-house-event name="none"><constant value="true"/></set-house-event><branch name="lost"/></initial-state></define-event-tree>
   <define-fault-tree name="F"><define-basic-event name="E"><sqrt><float value="-1"/></sqrt></define-basic-event><define-basic-event name="D"><div><float value="1"/><float value="0"/></div></define-basic-event>
     <define-basic-event name="W"><exponential><float value="1"/></exponential></define-basic-event><define-basic-event name="V"><uniform-deviate><float value="0.5"/><float value="0.1"/></uniform-deviate></define-basic-event>
+    <define-basic-event name="P7"><periodic-test><float value="0.001"/><float value="0.001"/><float value="0.001"/><float value="0.001"/><float value="0.001"/><float value="0.001"/><float value="0.001"/></periodic-test></define-basic-event>
+    <define-basic-event name="P11"><periodic-test><float value="0.001"/><float value="0.001"/><float value="0.05"/><float value="100"/><float value="50"/><float value="2"/><float value="10"/><float value="1"/><float value="0.9"/><float value="0.03"/><float value="295"/></periodic-test></define-basic-event>
     <define-CCF-group name="c" model="phi-factor"><members><basic-event name="m1"/><basic-event name="m2"/></members><distribution><float value="2"/></distribution><factor level="1"><float value="0.5"/></factor></define-CCF-group>
     <define-CCF-group name="d" model="MGL"><members><basic-event name="o1"/><basic-event name="o2"/></members><distribution><float value="0.1"/></distribution><factor level="3"><float value="0.5"/></factor></define-CCF-group>
     <define-CCF-group name="e" model="alpha-factor"><members><basic-event name="q1"/><basic-event name="q2"/></members></define-CCF-group></define-fault-tree>
@@ -86,7 +88,7 @@ def test_wrong(spark, tmp_path):
         ("DuplicateElementError", "sequence defined more than once", "s"), ("ValidityError", "unknown instruction", "mystery"), ("ValidityError", "functional event out of order", "T.A"),
         ("UndefinedElement", "sequence of a branch", "nowhere"), ("UndefinedElement", "branch of a branch", "lost"), ("ValidityError", "collects both expressions and formulas", "L"),
         ("UndefinedElement", "house event of an instruction", "none"), ("UndefinedElement", "house event of a phase", "none"), ("DomainError", "argument outside the operator's domain", "sqrt"),
-        ("DomainError", "division by zero", "div"), ("ValidityError", "wrong number of arguments", "exponential"), ("ValidityError", "minimum not below maximum", "uniform-deviate"),
+        ("DomainError", "division by zero", "div"), ("ValidityError", "wrong number of arguments", "exponential"), ("ValidityError", "wrong number of arguments", "periodic-test"), ("DomainError", "argument outside the law's domain", "periodic-test"), ("ValidityError", "minimum not below maximum", "uniform-deviate"),
         ("DomainError", "distribution or factor is not a probability", "group:c"), ("ValidityError", "factors of a phi model must sum to 1", "c"), ("ValidityError", "level out of range", "d"),
         ("LogicError", "a group needs a distribution and factors", "e"), ("DuplicateElementError", "source given twice", "u"), ("ValidityError", "hypothesis with complements", "w"),
         ("ValidityError", "events of a non-declarative substitution in a common-cause group", "u"), ("ValidityError", "non-declarative substitutions need an approximation", "u"),
