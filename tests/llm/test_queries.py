@@ -69,3 +69,67 @@ def test_op8(spark, tables):
         want.append((i, len(words), sum(gone), sha(b" ".join(w for w, g in zip(words, gone, strict=True) if not g))))
     assert any(w[2] for w in want)
     assert rows_of(spark, "op8_substring_dedup", folder, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
+
+
+def words_of(text):
+    return [x.decode() for x in (text or "").encode().split()]
+
+
+def test_op5(spark, tmp_path):
+    """Sizes, targets and bounds; a source of empty texts and an empty table."""
+    rows = [(i, t, None, "void" if i == 63 else s, 0, "k", "o", "t") for i, t, _, s, *_ in {r[0]: r for r in corpus(12, 150) if r[0] is not None}.values()]
+    rows += [(1000 + i, None if i else "  ", None, "z", 0, "k", "o", "t") for i in range(2)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    size = {r[0]: len(words_of(r[1])) for r in rows}
+    total = Counter()
+    for r in rows:
+        total[r[3]] += size[r[0]]
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, target, pool = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, {}, 1.5 * sum(total.values())
+    while True:
+        free = [s for s in order if s not in target]
+        part = {s: (pool - sum(target.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if part[s] > 2 * total[s]]
+        if not full:
+            break
+        target |= {s: 2.0 * total[s] for s in full}
+    target |= part
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    got = rows_of(spark, "op5_mixing", str(tmp_path), *columns)
+    assert [x[:3] for x in got] == sorted((r[0], size[r[0]], total[r[3]]) for r in rows)
+    source = {r[0]: r[3] for r in rows}
+    taken = Counter()
+    for i, n, _, wanted, mine in got:
+        assert wanted == pytest.approx(target[source[i]]) and 0 <= mine <= 2 * n
+        taken[source[i]] += mine
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(256, 0.02 * target[s]), s
+    assert rows_of(spark, "op5_mixing", str(tmp_path), *columns) == got
+    frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert rows_of(spark, "op5_mixing", f"{tmp_path}/none", *columns) == []
+
+
+def test_op7(spark, tables):
+    folder, texts = tables
+    want = []
+    for i, t in texts.items():
+        w = words_of(t)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        again = len({k for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)})
+        lines = [x for x in t.split("\n") if words_of(x)]
+        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), again, len(w) < 50 or 100 * again > 50 * len(w)))
+    got = rows_of(spark, "op7_quality", folder, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert [x[:-1] for x in got] == sorted(want)
+    assert all(x[-1] is not None and not (x[-2] and x[-1]) for x in got)
+
+
+def test_op9_of_few(spark, tmp_path):
+    """With fewer than 20 candidates all come, nearest first, ties to the smaller id; broken vectors take no part."""
+    x = [[float((i * 7) % 5), 1.0, float(i % 3) - 1] for i in range(15)]
+    rows = [(i * 10, v) for i, v in enumerate(x)] + [(200, None), (220, [0.0] * 3), (240, [float("inf"), 0.0, 1.0]), (260, [None, 1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = []
+    for q in range(0, 15, 2):
+        scores = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i * 10) for i in range(15) if i != q)
+        want += [(q * 10, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    assert rows_of(spark, "op9_nearest", str(tmp_path), "query_id", "rank", "vec_id", "score") == sorted(want)
