@@ -1,13 +1,15 @@
 """Registered queries, all columns of their rows, against brute force on a small table of documents."""
 
 import hashlib
+import random
 import struct
+import zlib
 from collections import Counter
 
 import pytest
 
 import __spark_entry__
-from tests.llm.test_texts import VOCABULARY, corpus, frame, public_tokenizers
+from tests.llm.test_texts import VOCABULARY, brute_lines, corpus, frame, public_tokenizers
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -133,3 +135,34 @@ def test_op9_of_few(spark, tmp_path):
         scores = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i * 10) for i in range(15) if i != q)
         want += [(q * 10, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
     assert rows_of(spark, "op9_nearest", str(tmp_path), "query_id", "rank", "vec_id", "score") == sorted(want)
+
+
+def test_op6(spark, tables):
+    folder, texts = tables
+    rows = [r for r in {r[0]: r for r in corpus(11) if r[0] is not None}.values()]
+    gone = {}
+    for i, _, j in brute_lines(rows):
+        gone.setdefault(i, []).append(j)
+    got = rows_of(spark, "op6_line_dedup", folder, "doc_id", "n_lines", "n_removed", "removed")
+    want = [(r[0], 0 if r[1] is None else r[1].count("\n") + 1, len(gone.get(r[0], [])), sorted(gone.get(r[0], []))) for r in rows]
+    assert [(*x[:3], sorted(x[3])) for x in got] == sorted(want) and any(w[2] for w in want)
+
+
+def test_op10(spark, tmp_path):
+    """Held-out labels have no part in the scores; every document has one."""
+    rng = random.Random(8)
+    words = [f"{a}{b}um" for a in "bdfgk" for b in "aeiou"]
+    rows = [(i, " ".join(rng.choices(words, k=40) + (["zorgling"] if i % 4 == 0 else [])), None, "s", 0, "k", "o", "t") for i in range(160)]
+    rows += [(900, None, *rows[0][2:]), (901, "", *rows[0][2:])]
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows}
+    found = []
+    for name, turned in (("a", False), ("b", True)):
+        folder = f"{tmp_path}/{name}"
+        frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        labels = [(r[0], int((r[0] % 4 == 0) != (turned and held[r[0]]))) for r in rows[:160]]
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found.append(rows_of(spark, "op10_toxicity", folder, "doc_id", "held_out", "score", "predicted"))
+    assert [x[:2] for x in found[0]] == sorted(held.items())
+    assert all(0 <= s <= 1 and p == (s >= 0.7) for _, _, s, p in found[0])
+    assert [x[2] for x in found[1]] == pytest.approx([x[2] for x in found[0]], abs=1e-9)
+    assert all(p == (i % 4 == 0) for i, h, _, p in found[0] if h and i < 160)
