@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import ann, bpe, divergence, hard_negatives, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_nearest": ann.op9_nearest,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_topk": topk.op12_topk,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_topk": topk.OP12_SQL, "op13_divergence": divergence.OP13_SQL}
