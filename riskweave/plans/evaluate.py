@@ -219,6 +219,54 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
     return done
 
 
+class Contextual:
+    """Expressions that test initiating or functional events: their values in many contexts at once; the others' values once."""
+
+    def __init__(self, model: Model, rounds: graphs.Rounds):
+        """Nothing is evaluated anew for models without such tests."""
+        self.model, self.rounds = model, rounds
+        self.values = rounds.save(expressions(model).select("key", "value"))
+        tests = model.expressions.where("tag IN ('test-initiating-event', 'test-functional-event')").select(F.concat_ws("#", "file", "node").alias("node"))
+        self.none = tests.isEmpty()
+        if self.none:
+            self.dependent = rounds.save(tests)
+            return
+        nodes, edges = _links(model)
+        self.edges = rounds.save(edges)
+        self.dependent = rounds.save(graphs.reaching(tests, self.edges.select("a", "b").distinct()))
+        inside = self.edges.join(self.dependent.withColumnRenamed("node", "a"), "a", "left_semi").join(self.dependent.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").distinct()
+        inside = rounds.save(inside)
+        placed, _ = graphs.levels(inside)
+        leveled = nodes.join(self.dependent.withColumnRenamed("node", "key"), "key", "left_semi").join(placed.select(F.col("node").alias("key"), "level"), "key", "left").fillna(0, ["level"])
+        self.leveled = rounds.save(leveled)
+        self.top = self.leveled.agg(F.max("level")).first()[0] or 0
+        self.inside = inside
+
+    def evaluate(self, wanted: DataFrame, contexts: DataFrame) -> DataFrame:
+        """(ctx, key, value) of ``wanted`` (ctx, key); ``contexts``: ctx, ie, fe (functional events to their states)."""
+        plain = wanted.join(self.values, "key").select("ctx", "key", "value")
+        if self.none:
+            return plain
+        rounds = self.rounds
+        special = rounds.save(wanted.join(self.dependent.withColumnRenamed("node", "key"), "key", "left_semi").select("ctx", "key").distinct())
+        if special.isEmpty():
+            return plain
+        below = graphs.reach(special.select(F.col("key").alias("start")), self.inside).select(F.col("start").alias("key"), "node")
+        needed = special.join(below, "key").select("ctx", F.col("node").alias("key")).distinct().join(self.leveled, "key")
+        needed = rounds.save(needed)
+        tested = needed.where("tag LIKE 'test-%'").join(contexts, "ctx")
+        holds = F.when(F.col("tag") == "test-initiating-event", F.col("ie") == F.col("ref")).otherwise(F.element_at("fe", F.col("ref")) == F.col("state"))
+        done = rounds.save(tested.select("ctx", "key", numeric.number(F.coalesce(holds, F.lit(False))).alias("value")))
+        for level in range(self.top + 1):
+            here = needed.where((F.col("level") == level) & ~F.col("tag").startswith("test-")).select("ctx", F.col("key").alias("a"), "tag", F.col("ref").alias("of"))
+            args = here.join(self.edges, "a").join(self.values.select(F.col("key").alias("b"), F.col("value").alias("fixed")), "b", "left").join(done.select("ctx", F.col("key").alias("b"), "value"), ["ctx", "b"], "left")
+            order = F.sort_array(F.collect_list(F.struct("o1", "o2", F.coalesce("value", "fixed").alias("value"))))
+            got = args.groupBy("ctx", "a", "tag", "of").agg(F.transform(order, lambda x: x["value"]).alias("v"))
+            value = F.when(F.col("tag") == "parameter", _arg(F.col("v"), 0)).otherwise(_value(F.col("tag"), F.col("v"), F.col("of"), self.model.functions))
+            done = done.unionByName(rounds.save(got.select("ctx", F.col("a").alias("key"), value.alias("value"))))
+        return plain.join(special, ["ctx", "key"], "left_anti").unionByName(done.join(special, ["ctx", "key"], "left_semi"))
+
+
 def _of_events(model: Model, values: DataFrame) -> DataFrame:
     roots = model.expression_roots.where("id LIKE 'event:%'").select(F.substring("id", 7, 1 << 20).alias("id"), F.concat_ws("#", "file", "root").alias("key"))
     return roots.join(values, "key").drop("key").withColumnRenamed("value", "p")
@@ -294,11 +342,16 @@ def gate_probabilities(model: Model, events: DataFrame | None = None) -> DataFra
 
     A gate over an argument without a probability has none either (null).
     """
-    rounds = graphs.Rounds(model.nodes.sparkSession)
     houses = model.house_events.select("id", F.col("state").cast("double").alias("p"))
     fixed = model.nodes.sparkSession.createDataFrame([("__true__", 1.0), ("__false__", 0.0)], "id string, p double")
-    done = rounds.save((events if events is not None else _base(model)).select("id", "p").unionByName(houses).unionByName(fixed))
-    gates, all_args, edges = _applied(model)
+    gates, args, edges = _applied(model)
+    return bottom_up(gates, args, edges, (events if events is not None else _base(model)).select("id", "p").unionByName(houses).unionByName(fixed))
+
+
+def bottom_up(gates: DataFrame, all_args: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, p) of ``known`` and of gates over them, level by level, arguments taken as independent."""
+    rounds = graphs.Rounds(gates.sparkSession)
+    done = rounds.save(known)
     gates, top = _by_level(gates, edges)
     for level in range((top if top is not None else -1) + 1):
         here = gates.where(F.col("level") == level)

@@ -214,7 +214,10 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         problems += _externs(of, registry, functions or {})
 
     # formulas
-    gates, raw_args, nested = of.formulas(of.named("define-gate"))
+    defined = of.named("define-gate").select("file", "node", "id", "base_path")
+    if present & {"define-event-tree", "define-sequence", "define-rule"}:  # collected formulas are gates of their own
+        defined = defined.unionByName(of.tagged("collect-formula").select("file", "node", trees.formula_id().alias("id"), F.lit("").alias("base_path")))
+    gates, raw_args, nested = of.formulas(defined)
     args = rounds.save(resolved_args(raw_args, entities))
     counts = args.groupBy("gate_id").agg(F.count("*").alias("n"))
     shaped = gates.join(counts, gates["id"] == counts["gate_id"], "left").fillna(0, ["n"])

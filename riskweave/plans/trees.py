@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CycleError
 from ..operators import elements, eventtrees, graphs
 from ..sources import casts
 from ..sources.xml_nodes import attr
@@ -24,6 +23,11 @@ def _unit(node: str = "node") -> Column:
     return F.concat_ws("#", "file", node)
 
 
+def formula_id() -> Column:
+    """The gate that stands for a collected formula, by the row (file, node) of its instruction."""
+    return F.concat(F.lit("formula:"), _unit())
+
+
 def tables(of) -> dict[str, DataFrame]:
     """Tables of a ``model.Loader``: event_trees, functional_events, branches, sequences, rules, instructions, references."""
     trees = of.tagged("define-event-tree").select("file", "line", "node", attr("name").alias("tree"), F.concat(F.lit("t:"), attr("name")).alias("block"))
@@ -161,62 +165,8 @@ def problems(t: dict[str, DataFrame], initiating: DataFrame, houses: DataFrame)
     return out
 
 
-def active(model, values: DataFrame) -> DataFrame:
-    """(unit, node, kind, ref, state, file, at): the instructions that each unit carries out, with the units of rules that it uses taken in.
-
-    ``values`` (key, value) of expressions choose the arms of conditions; ``at`` is the order of carrying out.
-    """
-    rounds = graphs.Rounds(model.nodes.sparkSession)
-    steps = model.instructions.select("file", "node", "parent", "owner", "kind", "ref", "state")
-    nodes = model.nodes.select("file", "node", "parent", "ordinal", "tag").where("tag <> 'label' AND tag <> 'attributes'")
-    conditions = nodes.join(steps.where("kind = 'if'").select("file", F.col("node").alias("parent")), ["file", "parent"])
-    first = conditions.groupBy("file", "parent").agg(F.min_by("node", "ordinal").alias("condition"), F.sort_array(F.collect_list("ordinal")).alias("places"))
-    known = first.join(values.select(F.col("key"), "value"), F.concat_ws("#", "file", "condition") == F.col("key"), "left")
-    arm = F.get("places", F.when(F.col("value") != 0, 1).otherwise(2))
-    chosen = known.select("file", F.col("parent").alias("node"), arm.alias("arm"))
-    rules = model.rules.select(F.col("name").alias("ref"), F.col("file").alias("rule_file"), F.col("node").alias("rule"))
-    children = steps.join(nodes.select("file", "node", "ordinal"), ["file", "node"])
-    top = children.where("parent = owner").select(F.concat_ws("#", "file", "owner").alias("unit"), "file", "node", "kind", "ref", "state", F.array(F.struct("file", "node")).alias("at"))
-    front = rounds.save(top)
-    found, depth, most = front, 0, None
-    while not front.isEmpty():
-        blocks = front.where("kind = 'block'").select("unit", "file", F.col("node").alias("parent"), F.col("at").alias("above"))
-        blocks = blocks.join(children, ["file", "parent"])
-        ifs = front.where("kind = 'if'").join(chosen, ["file", "node"]).select("unit", "file", F.col("node").alias("parent"), F.col("arm").alias("ordinal"), F.col("at").alias("above"))
-        ifs = ifs.join(children, ["file", "parent", "ordinal"])
-        called = front.where("kind = 'rule'").join(rules, "ref").select("unit", F.col("rule_file").alias("file"), F.col("rule").alias("parent"), F.col("at").alias("above"))
-        called = called.join(children, ["file", "parent"])
-        more = [x.select("unit", "file", "node", "kind", "ref", "state", F.concat("above", F.array(F.struct("file", "node"))).alias("at")) for x in (blocks, ifs, called)]
-        front = rounds.save(elements.union(more))
-        found = found.unionByName(front)
-        depth += 1
-        if depth >= 100 and depth > (most := most or steps.count()):
-            raise CycleError("rules refer to themselves")
-    return found
-
+def walk(model) -> DataFrame:
+    """All ways from initiating events to sequences; see ``sequences.walk``."""
+    from . import sequences
 
-def walk(model, context: dict | None = None) -> DataFrame:
-    """(ie, sequence, context, p) of all ways from initiating events to sequences.
-
-    p is the product of the expressions collected on the way and in its sequence; conditions choose by their value in
-    ``context`` (see ``evaluate.expressions``). A sequence with a link goes on in the linked tree.
-    """
-    from . import evaluate
-
-    values = evaluate.expressions(model, context=context).select("key", "value")
-    steps = graphs.Rounds(model.nodes.sparkSession).save(active(model, values))
-    below = model.nodes.select("file", F.col("parent").alias("node"), F.concat_ws("#", "file", "node").alias("key")).join(model.expressions.select(F.concat_ws("#", "file", "node").alias("key")), "key")
-    collected = steps.where("kind = 'collect-expression'").join(below, ["file", "node"]).join(values, "key").groupBy("unit").agg(F.product("value").alias("p"))
-    starts = model.branches.where("kind = 'initial-state'").select("tree", F.col("unit").alias("branch"))
-    none = F.lit("").alias("tree")
-    named = model.branches.where("kind = 'define-branch'").select("tree", F.col("name").alias("next"), F.col("unit").alias("to"))
-    rows = model.branches.join(named, ["tree", "next"], "left").join(collected, "unit", "left")
-    follow = F.when(F.col("target") == "branch", F.col("to")).when(F.col("target") == "sequence", F.concat(F.lit("s:"), "next")).otherwise(F.col("next"))
-    rows = rows.select(none, F.coalesce("fork", "unit").alias("branch"), "event", "state", F.when(F.col("target") == "sequence", "branch").otherwise(F.col("target")).alias("target"), follow.alias("next"), "p")
-    # a sequence is a branch of its own: it collects, and ends or goes on
-    sequences = model.sequences.select(F.concat_ws("#", "file", "node").alias("unit"), "name").join(collected, "unit", "left")
-    links = steps.where("kind = 'event-tree'").groupBy("unit").agg(F.max_by("ref", "at").alias("tree")).join(starts, "tree").select("unit", F.col("branch").alias("on"))
-    nothing = F.lit(None).cast("string")
-    ends = sequences.join(links, "unit", "left").select(none, F.concat(F.lit("s:"), "name").alias("branch"), nothing.alias("event"), nothing.alias("state"), F.when(F.col("on").isNull(), "sequence").otherwise("branch").alias("target"), F.coalesce("on", "name").alias("next"), "p")
-    begins = model.initiating_events.join(starts, "tree").select(F.col("name").alias("ie"), none, "branch")
-    return eventtrees.walk(begins, rows.unionByName(ends))
+    return sequences.walk(model)

@@ -37,11 +37,10 @@ MODEL = """<opsa-mef>
 def test_sound(spark, tmp_path):
     m = load(spark, tmp_path, MODEL, allow_extern=True, functions={"twice_": lambda x: 2 * x}, check_values=True, settings=Settings(probability_analysis=True))
     assert m.violations.collect() == []
-    ways = {(r.sequence, tuple(sorted(r.context.items()))): r.p for r in trees.walk(m, {"fe": {"A": "n"}}).collect()}
+    ways = {(r.sequence, tuple(sorted(r.context.items()))): r.p for r in trees.walk(m).collect()}
     assert ways == {
         ("end", (("A", "y"), ("B", "y"))): pytest.approx(0.05), ("done", (("A", "y"), ("B", "n"))): pytest.approx(0.025), ("end", (("A", "n"),)): pytest.approx(0.01),
     }
-    assert trees.walk(m).agg(F.sum("p")).first()[0] == pytest.approx(0.125)
     p = {r.id: r.p for r in evaluate.gate_probabilities(m).collect()}
     member = 1 - (1 - 0.08) * (1 - 0.02)
     assert p["X"] == 0.5 and p["m1"] == pytest.approx(member) and p["G"] == pytest.approx(0.5 * member)
