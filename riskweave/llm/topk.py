@@ -22,46 +22,41 @@ from . import blocks
 from .common import Scratch, table
 
 #: Sixteenths of the lists that have been read after each round.
-DEPTHS = (1, 2, 4, 6, 7, 8, 9, 10, 12, 14)
+DEPTHS = (1, 4, 6, 7, 8, 10, 12, 14)
 
 
 class Lists:
-    """The sorted lists of a block: ids and values by dimension, from the smallest value."""
+    """The sorted lists of a block by dimension, from the smallest value: places of their entries in the block, and values."""
 
     def __init__(self, x: np.ndarray):
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, self.order, axis=0)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, order, axis=0)
+        self.places = order * x.shape[1] + np.arange(x.shape[1])
 
     def survivors(self, q: np.ndarray, k: int, floor: float, own: np.ndarray) -> tuple[np.ndarray, float]:
         """Numbers of the rows that can be among the ``k`` best, and a score that the k-th best has at least; ``own``: rows left out."""
-        used = np.flatnonzero(q)
-        n, q = len(self.order), q[used]
+        n, enough = len(self.places), 4 * k
         alive = np.ones(n, bool)
         alive[own] = False
-        enough = 4 * k
-        if not len(used) or alive.sum() <= enough:
+        if not q.size or alive.sum() <= enough:
             return np.flatnonzero(alive), floor
-        up = q > 0
-        value = lambda depth: np.where(up, self.values[n - depth, used], self.values[depth - 1, used]) * q
+        up, before = q > 0, 0
+        value = lambda depth: np.where(up, self.values[n - depth], self.values[depth - 1]) * q
         worst = value(n)
-        got, known = np.zeros(n), np.zeros(n)  # of what was read: contributions, and the ends of their lists
-        read: list[tuple[np.ndarray, np.ndarray]] = []
-        before = 0
+        seen, got = np.zeros(self.places.shape), np.zeros(self.places.shape)
         for part in DEPTHS:
             depth = n * part // 16
             if depth <= before:
                 continue
-            rows = np.where(up, self.order[n - depth : n - before, used], self.order[before:depth, used])
-            new = np.where(up, self.values[n - depth : n - before, used], self.values[before:depth, used]) * q
-            flat, before = rows.ravel(), depth
-            got += np.bincount(flat, new.ravel(), n)
-            known += np.bincount(flat, np.broadcast_to(worst, rows.shape).ravel(), n)
-            read.append((flat, np.broadcast_to(np.arange(len(q)), rows.shape).ravel()))
+            places = np.where(up, self.places[n - depth : n - before], self.places[before:depth])
+            seen.reshape(-1)[places] = 1
+            got.reshape(-1)[places] = np.where(up, self.values[n - depth : n - before], self.values[before:depth]) * q
+            before = depth
             front = value(depth)
-            passed = sum(np.bincount(f, front[d], n) for f, d in read)
-            low = (got + (worst.sum() - known))[alive]
+            read, unread = got.sum(1), seen @ np.column_stack((worst, front))
+            low = (read + (worst.sum() - unread[:, 0]))[alive]
             floor = max(floor, np.partition(low, len(low) - k)[len(low) - k]) if len(low) >= k else floor
-            alive &= got + (front.sum() - passed) >= floor
+            alive &= read + (front.sum() - unread[:, 1]) >= floor
             if alive.sum() <= enough:
                 break
         return np.flatnonzero(alive), floor
