@@ -72,12 +72,16 @@ def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: f
 
 
 def minimal(cuts: DataFrame) -> DataFrame:
-    """Cut sets without those that contain another one of their root, found through the smaller set's first event."""
-    small = cuts.select("root", F.get("cut", F.lit(0)).alias("e"), F.col("cut").alias("small"))
-    large = cuts.select("root", F.explode("cut").alias("e"), F.col("cut").alias("large"))
+    """Cut sets without those that contain another one of their root, found through the smaller set's rarest event."""
+    each = cuts.select("root", "cut", F.explode("cut").alias("e"))
+    counts = each.groupBy("root", "e").agg(F.count("*").alias("n"))
+    small = each.join(counts, ["root", "e"]).groupBy("root", F.col("cut").alias("small")).agg(F.min_by("e", F.struct("n", "e")).alias("e"))
+    large = each.select("root", "e", F.col("cut").alias("large"))
     inside = (F.size("small") < F.size("large")) & (F.size(F.array_except("small", "large")) == 0)
-    absorbed = large.join(small, ["root", "e"]).where(inside).select("root", F.col("large").alias("cut")).distinct()
-    return cuts.join(absorbed, ["root", "cut"], "left_anti")
+    absorbed = large.join(small, ["root", "e"]).where(inside).select("root", F.col("large").alias("cut"))
+    certain = cuts.where(F.size("cut") == 0).select("root").distinct()  # the empty set is in all others
+    over = cuts.where(F.size("cut") > 0).join(certain, "root", "left_semi").select("root", "cut")
+    return cuts.join(absorbed.unionByName(over).distinct(), ["root", "cut"], "left_anti")
 
 
 def trials(events: DataFrame, n: int, seed: int, node: str) -> DataFrame:
