@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CycleError
@@ -31,10 +32,24 @@ class Rounds:
         self.spark, self.folder, self.n = spark, _store(spark), 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """The table as written. Its rows are counted while they are written, see ``empty``; one without rows is read no more."""
         self.n += 1
-        path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._write(df, self.n)
+
+    def _write(self, df: DataFrame, number: int) -> DataFrame:
+        path, seen = f"{self.folder}/{number}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        rows = seen.get["rows"]
+        out = out if rows else out.where("false")
+        out._saved_rows = rows
+        return out
+
+    def save_all(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Tables that do not need each other, their jobs at the same time."""
+        first, self.n = self.n + 1, self.n + len(frames)
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(frames, pool.map(self._write, frames.values(), range(first, first + len(frames))), strict=True))
 
     def drop(self, *numbers: int) -> None:
         """Delete tables, by the numbers of their saving, that nothing reads any more."""
@@ -43,6 +58,12 @@ class Rounds:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def empty(df: DataFrame) -> bool:
+    """Whether a table has no rows; needs no job for one that ``Rounds`` has written."""
+    rows = df.__dict__.get("_saved_rows")
+    return df.isEmpty() if rows is None else not rows
+
+
 def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level) by longest path from the leaves, and the edges (a, b: a refers to b) that lie on or above a cycle.
 
@@ -53,7 +74,7 @@ def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = rounds.save(edges.select(F.col("b").alias("node")).join(edges.select(F.col("a").alias("node")), "node", "left_anti").distinct().withColumn("level", F.lit(0)))
     front, level = placed, 0
     held = 1
-    while not front.isEmpty():
+    while not empty(front):
         level += 1
         rest = rounds.save(left.join(front.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
         touched = left.join(front.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
@@ -79,7 +100,7 @@ def some_cycles(edges: DataFrame) -> DataFrame:
     rounds = Rounds(edges.sparkSession)
     edges = rounds.save(edges.select("a", "b").distinct())
     none = edges.sparkSession.createDataFrame([], "path string")
-    if edges.isEmpty():
+    if empty(edges):
         return none
     core = on_cycles(edges).groupBy("a").agg(F.min("b").alias("b"))
     jump = one = rounds.save(core.select("a", "b", F.least("a", "b").alias("least")))
@@ -101,7 +122,7 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     rounds = Rounds(starts.sparkSession)
     front = rounds.save(starts.select("start", F.col("start").alias("node")).distinct())
     have = front
-    while not front.isEmpty():
+    while not empty(front):
         step = front.join(edges.select(F.col("a").alias("node"), F.col("b").alias("next")), "node").select("start", F.col("next").alias("node")).distinct()
         front = rounds.save(step.join(have, ["start", "node"], "left_anti"))
         have = have.unionByName(front)
@@ -113,7 +134,7 @@ def reaching(marked: DataFrame, edges: DataFrame) -> DataFrame:
     rounds = Rounds(marked.sparkSession)
     front = rounds.save(marked.select("node").distinct())
     have = front
-    while not front.isEmpty():
+    while not empty(front):
         step = front.join(edges.select(F.col("b").alias("node"), "a"), "node").select(F.col("a").alias("node")).distinct()
         front = rounds.save(step.join(have, "node", "left_anti"))
         have = have.unionByName(front)
@@ -127,11 +148,11 @@ def cycle_paths(edges: DataFrame, max_length: int = 100) -> DataFrame:
     """
     rounds = Rounds(edges.sparkSession)
     edges = rounds.save(edges.select("a", "b"))
-    if edges.isEmpty():
+    if empty(edges):
         return edges.select(F.col("a").cast("string").alias("path"))
     core = on_cycles(edges)
     core = rounds.save(core)
-    if core.isEmpty():
+    if empty(core):
         return core.select(F.col("a").cast("string").alias("path"))
     walks = core.select(F.col("a").alias("start"), F.col("b").alias("end"), F.array("a").alias("path"))
     found = None

@@ -249,7 +249,7 @@ class Contextual:
             return plain
         rounds = self.rounds
         special = rounds.save(wanted.join(self.dependent.withColumnRenamed("node", "key"), "key", "left_semi").select("ctx", "key").distinct())
-        if special.isEmpty():
+        if graphs.empty(special):
             return plain
         below = graphs.reach(special.select(F.col("key").alias("start")), self.inside).select(F.col("start").alias("key"), "node")
         needed = special.join(below, "key").select("ctx", F.col("node").alias("key")).distinct().join(self.leveled, "key")

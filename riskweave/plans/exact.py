@@ -67,7 +67,7 @@ def in_states(g: Graph, houses: DataFrame, roots: DataFrame, states: DataFrame |
     own = F.concat("scenario", F.lit(MARK), "node")
     edges, front = g.edges, rounds.save(direct)
     touched = front
-    while not front.isEmpty():  # what refers to them, scenario by scenario
+    while not graphs.empty(front):  # what refers to them, scenario by scenario
         up = front.join(edges.withColumnRenamed("b", "node"), "node").select("scenario", F.col("a").alias("node")).distinct()
         front = rounds.save(up.join(touched, ["scenario", "node"], "left_anti"))
         touched = touched.unionByName(front)
@@ -235,7 +235,7 @@ def derivatives(g: Graph, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     front = rounds.save(start if found is None else start.unionByName(found))
     slopes = rounds.save(_slopes(g, c.alone))
     all_ = front
-    while not front.isEmpty():
+    while not graphs.empty(front):
         front = rounds.save(front.withColumnRenamed("id", "gate_id").join(slopes, "gate_id").select("root", F.col("arg_id").alias("id"), (F.col("d") * F.col("slope")).alias("d")))
         all_ = all_.unionByName(front)
     events = all_.join(g.events.select("id"), "id", "left_semi").groupBy("root", "id").agg(F.sum("d").alias("birnbaum"))

@@ -268,7 +268,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     tree_tables: dict[str, DataFrame] = {}
     initiating = of.tagged("define-initiating-event").select("file", "line", attr("name").alias("name"), F.nullif(attr("event-tree"), F.lit("")).alias("tree"))
     if present & {"define-event-tree", "define-initiating-event", "define-sequence", "define-rule"}:
-        tree_tables = {k: rounds.save(t) for k, t in trees.tables(of).items()}
+        tree_tables = rounds.save_all(trees.tables(of))
         problems += trees.problems(tree_tables, initiating, houses.select("id"))
     alignments = of.tagged("define-alignment").select("file", "node", attr("name").alias("name"))
     phases = of.kids(alignments, "name").where("tag = 'define-phase'")

@@ -48,14 +48,14 @@ def effects(model, visits: DataFrame, contexts: DataFrame, tables: dict[str, Dat
     top = children.where("parent = owner").withColumn("unit", _unit("owner")).join(visits, "unit").select(*columns, F.array(at).alias("at"))
     front = rounds.save(top)
     all_, depth, most = front, 0, None
-    while not front.isEmpty():
+    while not graphs.empty(front):
         inner = lambda rows, *by: rows.join(children, list(by)).select("unit", "ctx", "file", "node", "kind", "ref", "state", F.concat("above", F.array(at)).alias("at"))
         blocks = front.where("kind = 'block'").select("unit", "ctx", "file", F.col("node").alias("parent"), F.col("at").alias("above"))
         more = [inner(blocks, "file", "parent")]
         called = front.where("kind = 'rule'").join(rules, "ref").select("unit", "ctx", F.col("rule_file").alias("file"), F.col("rule").alias("parent"), F.col("at").alias("above"))
         more.append(inner(called, "file", "parent"))
         ifs = rounds.save(front.where("kind = 'if'").join(tables["conditions"], ["file", "node"]).select("unit", "ctx", "file", F.col("node").alias("parent"), F.col("at").alias("above"), "key", "places"))
-        if not ifs.isEmpty():
+        if not graphs.empty(ifs):
             known = found.evaluate(ifs.select("ctx", "key").distinct(), contexts)
             arm = F.get("places", F.when(F.col("value") != 0, 1).otherwise(2))
             more.append(inner(ifs.join(known, ["ctx", "key"]).withColumn("ordinal", arm).drop("key", "places", "value"), "file", "parent", "ordinal"))
@@ -114,7 +114,7 @@ def ways(model) -> DataFrame:
             done = here.where("target = 'sequence'").select(*carried, "context", "trail", "next")
             arrived = done if arrived is None else arrived.unionByName(done)
             front = here.where("target <> 'sequence'").select(*carried, "context", "trail", F.col("next").alias("branch"))
-            if front.isEmpty():
+            if graphs.empty(front):
                 break
             depth += 1
             if depth >= 100 and depth > (most := most or branches.count()):
