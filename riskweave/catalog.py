@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import QUERIES, SQL, files, formulas, models, scalars  # noqa: F401
+from .queries import QUERIES, SQL, analyses, files, formulas, models, scalars  # noqa: F401
 
 
 def queries() -> dict:
