@@ -4,13 +4,15 @@ Vectors are brought to equal length by one more coordinate, so that the largest
 Centroids come from balanced k-means over a bounded sample. Every vector goes to the list of its nearest centroid and,
 when it lies near a boundary, to further lists whose centroids are hardly farther and not close to a list it is in.
 Centroids are searched by an in-memory graph; a query visits all centroids found within a ratio of its
-nearest one, however many lists there are. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
+nearest one, and at least some dozen, however many lists there are. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
 bounded number of vectors, so that no task holds more; a query visits all shards that have chunks of its lists. Each shard
-gives a query its best candidates, scored exactly, in double precision, component after component.
+gives a query its best candidates, scored exactly, in double precision, component after component; the queries that visit a
+shard are dealt over slices of a bounded number. Queries that find fewer than they ask for meet all rows, block by block.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part.
 Rows with equal ids count as one candidate, with the better score. Ties go to the smaller id. Fewer candidates than asked for give
-all of them; empty tables give an empty result.
+all of them; empty tables give an empty result. Components of any finite size are taken: lists are made of vectors over the
+largest component of all, and a score beyond double precision is infinite, with the sign of the exact one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import Scratch, table
 
 
@@ -35,6 +38,8 @@ class Settings:
     replicas: int = 4  # lists a vector is in, at most
     boundary: float = 1.08  # a further list's distance against the nearest
     ratio: float = 1.25  # a visited list's distance against a query's nearest
+    least: int = 32  # lists that a query visits, at least (all, if there are fewer)
+    queries: int = 20_000  # queries that meet a shard in one task, about
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96  # centroids kept in a search, at least; a query keeps all within the ratio
     chunk: int = 16_384  # vectors of a list in one shard, about
@@ -75,6 +80,9 @@ class CentroidGraph:
         for i, r in enumerate(near.tolist()):  # links go both ways
             for j in r[: degree // 2]:
                 links[j].add(i)
+        ring = np.argsort(centroids[:, 0], kind="stable").tolist()  # and none is without a way to it
+        for i, j in zip(ring, ring[1:] + ring[:1], strict=True):
+            links[i].add(j)
         self.links = [np.array(sorted(s), np.int64) for s in links]
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int64))
         self.beam = beam
@@ -123,7 +131,10 @@ class Index:
     """``lists``: id, v, list, shard for every vector and list it is in; ``shards``: list -> the shards of its chunks."""
 
     graph: CentroidGraph
-    length: float  # the largest squared length
+    length: float  # the largest squared length, of vectors over ``largest``
+    largest: float  # the largest component
+    rows: DataFrame  # id, v
+    scratch: Scratch
     lists: DataFrame
     shards: dict[int, list[int]]
     settings: Settings
@@ -146,22 +157,23 @@ def pack(sizes: dict[int, int], centroids: np.ndarray, settings: Settings) -> di
 
 def build(rows: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> Index | None:
     """Index every row of (id, v). The centroids, of a bounded number, are fitted by the driver on a bounded sample."""
-    total = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    total = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
     if not total["n"]:
         return None
+    largest = float(total["m"])
+    length = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))).first()[0])
     pick = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 30))
     sample = rows if total["n"] <= settings.sample else rows.where(pick < int((1 << 30) * settings.sample / total["n"]))
-    x = np.array([r[0] for r in sample.select("v", pick.alias("p")).orderBy("p").limit(settings.sample).collect()], float)
-    length = float(total["m"])
+    x = np.array([r[0] for r in sample.select("v", pick.alias("p")).orderBy("p").limit(settings.sample).collect()], float) / largest
     x = np.column_stack([x, np.sqrt(np.maximum(0, length - (x * x).sum(1)))])
     k = int(max(1, min(settings.max_lists, total["n"] // settings.list_size, len(x))))
     graph = CentroidGraph(balanced_kmeans(x, k, settings.seed), settings.degree, settings.beam)
-    held = rows.sparkSession.sparkContext.broadcast((graph, length, settings))  # bounded by max_lists
+    held = rows.sparkSession.sparkContext.broadcast((graph, length, largest, settings))  # bounded by max_lists
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, length, s = held.value
+        graph, length, largest, s = held.value
         for batch in batches:
-            x = _matrix(batch, 1)
+            x = _matrix(batch, 1) / largest
             x = np.column_stack([x, np.sqrt(np.maximum(0, length - (x * x).sum(1)))])
             take, lists = [], []
             for i, row in enumerate(x):
@@ -185,11 +197,11 @@ def build(rows: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
     table_ = spark.createDataFrame(sorted(shards.items()), "list int, shards array<int>")
     chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.size("shards")).cast("int")
     lists = lists.join(F.broadcast(table_), "list").withColumn("shard", F.get("shards", chunk)).drop("shards")
-    return Index(graph, length, lists, shards, settings)
+    return Index(graph, length, largest, rows, scratch, lists, shards, settings)
 
 
 def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` nearest among the lists it visits, its own id left out."""
+    """(query_id, rank, vec_id, score): each query's ``k`` nearest among the lists it visits, its own id left out; never fewer than there are."""
     spark = queries.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
@@ -200,13 +212,15 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         graph, shards, s = held.value
         for batch in batches:
             x = _matrix(batch, 1)
+            x = x / np.abs(x).max(1, keepdims=True)
             # a query's own length does not change the order: it is compared at the length that the lists have
             scale = np.sqrt((graph.c * graph.c).sum(1)).mean() / np.sqrt((x * x).sum(1))
             take, where, lists = [], [], []
             for i, row in enumerate(np.column_stack([x * scale[:, None], np.zeros(len(x))])):
                 found, far = graph.search(row, s.ratio)
                 mine: dict[int, list[int]] = {}
-                for j in found[np.sqrt(far) <= s.ratio * np.sqrt(far[0])].tolist():
+                near = int((np.sqrt(far) <= s.ratio * np.sqrt(far[0])).sum())
+                for j in found[: max(near, s.least)].tolist():
                     for p in set(shards.get(j, ())):
                         mine.setdefault(p, []).append(j)
                 take += [i] * len(mine)
@@ -216,9 +230,8 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(where, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "shard", "lists"])
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         ids, of_list = right["id"].to_numpy(), right["list"].to_numpy()
         x = np.stack(right["v"].to_numpy()).astype(float)
         q, qids = np.stack(left["v"].to_numpy()).astype(float), left["id"].to_numpy()
@@ -226,37 +239,90 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         for i, lists in enumerate(left["lists"]):
             for j in lists:
                 visits.setdefault(int(j), []).append(i)
-        slack = 1e-9 * np.sqrt((q * q).sum(1).max() * (x * x).sum(1).max())  # far above the rounding of a product
-        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for j, who in visits.items():
             rows = np.flatnonzero(of_list == j)
             for low in range(0, len(who), 512):
                 part = np.array(who[low : low + 512])
-                near = q[part] @ x[rows].T
-                near[qids[part][:, None] == ids[rows][None, :]] = -np.inf
-                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(part), -np.finfo(float).max)
-                a, b = np.nonzero(near >= np.maximum(least - slack, -np.finfo(float).max)[:, None])
-                pairs.append((part[a], rows[b]))
-        a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        score = np.zeros(len(a))
-        for d in range(q.shape[1]):  # one order of addition for every pair: equal vectors get equal scores
-            score += q[a, d] * x[b, d]
-        order = np.lexsort((ids[b], -score, a))
-        a, i, score = a[order], ids[b][order], score[order]
-        once = np.concatenate(([True], (a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (score[1:] != score[:-1])))[: len(a)]
-        a, i, score = a[once], i[once], score[once]
-        first = np.searchsorted(a, a)
-        best = np.arange(len(a)) - first < k
-        return pd.DataFrame({"query_id": qids[a[best]], "vec_id": i[best], "score": score[best]})
-
-    visits = queries.mapInArrow(visit, "id long, v array<double>, shard int, lists array<int>")
-    found = visits.groupBy("shard").cogroup(index.lists.groupBy("shard")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    # a vector in several lists is found more than once; rows that share an id keep the better score
+                found.append(best_of(q[part], qids[part], x[rows], ids[rows], k))
+        query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+
+    scratch = index.scratch
+    visits = scratch.save(queries.mapInArrow(visit, "id long, v array<double>, shard int, lists array<int>"), "visits")
+    slices = visits.groupBy("shard").agg(F.ceil(F.count("*") / index.settings.queries).cast("int").alias("slices"))
+    visits = visits.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), F.col("slices")).cast("int")).drop("slices")
+    lists = index.lists.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    found = visits.groupBy("shard", "slice").cogroup(lists.groupBy("shard", "slice")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    found = scratch.save(_ranked(found, k), "found")
+    few = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = scratch.save(queries.select("id").distinct().join(few.select("id"), "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    rest = full_scan(index.rows, queries.join(short, "id"), k, scratch)
+    return found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(_ranked(rest, k))
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows of two matrices, pair by pair: one order of addition, so equal vectors get equal scores."""
+    score = np.zeros(len(q))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(q.shape[1]):
+            score += q[:, d] * x[:, d]
+    lost = np.flatnonzero(np.isnan(score))  # infinities of both signs: the sign comes from the vectors over their largest components
+    for i in lost.tolist():
+        sign = np.sign((q[i] / np.abs(q[i]).max()) @ (x[i] / np.abs(x[i]).max()))
+        score[i] = sign * np.inf if sign else 0.0
+    return score
+
+
+def best_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score): each query's ``k`` best rows with other ids, ties to smaller ids; rows that share id and score count once."""
+    # products of vectors over the largest components, which cannot overflow, choose the pairs that are scored
+    qs, xs = q / np.abs(q).max(1, keepdims=True), x / max(np.abs(x).max(initial=0), np.finfo(float).tiny)
+    near = qs @ xs.T
+    slack = 1e-9 * np.sqrt((qs * qs).sum(1))[:, None] * np.sqrt((xs * xs).sum(1))[None, :] + np.finfo(float).tiny  # far above the rounding of a product
+    other = qids[:, None] != ids[None, :]
+    sure = np.where(other, near - slack, -np.inf)
+    if len(ids) > 4 * k and not every:
+        least = np.partition(sure, -4 * k, axis=1)[:, -4 * k]
+    else:
+        least = np.full(len(q), -np.inf)
+    a, b = np.nonzero(other & (near + slack >= least[:, None]))
+    score = scores(q[a], x[b])
+    order = np.lexsort((ids[b], -score, a))
+    a, i, score = a[order], ids[b][order], score[order]
+    once = np.concatenate(([True], (a[1:] != a[:-1]) | (i[1:] != i[:-1]) | (score[1:] != score[:-1])))[: len(a)]
+    a, i, score = a[once], i[once], score[once]
+    best = np.arange(len(a)) - np.searchsorted(a, a) < k
+    a, i, score = a[best], i[best], score[best]
+    short = np.bincount(a, minlength=len(q)) < k
+    if len(ids) > 4 * k and not every and short.any():  # rows that share an id have taken the places: such queries see all rows
+        parts = [(qids[a[~short[a]]], i[~short[a]], score[~short[a]])] + [best_of(q[[j]], qids[[j]], x, ids, k, True) for j in np.flatnonzero(short).tolist()]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    return qids[a], i, score
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """A vector in several lists is found more than once; rows that share an id keep the better score."""
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def full_scan(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score): candidates of every query from all rows, block by block."""
+    shaped = lambda df: df.select("id", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("row"), "v")
+    packed = blocks.pack(shaped(rows), scratch, "blocks", blocks.BLOCK_BYTES)
+    slices = blocks.pack(shaped(queries), scratch, "slices", blocks.SLICE_BYTES)
+
+    def run(block: blocks.Part, part: blocks.Part, _: dict) -> Iterator[pa.RecordBatch]:
+        columns = best_of(part.x, part.ids, block.x, block.ids, k)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return blocks.against(packed, slices, 0, run, "query_id long, vec_id long, score double", scratch, "scanned")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     index = build(rows, Scratch(spark, "nearest"))

@@ -74,7 +74,9 @@ def numbered_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def scaled(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x): as doubles while all are exact, else as Python's integers."""
+    """floor(scale * x): as doubles while all are exact, else as Python's integers; with scale 0 the components as they are."""
+    if not scale:
+        return x
     if not x.size or np.abs(x).max() < EXACT_DOUBLE / scale:
         return np.floor(x * scale)
     # so large a double is a whole number
