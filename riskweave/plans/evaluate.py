@@ -161,11 +161,12 @@ def _links(model: Model) -> tuple[DataFrame, DataFrame]:
     return plain.select("key", "tag", "literal", "ref", "state"), edges.unionByName(through)
 
 
-def expressions(model: Model, trials: int = 0, seed: int | None = None, context: dict | None = None) -> DataFrame:
+def expressions(model: Model, trials: int = 0, seed: int | None = None, context: dict | None = None, times: list[float] | None = None) -> DataFrame:
     """(key, value, lo, hi, deviate, tag, problem) of all expression nodes; with ``trials``, (key, trial, value): one keyed draw of each
     deviate a trial, shared by all that refer to it.
 
     ``context``: ``{"ie": name, "fe": {functional event: state}}`` for the test expressions; sampled, these are 0.
+    ``times``: instead of draws, (key, trial, value) at each of these mission times, ``trial`` their place.
     """
     spark = model.nodes.sparkSession
     rounds = graphs.Rounds(spark)
@@ -185,10 +186,13 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
         if not signature.parameters:
             leaf = F.when((F.col("tag") == "extern-function") & (F.col("ref") == name), model.functions.call(name)).otherwise(leaf)
     seed = model.settings.seed if seed is None else seed
+    trials = len(times) if times else trials
     own = [F.col("trial")] if trials else []
     base = leveled.where("level = 0").select("key", leaf.alias("value"), "tag")
     if trials:
         base = base.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+        if times:
+            base = base.withColumn("value", F.when(F.col("tag") == "system-mission-time", F.get(F.array(*map(F.lit, times)), F.col("trial"))).otherwise(F.col("value")))
         done = rounds.save(base.select("key", "trial", "value"))
     else:
         lo = F.when(F.col("tag") == "system-mission-time", 0.0).when(F.col("tag").startswith("test-"), 0.0).otherwise(F.col("value"))
@@ -206,7 +210,7 @@ def expressions(model: Model, trials: int = 0, seed: int | None = None, context:
         got = got.withColumn("v", take("value"))
         value = F.when(op == "parameter", _arg(args, 0)).otherwise(_value(op, args, F.col("ref"), model.functions))
         if trials:
-            got = got.withColumn("drawn", _sample(op, args, seed, F.col("trial"), F.col("a")))
+            got = got.withColumn("drawn", F.lit(None).cast("double") if times else _sample(op, args, seed, F.col("trial"), F.col("a")))
             found = got.select(F.col("a").alias("key"), "trial", F.coalesce("drawn", value).alias("value"))
         else:
             got = got.withColumns({"los": take("lo"), "his": take("hi")})
@@ -278,17 +282,23 @@ def event_probabilities(model: Model, **how) -> DataFrame:
 
 
 def _groups(model: Model, values: DataFrame) -> DataFrame:
-    """(group_id, model, n, q_total, level, factor) with the values of the distribution and the factor."""
-    values = values.select("key", "value")
+    """(group_id, model, n, q_total, level, factor) with the values of the distribution and the factor; with a trial where values have one."""
+    own = [c for c in ("trial",) if c in values.columns]
+    values = values.select("key", *own, "value")
     roots = model.expression_roots.where("id LIKE 'group:%'").select(F.substring("id", 7, 1 << 20).alias("group_id"), F.concat_ws("#", "file", "root").alias("key"))
-    totals = roots.join(values, "key").select("group_id", F.col("value").alias("q_total"))
-    return model.ccf_levels.join(values.withColumnRenamed("value", "factor"), "key").join(totals, "group_id").drop("key", "min_level")
+    totals = roots.join(values, "key").select("group_id", *own, F.col("value").alias("q_total"))
+    return model.ccf_levels.join(values.withColumnRenamed("value", "factor"), "key").join(totals, ["group_id", *own]).drop("key", "min_level")
 
 
 def ccf_probabilities(model: Model, values: DataFrame) -> DataFrame:
-    """(id, p) of the events of common-cause groups."""
-    q = ccf.level_probabilities(_groups(model, values))
-    return model.ccf_events.join(q, ["group_id", "level"]).select("id", F.col("q").alias("p"))
+    """(id, p) of the events of common-cause groups; (id, trial, p) where values have a trial."""
+    if "trial" not in values.columns:
+        q = ccf.level_probabilities(_groups(model, values))
+        return model.ccf_events.join(q, ["group_id", "level"]).select("id", F.col("q").alias("p"))
+    # a group of one trial is a group of its own
+    rows = _groups(model, values).withColumn("group_id", F.concat_ws("\u0001", "trial", "group_id")).drop("trial")
+    q = ccf.level_probabilities(rows).select(F.substring_index("group_id", "\u0001", 1).cast("int").alias("trial"), F.substring_index("group_id", "\u0001", -1).alias("group_id"), "level", "q")
+    return model.ccf_events.join(q, ["group_id", "level"]).select("id", "trial", F.col("q").alias("p"))
 
 
 def domain_violations(model: Model) -> DataFrame:
@@ -322,10 +332,10 @@ def _applied(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gates, args, model.gate_edges.unionByName(through).distinct()
 
 
-def _base(model: Model) -> DataFrame:
-    """(id, p) of basic events, members of common-cause groups replaced by the groups' events."""
-    values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model))
-    events = _of_events(model, values).select("id", "p").join(model.ccf_members.select(F.col("event_id").alias("id")), "id", "left_anti")
+def _base(model: Model, **how) -> DataFrame:
+    """(id, p) of basic events, members of common-cause groups replaced by the groups' events; (id, trial, p) with ``trials`` or ``times``."""
+    values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model, **how))
+    events = _of_events(model, values).select("id", *[c for c in ("trial",) if c in values.columns], "p").join(model.ccf_members.select(F.col("event_id").alias("id")), "id", "left_anti")
     return events.unionByName(ccf_probabilities(model, values))
 
 

@@ -42,7 +42,7 @@ class Graph:
 
 
 def graph(model: Model, events: DataFrame | None = None) -> Graph:
-    """The gates of a model, common causes applied; house events stay names, see ``in_states``."""
+    """The gates of a model, common causes applied, over ``events`` (id, p) or the model's own; house events stay names, see ``in_states``."""
     gates, args, _ = evaluate._applied(model)
     return Graph(gates, args, (events if events is not None else evaluate._base(model)).select("id", "p"))
 
@@ -201,6 +201,25 @@ def probabilities(g: Graph, roots: DataFrame) -> DataFrame:
     return c.single.join(c.alone, "id", "left").select("id", "p").unionByName(found.select(F.col("root").alias("id"), "p"))
 
 
+def at_points(g: Graph, points: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, point, p) of ``roots`` (id), exact, once for each point of ``points`` (id, point, p), which has all events at all points."""
+    rounds = graphs.Rounds(g.gates.sparkSession)
+    each = rounds.save(points.select("point").distinct())
+    own = lambda c: F.concat(F.col("point").cast("string"), F.lit(MARK), c)
+    # only the gates below the roots are repeated
+    needed = graphs.reach(roots.select(F.col("id").alias("start")).distinct(), g.edges).select(F.col("node").alias("id")).distinct()
+    gates = g.gates.join(needed, "id", "left_semi").crossJoin(each)
+    args = g.args.join(needed.withColumnRenamed("id", "gate_id"), "gate_id", "left_semi").crossJoin(each)
+    fixed = F.col("arg_id").isin(TRUE, FALSE)
+    many = Graph(
+        gates.select(own("id").alias("id"), "connective", "min_num", "max_num"),
+        args.select(own("gate_id").alias("gate_id"), "ordinal", F.when(fixed, F.col("arg_id")).otherwise(own("arg_id")).alias("arg_id"), "complement"),
+        points.select(own("id").alias("id"), "p"),
+    ).saved(rounds)
+    found = probabilities(many, roots.select("id").distinct().crossJoin(each).select(own("id").alias("id")))
+    return found.select(F.substring_index("id", MARK, -1).alias("id"), F.substring_index("id", MARK, 1).cast(dict(points.dtypes)["point"]).alias("point"), "p")
+
+
 def _slopes(g: Graph, alone: DataFrame) -> DataFrame:
     """(gate_id, arg_id, slope): the derivative of a gate by each argument, arguments independent."""
     args = g.args.join(alone.withColumnRenamed("id", "arg_id"), "arg_id", "left").join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id")
