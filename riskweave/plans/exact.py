@@ -272,9 +272,13 @@ def importance(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def model_probabilities(model: Model, roots: DataFrame | None = None) -> DataFrame:
-    """(id, p), exact, of the top gates of a model, or of ``roots`` (id), house events as declared."""
+    """(id, p), exact, of the top gates of a model, or of ``roots`` (id), house events as declared; with ``preprocessor`` gates are made fewer first."""
     roots = (roots if roots is not None else model.top_events.select(F.col("gate_id").alias("id"))).select("id").distinct().withColumn("scenario", F.lit(""))
     g, placed = in_states(graph(model), model.house_events, roots)
+    if model.settings.preprocessor:
+        from . import simplify
+
+        return simplify.probabilities(g, placed.select("id"))
     return probabilities(g, placed.select("id"))
 
 

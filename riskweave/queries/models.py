@@ -78,9 +78,11 @@ def undefined_references(spark, sf_dir):
     return elements.undefined(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, p_type AS defined_unit FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'type' || (l_suppkey % 6)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, p_type AS defined_unit FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> list_extract(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'], l_suppkey % 6 + 1)")
 def unit_mismatches(spark, sf_dir):
-    refs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ref"), F.concat(F.lit("type"), F.col("l_suppkey") % 6).alias("unit"))
+    """Line items whose unit, dealt by supplier, is not the one that their part is defined with."""
+    units = F.array(*map(F.lit, ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")))
+    refs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ref"), F.get(units, (F.col("l_suppkey") % 6).cast("int")).alias("unit"))
     found = references.unit_mismatch(refs, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("unit")))
     return found.select("l_orderkey", "l_linenumber", F.col("ref").alias("l_partkey"), "defined_unit")
 

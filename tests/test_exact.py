@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.plans import exact
+from riskweave.plans import exact, simplify
 
 KINDS = ("and", "or", "atleast", "xor", "not", "nand", "nor", "null", "iff", "imply", "cardinality")
 
@@ -98,3 +98,14 @@ def test_phases(spark, tmp_path):
     assert {(r.phase, r.id): r.p for r in by_phase.collect()} == {("up", "top"): pytest.approx(0.1), ("down", "top"): pytest.approx(0.5)}
     assert [(r.alignment, r.p) for r in exact.over_phases(by_phase).collect()] == [("year", pytest.approx(0.75 * 0.1 + 0.25 * 0.5))]
     assert {r.id: r.p for r in exact.model_probabilities(m).collect()} == {"top": pytest.approx(0.1)}
+
+
+def test_simplified(spark, random_case):
+    gates, args, events, roots, g = random_case
+    root = spark.createDataFrame([(r,) for r in roots], "id string")
+    got = {r.id: r.p for r in simplify.probabilities(g, root).collect()}
+    assert got == {r: pytest.approx(enumerate_states(gates, args, events, r), abs=1e-12) for r in roots}
+    small, ends = simplify.simplified(g, root)
+    assert small.gates.count() < len(gates) and ends.count() == len(roots)
+    left = {r.id for r in small.gates.collect()}
+    assert not {r.arg_id for r in small.args.collect()} & {"__true__", "__false__"} and all(r.gate_id in left for r in small.args.collect())
