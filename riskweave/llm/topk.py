@@ -22,15 +22,15 @@ from . import blocks
 from .common import Scratch, table
 
 #: Sixteenths of the lists that have been read after each round.
-DEPTHS = (1, 4, 6, 7, 8, 10, 12, 14)
+DEPTHS = (2, 5, 7, 9, 11, 13)
 
 
 class Lists:
-    """The sorted lists of a block by dimension, from the smallest value: places of their entries in the block, and values."""
+    """The sorted lists of a block by dimension, from the smallest value: places of their entries in the block ``x``, and values."""
 
     def __init__(self, x: np.ndarray):
         order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, order, axis=0)
+        self.x, self.values = x, np.take_along_axis(x, order, axis=0)
         self.places = order * x.shape[1] + np.arange(x.shape[1])
 
     def survivors(self, q: np.ndarray, k: int, floor: float, own: np.ndarray) -> tuple[np.ndarray, float]:
@@ -42,18 +42,14 @@ class Lists:
             return np.flatnonzero(alive), floor
         up, before = q > 0, 0
         value = lambda depth: np.where(up, self.values[n - depth], self.values[depth - 1]) * q
-        worst = value(n)
-        seen, got = np.zeros(self.places.shape), np.zeros(self.places.shape)
+        worst, given, seen = value(n), self.x * q, np.zeros(self.x.shape)  # of ``given`` only what is seen counts
         for part in DEPTHS:
             depth = n * part // 16
             if depth <= before:
                 continue
-            places = np.where(up, self.places[n - depth : n - before], self.places[before:depth])
-            seen.reshape(-1)[places] = 1
-            got.reshape(-1)[places] = np.where(up, self.values[n - depth : n - before], self.values[before:depth]) * q
-            before = depth
-            front = value(depth)
-            read, unread = got.sum(1), seen @ np.column_stack((worst, front))
+            seen.reshape(-1)[np.where(up, self.places[n - depth : n - before], self.places[before:depth])] = 1
+            before, front = depth, value(depth)
+            read, unread = np.einsum("ij,ij->i", seen, given), seen @ np.column_stack((worst, front))
             low = (read + (worst.sum() - unread[:, 0]))[alive]
             floor = max(floor, np.partition(low, len(low) - k)[len(low) - k]) if len(low) >= k else floor
             alive &= read + (front.sum() - unread[:, 1]) >= floor
