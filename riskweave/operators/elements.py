@@ -96,6 +96,11 @@ def same_set(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two sets share a member; a missing one shares none."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(a), F.array_compact(b)), F.lit(False))
+
+
 def close(a: Column, b: Column | float, tolerance: float) -> Column:
     """Relative to the left side."""
     return F.abs(a - b) <= F.abs(a) * tolerance

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The connectives with the least and most number of arguments.
@@ -98,3 +98,19 @@ def duplicate_args(args: DataFrame, gate: str = "gate_id", arg: str = "arg_id")
 def swap_args(args: DataFrame, new: Column) -> DataFrame:
     """Another event in the place of each argument (``new``, in terms of arg_id); ordinal and complement stay."""
     return args.withColumn("arg_id", new)
+
+
+def remove_args(args: DataFrame, gone: DataFrame, gate: str = "gate_id", arg: str = "arg_id") -> DataFrame:
+    """Arguments without those of ``gone`` (gate, arg); the others keep their order, numbered anew without gaps."""
+    left = args.join(gone.select(gate, arg), [gate, arg], "left_anti")
+    return left.withColumn("ordinal", F.row_number().over(Window.partitionBy(gate).orderBy("ordinal")) - 1)
+
+
+def replace_formulas(gates: DataFrame, args: DataFrame, new_gates: DataFrame, new_args: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(gates, args, old gates, old args): the formulas of ``new_gates`` (id, ...) instead of those that the gates had, which come back."""
+    ids, owners = new_gates.select("id"), new_gates.select(F.col("id").alias("gate_id"))
+    there, theirs = new_gates.join(gates.select("id"), "id", "left_semi"), new_args.join(gates.select(F.col("id").alias("gate_id")), "gate_id", "left_semi")
+    return (
+        gates.join(ids, "id", "left_anti").unionByName(there), args.join(owners, "gate_id", "left_anti").unionByName(theirs.join(owners, "gate_id", "left_semi")),
+        gates.join(ids, "id", "left_semi"), args.join(owners, "gate_id", "left_semi"),
+    )

@@ -321,6 +321,12 @@ def domain_violations(model: Model) -> DataFrame:
     ])
 
 
+def ccf_gates(model: Model) -> DataFrame:
+    """(event_id, group_id, args): the gate, an OR over ``args``, that stands for each member of a common-cause group."""
+    each = model.ccf_events.select("group_id", "id", F.explode("members").alias("event_id"))
+    return each.groupBy("event_id", "group_id").agg(F.sort_array(F.collect_list("id")).alias("args"))
+
+
 def _applied(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gates, args, edges) with every member of a common-cause group as an OR over the events that it is in."""
     proxy = model.ccf_events.select(F.explode("members").alias("gate_id"), F.col("id").alias("arg_id"))

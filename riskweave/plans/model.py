@@ -300,7 +300,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     tables = {
         "nodes": nodes, "entities": entities, "gates": gates.select("id", "connective", "min_num", "max_num"), "gate_args": args.select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
         "basic_events": entities.where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
-        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels, "ccf_events": ccf_events,
+        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels, "ccf_events": ccf_events,
         "top_events": tops, "initiating_events": initiating, "phases": phases.drop("node"), "phase_house_events": phase_houses.drop("node"), "gate_edges": known["gate"], "substitutions": subs,
         "labels": labels, "attributes": attributes, **tree_tables,
     }
@@ -316,6 +316,26 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     return model
 
 
+def inherited_attributes(model: Model) -> DataFrame:
+    """(file, node, name, value, type) of all definitions: their own attributes and those of what they stand in, the nearest first."""
+    rounds = graphs.Rounds(model.nodes.sparkSession)
+    own = rounds.save(model.attributes.select("file", F.col("node").alias("at"), "name", F.struct("value", "type").alias("given")))
+    up = rounds.save(model.nodes.select("file", F.col("node").alias("at"), "parent"))
+    front = rounds.save(model.nodes.where("tag LIKE 'define-%' OR parent IS NULL").select("file", "node", F.col("node").alias("at"), F.lit(0).alias("far")))
+    found = front.join(own, ["file", "at"])
+    while not graphs.empty(front):
+        front = rounds.save(front.join(up, ["file", "at"]).where("parent IS NOT NULL").select("file", "node", F.col("parent").alias("at"), (F.col("far") + 1).alias("far")))
+        found = found.unionByName(front.join(own, ["file", "at"]))
+    return found.groupBy("file", "node", "name").agg(F.min_by("given", "far").alias("given")).select("file", "node", "name", "given.value", "given.type")
+
+
+def component_contents(model: Model) -> DataFrame:
+    """(path, kind, id): what each fault tree or component holds itself; a common-cause group comes with all its members."""
+    events = model.entities.where("base_path <> ''").select(F.col("base_path").alias("path"), "kind", "id")
+    groups = model.ccf_groups.where("base_path <> ''").select(F.col("base_path").alias("path"), F.lit("CCF-group").alias("kind"), "id")
+    return events.unionByName(groups).join(model.components.select("path"), "path", "left_semi")
+
+
 def _first(nodes: DataFrame, files: list[str]) -> str:
     """The first file as the node table spells it."""
     tail = files[0].split("://")[-1].lstrip("/")
