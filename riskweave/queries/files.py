@@ -42,8 +42,18 @@ def _distinct_lines(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
 
 
+def _signature(spark, sf_dir) -> tuple:
+    """Names, lengths and times of the tables' files: what has changed is loaded anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(sf_dir))
+    left, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while left.hasNext():
+        f = left.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def _loaded_once(spark, sf_dir, kind, make):
-    key = (spark.sparkContext.applicationId, str(sf_dir), kind)
+    key = (spark.sparkContext.applicationId, kind, _signature(spark, sf_dir))
     if key not in _loaded:
         _loaded[key] = make(f"{graphs._store(spark)}-{uuid.uuid4().hex[:8]}")
     return _loaded[key]
