@@ -30,6 +30,10 @@ from . import blocks
 from .common import Scratch, table
 
 
+#: Candidates that a task holds before it reduces them to the best.
+HELD = 2_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000  # vectors that the centroids are fitted on, at most
@@ -239,13 +243,17 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         for i, lists in enumerate(left["lists"]):
             for j in lists:
                 visits.setdefault(int(j), []).append(i)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         for j, who in visits.items():
             rows = np.flatnonzero(of_list == j)
             for low in range(0, len(who), 512):
                 part = np.array(who[low : low + 512])
                 found.append(best_of(q[part], qids[part], x[rows], ids[rows], k))
-        query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                held += len(found[-1][0])
+                if held > HELD:
+                    found = [best_rows(found, k)]
+                    held = 0
+        query, vec, score = best_rows(found, k)
         return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
     scratch = index.scratch
@@ -303,6 +311,19 @@ def best_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return qids[a], i, score
 
 
+def best_rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of several lists as one: each query's ``k`` best, an id counting once, with its better score."""
+    query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    once = np.concatenate(([True], (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])))[: len(query)]
+    query, vec, score = query[once], vec[once], score[once]
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], vec[best], score[best]
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """A vector in several lists is found more than once; rows that share an id keep the better score."""
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
