@@ -72,27 +72,75 @@ def mean(op: str, *args: float) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def normal_quantile(level):
-    """Quantile of the standard normal distribution; null outside (0, 1)."""
+    """Quantile of the standard normal distribution; null outside (0, 1). Levels that occur more than once are looked up."""
     import pandas as pd
 
-    return pd.Series([NormalDist().inv_cdf(x) if x is not None and 0 < x < 1 else None for x in level], dtype=float)
-
+    known = {x: NormalDist().inv_cdf(x) for x in level.dropna().unique() if 0 < x < 1}
+    return pd.Series(level.map(known), dtype=float)
+
+
+def _hashed(*words: np.ndarray) -> np.ndarray:
+    """Words of 64 bits from integer arrays, one finalised multiplication after another."""
+    out = np.zeros(np.broadcast_shapes(*(w.shape for w in words)), np.uint64)
+    for w in words:
+        out = (out ^ w.astype(np.int64).view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _unit(*key: np.ndarray) -> np.ndarray:
+    """Uniforms inside (0, 1), one for each key."""
+    return ((_hashed(*key) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _log_gamma_draws(shape: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Logarithms of gamma draws of scale 1 for whole arrays, by squeezed normals; a rejected draw takes its next counter.
+
+    A shape below 1 is drawn at 1 higher and scaled by a uniform's power, as a logarithm, so that it cannot become zero.
+    """
+    word = lambda n: np.full(1, n)
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    c, out, todo, counter = 1 / np.sqrt(9 * d), np.empty(len(shape)), np.arange(len(shape)), 0
+    while len(todo):
+        mine = [k[todo] for k in key]
+        u1, u2, u = (_unit(*mine, word(3 * counter + i)) for i in range(3))
+        z = np.sqrt(-2 * np.log(u1)) * np.cos(2 * math.pi * u2)
+        base = 1 + c[todo] * z
+        v = np.where(base > 0, base, 1.0) ** 3
+        good = (base > 0) & (np.log(u) < z * z / 2 + d[todo] * (1 - v + np.log(v)))
+        out[todo[good]] = np.log(d[todo[good]] * v[good])
+        todo, counter = todo[~good], counter + 1
+    low = shape < 1
+    out[low] += np.log(_unit(*[k[low] for k in key], word(-1))) / shape[low]
+    return out
+
+
+def _drawn(draw, seed, trial, node, a, b):
+    """``draw`` on the rows whose two parameters are above zero, null for the others."""
+    import pandas as pd
 
-def _philox(seed: int, trial: int, node: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=(seed << 32 ^ node) & (1 << 64) - 1, counter=trial))
+    a, b = a.to_numpy(float, na_value=np.nan), b.to_numpy(float, na_value=np.nan)
+    good = (a > 0) & (b > 0) & np.isfinite(a) & np.isfinite(b)
+    key = [np.asarray(x, np.int64)[good] for x in (seed, trial, node)]
+    out = np.full(len(a), np.nan)
+    out[good] = draw(a[good], b[good], *key)
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def gamma(seed, trial, node, k, theta):
-    """Gamma draws keyed by (seed, trial, node); no closed form as a column."""
-    import pandas as pd
-
-    return pd.Series([_philox(int(s), int(t), int(n)).gamma(a, b) if a > 0 and b > 0 else None for s, t, n, a, b in zip(seed, trial, node, k, theta, strict=True)], dtype=float)
+    """Gamma draws keyed by (seed, trial, node); no closed form as a column. Null unless both parameters are above zero."""
+    return _drawn(lambda shape, scale, *key: np.exp(_log_gamma_draws(shape, *key) + np.log(scale)), seed, trial, node, k, theta)
 
 
 @F.pandas_udf(T.DoubleType())
 def beta(seed, trial, node, a, b):
-    """Beta draws keyed by (seed, trial, node)."""
-    import pandas as pd
+    """Beta draws keyed by (seed, trial, node), a share of two gamma draws. Null unless both parameters are above zero."""
+
+    def share(x: np.ndarray, y: np.ndarray, *key: np.ndarray) -> np.ndarray:
+        first, second = (_log_gamma_draws(s, *key, np.full(len(s), stream)) for s, stream in ((x, 1), (y, 2)))
+        return np.exp(first - np.logaddexp(first, second))
 
-    return pd.Series([_philox(int(s), int(t), int(n)).beta(x, y) if x > 0 and y > 0 else None for s, t, n, x, y in zip(seed, trial, node, a, b, strict=True)], dtype=float)
+    return _drawn(share, seed, trial, node, a, b)

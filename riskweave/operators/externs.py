@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,7 @@ class Registry:
         self.allow, self.known = allow, {}
 
     def add(self, name: str, function: Callable, returns: str, *parameters: str) -> None:
+        """A function of single values; one with an attribute ``whole_arrays`` that is true takes and gives arrays."""
         if not self.allow:
             raise IllegalOperation("external functions are not allowed")
         if name in self.known:
@@ -58,6 +60,14 @@ class Registry:
         def run(*columns):
             import pandas as pd
 
+            if getattr(function, "whole_arrays", False):
+                arrays = [c.to_numpy(float, na_value=np.nan) for c in columns]
+                good = ~np.isnan(arrays).any(axis=0)
+                values = np.full(len(good), np.nan)
+                if good.any():
+                    got = np.asarray(function(*[np.trunc(x[good]).astype(np.int64) if k == "int" else x[good] for x, k in zip(arrays, kinds, strict=True)]), float)
+                    values[good] = np.trunc(got) if whole else got
+                return pd.Series(values)
             out = []
             for row in zip(*columns, strict=True):
                 if any(x is None or math.isnan(x) for x in row):

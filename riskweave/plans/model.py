@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BY_CODE, IllegalOperation, RiskError
+from ..errors import IllegalOperation, XmlError, of_violation
 from ..functions.numeric import OPERATORS
 from ..operators import ccf, elements, externs, formulas, graphs, references, substitutions
 from ..settings import Settings
@@ -160,24 +160,48 @@ def resolved_args(args: DataFrame, entities: DataFrame) -> DataFrame:
     return elements.union(parts)
 
 
+def _validated(nodes: DataFrame, validator) -> DataFrame | None:
+    """What a validator turns down, as a table of file, line and detail; None if it says nothing of single lines."""
+    if validator is None:
+        return None
+    if not callable(validator):
+        raise XmlError(f"a validator is a function of the node table, not {type(validator).__name__}", "logic")
+    found = validator(nodes)
+    if found is False:
+        raise XmlError("the validator turns the documents down", "validity")
+    if isinstance(found, DataFrame):
+        absent = {"file", "line", "detail"} - set(found.columns)
+        if absent:
+            raise XmlError(f"the validator's table has no column {', '.join(sorted(absent))}", "logic")
+        return found.select("file", "line", "detail")
+    return None
+
+
 def load(spark: SparkSession, patterns: list[str], settings: Settings | None = None, strict: bool = False, allow_extern: bool = False, functions: dict | None = None, validator=None, check_values: bool = False) -> Model:
     """A model from files. With ``strict`` the first violation (by stage) is raised as its error.
 
     ``functions``: Python callables for external functions, by symbol, allowed only with ``allow_extern``. ``validator``
-    is called with the node table before anything else and may raise. ``check_values`` (with ``strict`` always) also
+    is called with the node table before anything else; it may raise, or give False, or a table (file, line, detail) of what
+    it turns down, whose rows become violations. ``check_values`` (with ``strict`` always) also
     evaluates all expressions and adds the violations of their domains.
     """
     settings = settings or Settings()
     files = paths.expand(spark, patterns)
     rounds = graphs.Rounds(spark)
-    nodes = rounds.save(xml_nodes.read_nodes(spark, files))
-    if validator:
-        validator(nodes)
+    try:
+        nodes = rounds.save(xml_nodes.read_nodes(spark, files))
+    except Exception as e:  # noqa: BLE001 - only failed reads are told apart, all else goes on unchanged
+        if found := xml_nodes.read_problem(e):
+            raise found from e
+        raise
+    turned_down = _validated(nodes, validator)
     present = {r[0] for r in nodes.where("tag LIKE 'define-%' OR tag = 'attributes'").select("tag").distinct().collect()}  # a few kinds
     if not allow_extern and present & {"define-extern-library", "define-extern-function"}:
         raise IllegalOperation("external libraries are not allowed")
     of, v = Loader(nodes), elements.violation
     problems = [v(nodes.where("tag = '#error'"), "1 parse", "XmlError", F.col("file"), F.col("text"), F.col("file"))]
+    if turned_down is not None:
+        problems.append(v(turned_down, "1 parse", "XmlError", F.col("file"), F.concat(F.lit("ValidityError: "), F.coalesce(F.col("detail"), F.lit(""))), F.col("file"), F.col("line")))
     problems.append(v(nodes.where(F.col("parent").isNull() & ~F.col("tag").isin("opsa-mef", "#error")), "1 parse", "ValidityError", F.col("tag"), "not a model file", F.col("file"), F.col("line")))
 
     events = of.events()
@@ -312,7 +336,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     if strict:
         first = violations.orderBy("stage", "file", "line").first()
         if first:
-            raise BY_CODE.get(first["code"], RiskError)(f"{first['entity']}: {first['detail']} ({first['file']}:{first['line']})")
+            raise of_violation(first["code"], first["entity"], first["detail"], f"{first['file']}:{first['line']}")
     return model
 
 

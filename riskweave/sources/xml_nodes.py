@@ -94,12 +94,20 @@ def parse(file: str, body: bytes, included: dict[str, bytes]) -> list[list]:
     try:
         tree.parse(body, file)
     except XmlError as e:
-        return [[file, 0, None, 0, "#error", [("kind", e.kind)], str(e), None, "", "", None, None]]
+        return [[file, 0, None, 0, "#error", [("kind", e.kind)], f"{e.keyword}: {e}", None, "", "", None, None]]
     for row in tree.rows:
         row[6] = row[6].strip()
     return tree.rows
 
 
+def read_problem(e: Exception) -> XmlError | None:
+    """The error of a failed job if a file was there when paths were expanded and cannot be opened now; else None."""
+    text = str(e)
+    if any(x in text for x in ("FAILED_READ_FILE", "FileNotFoundException", "AccessControlException", "FILE_NOT_EXIST")):
+        return XmlError(text.splitlines()[0], "io")
+    return None
+
+
 def _included(spark: SparkSession, files: list[str]) -> dict[str, bytes]:
     """All files that the files include, directly or not, by name."""
     have: dict[str, bytes] = {}

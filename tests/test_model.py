@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.errors import BY_CODE, CycleError, IllegalOperation, IOError_
+from riskweave.errors import BY_CODE, CycleError, IllegalOperation, IOError_, XmlError
 from riskweave.plans import evaluate, model
 from riskweave.settings import Settings
+from riskweave.sources import xml_nodes
 
 VALID = """<opsa-mef name="demo">
   <define-fault-tree name="FT">
@@ -104,3 +105,27 @@ def test_include_and_settings(spark, tmp_path):
         s.limit_order = -1
     s.importance_analysis = True
     assert s.probability_analysis
+
+
+def test_kinds_of_xml_errors(spark, tmp_path):
+    gate = '<define-gate name="g"><null><basic-event name="a"/></null></define-gate><define-basic-event name="a"><float value="0.1"/></define-basic-event>'
+    for body, kind in (("<opsa-mef><define-fault-tree>", "parse"), ('<opsa-mef xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="nowhere.xml"/></opsa-mef>', "xinclude")):
+        with pytest.raises(XmlError) as e:
+            load(spark, tmp_path, body, strict=True)
+        assert e.value.kind == kind and e.value.keyword in str(e.value)
+    with pytest.raises(XmlError) as e:
+        load(spark, tmp_path, gate, validator="rules.rng")
+    assert e.value.kind == "logic"
+    with pytest.raises(XmlError) as e:
+        load(spark, tmp_path, gate, validator=lambda nodes: False)
+    assert e.value.kind == "validity"
+    with pytest.raises(XmlError) as e:
+        load(spark, tmp_path, gate, validator=lambda nodes: nodes.select("file"))
+    assert e.value.kind == "logic"
+
+    def no_null_gates(nodes):
+        return nodes.where("tag = 'null'").select("file", "line", F.lit("null gates are not wanted").alias("detail"))
+
+    found = [r for r in load(spark, tmp_path, gate, validator=no_null_gates).violations.collect() if r.code == "XmlError"]
+    assert len(found) == 1 and found[0].detail == "ValidityError: null gates are not wanted" and found[0].line == 1
+    assert xml_nodes.read_problem(RuntimeError("[FAILED_READ_FILE.FILE_NOT_EXIST] gone")).kind == "io" and xml_nodes.read_problem(RuntimeError("other")) is None

@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,36 @@ def test_minimal_cut_sets_of_orders(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = set(map(tuple, catalog.queries()["cutset_minimal"](spark, str(tmp_path)).collect()))
     assert got == {(1, 10, 10), (1, 11, 12), (2, 7, 7), (2, 8, 8), (3, 1, 2)}
+
+
+def test_gamma_and_beta_over_whole_arrays(spark):
+    import pandas as pd
+
+    n = 200_000
+    key = [pd.Series(np.full(n, 7)), pd.Series(np.arange(n)), pd.Series(np.full(n, 3))]
+    full = lambda x: pd.Series(np.full(n, x))
+    for k, theta in ((0.3, 2.0), (1.0, 1.0), (2.5, 0.5), (40.0, 3.0)):
+        x = deviates.gamma.func(*key, full(k), full(theta))
+        assert x.mean() == pytest.approx(k * theta, rel=0.02) and x.var() == pytest.approx(k * theta**2, rel=0.05)
+    for a, b in ((0.4, 0.7), (2.0, 6.0)):
+        x = deviates.beta.func(*key, full(a), full(b))
+        assert x.mean() == pytest.approx(a / (a + b), rel=0.02) and x.var() == pytest.approx(a * b / ((a + b) ** 2 * (a + b + 1)), rel=0.05)
+        assert x.between(0, 1).all()
+    # the same key gives the same draw whatever stands beside it; parameters outside the law give null
+    some = [k.iloc[100:105].reset_index(drop=True) for k in key]
+    assert list(deviates.gamma.func(*some, full(2.5)[:5], full(0.5)[:5])) == list(deviates.gamma.func(*key, full(2.5), full(0.5))[100:105])
+    odd = deviates.gamma.func(*[k[:4] for k in key], pd.Series([0.0, -1.0, None, 1.0]), pd.Series([1.0, 1.0, 1.0, 1.0]))
+    assert odd.isna().tolist() == [True, True, True, False]
+    tiny = deviates.beta.func(*[k[:4] for k in key], full(1e-5)[:4], full(1e-5)[:4])
+    assert tiny.notna().all()
+
+
+def test_externs_of_whole_arrays(spark):
+    def f(a, b):
+        return a * 10 + b
+
+    f.whole_arrays = True
+    r = externs.Registry(allow=True)
+    r.add("f", f, "int", "int", "double")
+    rows = spark.createDataFrame([(2.9, 0.5), (None, 1.0), (-1.5, 0.25)], "a double, b double").select(r.call("f", F.col("a"), F.col("b")).alias("x")).collect()
+    assert sorted(x.x for x in rows if x.x is not None) == [-9.0, 20.0] and len(rows) == 3
