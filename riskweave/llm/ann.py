@@ -4,7 +4,7 @@ Vectors are brought to equal length by one more coordinate, so that the largest
 Centroids come from balanced k-means over a bounded sample. Every vector goes to the list of its nearest centroid and,
 when it lies near a boundary, to further lists whose centroids are hardly farther and not close to a list it is in.
 Centroids are searched by an in-memory graph; a query visits all centroids found within a ratio of its
-nearest one, and at least some dozen, however many lists there are. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
+nearest one, and at least as many as give a bounded sample of the queries, held against all rows, the recall asked for. Lists longer than a bound are cut into chunks, and lists of near centroids are packed into shards of a
 bounded number of vectors, so that no task holds more; a query visits all shards that have chunks of its lists. Each shard
 gives a query its best candidates, scored exactly, in double precision, component after component; the queries that visit a
 shard are dealt over slices of a bounded number. Queries that find fewer than they ask for meet all rows, block by block.
@@ -18,7 +18,8 @@ largest component of all, and a score beyond double precision is infinite, with
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from copy import copy
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,9 @@ class Settings:
     replicas: int = 4  # lists a vector is in, at most
     boundary: float = 1.08  # a further list's distance against the nearest
     ratio: float = 1.25  # a visited list's distance against a query's nearest
-    least: int = 32  # lists that a query visits, at least (all, if there are fewer)
+    least: int = 32  # lists that a query visits, at least (all, if there are fewer); more if the probes need them
+    probes: int = 256  # queries that are held against all rows, at most
+    recall: float = 0.98  # of the probes
     queries: int = 20_000  # queries that meet a shard in one task, about
     degree: int = 24  # neighbours of a centroid in the graph
     beam: int = 96  # centroids kept in a search, at least; a query keeps all within the ratio
@@ -204,27 +207,82 @@ def build(rows: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
     return Index(graph, length, largest, rows, scratch, lists, shards, settings)
 
 
+def _truth(index: Index, probes: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the probes' true nearest of all rows; each task reduces its rows to the best."""
+    held = index.rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in probes], np.int64), np.stack([v for _, v in probes])))  # bounded by ``probes``
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = held.value
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for batch in batches:
+            if batch.num_rows:
+                found = [best_rows([*found, best_of(q, qids, _matrix(batch, 1), batch.column(0).to_numpy(), k)], k)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], names=["query_id", "vec_id", "score"])
+
+    return _ranked(index.rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), k)
+
+
+def calibrated(index: Index, queries: DataFrame, k: int) -> Settings:
+    """The settings with ``least`` and ``beam`` raised until the probes' recall is as asked; with all lists it is 1."""
+    s, lists = index.settings, len(index.graph.c)
+    if s.probes <= 0 or s.least >= lists:
+        return replace(s, beam=max(s.beam, lists)) if s.probes > 0 else s
+    pick = F.xxhash64("id", F.lit(s.seed))
+    probes = [(r["id"], np.array(r["v"], float)) for r in queries.select("id", "v").orderBy(pick, "id").limit(s.probes).collect()]
+    if not probes:
+        return s
+    truth = index.scratch.save(_truth(index, probes, k), "truth")
+    where = index.lists.select(F.col("id").alias("vec_id"), "list").join(F.broadcast(truth.select("vec_id").distinct()), "vec_id").distinct()  # at most probes * k
+    of: dict[int, set[int]] = {}
+    for r in where.collect():
+        of.setdefault(r["vec_id"], set()).add(r["list"])
+    wanted: dict[int, list[int]] = {}
+    for r in truth.collect():
+        wanted.setdefault(r["query_id"], []).append(r["vec_id"])
+    least = s.least
+    while least < lists:
+        beam = max(s.beam, 2 * least)
+        graph, hits = replace_beam(index.graph, beam), 0
+        for i, v in probes:
+            mine = set(_visited(graph, v, s.ratio, least).tolist())
+            hits += sum(not mine.isdisjoint(of.get(j, ())) for j in wanted.get(i, ()))
+        if hits >= s.recall * sum(map(len, wanted.values())):
+            return replace(s, least=least, beam=beam)
+        least *= 2
+    return replace(s, least=lists, beam=lists)
+
+
+def replace_beam(graph: CentroidGraph, beam: int) -> CentroidGraph:
+    """The same graph, searched with another beam."""
+    other = copy(graph)
+    other.beam = beam
+    return other
+
+
+def _visited(graph: CentroidGraph, v: np.ndarray, ratio: float, least: int) -> np.ndarray:
+    """The lists that a query visits. Its own length does not change the order: it is compared at the length that the lists have."""
+    x = v / np.abs(v).max()
+    scale = np.sqrt((graph.c * graph.c).sum(1)).mean() / np.sqrt((x * x).sum())
+    found, far = graph.search(np.append(x * scale, 0.0), ratio)
+    return found[: max(int((np.sqrt(far) <= ratio * np.sqrt(far[0])).sum()), least)]
+
+
 def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest among the lists it visits, its own id left out; never fewer than there are."""
     spark = queries.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((index.graph, index.shards, index.settings))
+    settings = calibrated(index, queries, k)
+    held = spark.sparkContext.broadcast((replace_beam(index.graph, settings.beam), index.shards, settings))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, shards, s = held.value
         for batch in batches:
-            x = _matrix(batch, 1)
-            x = x / np.abs(x).max(1, keepdims=True)
-            # a query's own length does not change the order: it is compared at the length that the lists have
-            scale = np.sqrt((graph.c * graph.c).sum(1)).mean() / np.sqrt((x * x).sum(1))
             take, where, lists = [], [], []
-            for i, row in enumerate(np.column_stack([x * scale[:, None], np.zeros(len(x))])):
-                found, far = graph.search(row, s.ratio)
+            for i, row in enumerate(_matrix(batch, 1)):
                 mine: dict[int, list[int]] = {}
-                near = int((np.sqrt(far) <= s.ratio * np.sqrt(far[0])).sum())
-                for j in found[: max(near, s.least)].tolist():
+                for j in _visited(graph, row, s.ratio, s.least).tolist():
                     for p in set(shards.get(j, ())):
                         mine.setdefault(p, []).append(j)
                 take += [i] * len(mine)

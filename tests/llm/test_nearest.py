@@ -74,3 +74,15 @@ def test_repeated_rows(spark):
         assert [i for _, i, _ in rows] == [i for _, i in want]
     few = found(spark, x[:3], ids=[0, 20, 21])
     assert {q: len(v) for q, v in few.items()} == {0: 2, 20: 2}
+
+
+def test_recall_holds_whatever_the_lists(spark):
+    """Short lists, few visits, no replicas: the probes have to raise the number of visits."""
+    x = tight_groups()
+    got = found(spark, x, ann.Settings(least=1, ratio=1.0, list_size=60, replicas=1))
+    hits = 0
+    for q, rows in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & {i for _, i, _ in rows})
+    assert hits >= 0.95 * 20 * len(got)
