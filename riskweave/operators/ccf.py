@@ -73,7 +73,9 @@ def combinations(members: DataFrame, levels: DataFrame | None = None) -> DataFra
         more = F.sequence(after, n - F.col("size") + step)
         longer = F.when(F.col("size") > step, F.transform(more, lambda i: F.concat("at", F.array(i)))).otherwise(F.array("at"))
         rows = rows.select("group_id", "all", "level", "size", F.explode(longer).alias("at"))
-    taken = F.filter("all", lambda _, i: F.array_contains("at", i) == (F.col("size") == F.col("level")))
+    # of a large group, members are taken by their indices, not by going through all
+    left_out = F.filter("all", lambda _, i: ~F.array_contains("at", i))
+    taken = F.when(F.col("size") == F.col("level"), F.transform("at", lambda i: F.get("all", i))).otherwise(left_out)
     return rows.select("group_id", "level", taken.alias("members"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import deviates, intervals, lifetime, numeric
 from ..operators import ccf, elements, formulas, graphs
-from .model import Model
+from .model import CCF_EVENTS, Model
 
 FOLDS = ("add", "sub", "mul", "div", "min", "max", "and", "or")
 
@@ -290,15 +290,29 @@ def _groups(model: Model, values: DataFrame) -> DataFrame:
     return model.ccf_levels.join(values.withColumnRenamed("value", "factor"), "key").join(totals, ["group_id", *own]).drop("key", "min_level")
 
 
-def ccf_probabilities(model: Model, values: DataFrame) -> DataFrame:
-    """(id, p) of the events of common-cause groups; (id, trial, p) where values have a trial."""
+def member_probabilities(model: Model, values: DataFrame) -> DataFrame:
+    """(id, p) of the members of common-cause groups: an OR over the events that a member is in, of which those of a level
+    are equally likely; so their number is enough."""
+    groups = _groups(model, values)
+    sizes = groups.select("group_id", "n").distinct()
+    q = ccf.level_probabilities(groups).join(sizes, "group_id")
+    none = F.pow(1 - F.col("q"), ccf.binomial(F.col("n") - 1, F.col("level") - 1))
+    of_group = q.groupBy("group_id").agg(F.when(F.count_if(F.col("q").isNull()) == 0, F.product(none)).alias("none"))
+    # a group without levels has no events: a member of it has no probability
+    rows = model.ccf_members.select("group_id", F.col("event_id").alias("id")).distinct().join(of_group, "group_id")
+    return rows.groupBy("id").agg(F.when(F.count_if(F.col("none").isNull()) == 0, 1 - F.product("none")).alias("p"))
+
+
+def ccf_probabilities(model: Model, values: DataFrame, combined: DataFrame | None = None) -> DataFrame:
+    """(id, p) of the events of common-cause groups, or of those ``combined``; (id, trial, p) where values have a trial."""
+    combined = model.ccf_events if combined is None else combined
     if "trial" not in values.columns:
         q = ccf.level_probabilities(_groups(model, values))
-        return model.ccf_events.join(q, ["group_id", "level"]).select("id", F.col("q").alias("p"))
+        return combined.join(q, ["group_id", "level"]).select("id", F.col("q").alias("p"))
     # a group of one trial is a group of its own
     rows = _groups(model, values).withColumn("group_id", F.concat_ws("\u0001", "trial", "group_id")).drop("trial")
     q = ccf.level_probabilities(rows).select(F.substring_index("group_id", "\u0001", 1).cast("int").alias("trial"), F.substring_index("group_id", "\u0001", -1).alias("group_id"), "level", "q")
-    return model.ccf_events.join(q, ["group_id", "level"]).select("id", "trial", F.col("q").alias("p"))
+    return combined.join(q, ["group_id", "level"]).select("id", "trial", F.col("q").alias("p"))
 
 
 def domain_violations(model: Model) -> DataFrame:
@@ -327,9 +341,17 @@ def ccf_gates(model: Model) -> DataFrame:
     return each.groupBy("event_id", "group_id").agg(F.sort_array(F.collect_list("id")).alias("args"))
 
 
-def _applied(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gates, args, edges) with every member of a common-cause group as an OR over the events that it is in."""
-    proxy = model.ccf_events.select(F.explode("members").alias("gate_id"), F.col("id").alias("arg_id"))
+def needed_events(model: Model, roots: DataFrame | None = None) -> DataFrame:
+    """The events of common-cause groups that matter below gates, and below ``roots`` (id): of groups with a member that a gate or root is over."""
+    named = model.gate_args.where("arg_kind = 'basic-event'").select(F.col("arg_id").alias("event_id"))
+    named = named if roots is None else named.unionByName(roots.select(F.col("id").alias("event_id")))
+    which = graphs.Rounds(model.nodes.sparkSession).save(model.ccf_members.join(named, "event_id", "left_semi").select("group_id").distinct())
+    return model.nodes.sparkSession.createDataFrame([], CCF_EVENTS) if graphs.empty(which) else model.combined(which)
+
+
+def _applied(model: Model, combined: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gates, args, edges) with every member of a common-cause group as an OR over the events that it is in; of those ``combined``, if given."""
+    proxy = (model.ccf_events if combined is None else combined).select(F.explode("members").alias("gate_id"), F.col("id").alias("arg_id"))
     number = F.lit(None).cast("int")
     gates = model.gates.unionByName(proxy.select(F.col("gate_id").alias("id"), F.lit("or").alias("connective"), number.alias("min_num"), number.alias("max_num")).distinct())
     plain = model.gate_args.select("gate_id", "ordinal", "arg_id", "complement")
@@ -338,11 +360,11 @@ def _applied(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gates, args, model.gate_edges.unionByName(through).distinct()
 
 
-def _base(model: Model, **how) -> DataFrame:
+def _base(model: Model, combined: DataFrame | None = None, **how) -> DataFrame:
     """(id, p) of basic events, members of common-cause groups replaced by the groups' events; (id, trial, p) with ``trials`` or ``times``."""
     values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model, **how))
     events = _of_events(model, values).select("id", *[c for c in ("trial",) if c in values.columns], "p").join(model.ccf_members.select(F.col("event_id").alias("id")), "id", "left_anti")
-    return events.unionByName(ccf_probabilities(model, values))
+    return events.unionByName(ccf_probabilities(model, values, combined))
 
 
 def _by_level(gates: DataFrame, edges: DataFrame):
@@ -353,13 +375,21 @@ def _by_level(gates: DataFrame, edges: DataFrame):
     return gates, gates.agg(F.max("level")).first()[0]
 
 
-def gate_probabilities(model: Model, events: DataFrame | None = None) -> DataFrame:
+def gate_probabilities(model: Model, events: DataFrame | None = None, combined: bool = True) -> DataFrame:
     """(id, p) of gates and events, arguments taken as independent: exact for models where no event is shared.
 
+    Without ``combined`` the events of common-cause groups, one for each combination of members, are left out of the
+    result; the members' probabilities, and all above, are the same.
+
     A gate over an argument without a probability has none either (null).
     """
     houses = model.house_events.select("id", F.col("state").cast("double").alias("p"))
     fixed = model.nodes.sparkSession.createDataFrame([("__true__", 1.0), ("__false__", 0.0)], "id string, p double")
+    if events is None and not combined:
+        values = graphs.Rounds(model.nodes.sparkSession).save(expressions(model))
+        plain = _of_events(model, values).select("id", "p").join(model.ccf_members.select(F.col("event_id").alias("id")), "id", "left_anti")
+        known = plain.unionByName(member_probabilities(model, values)).unionByName(houses).unionByName(fixed)
+        return bottom_up(model.gates, model.gate_args.select("gate_id", "ordinal", "arg_id", "complement"), model.gate_edges, known)
     gates, args, edges = _applied(model)
     return bottom_up(gates, args, edges, (events if events is not None else _base(model)).select("id", "p").unionByName(houses).unionByName(fixed))
 

@@ -41,10 +41,14 @@ class Graph:
         return Graph(rounds.save(self.gates), rounds.save(self.args), rounds.save(self.events))
 
 
-def graph(model: Model, events: DataFrame | None = None) -> Graph:
-    """The gates of a model, common causes applied, over ``events`` (id, p) or the model's own; house events stay names, see ``in_states``."""
-    gates, args, _ = evaluate._applied(model)
-    return Graph(gates, args, (events if events is not None else evaluate._base(model)).select("id", "p"))
+def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None = None) -> Graph:
+    """The gates of a model, common causes applied, over ``events`` (id, p) or the model's own; house events stay names, see ``in_states``.
+
+    With ``roots`` (id) only of common-cause groups with a member below some gate or among them.
+    """
+    combined = None if roots is None else evaluate.needed_events(model, roots)
+    gates, args, _ = evaluate._applied(model, combined)
+    return Graph(gates, args, (events if events is not None else evaluate._base(model, combined)).select("id", "p"))
 
 
 def _constants(state: Column) -> Column:
@@ -274,7 +278,7 @@ def importance(g: Graph, roots: DataFrame) -> DataFrame:
 def model_probabilities(model: Model, roots: DataFrame | None = None) -> DataFrame:
     """(id, p), exact, of the top gates of a model, or of ``roots`` (id), house events as declared; with ``preprocessor`` gates are made fewer first."""
     roots = (roots if roots is not None else model.top_events.select(F.col("gate_id").alias("id"))).select("id").distinct().withColumn("scenario", F.lit(""))
-    g, placed = in_states(graph(model), model.house_events, roots)
+    g, placed = in_states(graph(model, roots=roots), model.house_events, roots)
     if model.settings.preprocessor:
         from . import simplify
 
@@ -287,7 +291,7 @@ def phase_probabilities(model: Model, roots: DataFrame | None = None) -> DataFra
     roots = (roots if roots is not None else model.top_events.select(F.col("gate_id").alias("id"))).select("id").distinct()
     phases = model.phases.select("alignment", "phase", "fraction", F.concat("alignment", F.lit("/"), "phase").alias("scenario"))
     states = model.phase_house_events.select(F.concat("alignment", F.lit("/"), "phase").alias("scenario"), "house_event", "state")
-    g, placed = in_states(graph(model), model.house_events, roots.crossJoin(phases.select("scenario")), states)
+    g, placed = in_states(graph(model, roots=roots), model.house_events, roots.crossJoin(phases.select("scenario")), states)
     p = probabilities(g, placed.select(F.col("gate").alias("id")).distinct()).withColumnRenamed("id", "gate")
     return placed.join(p, "gate").join(phases, "scenario").select("alignment", "phase", "fraction", "id", "p")
 

@@ -42,11 +42,15 @@ class Model:
     functions: externs.Registry = field(default_factory=externs.Registry)
     #: Makes the event-tree tables of a model without any: planned on first use only.
     absent: Callable[[], dict[str, DataFrame]] = dict
+    #: Makes the events of common-cause groups, as many as there are combinations of members: of the groups (group_id) given, or of all.
+    combined: Callable[[DataFrame | None], DataFrame] | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("tables", {})
         if name not in tables and name in trees.TABLES:
             tables |= self.absent()
+        if name == "ccf_events" and name not in tables:
+            tables[name] = self.combined(None)
         try:
             return tables[name]
         except KeyError:
@@ -61,11 +65,23 @@ class Loader:
     """The node table taken apart: one method a kind of construct."""
 
     def __init__(self, nodes: DataFrame):
-        self.nodes = nodes.where(~F.col("tag").isin("label", "attributes", "attribute", "#error"))
+        self.nodes = nodes.where((F.col("section") != "described") & (F.col("tag") != "#error"))
         self.all = nodes
 
     def tagged(self, *tags: str) -> DataFrame:
-        return self.nodes.where(F.col("tag").isin(*tags))
+        rows = self.nodes
+        if all(t in xml_nodes.SECTIONS for t in tags):  # only the parts of the table that hold them are read
+            rows = rows.where(F.col("section").isin(*tags))
+        return rows.where(F.col("tag").isin(*tags))
+
+    def within(self, *sections: str) -> DataFrame:
+        """What is in definitions of these kinds, other definitions inside left out, and the definitions."""
+        return self.nodes.where(F.col("section").isin(*sections))
+
+    def defined_id(self) -> Column:
+        """The id of a node's definition."""
+        role = elements.inherited_role(F.coalesce("def_role", F.lit("")), F.nullif(F.col("base_role"), F.lit("")))
+        return elements.element_id(role, F.col("base_path"), casts.trim(F.coalesce("def_name", F.lit(""))))
 
     def named(self, *tags: str) -> DataFrame:
         """Definitions with name, role, paths and id."""
@@ -73,12 +89,10 @@ class Loader:
         rows = self.tagged(*tags).withColumns({"name": casts.trim(attr("name")), "role": role})
         return rows.withColumns({"full_path": elements.full_path(F.col("base_path"), F.col("name")), "id": elements.element_id(F.col("role"), F.col("base_path"), F.col("name"))})
 
-    def kids(self, parents: DataFrame, *keep: str) -> DataFrame:
-        """Children of rows (file, node), with the parent's columns ``keep``."""
+    def kids(self, parents: DataFrame, *keep: str, among: DataFrame | None = None) -> DataFrame:
+        """Children of rows (file, node), with the parent's columns ``keep``; only those of ``among``, if given."""
         up = parents.select(F.col("file").alias("_f"), F.col("node").alias("_n"), *[F.col(c).alias(f"_{c}") for c in keep])
-        rows = self.nodes.join(up, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_n"))).drop("_f")
-        rank = F.row_number().over(graphs_window())
-        rows = rows.withColumn("place", rank - 1)
+        rows = (self.nodes if among is None else among).join(up, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_n"))).drop("_f")
         for c in keep:
             rows = rows.withColumnRenamed(f"_{c}", f"of_{c}")
         return rows.withColumnRenamed("_n", "of")
@@ -89,11 +103,27 @@ class Loader:
 
     def ccf_members(self) -> DataFrame:
         groups = self.named("define-CCF-group")
-        lists = self.kids(groups, "id", "role", "base_path").where("tag = 'members'")
-        rows = self.kids(lists, "of_id", "of_role", "of_base_path").where("tag = 'basic-event'").withColumn("name", casts.trim(attr("name")))
+        inside = self.within("define-CCF-group")
+        lists = self.kids(groups, "id", "role", "base_path", among=inside).where("tag = 'members'")
+        rows = self.kids(lists, "of_id", "of_role", "of_base_path", among=inside).where("tag = 'basic-event'").withColumn("name", casts.trim(attr("name")))
         rows = rows.select("file", "line", F.col("of_of_id").alias("group_id"), F.col("place").alias("ordinal"), "name", F.col("of_of_role").alias("role"), F.col("of_of_base_path").alias("base_path"))
         return rows.withColumn("event_id", elements.element_id(F.col("role"), F.col("base_path"), F.col("name")))
 
+    def formulas_in(self, way: str, of: Column, base_path: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``formulas`` of the first children of ``way``, tags from a definition down, by what the nodes tell of their ways: no join."""
+        depth, tags = way.count("/"), F.split("up", "/")
+        rows = self.within(way.partition("/")[0]).where((F.col("up") == way) | F.col("up").startswith(f"{way}/"))
+        single, under = F.col("tag").isin(*ARGUMENTS, "constant"), F.get(tags, F.lit(depth + 1))
+        rows = rows.withColumns({"far": F.size("places") - depth, "first": F.get("places", F.lit(depth)), "under": under, "complement": F.get(tags, F.lit(depth + 2)) == "not"})
+        is_top = (F.col("far") == 0) & (F.col("place") == 0)
+        gates = rows.where(is_top).select("file", "line", of.alias("id"), F.when(single, "null").otherwise(F.col("tag")).alias("connective"),
+                                          casts.to_int(F.nullif(attr("min"), F.lit(""))).alias("min_num"), casts.to_int(F.nullif(attr("max"), F.lit(""))).alias("max_num"))
+        held = (F.col("first") == 0) & ~under.isin(*ARGUMENTS, "constant")
+        rows = rows.where((is_top & single) | ((F.col("far") == 1) & held & (F.col("tag") != "not")) | ((F.col("far") == 2) & held & F.col("complement")))
+        ordinal = F.when(F.col("far") == 0, 0).when(F.col("far") == 1, F.col("place")).otherwise(F.get("places", F.lit(depth + 1)))
+        args = rows.select("file", "line", "node", of.alias("gate_id"), base_path.alias("base_path"), ordinal.cast("int").alias("ordinal"), "tag", "attrs", (F.col("far") == 2).alias("complement"))
+        return gates, *self._arguments(args)
+
     def formulas(self, defined: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(gates, gate_args, nested) of the formulas that are the first children of rows (file, node, id, base_path):
         formulas are flat; anything deeper goes to ``nested``."""
@@ -107,7 +137,9 @@ class Loader:
         plain = direct.where(F.col("tag") != "not").withColumn("complement", F.lit(False))
         inner = self.kids(direct.where("tag = 'not'"), "gate_id", "base_path", "ordinal")
         inner = inner.select("file", "line", "node", F.col("of_gate_id").alias("gate_id"), F.col("of_base_path").alias("base_path"), F.col("of_ordinal").alias("ordinal"), "tag", "attrs", F.lit(True).alias("complement"))
-        args = plain.unionByName(inner)
+        return gates, *self._arguments(plain.unionByName(inner))
+
+    def _arguments(self, args: DataFrame) -> tuple[DataFrame, DataFrame]:
         usable = F.col("tag").isin(*ARGUMENTS, "constant")
         nested = args.where(~usable).select("file", "line", "gate_id", "tag")
         state = casts.to_bool(attr("value"))
@@ -115,46 +147,46 @@ class Loader:
             "want": F.when(F.col("tag") == "constant", "constant").otherwise(F.coalesce(F.nullif(attr("type"), F.lit("")), F.col("tag"))),
             "ref": F.when(F.col("tag") == "constant", F.when(state, "__true__").otherwise("__false__")).otherwise(casts.trim(attr("name"))),
         })
-        return gates, args.drop("tag", "attrs"), nested
+        return args.drop("tag", "attrs"), nested
 
     def factors(self, groups: DataFrame) -> DataFrame:
         """Factors of common-cause groups (file, line, node, group_id, ordinal, level), in a list or not."""
-        direct = self.kids(groups, "id")
-        listed = self.kids(direct.where("tag = 'factors'"), "of_id").withColumnRenamed("of_of_id", "group_id")
+        inside = self.within("define-CCF-group")
+        direct = self.kids(groups, "id", among=inside)
+        listed = self.kids(direct.where("tag = 'factors'"), "of_id", among=inside).withColumnRenamed("of_of_id", "group_id")
         rows = direct.withColumnRenamed("of_id", "group_id").select("file", "line", "node", "group_id", "tag", "attrs").unionByName(listed.select("file", "line", "node", "group_id", "tag", "attrs"))
         return rows.where("tag = 'factor'").select("file", "line", "node", "group_id", F.col("node").alias("ordinal"), casts.to_int(F.nullif(attr("level"), F.lit(""))).alias("level"))
 
     def described(self) -> tuple[DataFrame, DataFrame]:
         """(labels, attributes) of elements: file, node, label; file, line, node, name, value, type."""
-        labels = self.all.where("tag = 'label'").select("file", F.col("parent").alias("node"), F.col("text").alias("label"))
-        lists = self.all.where("tag = 'attributes'").select("file", F.col("node").alias("parent"), F.col("parent").alias("of"))
-        each = self.all.where("tag = 'attribute'").join(lists, ["file", "parent"])
+        described = self.all.where("section = 'described'")
+        labels = described.where("tag = 'label'").select("file", F.col("parent").alias("node"), F.col("text").alias("label"))
+        lists = described.where("tag = 'attributes'").select("file", F.col("node").alias("parent"), F.col("parent").alias("of"))
+        each = described.where("tag = 'attribute'").join(lists, ["file", "parent"])
         return labels, each.select("file", "line", F.col("of").alias("node"), attr("name").alias("name"), attr("value").alias("value"), attr("type").alias("type"))
 
     def expressions(self, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(roots, nodes): the expression under each owner (file, node, id), and all nodes of expressions.
+        """(roots, nodes): the expression under each owner (file, node, id) in a common-cause group, basic event and parameter, and all nodes of expressions.
 
         Bins of histograms and cases of switches are pairs: their children stand in the place of the pair.
         """
-        roots = self.kids(owners, "id").where("place = 0").select("file", F.col("node").alias("root"), F.col("of_id").alias("id"))
-        formulas = self.tagged("define-gate", "define-substitution").select("file", F.col("node").alias("definition"))
-        inside = self.nodes.where(F.col("definition").isNotNull() & F.col("tag").isin(*KNOWN_OPERATORS, "bin", "case")).join(formulas, ["file", "definition"], "left_anti")
+        roots = self.kids(owners, "id", among=self.within("define-CCF-group")).where("place = 0").select("file", F.col("node").alias("root"), F.col("of_id").alias("id"))
+        for tag, kind in (("define-basic-event", "event:"), ("define-parameter", "parameter:")):
+            first = self.within(tag).where((F.col("up") == tag) & (F.col("place") == 0))
+            roots = roots.unionByName(first.select("file", F.col("node").alias("root"), F.concat(F.lit(kind), self.defined_id()).alias("id")))
+        inside = self.nodes.where(~F.col("section").isin("define-gate", "define-substitution") & F.col("definition").isNotNull() & F.col("tag").isin(*KNOWN_OPERATORS, "bin", "case"))
         value = F.when(F.col("tag") == "int", casts.to_int(attr("value")).cast("double")).when(F.col("tag") == "float", casts.to_double(attr("value")))
         value = value.when(F.col("tag") == "bool", casts.to_bool(attr("value")).cast("double")).when(F.col("tag") == "pi", F.pi())
         return roots, inside.select("file", "line", "node", "parent", "ordinal", "tag", value.alias("literal"), casts.trim(attr("name")).alias("ref"), attr("unit").alias("unit"), attr("state").alias("state"), "base_path", "definition")
 
 
-def graphs_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file", "parent").orderBy("ordinal")
-
-
-def resolved_args(args: DataFrame, entities: DataFrame) -> DataFrame:
-    """Gate arguments with arg_id and arg_kind; typed references look among their kind only."""
+def resolved_args(args: DataFrame, entities: DataFrame, present: set[str]) -> DataFrame:
+    """Gate arguments with arg_id and arg_kind; typed references look among their kind only. ``present``: the tags that there are."""
     constants = args.where("want = 'constant'").withColumns({"arg_id": F.col("ref"), "arg_kind": F.lit("house-event")})
     parts = [constants]
     for want in ARGUMENTS:
+        if "event" not in present and not present & {want}:  # an event may have any type; else the tag is what is wanted
+            continue
         pool = entities if want == "event" else entities.where(F.col("kind") == want)
         parts.append(references.resolve(args.where(F.col("want") == want), pool).withColumnsRenamed({"id": "arg_id", "kind": "arg_kind"}))
     return elements.union(parts)
@@ -189,13 +221,13 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     files = paths.expand(spark, patterns)
     rounds = graphs.Rounds(spark)
     try:
-        nodes = rounds.save(xml_nodes.read_nodes(spark, files))
+        nodes = rounds.save(xml_nodes.read_nodes(spark, files), "section")
     except Exception as e:  # noqa: BLE001 - only failed reads are told apart, all else goes on unchanged
         if found := xml_nodes.read_problem(e):
             raise found from e
         raise
     turned_down = _validated(nodes, validator)
-    present = {r[0] for r in nodes.where("tag LIKE 'define-%' OR tag = 'attributes'").select("tag").distinct().collect()}  # a few kinds
+    present = {r[0] for r in nodes.where(F.col("tag").startswith("define-") | F.col("tag").isin("attributes", *ARGUMENTS)).select("tag").distinct().collect()}  # a few kinds
     if not allow_extern and present & {"define-extern-library", "define-extern-function"}:
         raise IllegalOperation("external libraries are not allowed")
     of, v = Loader(nodes), elements.violation
@@ -212,7 +244,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     parameters = of.named("define-parameter").withColumn("unit", F.coalesce(F.nullif(attr("unit"), F.lit("")), F.lit("unitless")))
     groups = of.named("define-CCF-group").withColumn("model", attr("model"))
     houses = of.named("define-house-event")
-    states = of.kids(houses, "id").where("tag = 'constant'").select(F.col("of_id").alias("id"), casts.to_bool(attr("value")).alias("state"))
+    states = of.kids(houses, "id", among=of.within("define-house-event")).where("tag = 'constant'").select(F.col("of_id").alias("id"), casts.to_bool(attr("value")).alias("state"))
     houses = houses.select("id").join(states, "id", "left").select("id", F.coalesce("state", F.lit(False)).alias("state"))
     containers = of.named("define-fault-tree", "define-component")
     labels, attributes = of.described()
@@ -238,15 +270,17 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         problems += _externs(of, registry, functions or {})
 
     # formulas
-    defined = of.named("define-gate").select("file", "node", "id", "base_path")
+    parts = of.formulas_in("define-gate", of.defined_id(), F.col("base_path"))
     if present & {"define-event-tree", "define-sequence", "define-rule"}:  # collected formulas are gates of their own
-        defined = defined.unionByName(of.tagged("collect-formula").select("file", "node", trees.formula_id().alias("id"), F.lit("").alias("base_path")))
-    gates, raw_args, nested = of.formulas(defined)
-    args = rounds.save(resolved_args(raw_args, entities))
+        collected = of.tagged("collect-formula").select("file", "node", trees.formula_id().alias("id"), F.lit("").alias("base_path"))
+        parts = [a.unionByName(b) for a, b in zip(parts, of.formulas(collected), strict=True)]
+    gates, raw_args, nested = parts
+    gates = rounds.save(gates)
+    args = rounds.save(resolved_args(raw_args, entities, present))
     counts = args.groupBy("gate_id").agg(F.count("*").alias("n"))
     shaped = gates.join(counts, gates["id"] == counts["gate_id"], "left").fillna(0, ["n"])
     shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))
-    args_of = args.join(gates.select(F.col("id").alias("gate_id"), "connective"), "gate_id").withColumn("problem", formulas.nesting_problem(F.col("connective"), F.col("complement"), F.col("want") == "constant"))
+    args_of = args.where("complement OR want = 'constant'").join(gates.select(F.col("id").alias("gate_id"), "connective"), "gate_id").withColumn("problem", formulas.nesting_problem(F.col("connective"), F.col("complement"), F.col("want") == "constant"))
     broken = nested.select(F.col("gate_id").alias("id")).distinct()
     problems += [
         v(args.where("arg_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), F.concat(F.lit("argument of gate "), F.col("gate_id")), F.col("file"), F.col("line")),
@@ -257,18 +291,17 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     ]
 
     # expressions and their references
-    distributions, factors = of.kids(groups, "id").where("tag = 'distribution'"), of.factors(groups)
+    distributions, factors = of.kids(groups, "id", among=of.within("define-CCF-group")).where("tag = 'distribution'"), of.factors(groups)
     owned = [
-        of.named("define-basic-event").withColumn("id", F.concat(F.lit("event:"), "id")), parameters.withColumn("id", F.concat(F.lit("parameter:"), "id")),
         distributions.withColumn("id", F.concat(F.lit("group:"), "of_id")), factors.withColumn("id", factor_id()),
     ]
     roots, expressions = of.expressions(elements.union([t.select("file", "node", "id") for t in owned]))
     # every member of a group has the group's distribution as its expression
     shared = roots.where("id LIKE 'group:%'").select("file", "root", F.substring("id", 7, 1 << 20).alias("group_id")).join(members.select("group_id", "event_id"), "group_id")
     roots = rounds.save(roots.unionByName(shared.select("file", "root", F.concat(F.lit("event:"), "event_id").alias("id"))))
-    refs = references.resolve(expressions.where("tag = 'parameter'"), parameters.select("id", "role", "full_path", F.lit("gate").alias("kind"))).drop("kind").withColumnRenamed("id", "parameter_id")
+    refs = references.resolve(expressions.where("tag = 'parameter'"), parameters.select("id", "role", "base_path", "full_path", F.lit("gate").alias("kind"))).drop("kind").withColumnRenamed("id", "parameter_id")
     expressions = rounds.save(expressions.join(refs.select("file", "node", "parameter_id"), ["file", "node"], "left"))
-    odd = of.nodes.where(F.col("definition").isNotNull()).join(roots.select("file", F.col("root").alias("node")), ["file", "node"], "left_semi").where(~F.col("tag").isin(*KNOWN_OPERATORS))
+    odd = of.within("define-basic-event", "define-parameter", "define-CCF-group").where(F.col("definition").isNotNull()).join(roots.select("file", F.col("root").alias("node")), ["file", "node"], "left_semi").where(~F.col("tag").isin(*KNOWN_OPERATORS))
     problems += [
         v(expressions.where("tag = 'parameter' AND parameter_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), "parameter is not defined", F.col("file"), F.col("line")),
         v(expressions.where("tag IN ('int', 'float', 'bool') AND literal IS NULL"), "2 define", "ValidityError", F.col("tag"), "not a number of this kind", F.col("file"), F.col("line")),
@@ -307,12 +340,12 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         v(substitutions.phase_problems(phases).where("problem IS NOT NULL"), "3 validate", "ValidityError", F.col("alignment"), F.col("problem")),
     ]
 
-    levels, ccf_events = spark.createDataFrame([], CCF_LEVELS), spark.createDataFrame([], CCF_EVENTS)
+    levels, combined = spark.createDataFrame([], CCF_LEVELS), lambda _: spark.createDataFrame([], CCF_EVENTS)
     if "define-CCF-group" in present:
-        levels, ccf_events = _groups(groups, members, distributions, factors, roots, rounds, problems)
+        levels, combined = _groups(groups, members, distributions, factors, roots, rounds, problems)
     subs = spark.createDataFrame([], SUBSTITUTIONS)
     if "define-substitution" in present:
-        subs = rounds.save(_substitutions(of, entities, problems))
+        subs = rounds.save(_substitutions(of, entities, problems, present))
         problems += _substitution_problems(subs, members, settings)
 
     known = {"gate": gate_edges}
@@ -324,11 +357,11 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     tables = {
         "nodes": nodes, "entities": entities, "gates": gates.select("id", "connective", "min_num", "max_num"), "gate_args": args.select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
         "basic_events": entities.where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
-        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels, "ccf_events": ccf_events,
+        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels,
         "top_events": tops, "initiating_events": initiating, "phases": phases.drop("node"), "phase_house_events": phase_houses.drop("node"), "gate_edges": known["gate"], "substitutions": subs,
         "labels": labels, "attributes": attributes, **tree_tables,
     }
-    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, violations, registry, lambda: trees.tables(of))
+    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, violations, registry, lambda: trees.tables(of), combined)
     if strict or check_values:
         from . import evaluate
 
@@ -395,8 +428,8 @@ def _externs(of: Loader, registry: externs.Registry, functions: dict) -> list[Da
     ]
 
 
-def _groups(groups: DataFrame, members: DataFrame, distributions: DataFrame, factors: DataFrame, roots: DataFrame, rounds: graphs.Rounds, problems: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(levels, events) of common-cause groups, their models applied; adds what is wrong with them to ``problems``."""
+def _groups(groups: DataFrame, members: DataFrame, distributions: DataFrame, factors: DataFrame, roots: DataFrame, rounds: graphs.Rounds, problems: list[DataFrame]) -> tuple[DataFrame, Callable[[DataFrame | None], DataFrame]]:
+    """Levels of common-cause groups, and what makes their events, their models applied; adds what is wrong with them to ``problems``."""
     v, at = elements.violation, (F.col("file"), F.col("line"))
     sizes = members.groupBy("group_id").agg(F.count("*").cast("int").alias("n"))
     plain = groups.select("id", "file", "line")
@@ -416,7 +449,12 @@ def _groups(groups: DataFrame, members: DataFrame, distributions: DataFrame, fac
         v(without, "3 validate", "LogicError", F.col("id"), "a group needs a distribution and factors", *at),
         v(ccf.level_problems(levels), "2 define", "ValidityError", F.col("group_id"), F.col("problem")),
     ]
-    return levels, rounds.save(_ccf_events(levels, members, of_group))
+
+    def combined(which: DataFrame | None) -> DataFrame:
+        some = lambda t: t if which is None else t.join(which, "group_id", "left_semi")
+        return graphs.Rounds(groups.sparkSession).save(_ccf_events(some(levels), some(members), of_group))
+
+    return levels, combined
 
 
 def _substitution_problems(subs: DataFrame, members: DataFrame, settings: Settings) -> list[DataFrame]:
@@ -446,22 +484,22 @@ def _ccf_events(levels: DataFrame, members: DataFrame, groups: DataFrame) -> Dat
     return found.select("group_id", "level", elements.element_id(F.col("role"), F.col("base_path"), name).alias("id"), F.transform("members", lambda m: m["id"]).alias("members"))
 
 
-def _substitutions(of: Loader, entities: DataFrame, problems: list[DataFrame]) -> DataFrame:
+def _substitutions(of: Loader, entities: DataFrame, problems: list[DataFrame], present: set[str]) -> DataFrame:
     """The substitutions, as ``operators.substitutions`` takes them; adds what is wrong with their parts to ``problems``."""
     v, at = elements.violation, (F.col("file"), F.col("line"))
     defined = of.tagged("define-substitution").select("file", "line", "node", attr("name").alias("name"), attr("type").alias("type"))
-    parts = of.kids(defined, "name")
-    forms, raw, nested = of.formulas(parts.where("tag = 'hypothesis'").select("file", "node", F.col("of_name").alias("id"), F.lit("").alias("base_path")))
-    args = resolved_args(raw, entities)
+    rounds, named, inside = graphs.Rounds(entities.sparkSession), F.coalesce("def_name", F.lit("")), of.within("define-substitution")
+    forms, raw, nested = of.formulas_in("define-substitution/hypothesis", named, F.lit(""))
+    forms, args = rounds.save(forms), rounds.save(resolved_args(raw, entities, present))
     basic = entities.where("kind = 'basic-event'")
 
     def events(tag: str) -> DataFrame:
-        rows = of.kids(parts.where(F.col("tag") == tag), "of_name").withColumnRenamed("of_of_name", "name")
-        found = rows.where("tag = 'basic-event'").select("file", "line", "name", "ordinal", casts.trim(attr("name")).alias("ref"), F.lit("").alias("base_path"))
-        return references.resolve(found, basic).withColumnRenamed("id", "event")
+        rows = inside.where((F.col("up") == f"define-substitution/{tag}") & (F.col("tag") == "basic-event"))
+        found = rows.select("file", "line", named.alias("name"), "ordinal", casts.trim(attr("name")).alias("ref"), F.lit("").alias("base_path"))
+        return rounds.save(references.resolve(found, basic).withColumnRenamed("id", "event"))
 
     sources, targets = events("source"), events("target")
-    constants = of.kids(parts.where("tag = 'target'"), "of_name").where("tag = 'constant'").select(F.col("of_of_name").alias("name"), casts.to_bool(attr("value")).alias("target_const"))
+    constants = inside.where("up = 'define-substitution/target' AND tag = 'constant'").select(named.alias("name"), casts.to_bool(attr("value")).alias("target_const"))
     counts = args.groupBy("gate_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("arg_id")).alias("hypothesis"), F.bool_or("complement").alias("complemented"), F.bool_or(F.col("arg_kind") != "basic-event").alias("other_kinds"))
     shaped = forms.join(counts, forms["id"] == counts["gate_id"], "left").fillna(0, ["n"])
     shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))

@@ -134,7 +134,7 @@ def cut_sets(model: Model, roots: DataFrame | None = None) -> DataFrame:
     With an approximation the model's substitutions are applied to the products.
     """
     roots = (roots if roots is not None else model.top_events.select(F.col("gate_id").alias("id"))).select("id").distinct().withColumn("scenario", F.lit(""))
-    g, placed = exact.in_states(exact.graph(model), model.house_events, roots)
+    g, placed = exact.in_states(exact.graph(model, roots=roots), model.house_events, roots)
     found = of_graph(g, placed.select("id"), model.settings)
     return substituted(found, model.substitutions, g.events) if model.settings.approximation in ("rare-event", "mcub") else found
 

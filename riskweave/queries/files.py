@@ -24,22 +24,26 @@ def _text(*parts) -> Column:
 
 
 #: Elements of a kind in one model file.
-FILE_ROWS = 2000
+FILE_ROWS = 8000
 
 
-def _write(rows: DataFrame, folder: str, name: str, head: str = "", tail: str = "") -> str:
-    """Rows (xml) as model files of some thousand elements each; ``head`` and ``tail`` go around them, with the file's number for ``#``."""
-    files = rows.count() // FILE_ROWS + 1
+def _write(rows: DataFrame, folder: str, name: str, head: str = "", tail: str = "", count: int | None = None) -> str:
+    """Rows (xml), about ``count``, as model files of some thousand elements each; ``head`` and ``tail`` go around them, with the file's number for ``#``."""
+    files = (rows.count() if count is None else count) // FILE_ROWS + 1
     number = F.pmod(F.xxhash64("xml"), F.lit(files))
     around = lambda text: F.regexp_replace(F.lit(text), "#", F.col("file").cast("string"))
     body = rows.withColumn("file", number).groupBy("file").agg(F.array_join(F.collect_list("xml"), "").alias("xml"))
     body = body.select("file", F.concat(F.lit("<opsa-mef name='tables'>"), around(head), "xml", around(tail), F.lit("</opsa-mef>")).alias("value"))
-    body.repartition("file").write.partitionBy("file").text(f"{folder}/{name}")
+    body.write.partitionBy("file").text(f"{folder}/{name}")
     return f"{folder}/{name}/file=*/part-*"
 
 
-def _distinct_lines(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+def _orders(spark, sf_dir) -> tuple[DataFrame, int]:
+    """(l_orderkey, parts, args, n): the distinct parts of every order, and their arguments in XML; and about how many orders there are."""
+    lines = read(spark, sf_dir, "lineitem")
+    orders = lines.where("l_partkey IS NOT NULL").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    args = F.transform("parts", lambda p: F.concat(F.lit("<basic-event name='P"), p.cast("string"), F.lit("'/>")))
+    return orders.select("l_orderkey", "parts", F.array_join(F.array_sort(args), "").alias("args"), F.size("parts").alias("n")), lines.agg(F.approx_count_distinct("l_orderkey")).first()[0]
 
 
 def _signature(spark, sf_dir) -> tuple:
@@ -73,14 +77,12 @@ def tables_model(spark, sf_dir) -> model.Model:
         scale = spark.createDataFrame([("<define-parameter name='scale'><float value='0.0010309278'/></define-parameter>",)], "xml string")
         files = [_write(events, folder, "parts", "<model-data>", "</model-data>"), _write(scale, folder, "scale", "<model-data>", "</model-data>")]
 
-        lines = _distinct_lines(spark, sf_dir)
-        args = _text("<basic-event name='P", F.col("l_partkey"), "'/>")
-        orders = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(args)), "").alias("args"), F.count("*").alias("n"))
+        orders, number = _orders(spark, sf_dir)
         form = F.when(F.col("n") == 1, "null").when(F.col("l_orderkey") % 3 == 0, "or").when((F.col("l_orderkey") % 3 == 1) | (F.col("n") == 2), "and").otherwise("atleast")
         orders = orders.withColumn("form", form)
         opened = _text("<", F.col("form"), F.when(F.col("form") == "atleast", " min='2'").otherwise(""), ">", F.col("args"), "</", F.col("form"), ">")
         gates = orders.select(_text("<define-gate name='O", F.col("l_orderkey"), "'>", opened, "</define-gate>").alias("xml"))
-        files.append(_write(gates, folder, "orders", "<define-fault-tree name='orders#'>", "</define-fault-tree>"))
+        files.append(_write(gates, folder, "orders", "<define-fault-tree name='orders#'>", "</define-fault-tree>", number))
 
         supplier = read(spark, sf_dir, "supplier")
         member = _text("<basic-event name='S", F.col("s_suppkey"), "'/>")
@@ -143,7 +145,7 @@ SELECT 'O' || o AS id, round(CASE form WHEN 'and' THEN every WHEN 'atleast' THEN
 def xml_gate_probabilities(spark, sf_dir):
     """Probabilities of all gates of a file, arguments independent."""
     m = tables_model(spark, sf_dir)
-    return evaluate.gate_probabilities(m).where("id LIKE 'O%'").select("id", F.round("p", 8).alias("p"))
+    return evaluate.gate_probabilities(m, combined=False).where("id LIKE 'O%'").select("id", F.round("p", 8).alias("p"))
 
 
 @query("""WITH m AS (SELECT s_nationkey AS g, s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), k AS (SELECT g, n, s_suppkey, CASE WHEN g % 2 = 0 THEN 'beta' ELSE 'mgl' END AS kind FROM m WHERE n >= 2)
@@ -151,7 +153,7 @@ SELECT 'S' || s_suppkey AS id, round(CASE kind WHEN 'beta' THEN 1 - (1 - 0.8 * 0
 def xml_common_causes(spark, sf_dir):
     """Members of common-cause groups of a file, the groups' models applied: each one an OR over the events that it is in."""
     m = tables_model(spark, sf_dir)
-    return evaluate.gate_probabilities(m).where("id LIKE 'S%'").select("id", F.round("p", 9).alias("p"))
+    return evaluate.gate_probabilities(m, combined=False).where("id LIKE 'S%'").select("id", F.round("p", 9).alias("p"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, round((s_suppkey % 9 + 1) / 10.0, 1)::DOUBLE AS p FROM supplier)
@@ -174,16 +176,15 @@ def broken_model(spark, sf_dir) -> model.Model:
     """Substitutions of orders, and what customers and nations do wrong."""
 
     def make(folder: str) -> model.Model:
-        lines = _distinct_lines(spark, sf_dir)
-        args = _text("<basic-event name='P", F.col("l_partkey"), "'/>")
-        orders = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(args)), "").alias("args"), F.count("*").alias("n"), F.min("l_partkey").alias("one")).where("n >= 2")
+        orders, number = _orders(spark, sf_dir)
+        orders = orders.where("n >= 2").withColumn("one", F.array_min("parts"))
         key, form = F.col("l_orderkey"), F.when(F.col("l_orderkey") % 5 == 4, "or").otherwise("and")
         source = F.when(key % 4 == 2, _text("<source>", F.col("args"), "</source>")).when(key % 4 == 3, _text("<source><basic-event name='P", F.col("one"), "'/></source>")).otherwise("")
         target = F.when(key % 4 == 0, _text("<constant value='", F.when(key % 8 == 0, "false").otherwise("true"), "'/>")).otherwise("<basic-event name='X'/>")
         subs = orders.select(_text("<define-substitution name='U", key, "' type='", F.when(key % 4 == 3, "exchange-event").otherwise("recovery-rule"), "'><hypothesis><", form, ">", F.col("args"), "</", form, "></hypothesis>", source, "<target>", target, "</target></define-substitution>").alias("xml"))
         events = read(spark, sf_dir, "part").select(_text("<define-basic-event name='P", F.col("p_partkey"), "'><float value='0.1'/></define-basic-event>").alias("xml"))
         shared = spark.createDataFrame([("<define-basic-event name='X'><float value='0.1'/></define-basic-event><define-parameter name='hours' unit='hours'><float value='0.1'/></define-parameter>",)], "xml string")
-        files = [_write(subs, folder, "subs"), _write(events, folder, "parts", "<model-data>", "</model-data>"), _write(shared, folder, "shared", "<model-data>", "</model-data>")]
+        files = [_write(subs, folder, "subs", count=number), _write(events, folder, "parts", "<model-data>", "</model-data>"), _write(shared, folder, "shared", "<model-data>", "</model-data>")]
 
         c = F.col("c_custkey")
         wrong = (

@@ -129,3 +129,13 @@ def test_kinds_of_xml_errors(spark, tmp_path):
     found = [r for r in load(spark, tmp_path, gate, validator=no_null_gates).violations.collect() if r.code == "XmlError"]
     assert len(found) == 1 and found[0].detail == "ValidityError: null gates are not wanted" and found[0].line == 1
     assert xml_nodes.read_problem(RuntimeError("[FAILED_READ_FILE.FILE_NOT_EXIST] gone")).kind == "io" and xml_nodes.read_problem(RuntimeError("other")) is None
+
+
+def test_members_without_combinations(spark, tmp_path):
+    """Members' probabilities come from the numbers of their groups' events; these are not made by loading."""
+    group = "<define-CCF-group name='c' model='MGL'><members>%s</members><distribution><float value='0.1'/></distribution><factor><float value='0.2'/></factor><factor><float value='0.5'/></factor></define-CCF-group>"
+    m = load(spark, tmp_path, group % "".join(f"<basic-event name='m{i}'/>" for i in range(5)) + "<define-gate name='g'><and><basic-event name='m0'/><not><basic-event name='m1'/></not></and></define-gate>")
+    got = {r.id: r.p for r in evaluate.gate_probabilities(m, combined=False).collect()}
+    assert "ccf_events" not in m.tables
+    want = {r.id: r.p for r in evaluate.gate_probabilities(m).collect()}
+    assert set(got) == {k for k in want if not k.startswith("[")} and got["g"] == pytest.approx(want["g"]) and got["m0"] == pytest.approx(want["m0"])
