@@ -297,11 +297,18 @@ def search(index: Index | None, queries: DataFrame, k: int = 20) -> DataFrame:
         ids, of_list = right["id"].to_numpy(), right["list"].to_numpy()
         x = np.stack(right["v"].to_numpy()).astype(float)
         q, qids = np.stack(left["v"].to_numpy()).astype(float), left["id"].to_numpy()
+        size = dict(zip(*(c.tolist() for c in np.unique(of_list, return_counts=True)), strict=True))
+        once = distinct_rows(ids, x)
+        # a query whose lists hold about as many rows as the shard has different ones meets those, without their replicas
+        wide = np.array([2 * sum(size.get(int(j), 0) for j in lists) >= len(once) for lists in left["lists"]])
         visits: dict[int, list[int]] = {}
         for i, lists in enumerate(left["lists"]):
-            for j in lists:
+            for j in () if wide[i] else lists:
                 visits.setdefault(int(j), []).append(i)
         found, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for low in range(0, int(wide.sum()), 512):
+            part = np.flatnonzero(wide)[low : low + 512]
+            found.append(best_in_blocks(q[part], qids[part], x[once], ids[once], k))
         for j, who in visits.items():
             rows = np.flatnonzero(of_list == j)
             for low in range(0, len(who), 512):
@@ -369,6 +376,44 @@ def best_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return qids[a], i, score
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the rows without replicas: of neighbours with one id and one vector the first."""
+    order = np.argsort(ids, kind="stable")
+    i, v = ids[order], x[order]
+    again = (i[1:] == i[:-1]) & (v[1:] == v[:-1]).all(1)
+    return order[np.concatenate(([True], ~again))]
+
+
+def best_in_blocks(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_of`` over blocks of rows: from the second block on a query scores only rows that can reach its ``k``-th best so far."""
+    names, own = np.unique(qids, return_inverse=True)
+    best = best_of(q, qids, x[:block], ids[:block], k)
+    for low in range(block, len(ids), block):
+        best = best_rows([best], k)
+        place, floor = np.searchsorted(names, best[0]), np.full(len(names), np.inf)
+        np.minimum.at(floor, place, best[2])
+        floor[np.bincount(place, minlength=len(names)) < k] = -np.inf
+        floor, bx, bi = floor[own], x[low : low + block], ids[low : low + block]
+        # floors in the measure of products of vectors over their largest components
+        longest, most = np.abs(q).max(1), max(np.abs(bx).max(initial=0), np.finfo(float).tiny)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore", under="ignore"):
+            unit = longest * most
+            least = floor / unit
+        known = np.isfinite(floor) & np.isfinite(least) & (unit > 1e-200)
+        parts = [best]
+        if not known.all():
+            parts.append(best_of(q[~known], qids[~known], bx, bi, k))
+        if known.any():
+            qs, xs = q[known] / longest[known, None], bx / most
+            slack = 1e-9 * np.sqrt((qs * qs).sum(1)) * np.sqrt((xs * xs).sum(1)).max() + np.finfo(float).tiny
+            a, b = np.nonzero(qs @ xs.T >= (least[known] - slack)[:, None])
+            other = qids[known][a] != bi[b]
+            a, b = a[other], b[other]
+            parts.append((qids[known][a], bi[b], scores(q[known][a], bx[b])))
+        best = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    return best_rows([best], k)
+
+
 def best_rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of several lists as one: each query's ``k`` best, an id counting once, with its better score."""
     query, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))

@@ -86,3 +86,19 @@ def test_recall_holds_whatever_the_lists(spark):
         score[q] = -np.inf
         hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & {i for _, i, _ in rows})
     assert hits >= 0.95 * 20 * len(got)
+
+
+def test_blocks_score_only_what_can_be_among_the_best(monkeypatch):
+    """Replicas are met once, and rows below a query's best so far are not scored: in vectors without structure, where all lists are visited."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(8000, 16)), 4, axis=0)
+    ids = np.repeat(np.arange(8000), 4)
+    once = ann.distinct_rows(ids, x)
+    assert len(once) == 8000
+    q, qids, scored, scores = x[::400], ids[::400], [], ann.scores
+    monkeypatch.setattr(ann, "scores", lambda a, b: scored.append(len(a)) or scores(a, b))
+    got = ann.best_in_blocks(q, qids, x[once], ids[once], 20, block=1000)
+    assert sum(scored) < 0.05 * len(q) * len(once)
+    monkeypatch.undo()
+    whole = ann.best_rows([ann.best_of(q, qids, x[once], ids[once], 20)], 20)
+    assert all(np.array_equal(a, b) for a, b in zip(got, whole, strict=True))
