@@ -66,17 +66,23 @@ def combinations(members: DataFrame, levels: DataFrame | None = None) -> DataFra
     groups = members.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "event_id"))), lambda x: x["event_id"]).alias("all"))
     n = F.size("all")
     rows = groups.join(levels, "group_id") if levels is not None else groups.withColumn("level", F.explode(F.sequence(F.lit(1), n)))
-    rows = rows.withColumn("level", F.col("level").cast("int")).withColumn("size", F.least(F.col("level"), n - F.col("level"))).where("size >= 0")
+    return chosen(rows, "level", "members").select("group_id", "level", "members")
+
+
+def chosen(rows: DataFrame, level: str, into: str) -> DataFrame:
+    """Rows with an array ``all``, once for each choice of ``level`` (a column) of its elements, which go to ``into``."""
+    n, columns = F.size("all"), [c for c in rows.columns if c not in ("all", level)]
+    rows = rows.withColumn(level, F.col(level).cast("int")).withColumn("size", F.least(F.col(level), n - F.col(level))).where("size >= 0")
     rows = rows.withColumn("at", F.array().cast("array<int>"))
     for step in range(rows.agg(F.max("size")).first()[0] or 0):
         after = F.when(F.size("at") > 0, F.element_at("at", -1) + 1).otherwise(F.lit(0)) if step else F.lit(0)
         more = F.sequence(after, n - F.col("size") + step)
         longer = F.when(F.col("size") > step, F.transform(more, lambda i: F.concat("at", F.array(i)))).otherwise(F.array("at"))
-        rows = rows.select("group_id", "all", "level", "size", F.explode(longer).alias("at"))
+        rows = rows.select(*columns, "all", level, "size", F.explode(longer).alias("at"))
     # of a large group, members are taken by their indices, not by going through all
     left_out = F.filter("all", lambda _, i: ~F.array_contains("at", i))
-    taken = F.when(F.col("size") == F.col("level"), F.transform("at", lambda i: F.get("all", i))).otherwise(left_out)
-    return rows.select("group_id", "level", taken.alias("members"))
+    taken = F.when(F.col("size") == F.col(level), F.transform("at", lambda i: F.get("all", i))).otherwise(left_out)
+    return rows.select(*columns, "all", level, taken.alias(into))
 
 
 def event_name(members: Column) -> Column:

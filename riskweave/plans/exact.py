@@ -38,7 +38,9 @@ class Graph:
         return self.args.select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b")).join(self.gates.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
 
     def saved(self, rounds: graphs.Rounds) -> Graph:
-        return Graph(rounds.save(self.gates), rounds.save(self.args), rounds.save(self.events))
+        """The same graph in tables that are written; those that are already stay as they are."""
+        keep = lambda t: t if "_saved_rows" in t.__dict__ else rounds.save(t)
+        return Graph(keep(self.gates), keep(self.args), keep(self.events))
 
 
 def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None = None) -> Graph:

@@ -37,19 +37,13 @@ def _patterns(n: Column) -> Column:
 
 def alternatives(g: exact.Graph, rounds: graphs.Rounds, failures_only: bool) -> DataFrame:
     """(gate, sets): for ``gate``, with ``!`` before it if it must be false, its alternatives as sets of (gate, lit, p)."""
-    imply = F.col("connective") == "imply"
-    args = g.args.join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id").withColumn("complement", F.col("complement") != (imply & (F.col("ordinal") == 0)))
-    inner = g.gates.select(F.col("id").alias("arg_id"), F.lit(True).alias("is_gate"))
-    args = rounds.save(args.join(inner, "arg_id", "left").join(g.events.withColumnRenamed("id", "arg_id"), "arg_id", "left").select("gate_id", "ordinal", "arg_id", "complement", F.coalesce("is_gate", F.lit(False)).alias("is_gate"), "p"))
-    shapes = args.groupBy("gate_id").agg(F.count("*").cast("int").alias("n")).join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id")
-    shapes = rounds.save(shapes.select("gate_id", "n", F.explode(_patterns(F.col("n"))).alias("x")).select("gate_id", "n", "x.*"))
-    members = args.select(F.col("gate_id").alias("group_id"), "ordinal", F.struct("ordinal", "arg_id", "complement", "is_gate", "p").alias("event_id"))
-    wanted = shapes.select(F.col("gate_id").alias("group_id"), F.explode(F.array("ons", "offs")).alias("level")).where("level > 0").distinct()
-    chosen = rounds.save(ccf.combinations(members, wanted).select(F.col("group_id").alias("gate_id"), "level", "members"))
-    none = F.array().cast(dict(chosen.dtypes)["members"])
-    pick = lambda name: chosen.select("gate_id", F.col("level").alias(name), F.col("members").alias(f"{name}_args"))
-    rows = shapes.join(pick("ons"), ["gate_id", "ons"], "left").join(pick("offs"), ["gate_id", "offs"], "left")
-    rows = rows.where("(ons = 0 OR ons_args IS NOT NULL) AND (offs = 0 OR offs_args IS NOT NULL)").withColumns({"ons_args": F.coalesce("ons_args", none), "offs_args": F.coalesce("offs_args", none)})
+    kinds = g.gates.select(F.col("id").alias("arg_id"), F.lit(True).alias("is_gate"), F.lit(None).cast("double").alias("p"))
+    kinds = kinds.unionByName(g.events.select(F.col("id").alias("arg_id"), F.lit(False).alias("is_gate"), F.col("p").cast("double").alias("p"))).groupBy("arg_id").agg(F.max("is_gate").alias("is_gate"), F.max("p").alias("p"))
+    args = g.args.join(kinds, "arg_id", "left").withColumn("is_gate", F.coalesce("is_gate", F.lit(False)))
+    rows = args.groupBy("gate_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "arg_id", "complement", "is_gate", "p"))).alias("all")).join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id")
+    turned = lambda x: x.withField("complement", x["complement"] != ((F.col("connective") == "imply") & (x["ordinal"] == 0)))
+    rows = rows.withColumn("all", F.transform("all", turned)).select("gate_id", "all", F.explode(_patterns(F.size("all"))).alias("x")).select("gate_id", "all", "x.*")
+    rows = ccf.chosen(ccf.chosen(rounds.save(rows), "ons", "ons_args"), "offs", "offs_args")
     rows = rows.where(~F.arrays_overlap(F.transform("ons_args", lambda x: x["ordinal"]), F.transform("offs_args", lambda x: x["ordinal"])) | (F.col("ons") == 0) | (F.col("offs") == 0))
 
     def literal(x: Column, true: bool) -> Column:
@@ -71,7 +65,8 @@ def _opposed(lits: Column) -> Column:
 
 
 def expand(g: exact.Graph, roots: DataFrame, limit_order: int, cut_off: float, failures_only: bool, rounds: graphs.Rounds) -> DataFrame:
-    """(root, product, p): the sets that expanding ``roots`` (id) gives, within the limits, before absorption."""
+    """(root, product, p, shares): the sets that expanding ``roots`` (id) gives, within the limits, before absorption; ``shares`` are the literals' own p."""
+    g = g.saved(rounds)
     _, left = graphs.levels(g.edges)
     if not left.isEmpty():
         raise CycleError("gates refer to themselves")
@@ -93,13 +88,49 @@ def expand(g: exact.Graph, roots: DataFrame, limit_order: int, cut_off: float, f
         lits = F.transform("cut", lambda x: x["lit"])
         weight = F.aggregate("cut", F.lit(1.0), lambda a, x: a * F.coalesce(x["p"], F.lit(1.0)))
         state = state.where((F.size("cut") <= limit_order) & ~_opposed(lits) & ~_opposed(F.col("open")) & (weight >= cut_off)).distinct()
-    return done.distinct().select("root", F.transform("cut", lambda x: x["lit"]).alias("product"), F.aggregate("cut", F.lit(1.0), lambda a, x: a * x["p"]).alias("p"))
+    return done.distinct().select("root", F.transform("cut", lambda x: x["lit"]).alias("product"), F.aggregate("cut", F.lit(1.0), lambda a, x: a * x["p"]).alias("p"), F.transform("cut", lambda x: x["p"]).alias("shares"))
 
 
 def absorbed(products: DataFrame, rounds: graphs.Rounds) -> DataFrame:
     """Products without those that contain another one of their root."""
-    kept = quantify.minimal(products.select("root", F.col("product").alias("cut"))).select("root", F.col("cut").alias("product"))
-    return rounds.save(products.join(kept, ["root", "product"], "left_semi"))
+    return rounds.save(quantify.minimal(products.withColumnRenamed("product", "cut")).withColumnRenamed("cut", "product"))
+
+
+def _consensus(sets: Column, limit_order: int) -> Column:
+    """An array of structs with ``cut`` and, of every two that oppose each other in exactly one event, their consensus; absorbed."""
+
+    def of_two(yes: Column, no: Column) -> Column:
+        clash = F.filter(yes["cut"], lambda x: F.array_contains(no["cut"], F.concat(F.lit(NOT), x)))
+        both = F.array_except(F.array_union(yes["cut"], no["cut"]), F.concat(clash, F.transform(clash, lambda x: F.concat(F.lit(NOT), x))))
+        return F.when(F.size(clash) == 1, F.struct(F.array_sort(both).alias("cut")))
+
+    new = F.flatten(F.transform(sets, lambda yes: F.array_compact(F.transform(sets, lambda no: of_two(yes, no)))))
+    new = F.filter(new, lambda x: (F.size(x["cut"]) <= limit_order) & ~_opposed(x["cut"]))
+    return F.array_sort(F.array_union(sets, new))
+
+
+def _primes_together(products: DataFrame, limit_order: int, rounds: graphs.Rounds) -> tuple[DataFrame, DataFrame | None]:
+    """(root, product, p) from (root, product, shares) of roots with few products, all of a root's in one row; and the (root, product)
+    of those that come to more than ``quantify.TOGETHER``, as they were given."""
+    entries = F.arrays_zip(F.col("product").alias("lit"), F.col("shares").alias("p"))
+    state = products.groupBy("root").agg(F.collect_set(F.struct(F.col("product").alias("cut"))).alias("given"), F.array_distinct(F.flatten(F.collect_list(entries))).alias("shares"))
+    state = rounds.save(state.withColumn("given", F.array_sort("given")).withColumn("sets", F.array_sort(quantify.absorbing(F.col("given")))))
+    done, over = None, None
+    while True:
+        more = state.withColumn("more", _consensus(F.col("sets"), limit_order))
+        more = more.withColumn("more", F.array_sort(quantify.absorbing(F.col("more"))))
+        more = rounds.save(more)
+        ended = more.where("more = sets").drop("more")
+        done = ended if done is None else done.unionByName(ended)
+        state = more.where("more <> sets").drop("sets").withColumnRenamed("more", "sets")
+        large = state.where(F.size("sets") > quantify.TOGETHER).select("root", F.explode("given").alias("x")).select("root", F.col("x.cut").alias("product"))
+        over = large if over is None else over.unionByName(large)
+        state = state.where(F.size("sets") <= quantify.TOGETHER)
+        if state.isEmpty():
+            break
+    out = done.select("root", F.map_from_entries("shares").alias("of"), F.explode("sets").alias("x"))
+    p = F.aggregate("x.cut", F.lit(1.0), lambda a, lit: a * F.element_at("of", lit))
+    return out.select("root", F.col("x.cut").alias("product"), p.alias("p")), over
 
 
 def prime(products: DataFrame, events: DataFrame, limit_order: int, rounds: graphs.Rounds) -> DataFrame:
@@ -121,11 +152,20 @@ def prime(products: DataFrame, events: DataFrame, limit_order: int, rounds: grap
     return p.groupBy("root", "product").agg(F.when(F.count_if(share.isNull()) == 0, F.product(share)).alias("p"))
 
 
+def primes(products: DataFrame, events: DataFrame, limit_order: int, rounds: graphs.Rounds) -> DataFrame:
+    """``prime`` of (root, product, shares): roots with few products each in one row, the others by joins."""
+    large = rounds.save(quantify.many(products))
+    few = products if graphs.empty(large) else products.join(large, "root", "left_anti")
+    done, over = _primes_together(few, limit_order, rounds)
+    over = rounds.save(over if graphs.empty(large) else over.unionByName(products.join(large, "root", "left_semi").select("root", "product")))
+    return done if graphs.empty(over) else done.unionByName(prime(over, events, limit_order, rounds))
+
+
 def of_graph(g: exact.Graph, roots: DataFrame, settings: Settings) -> DataFrame:
     """(root, product, p) of the gates ``roots`` (id): minimal cut sets, or prime implicants if the settings ask for them."""
     rounds = graphs.Rounds(g.gates.sparkSession)
     found = rounds.save(expand(g, roots, settings.limit_order, settings.cut_off, not settings.prime_implicants, rounds))
-    return prime(found, g.events, settings.limit_order, rounds) if settings.prime_implicants else absorbed(found, rounds)
+    return primes(found, g.events, settings.limit_order, rounds) if settings.prime_implicants else absorbed(found.drop("shares"), rounds)
 
 
 def cut_sets(model: Model, roots: DataFrame | None = None) -> DataFrame:

@@ -71,8 +71,35 @@ def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: f
     return minimal(done) if absorb else done
 
 
+#: Sets of one root that are held against each other in one row, at most; roots with more of them go through joins.
+TOGETHER = 64
+
+
+def many(sets: DataFrame) -> DataFrame:
+    """(root) of the roots with more than ``TOGETHER`` sets."""
+    return sets.groupBy("root").count().where(F.col("count") > TOGETHER).select("root")
+
+
+def absorbing(sets: Column) -> Column:
+    """An array of structs with ``cut``, without those whose set contains another one."""
+    inside = lambda y, x: (F.size(y["cut"]) < F.size(x["cut"])) & (F.size(F.array_except(y["cut"], x["cut"])) == 0)
+    return F.filter(sets, lambda x: ~F.exists(sets, lambda y: inside(y, x)))
+
+
 def minimal(cuts: DataFrame) -> DataFrame:
-    """Cut sets without those that contain another one of their root, found through the smaller set's rarest event."""
+    """Rows (root, cut, ...) without those whose set contains another one of their root, all columns kept."""
+    rounds = Rounds(cuts.sparkSession)
+    cuts = rounds.save(cuts)
+    large = rounds.save(many(cuts))
+    few = cuts if graphs.empty(large) else cuts.join(large, "root", "left_anti")
+    inner = [c for c in cuts.columns if c != "root"]
+    few = few.groupBy("root").agg(F.collect_list(F.struct(*inner)).alias("all"))
+    few = few.select("root", F.explode(F.when(F.size("all") > 1, absorbing(F.col("all"))).otherwise(F.col("all"))).alias("x")).select("root", "x.*").select(*cuts.columns)
+    return few if graphs.empty(large) else few.unionByName(_minimal_by_joins(cuts.join(large, "root", "left_semi")))
+
+
+def _minimal_by_joins(cuts: DataFrame) -> DataFrame:
+    """``minimal`` for any number of sets, found through the smaller set's rarest event."""
     each = cuts.select("root", "cut", F.explode("cut").alias("e"))
     counts = each.groupBy("root", "e").agg(F.count("*").alias("n"))
     small = each.join(counts, ["root", "e"]).groupBy("root", F.col("cut").alias("small")).agg(F.min_by("e", F.struct("n", "e")).alias("e"))

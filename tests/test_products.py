@@ -99,3 +99,16 @@ def test_substitutions_of_a_model(spark, tmp_path):
     m.settings = Settings(approximation="mcub")
     m.tables["substitutions"] = m.substitutions.where("false")
     assert {r.id: r.p for r in products.probabilities(m).collect()} == {"top": pytest.approx(1 - 0.98 * 0.97 * 0.94)}
+
+
+def test_absorption_in_rows_and_by_joins(spark, monkeypatch):
+    """Roots with few sets and roots with many are absorbed alike, further columns kept; few sets need no joins."""
+    from riskweave.plans import quantify
+
+    rows = [("a", ["x"], 1), ("a", ["x", "y"], 2), ("a", ["y", "z"], 3), ("b", [], 4), ("b", ["x"], 5), ("c", ["x"], 6)]
+    cuts = spark.createDataFrame(rows, "root string, cut array<string>, n int")
+    few = quantify.minimal(cuts)
+    assert sorted(r.n for r in few.collect()) == [1, 3, 4, 6]
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(quantify, "TOGETHER", 1)
+    assert sorted(r.n for r in quantify.minimal(cuts).collect()) == [1, 3, 4, 6]
