@@ -165,11 +165,12 @@ def _signatures(texts: DataFrame, weights, s: Settings) -> DataFrame:
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1)) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1).astype(float))], names=["a", "b", "est"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1).astype(float)), *batch.columns[4:]], names=["a", "b", "est", "ra", "rb"])
 
 
 NODE = "struct<t1:bigint,t2:bigint>"
 EPS = 1e-9  # of sums of weights
+BEFORE = 8  # shingles before one in a text's order that tell whether a pair has met already
 
 
 def _candidates(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
@@ -184,13 +185,14 @@ def _candidates(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, est) of the pairs whose samples do not tell that they are far below the threshold."""
-    sig = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig{c}"))
-    both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "siga", "sigb")
+def _estimated(pairs: DataFrame, sigs: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, est, ra, rb) of the pairs whose samples do not tell that they are far below the threshold, with the roots of their classes."""
+    known = sigs.join(roots, "node")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("sig").alias(f"sig{c}"), F.col("root").alias(f"r{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "siga", "sigb", "ra", "rb")
     # five standard deviations below the threshold
     least = s.similarity - 5 * (s.similarity * (1 - s.similarity) / s.samples) ** 0.5
-    return both.mapInArrow(_agreement, f"a {NODE}, b {NODE}, est double").where(F.col("est") >= least)
+    return both.mapInArrow(_agreement, f"a {NODE}, b {NODE}, est double, ra {NODE}, rb {NODE}").where(F.col("est") >= least)
 
 
 def early(h: np.ndarray, w: np.ndarray, idf_of: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +204,11 @@ def early(h: np.ndarray, w: np.ndarray, idf_of: np.ndarray, share: float) -> tup
 
 
 def _prefixes(texts: DataFrame, weights, s: Settings) -> DataFrame:
-    """(node, h, whole, rest) of (node, text): the shingles that can be the first in common with a similar text, in one order for all texts.
+    """(node, h, whole, rest, before) of (node, text): the shingles that can be the first in common with a similar text, in one order for all texts.
 
     With similarity t the common weight is t / (1 + t) of both weights' sum at least, and none of it lies before the
     first common shingle: before it is at most 1 - t of the heavier text and (1 - t) / (1 + t) of the lighter one.
+    ``before`` are the last shingles before one, at most ``BEFORE``: two texts that share one of them have met there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +216,7 @@ def _prefixes(texts: DataFrame, weights, s: Settings) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                hs, rests, n = [], [], []
+                hs, rests, n, before, ends = [], [], [], [], [0]
                 for text in part.column(1).to_pylist():
                     h, tf = shingles(hasher, text, s.words)
                     each = idf_of[(h & U64(s.buckets - 1)).astype(np.int64)]
@@ -221,12 +224,15 @@ def _prefixes(texts: DataFrame, weights, s: Settings) -> DataFrame:
                     hs.append(h)
                     rests.append(rest)
                     n.append(len(h))
+                    for i in range(len(h)):
+                        before.append(h[max(0, i - BEFORE) : i])
+                        ends.append(ends[-1] + len(before[-1]))
                 at, rest = np.repeat(np.arange(len(n)), n), np.concatenate(rests)
                 whole = np.repeat([r[0] for r in rests], n)
                 nodes = part.column(0).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(signed(np.concatenate(hs))), pa.array(whole), pa.array(rest)], names=["node", "h", "whole", "rest"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(signed(np.concatenate(hs))), pa.array(whole), pa.array(rest), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(before))))], names=["node", "h", "whole", "rest", "before"])
 
-    return texts.mapInArrow(run, f"node {NODE}, h long, whole double, rest double")
+    return texts.mapInArrow(run, f"node {NODE}, h long, whole double, rest double, before array<long>")
 
 
 def _remainder(open_: DataFrame, roots: DataFrame, texts: DataFrame, weights, s: Settings, scratch: Scratch) -> DataFrame:
@@ -237,11 +243,12 @@ def _remainder(open_: DataFrame, roots: DataFrame, texts: DataFrame, weights, s:
     rows = scratch.save(rows.join(mixed, "h", "left_semi"), "prefixes-mixed")
     scratch.drop("prefixes")
     t = s.similarity
-    side = lambda c: rows.select("h", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "root", "whole", "rest")])
+    side = lambda c: rows.select("h", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "root", "whole", "rest", "before")])
     light = side("y").where(F.col("rest_y") >= (2 * t / (1 + t) - EPS) * F.col("whole_y"))
     least = (t / (1 + t) - EPS) * (F.col("whole_x") + F.col("whole_y"))
     fits = F.expr("whole_y < whole_x OR (whole_y = whole_x AND node_y < node_x)") & (F.least("rest_x", "rest_y") >= least)
     fits &= (F.col("whole_y") >= (t - EPS) * F.col("whole_x")) & (F.col("root_x") != F.col("root_y"))
+    fits &= ~F.arrays_overlap("before_x", "before_y")  # else the pair is found by an earlier shingle, where these bounds hold as well
     found = side("x").join(light, "h").where(fits)
     return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
@@ -308,12 +315,12 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
             pairs = _candidates(members, roots, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(_estimated(pairs, sigs, s), f"pairs-{turn}")
+        pairs = scratch.save(_estimated(pairs, sigs, roots, s), f"pairs-{turn}")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         linked, found = False, None
         for wide in (False, True):  # each text's best candidate in another class first, then all that still join two classes
             step += 1
-            apart = pairs.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select("a", "b", "est")
+            apart = pairs.where("ra <> rb").select("a", "b", "est")
             if not wide:
                 best = Window.partitionBy("b").orderBy(F.desc("est"), "a")
                 apart = apart.withColumn("k", F.row_number().over(best)).where("k = 1")
@@ -325,6 +332,9 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
             linked = True
             ends = found.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
             merged = components(ends, scratch, f"merge-{step}").select(F.col("node").alias("root"), F.col("root").alias("upper"))
+            merged = scratch.save(merged, f"merged-{step}")
+            for c in ("ra", "rb"):
+                pairs = pairs.join(merged.select(F.col("root").alias(c), "upper"), c, "left").withColumn(c, F.coalesce("upper", c)).drop("upper")
             roots = scratch.save(roots.join(merged, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), f"roots-{step}")
     of_root = firsts.select(F.struct("t1", "t2").alias("node"), "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("class_first"))
     near = roots.join(of_root, "root").select("node.t1", "node.t2", "class_first")
