@@ -67,8 +67,7 @@ def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: f
             keyed = state.withColumn("_id", F.xxhash64("root", "open", "cut"))
             p = keyed.select("_id", F.explode("cut").alias("arg")).distinct().join(probabilities, "arg").groupBy("_id").agg(F.product("p").alias("_p")).where(F.col("_p") < cut_off)
             state = keyed.join(p.select("_id"), "_id", "left_anti").drop("_id")
-    done = done.distinct()
-    return minimal(done) if absorb else done
+    return minimal(done, once=True) if absorb else done.distinct()
 
 
 #: Sets of one root that are held against each other in one row, at most; roots with more of them go through joins.
@@ -86,16 +85,17 @@ def absorbing(sets: Column) -> Column:
     return F.filter(sets, lambda x: ~F.exists(sets, lambda y: inside(y, x)))
 
 
-def minimal(cuts: DataFrame) -> DataFrame:
-    """Rows (root, cut, ...) without those whose set contains another one of their root, all columns kept."""
+def minimal(cuts: DataFrame, once: bool = False) -> DataFrame:
+    """Rows (root, cut, ...) without those whose set contains another one of their root, all columns kept; equal rows are one with ``once``."""
     rounds = Rounds(cuts.sparkSession)
     cuts = rounds.save(cuts)
     large = rounds.save(many(cuts))
     few = cuts if graphs.empty(large) else cuts.join(large, "root", "left_anti")
     inner = [c for c in cuts.columns if c != "root"]
-    few = few.groupBy("root").agg(F.collect_list(F.struct(*inner)).alias("all"))
+    few = few.groupBy("root").agg((F.collect_set if once else F.collect_list)(F.struct(*inner)).alias("all"))
     few = few.select("root", F.explode(F.when(F.size("all") > 1, absorbing(F.col("all"))).otherwise(F.col("all"))).alias("x")).select("root", "x.*").select(*cuts.columns)
-    return few if graphs.empty(large) else few.unionByName(_minimal_by_joins(cuts.join(large, "root", "left_semi")))
+    rest = cuts.join(large, "root", "left_semi")
+    return few if graphs.empty(large) else few.unionByName(_minimal_by_joins(rest.distinct() if once else rest))
 
 
 def _minimal_by_joins(cuts: DataFrame) -> DataFrame:
