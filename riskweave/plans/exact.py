@@ -295,7 +295,8 @@ def phase_probabilities(model: Model, roots: DataFrame | None = None) -> DataFra
     states = model.phase_house_events.select(F.concat("alignment", F.lit("/"), "phase").alias("scenario"), "house_event", "state")
     g, placed = in_states(graph(model, roots=roots), model.house_events, roots.crossJoin(phases.select("scenario")), states)
     p = probabilities(g, placed.select(F.col("gate").alias("id")).distinct()).withColumnRenamed("id", "gate")
-    return placed.join(p, "gate").join(phases, "scenario").select("alignment", "phase", "fraction", "id", "p")
+    by_phase = placed.join(p, "gate").join(phases, "scenario").select("alignment", "phase", "fraction", "id", "p")
+    return graphs.Rounds(g.gates.sparkSession).save(by_phase)
 
 
 def over_phases(by_phase: DataFrame) -> DataFrame:

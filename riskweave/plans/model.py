@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,11 @@ SUBSTITUTIONS = "file string, line int, name string, type string, connective str
 
 @dataclass
 class Model:
-    """Entity tables by name, and ``violations``."""
+    """Entity tables by name, ``violations`` among them; those that are functions yet are made on first use."""
 
     name: str
-    tables: dict[str, DataFrame]
+    tables: dict[str, DataFrame | Callable[[], DataFrame]]
     settings: Settings
-    violations: DataFrame
     functions: externs.Registry = field(default_factory=externs.Registry)
     #: Makes the event-tree tables of a model without any: planned on first use only.
     absent: Callable[[], dict[str, DataFrame]] = dict
@@ -51,16 +51,21 @@ class Model:
             tables |= self.absent()
         if name == "ccf_events" and name not in tables:
             tables[name] = self.combined(None)
-        try:
-            return tables[name]
-        except KeyError:
-            raise AttributeError(name) from None
+        if name not in tables:
+            raise AttributeError(name)
+        if not isinstance(tables[name], DataFrame):
+            tables[name] = tables[name]()
+        return tables[name]
 
 
 def factor_id() -> Column:
     return F.concat(F.lit("factor:"), "file", F.lit("#"), "node")
 
 
+#: Sections whose nodes, but for definitions in other ones, are no parts of event trees or alignments.
+_NO_TREES = ("define-gate", "define-basic-event", "define-house-event", "define-parameter", "define-substitution", "define-CCF-group")
+
+
 class Loader:
     """The node table taken apart: one method a kind of construct."""
 
@@ -97,6 +102,10 @@ class Loader:
             rows = rows.withColumnRenamed(f"_{c}", f"of_{c}")
         return rows.withColumnRenamed("_n", "of")
 
+    def of_trees(self) -> DataFrame:
+        """The nodes of event trees, alignments and all else that is in no definition of an event, parameter, group or substitution."""
+        return self.nodes.where(~F.col("section").isin(*_NO_TREES) | (F.col("definition").isNotNull() & F.col("tag").startswith("define-")))
+
     def events(self) -> DataFrame:
         kind = F.element_at(F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv]), F.col("tag"))
         return self.named(*EVENTS).withColumn("kind", kind)
@@ -231,16 +240,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     if not allow_extern and present & {"define-extern-library", "define-extern-function"}:
         raise IllegalOperation("external libraries are not allowed")
     of, v = Loader(nodes), elements.violation
-    problems = [v(nodes.where("tag = '#error'"), "1 parse", "XmlError", F.col("file"), F.col("text"), F.col("file"))]
-    if turned_down is not None:
-        problems.append(v(turned_down, "1 parse", "XmlError", F.col("file"), F.concat(F.lit("ValidityError: "), F.coalesce(F.col("detail"), F.lit(""))), F.col("file"), F.col("line")))
-    problems.append(v(nodes.where(F.col("parent").isNull() & ~F.col("tag").isin("opsa-mef", "#error")), "1 parse", "ValidityError", F.col("tag"), "not a model file", F.col("file"), F.col("line")))
-
-    events = of.events()
     members = of.ccf_members()
-    entities = events.select("file", "line", "id", "name", "role", "base_path", "full_path", "kind")
-    # members of groups are basic events, but not reachable by a path
-    entities = rounds.save(entities.unionByName(members.select("file", "line", F.col("event_id").alias("id"), "name", "role", "base_path", F.lit(None).cast("string").alias("full_path"), F.lit("basic-event").alias("kind"))))
     parameters = of.named("define-parameter").withColumn("unit", F.coalesce(F.nullif(attr("unit"), F.lit("")), F.lit("unitless")))
     groups = of.named("define-CCF-group").withColumn("model", attr("model"))
     houses = of.named("define-house-event")
@@ -250,126 +250,187 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     labels, attributes = of.described()
     path = F.when(F.coalesce("base_path", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws(".", "base_path", "name"))
     components = containers.select(path.alias("path"), F.nullif("base_path", F.lit("")).alias("parent_path"), "name", "role", (F.col("tag") == "define-fault-tree").alias("is_fault_tree"))
-
-    # names, roles, ids
-    named = elements.union([entities.select("file", "line", "id", "name", "role", "base_path"), *[t.select("file", "line", "id", "name", "role", "base_path") for t in (parameters, groups)]])
-    problems += [
-        v(named.where(elements.bad_name(F.col("name"))), "2 define", "ValidityError", F.col("id"), "name is empty or holds a point", F.col("file"), F.col("line")),
-        v(named.where(elements.bad_role(F.col("role"), F.col("base_path")) & ~elements.bad_name(F.col("name"))), "2 define", "ValidityError", F.col("id"), "private element at model scope", F.col("file"), F.col("line")),
-        v(elements.duplicates(entities, "id"), "2 define", "DuplicateElementError", F.col("id"), "event defined more than once"),
-        v(elements.duplicates(entities.where("base_path <> ''"), "base_path", "name"), "2 define", "DuplicateElementError", F.concat_ws(".", "base_path", "name"), "name used more than once in a component"),
-        v(elements.duplicates(parameters, "id"), "2 define", "DuplicateElementError", F.col("id"), "parameter defined more than once"),
-        v(elements.duplicates(groups, "id"), "2 define", "DuplicateElementError", F.col("id"), "group defined more than once"),
-        v(elements.duplicates(components, "path"), "2 define", "DuplicateElementError", F.col("path"), "component defined more than once"),
-    ]
-    if "attributes" in present:
-        problems.append(v(elements.duplicates(attributes, "file", "node", "name"), "2 define", "DuplicateElementError", F.col("name"), "attribute given twice", F.col("file")))
-
-    registry = externs.Registry(allow_extern)
-    if present & {"define-extern-library", "define-extern-function"}:
-        problems += _externs(of, registry, functions or {})
-
-    # formulas
-    parts = of.formulas_in("define-gate", of.defined_id(), F.col("base_path"))
-    if present & {"define-event-tree", "define-sequence", "define-rule"}:  # collected formulas are gates of their own
-        collected = of.tagged("collect-formula").select("file", "node", trees.formula_id().alias("id"), F.lit("").alias("base_path"))
-        parts = [a.unionByName(b) for a, b in zip(parts, of.formulas(collected), strict=True)]
-    gates, raw_args, nested = parts
-    gates = rounds.save(gates)
-    args = rounds.save(resolved_args(raw_args, entities, present))
-    counts = args.groupBy("gate_id").agg(F.count("*").alias("n"))
-    shaped = gates.join(counts, gates["id"] == counts["gate_id"], "left").fillna(0, ["n"])
-    shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))
-    args_of = args.where("complement OR want = 'constant'").join(gates.select(F.col("id").alias("gate_id"), "connective"), "gate_id").withColumn("problem", formulas.nesting_problem(F.col("connective"), F.col("complement"), F.col("want") == "constant"))
-    broken = nested.select(F.col("gate_id").alias("id")).distinct()
-    problems += [
-        v(args.where("arg_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), F.concat(F.lit("argument of gate "), F.col("gate_id")), F.col("file"), F.col("line")),
-        v(nested, "2 define", "ValidityError", F.col("gate_id"), F.concat(F.lit("nested formula: "), F.col("tag")), F.col("file"), F.col("line")),
-        v(formulas.duplicate_args(args.where("arg_id IS NOT NULL")), "2 define", "DuplicateElementError", F.col("gate_id"), F.concat(F.lit("argument given twice: "), F.col("arg_id"))),
-        v(shaped.where("problem IS NOT NULL").join(broken, "id", "left_anti"), "2 define", "ValidityError", F.col("id"), F.col("problem"), F.col("file"), F.col("line")),
-        v(args_of.where("problem IS NOT NULL"), "2 define", "LogicError", F.col("gate_id"), F.col("problem"), F.col("file"), F.col("line")),
-    ]
-
-    # expressions and their references
-    distributions, factors = of.kids(groups, "id", among=of.within("define-CCF-group")).where("tag = 'distribution'"), of.factors(groups)
-    owned = [
-        distributions.withColumn("id", F.concat(F.lit("group:"), "of_id")), factors.withColumn("id", factor_id()),
-    ]
-    roots, expressions = of.expressions(elements.union([t.select("file", "node", "id") for t in owned]))
-    # every member of a group has the group's distribution as its expression
-    shared = roots.where("id LIKE 'group:%'").select("file", "root", F.substring("id", 7, 1 << 20).alias("group_id")).join(members.select("group_id", "event_id"), "group_id")
-    roots = rounds.save(roots.unionByName(shared.select("file", "root", F.concat(F.lit("event:"), "event_id").alias("id"))))
-    refs = references.resolve(expressions.where("tag = 'parameter'"), parameters.select("id", "role", "base_path", "full_path", F.lit("gate").alias("kind"))).drop("kind").withColumnRenamed("id", "parameter_id")
-    expressions = rounds.save(expressions.join(refs.select("file", "node", "parameter_id"), ["file", "node"], "left"))
-    odd = of.within("define-basic-event", "define-parameter", "define-CCF-group").where(F.col("definition").isNotNull()).join(roots.select("file", F.col("root").alias("node")), ["file", "node"], "left_semi").where(~F.col("tag").isin(*KNOWN_OPERATORS))
-    problems += [
-        v(expressions.where("tag = 'parameter' AND parameter_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), "parameter is not defined", F.col("file"), F.col("line")),
-        v(expressions.where("tag IN ('int', 'float', 'bool') AND literal IS NULL"), "2 define", "ValidityError", F.col("tag"), "not a number of this kind", F.col("file"), F.col("line")),
-        v(references.unit_mismatch(expressions.where("tag = 'parameter'").select("file", "line", F.col("parameter_id").alias("ref"), "unit"), parameters.select("id", "unit")), "2 define", "ValidityError", F.col("ref"), "unit differs from the parameter's", F.col("file"), F.col("line")),
-        v(odd, "2 define", "ValidityError", F.col("tag"), "unknown expression", F.col("file"), F.col("line")),
-        v(_arity_problems(expressions, registry), "2 define", "ValidityError", F.coalesce(F.nullif("ref", F.lit("")), "tag"), "wrong number of arguments", F.col("file"), F.col("line")),
-        v(expressions.where(F.col("tag") == "extern-function").where(~F.col("ref").isin(*registry.known)) if registry.known else expressions.where("tag = 'extern-function'"), "2 define", "UndefinedElement", F.col("ref"), "external function is not defined", F.col("file"), F.col("line")),
-    ]
-    have = roots.select(F.col("id"))
-    if settings.probability_analysis:
-        bare = of.named("define-basic-event").select("id", "file", "line").join(have.select(F.substring("id", 7, 1 << 20).alias("id")), "id", "left_anti")
-        problems.append(v(bare, "2 define", "ValidityError", F.col("id"), "no expression", F.col("file"), F.col("line")))
-
-    # cycles
-    gate_edges = args.where("arg_kind = 'gate'").select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b"))
-    in_parameter = parameters.select("file", F.col("node").alias("definition"), F.col("id").alias("a"))
-    parameter_edges = expressions.where("parameter_id IS NOT NULL").join(in_parameter, ["file", "definition"]).select("a", F.col("parameter_id").alias("b"))
-    problems += [v(graphs.some_cycles(e), "3 validate", "CycleError", F.col("path"), f"cycle among {what}") for what, e in (("gates", gate_edges), ("parameters", parameter_edges))]
-
-    # event trees
-    tree_tables: dict[str, DataFrame] = {}
     initiating = of.tagged("define-initiating-event").select("file", "line", attr("name").alias("name"), F.nullif(attr("event-tree"), F.lit("")).alias("tree"))
-    if present & {"define-event-tree", "define-initiating-event", "define-sequence", "define-rule"}:
-        tree_tables = rounds.save_all(trees.tables(of))
-        problems += trees.problems(tree_tables, initiating, houses.select("id"))
     alignments = of.tagged("define-alignment").select("file", "node", attr("name").alias("name"))
-    phases = of.kids(alignments, "name").where("tag = 'define-phase'")
-    phases = phases.select("file", "line", "node", F.col("of_name").alias("alignment"), attr("name").alias("phase"), casts.to_double(attr("time-fraction")).alias("fraction"))
-    set_in_phase = of.kids(phases, "alignment", "phase").where("tag = 'set-house-event'").select("file", "line", "node", F.col("of_alignment").alias("alignment"), F.col("of_phase").alias("phase"), attr("name").alias("house_event"))
-    set_to = of.kids(set_in_phase.select("file", "node")).where("tag = 'constant'").select("file", F.col("of").alias("node"), casts.to_bool(attr("value")).alias("state"))
-    phase_houses = set_in_phase.join(set_to, ["file", "node"], "left")
-    problems += [] if "define-alignment" not in present else [
-        v(elements.duplicates(alignments, "name"), "2 define", "DuplicateElementError", F.col("name"), "alignment defined more than once"),
-        v(elements.duplicates(phases, "alignment", "phase"), "2 define", "DuplicateElementError", F.concat_ws(".", "alignment", "phase"), "phase defined more than once"),
-        v(elements.undefined(set_in_phase, houses, "house_event", "id"), "2 define", "UndefinedElement", F.col("house_event"), "house event of a phase", F.col("file"), F.col("line")),
-        v(substitutions.phase_problems(phases).where("problem IS NOT NULL"), "3 validate", "ValidityError", F.col("alignment"), F.col("problem")),
-    ]
-
-    levels, combined = spark.createDataFrame([], CCF_LEVELS), lambda _: spark.createDataFrame([], CCF_EVENTS)
-    if "define-CCF-group" in present:
-        levels, combined = _groups(groups, members, distributions, factors, roots, rounds, problems)
-    subs = spark.createDataFrame([], SUBSTITUTIONS)
-    if "define-substitution" in present:
-        subs = rounds.save(_substitutions(of, entities, problems, present))
-        problems += _substitution_problems(subs, members, settings)
-
-    known = {"gate": gate_edges}
-    tree_gates = of.named("define-gate").select(F.split("base_path", "\\.")[0].alias("tree"), F.col("id").alias("gate_id"))
-    tree_args = args.where("arg_kind = 'gate'").join(tree_gates, "gate_id").select("tree", "arg_id")
-    tops = graphs.top_nodes(tree_gates.where("tree <> ''"), tree_args)
-    violations = rounds.save(elements.union(problems))
-    name = nodes.where(F.col("parent").isNull() & (F.col("file") == F.lit(_first(nodes, files)))).select(attr("name")).first()
+    registry = externs.Registry(allow_extern)
+    extern_problems = _externs(of, registry, functions or {}) if present & {"define-extern-library", "define-extern-function"} else []
+    has_trees = bool(present & {"define-event-tree", "define-initiating-event", "define-sequence", "define-rule"})
+
+    # what takes jobs is done when something needs it, and once
+    @cache
+    def entities() -> DataFrame:
+        found = of.events().select("file", "line", "id", "name", "role", "base_path", "full_path", "kind")
+        # members of groups are basic events, but not reachable by a path
+        return rounds.save(found.unionByName(members.select("file", "line", F.col("event_id").alias("id"), "name", "role", "base_path", F.lit(None).cast("string").alias("full_path"), F.lit("basic-event").alias("kind"))))
+
+    @cache
+    def tree_nodes() -> Loader:
+        return Loader(rounds.save(of.of_trees(), "section")) if has_trees or "define-alignment" in present else of
+
+    @cache
+    def formula_tables() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(gates, args, nested)."""
+        parts = of.formulas_in("define-gate", of.defined_id(), F.col("base_path"))
+        if present & {"define-event-tree", "define-sequence", "define-rule"}:  # collected formulas are gates of their own
+            inside = tree_nodes()
+            collected = inside.tagged("collect-formula").select("file", "node", trees.formula_id().alias("id"), F.lit("").alias("base_path"))
+            parts = [a.unionByName(b) for a, b in zip(parts, inside.formulas(collected), strict=True)]
+        gates, raw_args, nested = parts
+        return rounds.save(gates), rounds.save(resolved_args(raw_args, entities(), present)), nested
+
+    @cache
+    def group_parts() -> tuple[DataFrame, DataFrame]:
+        """(distributions, factors)."""
+        return of.kids(groups, "id", among=of.within("define-CCF-group")).where("tag = 'distribution'"), of.factors(groups)
+
+    @cache
+    def expression_tables() -> tuple[DataFrame, DataFrame]:
+        """(roots, expressions), references to parameters resolved."""
+        distributions, factors = group_parts()
+        owned = [
+            distributions.withColumn("id", F.concat(F.lit("group:"), "of_id")), factors.withColumn("id", factor_id()),
+        ]
+        roots, expressions = of.expressions(elements.union([t.select("file", "node", "id") for t in owned]))
+        # every member of a group has the group's distribution as its expression
+        shared = roots.where("id LIKE 'group:%'").select("file", "root", F.substring("id", 7, 1 << 20).alias("group_id")).join(members.select("group_id", "event_id"), "group_id")
+        roots = rounds.save(roots.unionByName(shared.select("file", "root", F.concat(F.lit("event:"), "event_id").alias("id"))))
+        refs = references.resolve(expressions.where("tag = 'parameter'"), parameters.select("id", "role", "base_path", "full_path", F.lit("gate").alias("kind"))).drop("kind").withColumnRenamed("id", "parameter_id")
+        return roots, rounds.save(expressions.join(refs.select("file", "node", "parameter_id"), ["file", "node"], "left"))
+
+    @cache
+    def tree_tables() -> dict[str, DataFrame]:
+        return rounds.save_all(trees.tables(tree_nodes()))
+
+    @cache
+    def phase_tables() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(phases, house events named in them, these with the states)."""
+        inside = tree_nodes()
+        phases = inside.kids(alignments, "name").where("tag = 'define-phase'")
+        phases = phases.select("file", "line", "node", F.col("of_name").alias("alignment"), attr("name").alias("phase"), casts.to_double(attr("time-fraction")).alias("fraction"))
+        set_in_phase = inside.kids(phases, "alignment", "phase").where("tag = 'set-house-event'").select("file", "line", "node", F.col("of_alignment").alias("alignment"), F.col("of_phase").alias("phase"), attr("name").alias("house_event"))
+        set_to = inside.kids(set_in_phase.select("file", "node")).where("tag = 'constant'").select("file", F.col("of").alias("node"), casts.to_bool(attr("value")).alias("state"))
+        return phases, set_in_phase, set_in_phase.join(set_to, ["file", "node"], "left")
+
+    @cache
+    def group_tables() -> tuple[DataFrame, Callable[[DataFrame | None], DataFrame], list[DataFrame]]:
+        """(levels, what makes the groups' events, problems)."""
+        if "define-CCF-group" not in present:
+            return spark.createDataFrame([], CCF_LEVELS), lambda _: spark.createDataFrame([], CCF_EVENTS), []
+        wrong: list[DataFrame] = []
+        return *_groups(groups, members, *group_parts(), expression_tables()[0], rounds, wrong), wrong
+
+    @cache
+    def substitution_tables() -> tuple[DataFrame, list[DataFrame]]:
+        if "define-substitution" not in present:
+            return spark.createDataFrame([], SUBSTITUTIONS), []
+        wrong: list[DataFrame] = []
+        return rounds.save(_substitutions(of, entities(), wrong, present)), wrong
+
+    def gate_edges() -> DataFrame:
+        return formula_tables()[1].where("arg_kind = 'gate'").select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b"))
+
+    def tops() -> DataFrame:
+        tree_gates = of.named("define-gate").select(F.split("base_path", "\\.")[0].alias("tree"), F.col("id").alias("gate_id"))
+        tree_args = formula_tables()[1].where("arg_kind = 'gate'").join(tree_gates, "gate_id").select("tree", "arg_id")
+        return graphs.top_nodes(tree_gates.where("tree <> ''"), tree_args)
+
+    def violations() -> DataFrame:
+        problems = [v(nodes.where("tag = '#error'"), "1 parse", "XmlError", F.col("file"), F.col("text"), F.col("file"))]
+        if turned_down is not None:
+            problems.append(v(turned_down, "1 parse", "XmlError", F.col("file"), F.concat(F.lit("ValidityError: "), F.coalesce(F.col("detail"), F.lit(""))), F.col("file"), F.col("line")))
+        problems.append(v(nodes.where(F.col("parent").isNull() & ~F.col("tag").isin("opsa-mef", "#error")), "1 parse", "ValidityError", F.col("tag"), "not a model file", F.col("file"), F.col("line")))
+
+        # names, roles, ids
+        named = elements.union([entities().select("file", "line", "id", "name", "role", "base_path"), *[t.select("file", "line", "id", "name", "role", "base_path") for t in (parameters, groups)]])
+        problems += [
+            v(named.where(elements.bad_name(F.col("name"))), "2 define", "ValidityError", F.col("id"), "name is empty or holds a point", F.col("file"), F.col("line")),
+            v(named.where(elements.bad_role(F.col("role"), F.col("base_path")) & ~elements.bad_name(F.col("name"))), "2 define", "ValidityError", F.col("id"), "private element at model scope", F.col("file"), F.col("line")),
+            v(elements.duplicates(entities(), "id"), "2 define", "DuplicateElementError", F.col("id"), "event defined more than once"),
+            v(elements.duplicates(entities().where("base_path <> ''"), "base_path", "name"), "2 define", "DuplicateElementError", F.concat_ws(".", "base_path", "name"), "name used more than once in a component"),
+            v(elements.duplicates(parameters, "id"), "2 define", "DuplicateElementError", F.col("id"), "parameter defined more than once"),
+            v(elements.duplicates(groups, "id"), "2 define", "DuplicateElementError", F.col("id"), "group defined more than once"),
+            v(elements.duplicates(components, "path"), "2 define", "DuplicateElementError", F.col("path"), "component defined more than once"),
+        ]
+        if "attributes" in present:
+            problems.append(v(elements.duplicates(attributes, "file", "node", "name"), "2 define", "DuplicateElementError", F.col("name"), "attribute given twice", F.col("file")))
+        problems += extern_problems
+
+        # formulas
+        gates, args, nested = formula_tables()
+        counts = args.groupBy("gate_id").agg(F.count("*").alias("n"))
+        shaped = gates.join(counts, gates["id"] == counts["gate_id"], "left").fillna(0, ["n"])
+        shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))
+        args_of = args.where("complement OR want = 'constant'").join(gates.select(F.col("id").alias("gate_id"), "connective"), "gate_id").withColumn("problem", formulas.nesting_problem(F.col("connective"), F.col("complement"), F.col("want") == "constant"))
+        broken = nested.select(F.col("gate_id").alias("id")).distinct()
+        problems += [
+            v(args.where("arg_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), F.concat(F.lit("argument of gate "), F.col("gate_id")), F.col("file"), F.col("line")),
+            v(nested, "2 define", "ValidityError", F.col("gate_id"), F.concat(F.lit("nested formula: "), F.col("tag")), F.col("file"), F.col("line")),
+            v(formulas.duplicate_args(args.where("arg_id IS NOT NULL")), "2 define", "DuplicateElementError", F.col("gate_id"), F.concat(F.lit("argument given twice: "), F.col("arg_id"))),
+            v(shaped.where("problem IS NOT NULL").join(broken, "id", "left_anti"), "2 define", "ValidityError", F.col("id"), F.col("problem"), F.col("file"), F.col("line")),
+            v(args_of.where("problem IS NOT NULL"), "2 define", "LogicError", F.col("gate_id"), F.col("problem"), F.col("file"), F.col("line")),
+        ]
+
+        # expressions and their references
+        roots, expressions = expression_tables()
+        odd = of.within("define-basic-event", "define-parameter", "define-CCF-group").where(F.col("definition").isNotNull()).join(roots.select("file", F.col("root").alias("node")), ["file", "node"], "left_semi").where(~F.col("tag").isin(*KNOWN_OPERATORS))
+        problems += [
+            v(expressions.where("tag = 'parameter' AND parameter_id IS NULL"), "2 define", "UndefinedElement", F.col("ref"), "parameter is not defined", F.col("file"), F.col("line")),
+            v(expressions.where("tag IN ('int', 'float', 'bool') AND literal IS NULL"), "2 define", "ValidityError", F.col("tag"), "not a number of this kind", F.col("file"), F.col("line")),
+            v(references.unit_mismatch(expressions.where("tag = 'parameter'").select("file", "line", F.col("parameter_id").alias("ref"), "unit"), parameters.select("id", "unit")), "2 define", "ValidityError", F.col("ref"), "unit differs from the parameter's", F.col("file"), F.col("line")),
+            v(odd, "2 define", "ValidityError", F.col("tag"), "unknown expression", F.col("file"), F.col("line")),
+            v(_arity_problems(expressions, registry), "2 define", "ValidityError", F.coalesce(F.nullif("ref", F.lit("")), "tag"), "wrong number of arguments", F.col("file"), F.col("line")),
+            v(expressions.where(F.col("tag") == "extern-function").where(~F.col("ref").isin(*registry.known)) if registry.known else expressions.where("tag = 'extern-function'"), "2 define", "UndefinedElement", F.col("ref"), "external function is not defined", F.col("file"), F.col("line")),
+        ]
+        if settings.probability_analysis:
+            bare = of.named("define-basic-event").select("id", "file", "line").join(roots.select(F.substring("id", 7, 1 << 20).alias("id")), "id", "left_anti")
+            problems.append(v(bare, "2 define", "ValidityError", F.col("id"), "no expression", F.col("file"), F.col("line")))
+
+        # cycles
+        in_parameter = parameters.select("file", F.col("node").alias("definition"), F.col("id").alias("a"))
+        parameter_edges = expressions.where("parameter_id IS NOT NULL").join(in_parameter, ["file", "definition"]).select("a", F.col("parameter_id").alias("b"))
+        problems += [v(graphs.some_cycles(e), "3 validate", "CycleError", F.col("path"), f"cycle among {what}") for what, e in (("gates", gate_edges()), ("parameters", parameter_edges))]
+
+        # event trees, phases, groups, substitutions
+        if has_trees:
+            problems.extend(trees.problems(tree_tables(), initiating, houses.select("id")))
+        if "define-alignment" in present:
+            phases, set_in_phase, _ = phase_tables()
+            problems += [
+                v(elements.duplicates(alignments, "name"), "2 define", "DuplicateElementError", F.col("name"), "alignment defined more than once"),
+                v(elements.duplicates(phases, "alignment", "phase"), "2 define", "DuplicateElementError", F.concat_ws(".", "alignment", "phase"), "phase defined more than once"),
+                v(elements.undefined(set_in_phase, houses, "house_event", "id"), "2 define", "UndefinedElement", F.col("house_event"), "house event of a phase", F.col("file"), F.col("line")),
+                v(substitutions.phase_problems(phases).where("problem IS NOT NULL"), "3 validate", "ValidityError", F.col("alignment"), F.col("problem")),
+            ]
+        problems += group_tables()[2]
+        subs, wrong = substitution_tables()
+        problems += wrong
+        if "define-substitution" in present:
+            problems += _substitution_problems(subs, members, settings)
+        found = rounds.save(elements.union(problems))
+        if strict or check_values:
+            from . import evaluate
+
+            return rounds.save(found.unionByName(evaluate.domain_violations(model)))
+        return found
+
+    tops_of_files = nodes.where(F.col("parent").isNull())
+    name = tops_of_files.where(F.col("file") == F.lit(_first(tops_of_files, files))).select(attr("name")).first()
     tables = {
-        "nodes": nodes, "entities": entities, "gates": gates.select("id", "connective", "min_num", "max_num"), "gate_args": args.select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
-        "basic_events": entities.where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
-        "components": components, "expressions": expressions, "expression_roots": roots, "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": levels,
-        "top_events": tops, "initiating_events": initiating, "phases": phases.drop("node"), "phase_house_events": phase_houses.drop("node"), "gate_edges": known["gate"], "substitutions": subs,
-        "labels": labels, "attributes": attributes, **tree_tables,
+        "nodes": nodes, "tree_nodes": lambda: tree_nodes().nodes, "entities": entities, "gates": lambda: formula_tables()[0].select("id", "connective", "min_num", "max_num"), "gate_args": lambda: formula_tables()[1].select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
+        "basic_events": lambda: entities().where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
+        "components": components, "expressions": lambda: expression_tables()[1], "expression_roots": lambda: expression_tables()[0], "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": lambda: group_tables()[0],
+        "top_events": tops, "initiating_events": initiating, "phases": lambda: phase_tables()[0].drop("node"), "phase_house_events": lambda: phase_tables()[2].drop("node"), "gate_edges": gate_edges, "substitutions": lambda: substitution_tables()[0],
+        "labels": labels, "attributes": attributes, "violations": violations,
     }
-    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, violations, registry, lambda: trees.tables(of), combined)
-    if strict or check_values:
-        from . import evaluate
-
-        model.violations = violations = rounds.save(violations.unionByName(evaluate.domain_violations(model)))
+    if has_trees:
+        tables |= {name: (lambda name=name: tree_tables()[name]) for name in trees.TABLES}
+    model = Model((name[0] if name and name[0] else elements.DEFAULT_MODEL_NAME), tables, settings, registry, lambda: trees.tables(of), lambda which: group_tables()[1](which))
     if strict:
-        first = violations.orderBy("stage", "file", "line").first()
+        first = model.violations.orderBy("stage", "file", "line").first()
         if first:
             raise of_violation(first["code"], first["entity"], first["detail"], f"{first['file']}:{first['line']}")
+    elif check_values:
+        model.violations  # noqa: B018 - expressions are evaluated now
     return model
 
 

@@ -23,7 +23,7 @@ _FORMULA = f"struct<gate:string,houses:{_HOUSES}>"
 def _instructions(model, rounds: graphs.Rounds, found: evaluate.Contextual) -> dict[str, DataFrame]:
     """children: instructions with their place; conditions: of each ``if`` its condition and arms; below: the expression
     that an instruction collects; contextual: the units whose instructions, rules included, test events."""
-    nodes = model.nodes.select("file", "node", "parent", "ordinal", "tag").where("tag <> 'label' AND tag <> 'attributes'")
+    nodes = model.tree_nodes.select("file", "node", "parent", "ordinal", "tag").where("tag <> 'label' AND tag <> 'attributes'")
     steps = model.instructions.select("file", "node", "parent", "owner", "kind", "ref", "state")
     children = rounds.save(steps.join(nodes.select("file", "node", "ordinal"), ["file", "node"]))
     inside = nodes.join(steps.where("kind = 'if'").select("file", F.col("node").alias("parent")), ["file", "parent"])
@@ -168,4 +168,4 @@ def walk(model) -> DataFrame:
     whole = exact.Graph(g.gates.unionByName(top_gates), g.args.unionByName(top_args), g.events)
     p = exact.probabilities(whole, tops.select(F.col("top").alias("id"))).select(F.col("id").alias("top"), F.col("p").alias("holds"))
     with_formulas = rows.join(gates.select("way", "top"), "way").join(p, "top").select("ie", "sequence", "context", (F.col("p") * F.col("holds")).alias("p"))
-    return plain.unionByName(with_formulas)
+    return rounds.save(plain.unionByName(with_formulas))
