@@ -36,15 +36,16 @@ def birnbaum(p_true: Column, p_false: Column) -> Column:
 def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: float = 0.0, probabilities: DataFrame | None = None, absorb: bool = True) -> DataFrame:
     """(root, cut): minimal cut sets of every top gate by top-down expansion.
 
-    ``args``: gate, connective (and, or), arg, is_gate. All open gates of a round expand in one join: AND replaces a
+    ``args``: gate, connective (and, or), arg, is_gate; ids are texts or, in less room, numbers. All open gates of a round expand in one join: AND replaces a
     gate by all its arguments, OR gives a set for each. Sets beyond ``limit_order`` events, or by ``probabilities``
     (arg, p) below ``cut_off``, are cut off as these settings mean. Gates that refer to themselves are an error.
     """
     rounds = Rounds(tops.sparkSession)
     ands = args.where("connective = 'and'").groupBy("gate").agg(F.collect_set(F.struct("is_gate", "arg")).alias("all"))
     ors = args.where("connective = 'or'").select("gate", F.array(F.struct("is_gate", "arg")).alias("all"))
-    step = rounds.save(ands.unionByName(ors))
-    empty = F.array().cast("array<string>")
+    of = lambda flag: F.transform(F.filter("all", lambda x: x["is_gate"] == flag), lambda x: x["arg"])
+    step = rounds.save(ands.unionByName(ors).select("gate", of(True).alias("gates"), of(False).alias("events")))
+    empty = F.array().cast(f"array<{dict(args.dtypes)['arg']}>")
     state = tops.select(F.col("gate").alias("root"), F.array("gate").alias("open"), empty.alias("cut"))
     done, turn = None, 0
     while True:
@@ -53,15 +54,15 @@ def cut_sets(tops: DataFrame, args: DataFrame, limit_order: int = 20, cut_off: f
             _, open_edges = graphs.levels(args.where("is_gate").select(F.col("gate").alias("a"), F.col("arg").alias("b")))
             if not open_edges.isEmpty():
                 raise CycleError("gates refer to themselves")
-        state = rounds.save(state.distinct())
+        state = rounds.save(state)
         ended = state.where(F.size("open") == 0).select("root", "cut")
         done = ended if done is None else done.unionByName(ended)
         state = state.where(F.size("open") > 0)
         if state.isEmpty():
             break
-        state = state.withColumn("gate", F.get("open", F.lit(0))).join(step, "gate")
-        of = lambda flag: F.transform(F.filter("all", lambda x: x["is_gate"] == flag), lambda x: x["arg"])
-        state = state.select("root", F.array_distinct(F.concat(F.slice("open", F.lit(2), F.greatest(F.size("open") - 1, F.lit(0))), of(True))).alias("open"), F.array_sort(F.array_union("cut", of(False))).alias("cut"))
+        # sets that go on are held once; those that are done, at the end
+        state = state.distinct().withColumn("gate", F.get("open", F.lit(0))).join(step, "gate")
+        state = state.select("root", F.array_distinct(F.concat(F.slice("open", F.lit(2), F.greatest(F.size("open") - 1, F.lit(0))), "gates")).alias("open"), F.array_sort(F.array_union("cut", "events")).alias("cut"))
         state = state.where(F.size("cut") <= limit_order)
         if probabilities is not None and cut_off > 0:
             keyed = state.withColumn("_id", F.xxhash64("root", "open", "cut"))

@@ -178,12 +178,20 @@ def importance(spark, sf_dir):
 
 
 def class_gates(spark, sf_dir, n):
-    """(tops, args): each order is an AND of an OR for each of the ``n`` classes of suppliers that it has, over its parts."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("root"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("arg"), (F.col("l_suppkey") % n).cast("string").alias("k")).distinct()
-    side = F.concat_ws("-", "root", "k")
-    ands = rows.select(F.col("root").alias("gate"), F.lit("and").alias("connective"), side.alias("arg"), F.lit(True).alias("is_gate")).distinct()
-    ors = rows.select(side.alias("gate"), F.lit("or").alias("connective"), "arg", F.lit(False).alias("is_gate"))
-    return rows.select(F.col("root").alias("gate")).distinct(), ands.unionByName(ors)
+    """(tops, args): each order is an AND of an OR for each of the ``n`` classes of suppliers that it has, over its parts.
+
+    Ids are numbers: an order's is 2n times its key, those of its classes come after it.
+    """
+    order = F.col("l_orderkey") * (2 * n)
+    rows = read(spark, sf_dir, "lineitem").select(order.alias("root"), F.col("l_partkey").alias("arg"), (order + F.col("l_suppkey") % n + n).alias("side"))
+    ands = rows.select(F.col("root").alias("gate"), F.lit("and").alias("connective"), F.col("side").alias("arg"), F.lit(True).alias("is_gate"))
+    ors = rows.select(F.col("side").alias("gate"), F.lit("or").alias("connective"), "arg", F.lit(False).alias("is_gate")).distinct()
+    return rows.select(F.col("root").alias("gate")), ands.unionByName(ors)  # repeated tops and arguments of ANDs are one when sets are made
+
+
+def _order(n: int):
+    """The key of an order of ``class_gates``."""
+    return F.expr(f"root div {2 * n}").alias("root")
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 3 AS k FROM lineitem),
@@ -192,7 +200,7 @@ SELECT o AS root, array_to_string(cut, ' ') AS cut FROM c""")
 def cutset_expand(spark, sf_dir):
     """Orders over three classes of suppliers: all sets that expanding gates gives, before absorption."""
     cuts = quantify.cut_sets(*class_gates(spark, sf_dir, 3), limit_order=20, absorb=False)
-    return cuts.select(F.col("root").cast("long").alias("root"), F.array_join(F.transform("cut", lambda x: x.cast("long").cast("string")), " ").alias("cut"))
+    return cuts.select(_order(3), F.array_join(F.col("cut").cast("array<string>"), " ").alias("cut"))
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey % 2 AS k FROM lineitem), n AS (SELECT o, count(DISTINCT k) AS ks FROM s GROUP BY o),
@@ -201,4 +209,4 @@ SELECT o AS root, first, second FROM c WHERE first = second OR NOT EXISTS (SELEC
 def cutset_minimal(spark, sf_dir):
     """Orders over two classes of suppliers: the minimal cut sets."""
     cuts = quantify.cut_sets(*class_gates(spark, sf_dir, 2), limit_order=20)
-    return cuts.select(F.col("root").cast("long").alias("root"), F.element_at("cut", 1).cast("long").alias("first"), F.element_at("cut", -1).cast("long").alias("second"))
+    return cuts.select(_order(2), F.element_at("cut", 1).alias("first"), F.element_at("cut", -1).alias("second"))
