@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import graphs
-from riskweave.plans import model
+from riskweave.plans import exact, model
 
 FACTOR = "spark.sql.sources.fileCompressionFactor"
 
@@ -38,3 +38,22 @@ def test_tree_nodes_leave_out_gates_but_not_definitions_at_odd_places(spark, tmp
     m = model.load(spark, [str(tmp_path / "m.xml")])
     assert {(r.tag, r.attrs.get("name")) for r in m.tree_nodes.where("tag LIKE 'define-gate'").collect()} == {("define-gate", "H")}
     assert ("ValidityError", "unknown instruction") in {(r.code, r.detail) for r in m.violations.collect()}
+
+
+def test_only_roots_that_may_share_are_looked_into(spark):
+    rows = {"a": [("x", 0), ("y", 1)], "b": [("x", 0), ("c", 1)], "c": [("x", 0), ("y", 1)], "d": [("e", 0), ("z", 1)], "e": [("x", 0), ("y", 1)], "f": [("x", 0), ("__true__", 1), ("__true__", 2)]}
+    gates = spark.createDataFrame([(g, "and", None, None) for g in rows], "id string, connective string, min_num int, max_num int")
+    args = spark.createDataFrame([(g, i, a, False) for g, xs in rows.items() for a, i in xs], "gate_id string, ordinal int, arg_id string, complement boolean")
+    g = exact.Graph(gates, args, spark.createDataFrame([(e, 0.5) for e in "xyz"], "id string, p double"))
+    rounds = graphs.Rounds(spark)
+    found = exact.cores(g.saved(rounds), gates.select("id"), rounds)
+    assert {r.root for r in found.reached.collect()} == {"b"}
+    assert {r.id: r.p for r in exact.probabilities(g, gates.select("id")).collect()} == {"a": 0.25, "b": 0.25, "c": 0.25, "d": 0.125, "e": 0.25, "f": 0.5}
+
+
+def test_gates_over_very_many_nodes_are_looked_into(spark):
+    n = exact.MOST_BELOW + 1
+    gates = spark.createDataFrame([("g", "or", None, None)], "id string, connective string, min_num int, max_num int")
+    args = spark.createDataFrame([("g", i, f"e{i}", False) for i in range(n)], "gate_id string, ordinal int, arg_id string, complement boolean")
+    g = exact.Graph(gates, args, spark.createDataFrame([(f"e{i}", 0.01) for i in range(n)], "id string, p double"))
+    assert abs(exact.probabilities(g, gates.select("id")).first().p - (1 - 0.99**n)) < 1e-12
