@@ -74,7 +74,7 @@ def tables_model(spark, sf_dir) -> model.Model:
         )
         law = F.element_at(F.array(*laws), (F.col("p_partkey") % 4 + 1).cast("int"))
         events = part.select(_text("<define-basic-event name='P", F.col("p_partkey"), "'><label>", F.col("p_name"), "</label><attributes><attribute name='size' value='", size, "'/></attributes>", law, "</define-basic-event>").alias("xml"))
-        scale = spark.createDataFrame([("<define-parameter name='scale'><float value='0.0010309278'/></define-parameter>",)], "xml string")
+        scale = spark.range(1).select(F.lit("<define-parameter name='scale'><float value='0.0010309278'/></define-parameter>").alias("xml"))
         files = [_write(events, folder, "parts", "<model-data>", "</model-data>"), _write(scale, folder, "scale", "<model-data>", "</model-data>")]
 
         orders, number = _orders(spark, sf_dir)
@@ -102,7 +102,7 @@ def tables_model(spark, sf_dir) -> model.Model:
             "<define-branch name='rest'><sequence name='E", key, "-high'/></define-branch><initial-state><fork functional-event='A'>", path("yes", collect(p), second), path("no", collect(1 - p), _text("<sequence name='E", key, "-low'/>")), "</fork></initial-state></define-event-tree>",
             "<define-initiating-event name='I", key, "' event-tree='T", key, "'/>",
         )
-        rule = spark.createDataFrame([("<define-rule name='half'><collect-expression><float value='0.5'/></collect-expression></define-rule>",)], "xml string")
+        rule = spark.range(1).select(F.lit("<define-rule name='half'><collect-expression><float value='0.5'/></collect-expression></define-rule>").alias("xml"))
         files += [_write(supplier.select(tree.alias("xml")), folder, "trees"), _write(rule, folder, "rules")]
         return model.load(spark, files, Settings(approximation="rare-event"))
 
@@ -183,7 +183,7 @@ def broken_model(spark, sf_dir) -> model.Model:
         target = F.when(key % 4 == 0, _text("<constant value='", F.when(key % 8 == 0, "false").otherwise("true"), "'/>")).otherwise("<basic-event name='X'/>")
         subs = orders.select(_text("<define-substitution name='U", key, "' type='", F.when(key % 4 == 3, "exchange-event").otherwise("recovery-rule"), "'><hypothesis><", form, ">", F.col("args"), "</", form, "></hypothesis>", source, "<target>", target, "</target></define-substitution>").alias("xml"))
         events = read(spark, sf_dir, "part").select(_text("<define-basic-event name='P", F.col("p_partkey"), "'><float value='0.1'/></define-basic-event>").alias("xml"))
-        shared = spark.createDataFrame([("<define-basic-event name='X'><float value='0.1'/></define-basic-event><define-parameter name='hours' unit='hours'><float value='0.1'/></define-parameter>",)], "xml string")
+        shared = spark.range(1).select(F.lit("<define-basic-event name='X'><float value='0.1'/></define-basic-event><define-parameter name='hours' unit='hours'><float value='0.1'/></define-parameter>").alias("xml"))
         files = [_write(subs, folder, "subs", count=number), _write(events, folder, "parts", "<model-data>", "</model-data>"), _write(shared, folder, "shared", "<model-data>", "</model-data>")]
 
         c = F.col("c_custkey")

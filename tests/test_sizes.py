@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import graphs
 from riskweave.plans import exact, model
+from riskweave.sources import xml_nodes
 
 FACTOR = "spark.sql.sources.fileCompressionFactor"
 
@@ -57,3 +58,26 @@ def test_gates_over_very_many_nodes_are_looked_into(spark):
     args = spark.createDataFrame([("g", i, f"e{i}", False) for i in range(n)], "gate_id string, ordinal int, arg_id string, complement boolean")
     g = exact.Graph(gates, args, spark.createDataFrame([(f"e{i}", 0.01) for i in range(n)], "id string, p double"))
     assert abs(exact.probabilities(g, gates.select("id")).first().p - (1 - 0.99**n)) < 1e-12
+
+
+def test_files_of_nodes_are_written_without_sorting_by_section(spark):
+    before = spark.conf.get(graphs._WRITERS)
+    with graphs.memory_sizes(spark):
+        assert int(spark.conf.get(graphs._WRITERS)) > len(xml_nodes.SECTIONS) + 1
+    assert spark.conf.get(graphs._WRITERS) == before
+
+
+def test_columns_of_nodes_and_inclusions_with_odd_names(spark, tmp_path):
+    (tmp_path / "in é.xml").write_text("<define-basic-event name='B'><label>text &amp; more</label><float value='0.5'/></define-basic-event>")
+    (tmp_path / "m.xml").write_text("<opsa-mef><model-data><xi:include xmlns:xi='x'\n href='in é.xml'/><define-basic-event name='A' role='public'/></model-data></opsa-mef>")
+    assert list(xml_nodes._included(spark, [f"file:{tmp_path}/m.xml"])) == [f"file:{tmp_path}/in é.xml"]
+    batch = xml_nodes.parse("f", (tmp_path / "m.xml").read_bytes(), {"in é.xml": (tmp_path / "in é.xml").read_bytes()})
+    rows = batch.to_pylist()
+    assert [(r["tag"], r["parent"], r["ordinal"], r["place"], r["section"]) for r in rows] == [
+        ("opsa-mef", None, 0, 0, "other"), ("model-data", 0, 0, 0, "other"), ("define-basic-event", 1, 0, 0, "define-basic-event"), ("label", 2, 0, 0, "described"),
+        ("float", 2, 1, 0, "define-basic-event"), ("define-basic-event", 1, 1, 1, "define-basic-event"),
+    ]
+    assert [dict(r["attrs"]) for r in rows[2:]] == [{"name": "B"}, {}, {"value": "0.5"}, {"name": "A", "role": "public"}]
+    assert rows[3]["text"] == "text & more" and rows[4]["def_name"] == "B" and rows[4]["up"] == "define-basic-event" and rows[4]["places"] == []
+    wrong = xml_nodes.parse("f", b"<a><b></a>", {}).to_pylist()
+    assert len(wrong) == 1 and wrong[0]["tag"] == "#error" and dict(wrong[0]["attrs"]) == {"kind": "parse"} and wrong[0]["text"].startswith("ParseError: mismatched tag")
