@@ -345,8 +345,11 @@ def needed_events(model: Model, roots: DataFrame | None = None) -> DataFrame:
     """The events of common-cause groups that matter below gates, and below ``roots`` (id): of groups with a member that a gate or root is over."""
     named = model.gate_args.where("arg_kind = 'basic-event'").select(F.col("arg_id").alias("event_id"))
     named = named if roots is None else named.unionByName(roots.select(F.col("id").alias("event_id")))
-    which = graphs.Rounds(model.nodes.sparkSession).save(model.ccf_members.join(named, "event_id", "left_semi").select("group_id").distinct())
-    return model.nodes.sparkSession.createDataFrame([], CCF_EVENTS) if graphs.empty(which) else model.combined(which)
+    # members are few beside arguments, so these are looked through without being dealt out
+    which = graphs.Rounds(model.nodes.sparkSession).save(named.join(model.ccf_members.select("event_id", "group_id").distinct(), "event_id").select("group_id").distinct())
+    if graphs.empty(which):
+        return graphs.same_rows(model.nodes.sparkSession.createDataFrame([], CCF_EVENTS).where("false"), which)
+    return model.combined(which)
 
 
 def _applied(model: Model, combined: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -26,21 +26,27 @@ MARK = "\u0001"
 
 @dataclass
 class Graph:
-    """``gates`` id, connective, min_num, max_num; ``args`` gate_id, ordinal, arg_id, complement; ``events`` id, p. Constants are TRUE and FALSE."""
+    """``gates`` id, connective, min_num, max_num; ``args`` gate_id, ordinal, arg_id, complement; ``events`` id, p. Constants are TRUE and FALSE.
+
+    ``flat``: whether no gate is an argument, as far as that is known.
+    """
 
     gates: DataFrame
     args: DataFrame
     events: DataFrame
+    flat: bool = False
 
     @property
     def edges(self) -> DataFrame:
         """(a, b): gates and the gates among their arguments."""
+        if self.flat:
+            return self.args.select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b")).where("false")
         return self.args.select(F.col("gate_id").alias("a"), F.col("arg_id").alias("b")).join(self.gates.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").distinct()
 
     def saved(self, rounds: graphs.Rounds) -> Graph:
         """The same graph in tables that are written; those that are already stay as they are."""
         keep = lambda t: t if "_saved_rows" in t.__dict__ else rounds.save(t)
-        return Graph(keep(self.gates), keep(self.args), keep(self.events))
+        return Graph(keep(self.gates), keep(self.args), keep(self.events), self.flat)
 
 
 def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None = None) -> Graph:
@@ -49,8 +55,13 @@ def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None
     With ``roots`` (id) only of common-cause groups with a member below some gate or among them.
     """
     combined = None if roots is None else evaluate.needed_events(model, roots)
+    base = (events if events is not None else evaluate._base(model, combined)).select("id", "p")
+    if combined is not None and graphs.empty(combined):
+        # the tables as they are, written already
+        args = graphs.same_rows(model.gate_args.select("gate_id", "ordinal", "arg_id", "complement"), model.gate_args)
+        return Graph(model.gates, args, base, graphs.empty(model.gate_edges))
     gates, args, _ = evaluate._applied(model, combined)
-    return Graph(gates, args, (events if events is not None else evaluate._base(model, combined)).select("id", "p"))
+    return Graph(gates, args, base)
 
 
 def _constants(state: Column) -> Column:
@@ -66,8 +77,10 @@ def in_states(g: Graph, houses: DataFrame, roots: DataFrame, states: DataFrame |
     rounds = graphs.Rounds(g.gates.sparkSession)
     declared = houses.select(F.col("id").alias("arg_id"), F.col("state").alias("declared"))
     if states is None or states.isEmpty():
+        if houses.isEmpty():
+            return g.saved(rounds), roots.withColumn("gate", F.col("id"))
         args = g.args.join(declared, "arg_id", "left").withColumn("arg_id", F.when(F.col("declared").isNull(), F.col("arg_id")).otherwise(_constants(F.col("declared")))).drop("declared")
-        return Graph(g.gates, args, g.events).saved(rounds), roots.withColumn("gate", F.col("id"))
+        return Graph(g.gates, args, g.events, g.flat).saved(rounds), roots.withColumn("gate", F.col("id"))
     states = rounds.save(states.select("scenario", F.col("house_event").alias("arg_id"), "state").distinct())
     direct = g.args.join(states, "arg_id").select("scenario", F.col("gate_id").alias("node")).distinct()
     own = F.concat("scenario", F.lit(MARK), "node")

@@ -416,7 +416,8 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
     tops_of_files = nodes.where(F.col("parent").isNull())
     name = tops_of_files.where(F.col("file") == F.lit(_first(tops_of_files, files))).select(attr("name")).first()
     tables = {
-        "nodes": nodes, "tree_nodes": lambda: tree_nodes().nodes, "entities": entities, "gates": lambda: formula_tables()[0].select("id", "connective", "min_num", "max_num"), "gate_args": lambda: formula_tables()[1].select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"),
+        "nodes": nodes, "tree_nodes": lambda: tree_nodes().nodes, "entities": entities, "gates": lambda: graphs.same_rows(formula_tables()[0].select("id", "connective", "min_num", "max_num"), formula_tables()[0]),
+        "gate_args": lambda: graphs.same_rows(formula_tables()[1].select("gate_id", "ordinal", "arg_id", "arg_kind", "complement"), formula_tables()[1]),
         "basic_events": lambda: entities().where("kind = 'basic-event'").select("id", "name", "role", "base_path", "full_path"), "house_events": houses, "parameters": parameters.select("id", "unit"),
         "components": components, "expressions": lambda: expression_tables()[1], "expression_roots": lambda: expression_tables()[0], "ccf_groups": groups.select("id", "model", "base_path"), "ccf_members": members.select("group_id", "ordinal", "event_id"), "ccf_levels": lambda: group_tables()[0],
         "top_events": tops, "initiating_events": initiating, "phases": lambda: phase_tables()[0].drop("node"), "phase_house_events": lambda: phase_tables()[2].drop("node"), "gate_edges": gate_edges, "substitutions": lambda: substitution_tables()[0],

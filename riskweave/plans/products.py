@@ -2,7 +2,8 @@
 
 Every gate, true or false, is a list of alternatives: sets of its arguments, each true or false, that decide it. All
 connectives come down to choosing so many arguments to be true and so many others to be false. Open gates of all sets of a
-round are replaced in one join; sets beyond the order or below the cut-off of the settings are left at once.
+round are replaced in one join; sets beyond the order or below the cut-off of the settings are left at once. Gates over
+events only that have few alternatives need no rounds: their cut sets are made, and absorbed, within their row.
 
 Literals are event ids, with ``!`` before those that must not occur. Without ``prime_implicants`` events that must not
 occur count as certain not to, and products hold failures only.
@@ -20,13 +21,20 @@ from . import exact, quantify
 from .model import Model
 
 NOT = "!"
+#: Sets that are made within the row of one gate, at most.
+IN_ROW = 128
+
+
+def _least(n: Column) -> Column:
+    """How many true arguments make a gate of ``n`` true (or, of a negated one, false); null for gates that count in another way."""
+    kind = F.col("connective")
+    return F.when(kind.isin("and", "nand", "null", "not"), n).when(kind.isin("or", "nor", "imply"), 1).when(kind == "atleast", F.col("min_num"))
 
 
 def _patterns(n: Column) -> Column:
     """(sign, ons, offs): how many arguments are true, and how many others false, in an alternative of a gate that is true, or is not."""
     kind, low, high = F.col("connective"), F.col("min_num"), F.col("max_num")
-    flipped = kind.isin("nand", "nor", "not", "iff")
-    least = F.when(kind.isin("and", "nand", "null", "not"), n).when(kind.isin("or", "nor", "imply"), 1).when(kind == "atleast", low)
+    flipped, least = kind.isin("nand", "nor", "not", "iff"), _least(n)
     of = lambda sign, true, false: F.struct(sign.alias("sign"), F.lit(true).cast("int").alias("ons"), F.lit(false).cast("int").alias("offs"))
     zero = F.lit(0)
     threshold = F.array(of(~flipped, least, zero), of(flipped, zero, n - least + 1))
@@ -35,42 +43,88 @@ def _patterns(n: Column) -> Column:
     return F.when(least.isNotNull(), threshold).otherwise(F.array_compact(counted))
 
 
-def alternatives(g: exact.Graph, rounds: graphs.Rounds, failures_only: bool) -> DataFrame:
-    """(gate, sets): for ``gate``, with ``!`` before it if it must be false, its alternatives as sets of (gate, lit, p)."""
-    kinds = g.gates.select(F.col("id").alias("arg_id"), F.lit(True).alias("is_gate"), F.lit(None).cast("double").alias("p"))
-    kinds = kinds.unionByName(g.events.select(F.col("id").alias("arg_id"), F.lit(False).alias("is_gate"), F.col("p").cast("double").alias("p"))).groupBy("arg_id").agg(F.max("is_gate").alias("is_gate"), F.max("p").alias("p"))
+def gathered(g: exact.Graph) -> DataFrame:
+    """The gates with their arguments: gate_id, all (ordinal, arg_id, complement, is_gate, p), connective, min_num, max_num; imply comes with its first argument turned."""
+    kinds = g.events.select(F.col("id").alias("arg_id"), F.lit(False).alias("is_gate"), F.col("p").cast("double").alias("p"))
+    if not g.flat:
+        kinds = kinds.unionByName(g.gates.select(F.col("id").alias("arg_id"), F.lit(True).alias("is_gate"), F.lit(None).cast("double").alias("p")))
+    kinds = kinds.groupBy("arg_id").agg(F.max("is_gate").alias("is_gate"), F.max("p").alias("p"))
     args = g.args.join(kinds, "arg_id", "left").withColumn("is_gate", F.coalesce("is_gate", F.lit(False)))
     rows = args.groupBy("gate_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "arg_id", "complement", "is_gate", "p"))).alias("all")).join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id")
-    turned = lambda x: x.withField("complement", x["complement"] != ((F.col("connective") == "imply") & (x["ordinal"] == 0)))
-    rows = rows.withColumn("all", F.transform("all", turned)).select("gate_id", "all", F.explode(_patterns(F.size("all"))).alias("x")).select("gate_id", "all", "x.*")
-    rows = ccf.chosen(ccf.chosen(rounds.save(rows), "ons", "ons_args"), "offs", "offs_args")
-    rows = rows.where(~F.arrays_overlap(F.transform("ons_args", lambda x: x["ordinal"]), F.transform("offs_args", lambda x: x["ordinal"])) | (F.col("ons") == 0) | (F.col("offs") == 0))
+    turned = lambda x: x.withField("complement", x["complement"] != (x["ordinal"] == 0))
+    return rows.withColumn("all", F.when(F.col("connective") == "imply", F.transform("all", turned)).otherwise(F.col("all")))
 
-    def literal(x: Column, true: bool) -> Column:
-        negative = x["complement"] == F.lit(true)
-        constant = x["arg_id"].isin(exact.TRUE, exact.FALSE)
-        holds = (x["arg_id"] == exact.TRUE) != negative
-        # true constants go, false ones take the alternative with them
-        kind = F.when(constant, F.when(holds, "gone").otherwise("never")).when(~x["is_gate"] & negative & F.lit(failures_only), "gone").otherwise("lit")
-        return F.struct(kind.alias("kind"), x["is_gate"].alias("gate"), F.concat(F.when(negative, NOT).otherwise(""), x["arg_id"]).alias("lit"), F.when(negative, 1 - x["p"]).otherwise(x["p"]).alias("p"))
 
-    both = F.concat(F.transform("ons_args", lambda x: literal(x, True)), F.transform("offs_args", lambda x: literal(x, False)))
+def _literal(x: Column, true: bool | Column, failures_only: bool) -> Column:
+    """(kind, gate, lit, p) of an argument that is to be ``true``, or not; its kind is lit, or gone if it takes nothing, or never."""
+    negative = x["complement"] == true
+    constant = x["arg_id"].isin(exact.TRUE, exact.FALSE)
+    holds = (x["arg_id"] == exact.TRUE) != negative
+    # true constants go, false ones take the alternative with them
+    kind = F.when(constant, F.when(holds, "gone").otherwise("never")).when(~x["is_gate"] & negative & F.lit(failures_only), "gone").otherwise("lit")
+    return F.struct(kind.alias("kind"), x["is_gate"].alias("gate"), F.concat(F.when(negative, NOT).otherwise(""), x["arg_id"]).alias("lit"), F.when(negative, 1 - x["p"]).otherwise(x["p"]).alias("p"))
+
+
+def alternatives(rows: DataFrame, rounds: graphs.Rounds, failures_only: bool) -> DataFrame:
+    """(gate, set): for ``gate``, with ``!`` before it if it must be false, its alternatives as sets of (gate, lit, p), from the gates as ``gathered``."""
+    rows = rows.select("gate_id", "all", F.explode(_patterns(F.size("all"))).alias("x")).select("gate_id", "all", "x.*")
+    rows = ccf.chosen(ccf.chosen(rounds.save(rows), "ons", "ons_args"), "offs", "offs_args")
+    rows = rows.where(~F.arrays_overlap(F.transform("ons_args", lambda x: x["ordinal"]), F.transform("offs_args", lambda x: x["ordinal"])) | (F.col("ons") == 0) | (F.col("offs") == 0))
+    both = F.concat(F.transform("ons_args", lambda x: _literal(x, F.lit(True), failures_only)), F.transform("offs_args", lambda x: _literal(x, F.lit(False), failures_only)))
     rows = rows.withColumn("all", both).where(~F.exists("all", lambda x: x["kind"] == "never"))
     one = F.transform(F.filter("all", lambda x: x["kind"] == "lit"), lambda x: F.struct(x["gate"].alias("gate"), x["lit"].alias("lit"), x["p"].alias("p")))
     return rows.select(F.concat(F.when(F.col("sign"), "").otherwise(NOT), "gate_id").alias("gate"), one.alias("set"))
 
 
+def _in_row() -> Column:
+    """Whether a gate as ``gathered`` is over different events only, and has few alternatives."""
+    n, least = F.size("all"), _least(F.size("all"))
+    few = least.between(0, n) & (ccf.binomial(n, F.when(F.col("connective").isin("nand", "nor", "not"), n - least + 1).otherwise(least)) <= IN_ROW)
+    names = F.array_distinct(F.transform("all", lambda x: x["arg_id"]))
+    return F.coalesce(few & ~F.exists("all", lambda x: x["is_gate"]) & (F.size(names) == n), F.lit(False))
+
+
+def _choices(items: Column, k: Column) -> Column:
+    """All choices of ``k`` of the items of an array, each in their order; none is begun that cannot be ended."""
+    n = F.size(items)
+
+    def longer(sets: Column, j: Column) -> Column:
+        after = lambda s: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i > F.coalesce(F.get(s, F.size(s) - 1), F.lit(-1))) & (i < n - k + j))
+        return F.flatten(F.transform(sets, lambda s: F.transform(after(s), lambda i: F.concat(s, F.array(i)))))
+
+    some = F.aggregate(F.sequence(F.lit(1), k), F.array(F.array().cast("array<int>")), longer)
+    some = F.transform(some, lambda s: F.transform(s, lambda i: F.get(items, i)))
+    return F.when(k > n, F.slice(F.array(items), 1, 0)).when(k == n, F.array(items)).when(k == 1, F.transform(items, lambda x: F.array(x))).when(k == 0, F.array(F.slice(items, 1, 0))).otherwise(some)
+
+
+def cuts_in_rows(rows: DataFrame, limit_order: int, cut_off: float) -> DataFrame:
+    """(root, product, p): the minimal cut sets, within the limits, of the gates as ``gathered`` for which ``_in_row`` holds."""
+    n, negated = F.size("all"), F.col("connective").isin("nand", "nor", "not")
+    lits = F.array_sort(F.transform("all", lambda x: _literal(x, ~negated, True)))
+    rows = rows.select(F.col("gate_id").alias("root"), lits.alias("lits"), F.when(negated, n - _least(n) + 1).otherwise(_least(n)).cast("int").alias("k"))
+    # most gates are over events that may all occur
+    plain = F.forall("lits", lambda x: x["kind"] == "lit")
+    kept = F.transform(F.filter(F.col("sets"), lambda s: ~F.exists(s, lambda x: x["kind"] == "never")), lambda s: F.filter(s, lambda x: x["kind"] == "lit"))
+    rows = rows.withColumn("sets", _choices(F.col("lits"), F.col("k"))).withColumn("sets", F.when(plain, F.col("sets")).otherwise(F.array_distinct(kept)))
+    weight = lambda s: F.aggregate(s, F.lit(1.0), lambda a, x: a * F.coalesce(x["p"], F.lit(1.0)))
+    rows = rows.withColumn("sets", F.filter("sets", lambda s: (F.size(s) <= limit_order) & (weight(s) >= cut_off)))
+    rows = rows.select("root", F.transform("sets", lambda s: F.struct(F.transform(s, lambda x: x["lit"]).alias("cut"), F.aggregate(s, F.lit(1.0), lambda a, x: a * x["p"]).alias("p"))).alias("sets"))
+    sizes = F.array_distinct(F.transform("sets", lambda x: F.size(x["cut"])))
+    rows = rows.select("root", F.explode(F.when(F.size(sizes) > 1, quantify.absorbing(F.col("sets"))).otherwise(F.col("sets"))).alias("x"))
+    return rows.select("root", F.col("x.cut").alias("product"), F.col("x.p").alias("p"))
+
+
 def _opposed(lits: Column) -> Column:
     return F.exists(lits, lambda x: F.array_contains(lits, F.concat(F.lit(NOT), x)))
 
 
-def expand(g: exact.Graph, roots: DataFrame, limit_order: int, cut_off: float, failures_only: bool, rounds: graphs.Rounds) -> DataFrame:
-    """(root, product, p, shares): the sets that expanding ``roots`` (id) gives, within the limits, before absorption; ``shares`` are the literals' own p."""
-    g = g.saved(rounds)
+def expand(g: exact.Graph, rows: DataFrame, roots: DataFrame, limit_order: int, cut_off: float, failures_only: bool, rounds: graphs.Rounds) -> DataFrame:
+    """(root, product, p, shares): the sets that expanding ``roots`` (id) gives, within the limits, before absorption; ``rows`` are the
+    gates as ``gathered``, ``shares`` the literals' own p."""
     _, left = graphs.levels(g.edges)
     if not left.isEmpty():
         raise CycleError("gates refer to themselves")
-    step = rounds.save(alternatives(g, rounds, failures_only))
+    step = rounds.save(alternatives(rows, rounds, failures_only))
     none = F.array().cast("array<struct<lit:string,p:double>>")
     state = roots.select(F.col("id").alias("root"), F.array("id").alias("open"), none.alias("cut")).distinct()
     done = None
@@ -164,8 +218,15 @@ def primes(products: DataFrame, events: DataFrame, limit_order: int, rounds: gra
 def of_graph(g: exact.Graph, roots: DataFrame, settings: Settings) -> DataFrame:
     """(root, product, p) of the gates ``roots`` (id): minimal cut sets, or prime implicants if the settings ask for them."""
     rounds = graphs.Rounds(g.gates.sparkSession)
-    found = rounds.save(expand(g, roots, settings.limit_order, settings.cut_off, not settings.prime_implicants, rounds))
-    return primes(found, g.events, settings.limit_order, rounds) if settings.prime_implicants else absorbed(found.drop("shares"), rounds)
+    g, failures_only = g.saved(rounds), not settings.prime_implicants
+    rows = rounds.save(gathered(g).withColumn("in_row", _in_row() & F.lit(failures_only)), "in_row")
+    here, rest = rows.where("in_row").drop("in_row"), rows.where("NOT in_row")
+    done = cuts_in_rows(here.join(roots.select(F.col("id").alias("gate_id")).distinct(), "gate_id", "left_semi"), settings.limit_order, settings.cut_off)
+    if failures_only and rest.isEmpty():
+        return done
+    left = roots.select("id").distinct().join(here.select(F.col("gate_id").alias("id")), "id", "left_anti")
+    found = rounds.save(expand(g, rows.drop("in_row"), left, settings.limit_order, settings.cut_off, failures_only, rounds))
+    return primes(found, g.events, settings.limit_order, rounds) if settings.prime_implicants else done.unionByName(absorbed(found.drop("shares"), rounds))
 
 
 def cut_sets(model: Model, roots: DataFrame | None = None) -> DataFrame:

@@ -112,3 +112,32 @@ def test_absorption_in_rows_and_by_joins(spark, monkeypatch):
     assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(quantify, "TOGETHER", 1)
     assert sorted(r.n for r in quantify.minimal(cuts).collect()) == [1, 3, 4, 6]
+
+
+def test_cut_sets_of_flat_gates_need_no_rounds(spark, monkeypatch):
+    """Gates over events only are done within their rows, with the same sets as by rounds; other gates beside them go on as before."""
+    kinds = [("and", None), ("or", None), ("atleast", 2), ("atleast", 3), ("null", None), ("not", None), ("nand", None), ("nor", None), ("imply", None)]
+    gates, args = [], []
+    for r, (kind, low) in enumerate(kinds * 2):
+        gates.append((f"f{r}", kind, low, None))
+        names = [f"e{(r + 2 * i) % 6}" for i in range({"null": 1, "not": 1, "imply": 2}.get(kind, 5))]
+        names = [*names[:-1], "__true__" if r % 2 else "__false__"] if r >= len(kinds) and len(names) > 2 else list(dict.fromkeys(names))
+        args += [(f"f{r}", i, a, r >= len(kinds) and i == 1) for i, a in enumerate(names)]
+    events, roots = [(f"e{i}", 0.1 * (i + 1)) for i in range(5)] + [("e5", None)], [g[0] for g in gates]
+    frame = lambda gates, args: exact.Graph(
+        spark.createDataFrame(gates, "id string, connective string, min_num int, max_num int"), spark.createDataFrame(args, "gate_id string, ordinal int, arg_id string, complement boolean"), spark.createDataFrame(events, "id string, p double")
+    )
+    root = spark.createDataFrame([(r,) for r in roots], "id string")
+    gather = lambda rows: sorted((r.root, tuple(r["product"]), None if r.p is None else round(r.p, 12)) for r in rows.collect())
+    for settings in (Settings(cut_off=0.0), Settings(cut_off=0.02), Settings(cut_off=0.0, limit_order=2)):
+        monkeypatch.setattr(products, "IN_ROW", 0, raising=False)
+        by_rounds = gather(products.of_graph(frame(gates, args), root, settings))
+        monkeypatch.setattr(products, "IN_ROW", 128, raising=False)
+        mixed = (gates + [("top", "xor", None, None)], args + [("top", 0, "f0", False), ("top", 1, "f1", False)])
+        assert gather(products.of_graph(frame(*mixed), root, settings)) == by_rounds
+        with monkeypatch.context() as m:
+            m.setattr(products, "expand", lambda *_: pytest.fail("rounds for flat gates"))
+            rest = [i for i, r in enumerate(roots) if len({a for g, _, a, _ in args if g == r}) == sum(g == r for g, *_ in args)]
+            keep = {roots[i] for i in rest}
+            flat = frame([g for g in gates if g[0] in keep], [a for a in args if a[0] in keep])
+            assert gather(products.of_graph(flat, root, settings)) == [x for x in by_rounds if x[0] in keep]
