@@ -17,9 +17,11 @@ def _tops(model: Model, roots: DataFrame | None) -> DataFrame:
 def _at_points(model: Model, roots: DataFrame | None, **how) -> DataFrame:
     """(id, point, p) of top gates, exact, for every trial or time."""
     rounds = graphs.Rounds(model.nodes.sparkSession)
-    points = rounds.save(evaluate._base(model, **how).withColumnRenamed("trial", "point"))
-    g = exact.graph(model, points.select("id").distinct().withColumn("p", F.lit(None).cast("double")))
-    g, placed = exact.in_states(g, model.house_events, _tops(model, roots).withColumn("scenario", F.lit("")))
+    tops = rounds.save(_tops(model, roots))
+    combined = evaluate.needed_events(model, tops)
+    points = rounds.save(evaluate._base(model, combined, **how).withColumnRenamed("trial", "point"))
+    g = exact.graph(model, points.select("id").distinct().withColumn("p", F.lit(None).cast("double")), tops, combined)
+    g, placed = exact.in_states(g, model.house_events, tops.withColumn("scenario", F.lit("")))
     return exact.at_points(g, points, placed.select("id"))
 
 

@@ -49,12 +49,13 @@ class Graph:
         return Graph(keep(self.gates), keep(self.args), keep(self.events), self.flat)
 
 
-def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None = None) -> Graph:
+def graph(model: Model, events: DataFrame | None = None, roots: DataFrame | None = None, combined: DataFrame | None = None) -> Graph:
     """The gates of a model, common causes applied, over ``events`` (id, p) or the model's own; house events stay names, see ``in_states``.
 
-    With ``roots`` (id) only of common-cause groups with a member below some gate or among them.
+    With ``roots`` (id) only of common-cause groups with a member below some gate or among them; their events are ``combined``, if known.
     """
-    combined = None if roots is None else evaluate.needed_events(model, roots)
+    if roots is not None and combined is None:
+        combined = evaluate.needed_events(model, roots)
     base = (events if events is not None else evaluate._base(model, combined)).select("id", "p")
     if combined is not None and graphs.empty(combined):
         # the tables as they are, written already
@@ -109,28 +110,39 @@ def in_states(g: Graph, houses: DataFrame, roots: DataFrame, states: DataFrame |
 MOST_BELOW = 64
 
 
-def independent(g: Graph, placed: DataFrame | None = None) -> DataFrame:
+def independent(g: Graph, placed: DataFrame | None = None, points: int = 0) -> DataFrame:
     """(id, p, twice) of events and gates, arguments taken as independent, and whether something below may be referred to more than once.
 
-    ``placed``: the gates' levels (node, level), if they are known. Without anything twice below, p is exact.
+    ``placed``: the gates' levels (node, level), if they are known. Without anything twice below, p is exact. With ``points``
+    every p is an array of so many, those of the graph's events as well.
     """
     rounds = graphs.Rounds(g.gates.sparkSession)
     none = F.array().cast("array<bigint>")
-    fixed = g.gates.sparkSession.createDataFrame([(TRUE, 1.0), (FALSE, 0.0)], "id string, p double")
+    certain = F.col("id") == 1
+    sure = F.when(certain, 1.0).otherwise(0.0)
+    fixed = g.gates.sparkSession.range(2).select(_constants(certain).alias("id"), (F.array_repeat(sure, points) if points else sure).alias("p"))
     known = g.events.select("id", "p").unionByName(fixed)
     done = rounds.save(known.select("id", "p", none.alias("below"), F.lit(False).alias("twice")))
     placed = graphs.levels(g.edges)[0] if placed is None else placed
-    gates = rounds.save(g.gates.join(placed.select(F.col("node").alias("id"), "level"), "id", "left").fillna(0, ["level"]))
-    top = gates.agg(F.max("level")).first()[0]
-    for level in range((top if top is not None else -1) + 1):
-        here = gates.where(F.col("level") == level)
-        args = g.args.join(here.withColumnRenamed("id", "gate_id"), "gate_id").join(done.withColumnRenamed("id", "arg_id"), "arg_id", "left")
-        p = F.when(F.col("complement"), 1 - F.col("p")).otherwise(F.col("p"))
+    top = 0 if g.flat else placed.agg(F.max("level")).first()[0] or 0
+    parts = g.args
+    if top:  # the arguments of each level are dealt out once, and each level reads its own only
+        gates = g.gates.join(placed.select(F.col("node").alias("id"), "level"), "id", "left").fillna(0, ["level"])
+        parts = rounds.save(g.args.join(gates.withColumnRenamed("id", "gate_id"), "gate_id"), "level")
+
+    def one(ps: Column) -> Column:
+        return F.when(~F.exists(ps, lambda x: x.isNull()), formulas.probability(F.col("connective"), ps, F.col("min_num"), F.col("max_num")))
+
+    for level in range(top + 1):
+        args = (parts.where(F.col("level") == level) if top else parts).join(done.withColumnRenamed("id", "arg_id"), "arg_id", "left")
+        turned = F.transform("p", lambda x: 1 - x) if points else 1 - F.col("p")
+        p = F.when(F.col("complement"), turned).otherwise(F.col("p"))
         own = F.when(F.col("arg_id").isin(TRUE, FALSE), none).otherwise(F.array(F.xxhash64("arg_id")))
         arg = F.struct("ordinal", p.alias("p"), F.concat(own, F.coalesce("below", none)).alias("below"), F.coalesce("twice", F.lit(False)).alias("twice"))
-        got = args.groupBy("gate_id", "connective", "min_num", "max_num").agg(F.sort_array(F.collect_list(arg)).alias("args"))
+        gathered = F.sort_array(F.collect_list(arg)).alias("args")
+        got = args.groupBy("gate_id", "connective", "min_num", "max_num").agg(gathered) if top else args.groupBy("gate_id").agg(gathered).join(g.gates.withColumnRenamed("id", "gate_id"), "gate_id")
         got = got.select("gate_id", "connective", "min_num", "max_num", F.transform("args", lambda x: x["p"]).alias("ps"), F.flatten(F.transform("args", lambda x: x["below"])).alias("below"), F.exists("args", lambda x: x["twice"]).alias("twice"))
-        value = F.when(~F.exists("ps", lambda x: x.isNull()), formulas.probability(F.col("connective"), F.col("ps"), F.col("min_num"), F.col("max_num")))
+        value = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda j: one(F.transform("ps", lambda x: F.get(x, j)))) if points else one(F.col("ps"))
         twice = F.col("twice") | (F.size("below") > MOST_BELOW) | (F.size(F.array_distinct("below")) < F.size("below"))
         got = got.select(F.col("gate_id").alias("id"), value.alias("p"), F.when(twice, none).otherwise(F.col("below")).alias("below"), twice.alias("twice"))
         done = done.unionByName(rounds.save(got))
@@ -250,11 +262,33 @@ def probabilities(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def at_points(g: Graph, points: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, point, p) of ``roots`` (id), exact, once for each point of ``points`` (id, point, p), which has all events at all points."""
+    """(id, point, p) of ``roots`` (id), exact, once for each point of ``points`` (id, point, p), which has all events at all points.
+
+    All points of a gate go together; only below roots that may share something gates are repeated for each point.
+    """
     rounds = graphs.Rounds(g.gates.sparkSession)
+    each = [r[0] for r in points.select("point").distinct().orderBy("point").collect()]  # as many as the settings ask for
+    if not each:
+        return roots.select("id", F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), F.lit(None).cast("double").alias("p")).where("false")
+    at = F.array(*map(F.lit, each))
+    rows = points.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("point", "p"))).alias("all"))
+    whole = F.transform("all", lambda x: x["p"])
+    by_point = F.transform(at, lambda at_: F.get(F.filter("all", lambda x: x["point"] == at_), 0)["p"])
+    g = Graph(g.gates, g.args, rows.select("id", F.when(F.size("all") == len(each), whole).otherwise(by_point).alias("p")), g.flat).saved(rounds)
+    placed, left = graphs.levels(g.edges)
+    if not left.isEmpty():
+        raise CycleError("gates refer to themselves")
+    found = rounds.save(roots.select("id").distinct().join(independent(g, placed, len(each)), "id", "left"))
+    p = F.coalesce("p", F.array_repeat(F.lit(None).cast("double"), len(each)))
+    alone = found.where("NOT coalesce(twice, false)").select("id", F.explode(F.arrays_zip(at.alias("point"), p.alias("p"))).alias("x")).select("id", "x.point", "x.p")
+    shared = rounds.save(found.where("twice").select("id"))
+    return alone if graphs.empty(shared) else alone.unionByName(_repeated(g, points, shared, rounds))
+
+
+def _repeated(g: Graph, points: DataFrame, roots: DataFrame, rounds: graphs.Rounds) -> DataFrame:
+    """``at_points`` with all gates below the roots once for each point."""
     each = rounds.save(points.select("point").distinct())
     own = lambda c: F.concat(F.col("point").cast("string"), F.lit(MARK), c)
-    # only the gates below the roots are repeated
     needed = graphs.reach(roots.select(F.col("id").alias("start")).distinct(), g.edges).select(F.col("node").alias("id")).distinct()
     gates = g.gates.join(needed, "id", "left_semi").crossJoin(each)
     args = g.args.join(needed.withColumnRenamed("id", "gate_id"), "gate_id", "left_semi").crossJoin(each)

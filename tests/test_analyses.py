@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from riskweave.plans import analyses
+from riskweave.plans import analyses, exact
 from riskweave.settings import Settings
 from tests.test_model import load
 
@@ -44,3 +44,19 @@ def test_integrity_and_uncertainty(spark, tmp_path):
     assert sum(r.trials for r in bins) == 200 and min(r.lower for r in bins) == ps[0] and max(r.upper for r in bins) == pytest.approx(ps[-1])
     same = spark.createDataFrame([("g", i, 0.25) for i in range(5)], "id string, trial int, p double")
     assert [(r.bin, r.trials) for r in analyses.uncertainty(same, 2, 3)[2].collect()] == [(1, 5)]
+
+
+def test_times_go_together_and_groups_that_no_gate_is_over_make_no_events(spark, tmp_path, monkeypatch):
+    free = """<define-gate name="top"><or><gate name="a"/><basic-event name="Y"/></or></define-gate><define-gate name="a"><and><basic-event name="X"/><not><basic-event name="Z"/></not></and></define-gate>
+      <define-gate name="two"><atleast min="2"><basic-event name="X"/><basic-event name="Y"/><basic-event name="Z"/></atleast></define-gate><define-gate name="same"><or><gate name="a"/><basic-event name="X"/></or></define-gate>
+      <define-basic-event name="X"><exponential><float value="1e-3"/><system-mission-time/></exponential></define-basic-event><define-basic-event name="Y"><float value="0.25"/></define-basic-event><define-basic-event name="Z"><float value="0.5"/></define-basic-event>
+      <define-CCF-group name="c" model="beta-factor"><members><basic-event name="m1"/><basic-event name="m2"/></members><distribution><float value="0.1"/></distribution><factor><float value="0.5"/></factor></define-CCF-group>"""
+    m = load(spark, tmp_path, free, settings=Settings(mission_time=1000.0, time_step=500.0))
+    m.combined = lambda _: pytest.fail("events of a group without need")
+    roots = []
+    monkeypatch.setattr(exact, "_repeated", lambda g, points, shared, rounds, real=exact._repeated: roots.extend(r.id for r in shared.collect()) or real(g, points, shared, rounds))
+    got = {(r.id, r.time): r.p for r in analyses.over_time(m).collect()}
+    x = {t: 1 - math.exp(-1e-3 * t) for t in (0.0, 500.0, 1000.0)}
+    want = {("top", t): 1 - (1 - 0.5 * x) * 0.75 for t, x in x.items()} | {("two", t): 0.75 * x * 0.5 + 0.25 * x * 0.5 + (1 - x) * 0.125 + x * 0.125 for t, x in x.items()} | {("same", t): x for t, x in x.items()}
+    assert got == {k: pytest.approx(p) for k, p in want.items()}
+    assert roots == ["same"]
