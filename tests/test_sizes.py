@@ -1,5 +1,7 @@
 """What goes through the driver, and what loading leaves to be done later."""
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,31 @@ def test_columns_of_nodes_and_inclusions_with_odd_names(spark, tmp_path):
     assert rows[3]["text"] == "text & more" and rows[4]["def_name"] == "B" and rows[4]["up"] == "define-basic-event" and rows[4]["places"] == []
     wrong = xml_nodes.parse("f", b"<a><b></a>", {}).to_pylist()
     assert len(wrong) == 1 and wrong[0]["tag"] == "#error" and dict(wrong[0]["attrs"]) == {"kind": "parse"} and wrong[0]["text"].startswith("ParseError: mismatched tag")
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    held = lambda: [n for n in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in n]
+    before, rounds = set(held()), graphs.Rounds(spark)
+    assert not graphs.empty(rounds.save(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count")))
+    for _ in range(50):
+        if not (left := set(held()) - before):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_small_tables_meet_large_ones_without_dealing_these_out(spark):
+    rounds = graphs.Rounds(spark)
+    large = rounds.save(spark.range(300_000).select(F.col("id").cast("string").alias("gate_id"), F.lit("a gate").alias("x")))
+    few = spark.createDataFrame([("7",), ("7",), ("9",), ("no",)], "gate_id string")
+    found = graphs.only(large, few, "gate_id")
+    assert sorted(r.gate_id for r in found.collect()) == ["7", "9"]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_slopes_come_with_probabilities(spark):
+    gates = spark.createDataFrame([("g", "or", None, None), ("h", "and", None, None)], "id string, connective string, min_num int, max_num int")
+    args = spark.createDataFrame([("g", 0, "h", True), ("g", 1, "c", False), ("h", 0, "a", False), ("h", 1, "b", False), ("h", 2, "__true__", False)], "gate_id string, ordinal int, arg_id string, complement boolean")
+    g = exact.Graph(gates, args, spark.createDataFrame([("a", 0.25), ("b", 0.5), ("c", 0.5)], "id string, p double"))
+    found = {r.id: [tuple(x) for x in r.slopes] for r in exact.independent(g, slopes=True).where("kind = 2").collect()}
+    assert found == {"h": [("a", 0.5, exact.EVENT, 0.25), ("b", 0.25, exact.EVENT, 0.5), ("__true__", 0.125, exact.FIXED, 1.0)], "g": [("h", -0.5, exact.GATE, 0.125), ("c", 0.125, exact.EVENT, 0.5)]}
