@@ -50,9 +50,11 @@ def conflicts(subs: DataFrame) -> DataFrame:
     hypothesis = active.select(F.col("name").alias("other"), F.explode("hypothesis").alias("event"))
     # of the hypotheses with an event, two different names tell whether another one has it
     holders = hypothesis.groupBy("event").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
-    in_source = target.join(source.select("event").distinct(), "event", "left_semi").select("name", "event", F.lit("target is a source").alias("why"))
+    # many substitutions may have one target: what is known of it is looked up once, and meets them from a small table
+    aims = target.select("event").distinct()
+    in_source = target.join(aims.join(source.select("event").distinct(), "event", "left_semi"), "event").select("name", "event", F.lit("target is a source").alias("why"))
     other = (F.col("lo") != F.col("name")) | (F.col("hi") != F.col("name"))
-    by_target = target.join(holders, "event").where(other).select("name", "event", F.lit("target in another hypothesis").alias("why"))
+    by_target = target.join(holders.join(aims, "event", "left_semi"), "event").where(other).select("name", "event", F.lit("target in another hypothesis").alias("why"))
     by_source = source.join(holders, "event").where(other).select("name", "event", F.lit("source in another hypothesis").alias("why"))
     return in_source.unionByName(by_target).unionByName(by_source).distinct()
 

@@ -405,7 +405,7 @@ def load(spark: SparkSession, patterns: list[str], settings: Settings | None = N
         subs, wrong = substitution_tables()
         problems += wrong
         if "define-substitution" in present:
-            problems += _substitution_problems(subs, members, settings)
+            problems += _substitution_problems(subs, members if "define-CCF-group" in present else None, settings)
         found = rounds.save(elements.union(problems))
         if strict or check_values:
             from . import evaluate
@@ -519,18 +519,20 @@ def _groups(groups: DataFrame, members: DataFrame, distributions: DataFrame, fac
     return levels, combined
 
 
-def _substitution_problems(subs: DataFrame, members: DataFrame, settings: Settings) -> list[DataFrame]:
+def _substitution_problems(subs: DataFrame, members: DataFrame | None, settings: Settings) -> list[DataFrame]:
+    """What is wrong with the substitutions; ``members`` of common-cause groups, if there are any."""
     v, at = elements.violation, (F.col("file"), F.col("line"))
     active = subs.where(~substitutions.declarative(F.col("source")))
-    touched = active.select("name", F.explode(F.array_compact(F.concat("hypothesis", "source", F.array("target_event")))).alias("event_id"))
     other = subs.where(substitutions.problem().isNull()).where((F.col("type") != "") & ~F.col("type").eqNullSafe(substitutions.kind()))
     found = [
         v(elements.duplicates(subs, "name"), "2 define", "DuplicateElementError", F.col("name"), "substitution defined more than once"),
         v(subs.withColumn("problem", substitutions.problem()).where("problem IS NOT NULL"), "2 define", "ValidityError", F.col("name"), F.col("problem"), *at),
         v(other, "2 define", "ValidityError", F.col("name"), "declared type is not the deduced one", *at),
         v(substitutions.conflicts(subs), "3 validate", "ValidityError", F.col("name"), F.concat("why", F.lit(": "), "event")),
-        v(touched.join(members.select("event_id"), "event_id", "left_semi").select("name").distinct(), "3 validate", "ValidityError", F.col("name"), "events of a non-declarative substitution in a common-cause group"),
     ]
+    if members is not None:
+        touched = active.select("name", F.explode(F.array_compact(F.concat("hypothesis", "source", F.array("target_event")))).alias("event_id"))
+        found.append(v(touched.join(members.select("event_id"), "event_id", "left_semi").select("name").distinct(), "3 validate", "ValidityError", F.col("name"), "events of a non-declarative substitution in a common-cause group"))
     if settings.approximation == "none":
         found.append(v(active, "3 validate", "ValidityError", F.col("name"), "non-declarative substitutions need an approximation", *at))
     return found
@@ -558,20 +560,25 @@ def _substitutions(of: Loader, entities: DataFrame, problems: list[DataFrame], p
     def events(tag: str) -> DataFrame:
         rows = inside.where((F.col("up") == f"define-substitution/{tag}") & (F.col("tag") == "basic-event"))
         found = rows.select("file", "line", named.alias("name"), "ordinal", casts.trim(attr("name")).alias("ref"), F.lit("").alias("base_path"))
-        return rounds.save(references.resolve(found, basic).withColumnRenamed("id", "event"))
+        # each name is looked up once: very many substitutions may have the same target
+        meant = references.resolve(found.select("base_path", "ref").distinct(), basic).select("ref", F.col("id").alias("event"))
+        return rounds.save(found.join(meant, "ref", "left"))
 
     sources, targets = events("source"), events("target")
     constants = inside.where("up = 'define-substitution/target' AND tag = 'constant'").select(named.alias("name"), casts.to_bool(attr("value")).alias("target_const"))
-    counts = args.groupBy("gate_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("arg_id")).alias("hypothesis"), F.bool_or("complement").alias("complemented"), F.bool_or(F.col("arg_kind") != "basic-event").alias("other_kinds"))
+    counts = args.groupBy("gate_id").agg(F.count("*").alias("n"), F.count("arg_id").alias("known"), F.sort_array(F.collect_set("arg_id")).alias("hypothesis"), F.bool_or("complement").alias("complemented"), F.bool_or(F.col("arg_kind") != "basic-event").alias("other_kinds"))
     shaped = forms.join(counts, forms["id"] == counts["gate_id"], "left").fillna(0, ["n"])
-    shaped = shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num")))
+    shaped = rounds.save(shaped.withColumn("problem", formulas.arity_problem(F.col("connective"), F.col("n"), F.col("min_num"), F.col("max_num"))))
+    # only hypotheses with fewer events than arguments can have one twice
+    odd = rounds.save(shaped.where(F.col("known") > F.size("hypothesis")).select("gate_id"))
+    repeated = args.where("arg_id IS NOT NULL AND false") if graphs.empty(odd) else graphs.only(args.where("arg_id IS NOT NULL"), odd, "gate_id")
     missing = [t.where(f"{c} IS NULL").select("ref", *("file", "line"), F.col(n).alias("of")) for t, c, n in ((args, "arg_id", "gate_id"), (sources, "event", "name"), (targets, "event", "name"))]
     problems += [
         v(elements.union(missing), "2 define", "UndefinedElement", F.col("ref"), F.concat(F.lit("event of substitution "), "of"), *at),
         v(shaped.where("problem IS NOT NULL"), "2 define", "ValidityError", F.col("id"), F.col("problem"), *at),
         v(nested, "2 define", "ValidityError", F.col("gate_id"), F.concat(F.lit("nested formula: "), F.col("tag")), *at),
         v(elements.duplicates(sources.where("event IS NOT NULL"), "name", "event"), "2 define", "DuplicateElementError", F.col("name"), F.concat(F.lit("source given twice: "), "event")),
-        v(formulas.duplicate_args(args.where("arg_id IS NOT NULL")), "2 define", "DuplicateElementError", F.col("gate_id"), F.concat(F.lit("argument given twice: "), "arg_id")),
+        v(formulas.duplicate_args(repeated), "2 define", "DuplicateElementError", F.col("gate_id"), F.concat(F.lit("argument given twice: "), "arg_id")),
     ]
     rows = defined.join(shaped.select(F.col("id").alias("name"), "connective", "min_num", "hypothesis", "complemented", "other_kinds"), "name", "left")
     rows = rows.join(sources.groupBy("name").agg(F.sort_array(F.collect_set("event")).alias("source")), "name", "left")

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.plans import exact, products
+from riskweave.plans import exact, model, products
 from riskweave.settings import Settings
 from tests.test_exact import random_graphs, truth
 from tests.test_model import load
@@ -141,3 +141,13 @@ def test_cut_sets_of_flat_gates_need_no_rounds(spark, monkeypatch):
             keep = {roots[i] for i in rest}
             flat = frame([g for g in gates if g[0] in keep], [a for a in args if a[0] in keep])
             assert gather(products.of_graph(flat, root, settings)) == [x for x in by_rounds if x[0] in keep]
+
+
+def test_a_target_of_many_substitutions_is_looked_up_once(spark, tmp_path, monkeypatch):
+    seen, real = [], model.references.resolve
+    monkeypatch.setattr(model.references, "resolve", lambda refs, entities: seen.append(sorted(r.ref for r in refs.select("ref").collect())) or real(refs, entities))
+    twice = SUBS.replace("</opsa-mef>", "<define-substitution name='odd'><hypothesis><and><basic-event name='A'/><basic-event name='A'/></and></hypothesis><target><basic-event name='none'/></target></define-substitution></opsa-mef>")
+    m = load(spark, tmp_path, f"<opsa-mef><define-fault-tree name='T'>{MODEL}</define-fault-tree></opsa-mef>", twice, settings=Settings(approximation="rare-event"))
+    assert {(r.name, r.target_event, tuple(r.source)) for r in m.substitutions.collect()} == {("never", None, ()), ("swap", "R", ("C",)), ("help", "R", ()), ("odd", None, ())}
+    assert ["R", "none"] in seen and ["R", "R", "none"] not in seen
+    assert {(r.code, r.entity, r.detail) for r in m.violations.collect()} >= {("DuplicateElementError", "odd", "argument given twice: A"), ("UndefinedElement", "none", "event of substitution odd")}
